@@ -13,6 +13,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_hilbert_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import search
+
+    return search(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0, 5)
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import dedup_lines
 
@@ -33,6 +39,14 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), 1024, 2)
 
 
+def op8_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import fit, fold, score_documents
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit(docs, _table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return score_documents(docs, model).select("doc_id", (fold(F.col("doc_id")) == 1).alias("held_out"), "score", "predicted")
+
+
 def op9_bounded_load_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard
 
@@ -49,7 +63,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(pages, RULES, listed)
 
 
-QUERIES = {f.__name__: f for f in (op3_line_dedup, op5_byte_bpe, op7_best_fit_packing, op9_bounded_load_sharding, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op2_hilbert_search, op3_line_dedup, op5_byte_bpe, op7_best_fit_packing, op8_pu_quality, op9_bounded_load_sharding, op10_url_filter)}
 
 _OP3 = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
