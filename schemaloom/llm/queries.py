@@ -26,6 +26,12 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op4_nn_descent_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embed_dedup import dedup
+
+    return dedup(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"), 0.98)
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import encode
 
@@ -63,7 +69,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(pages, RULES, listed)
 
 
-QUERIES = {f.__name__: f for f in (op2_hilbert_search, op3_line_dedup, op5_byte_bpe, op7_best_fit_packing, op8_pu_quality, op9_bounded_load_sharding, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op2_hilbert_search, op3_line_dedup, op4_nn_descent_dedup, op5_byte_bpe, op7_best_fit_packing, op8_pu_quality, op9_bounded_load_sharding, op10_url_filter)}
 
 _OP3 = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
@@ -88,4 +94,14 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/')
  WHEN regexp_matches(host, '(^|\.)spam') THEN 'block' ELSE 'allow' END AS verdict FROM r
 """
 
-ORACLE_SQL = {"op3_line_dedup": _OP3, "op10_url_filter": _OP10}
+_OP4 = """
+WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+ AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+reach AS (SELECT vec_id AS id, vec_id AS other FROM e UNION SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.other),
+low AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id), n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT m.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, coalesce(low.component_id, m.vec_id) AS component_id, coalesce(m.vec_id = coalesce(low.component_id, m.vec_id), true) AS kept
+FROM embeddings m LEFT JOIN n ON n.a = m.vec_id LEFT JOIN low ON low.id = m.vec_id
+"""
+
+ORACLE_SQL = {"op4_nn_descent_dedup": _OP4, "op3_line_dedup": _OP3, "op10_url_filter": _OP10}
