@@ -39,6 +39,12 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, digest=True)
 
 
+def op6_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -69,7 +75,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(pages, RULES, listed)
 
 
-QUERIES = {f.__name__: f for f in (op2_hilbert_search, op3_line_dedup, op4_nn_descent_dedup, op5_byte_bpe, op7_best_fit_packing, op8_pu_quality, op9_bounded_load_sharding, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op2_hilbert_search, op3_line_dedup, op4_nn_descent_dedup, op5_byte_bpe, op6_weighted_minhash, op7_best_fit_packing, op8_pu_quality, op9_bounded_load_sharding, op10_url_filter)}
 
 _OP3 = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
