@@ -13,6 +13,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sparse_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix import repeated_spans
+
+    return repeated_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_hilbert_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ann import search
 
@@ -75,7 +81,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(pages, RULES, listed)
 
 
-QUERIES = {f.__name__: f for f in (op2_hilbert_search, op3_line_dedup, op4_nn_descent_dedup, op5_byte_bpe, op6_weighted_minhash, op7_best_fit_packing, op8_pu_quality, op9_bounded_load_sharding, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_sparse_suffix_array, op2_hilbert_search, op3_line_dedup, op4_nn_descent_dedup, op5_byte_bpe, op6_weighted_minhash, op7_best_fit_packing, op8_pu_quality, op9_bounded_load_sharding, op10_url_filter)}
 
 _OP3 = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
