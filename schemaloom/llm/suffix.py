@@ -85,8 +85,13 @@ def _doc(d: int | None) -> int:
     return LAST if d is None else d
 
 
+def text_check(text: bytes) -> int:
+    """Tells rows that share a doc_id apart."""
+    return xxhash.xxh3_64_intdigest(text) >> 33
+
+
 def _suffixes(twice):
-    schema = pa.schema([("g", pa.int64()), ("after", pa.binary()), ("before", pa.binary()), ("doc", pa.int64()), ("t", pa.int64()), ("pos", pa.int32())])
+    schema = pa.schema([("side", pa.int32()), ("g", pa.int64()), ("near", pa.binary()), ("far", pa.binary()), ("doc", pa.int64()), ("c", pa.int32()), ("pos", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = twice.value
@@ -97,32 +102,36 @@ def _suffixes(twice):
             at, g = at[hit], g[hit]
             if not len(at):
                 continue
-            # 16 bits a word on either side, nearest first; 0 where the document ends
-            short = np.concatenate(((h >> np.uint64(49)).astype(">u2") * 2 + 1, np.zeros(1, ">u2"))).astype(">u2")
+            # four bits a word on either side, nearest first; 0 where the document ends.  Words that differ may
+            # look alike and marked spans reach too far, but never too short; windows are confirmed behind
+            short = np.append((h >> np.uint64(60)).astype(np.uint8) % 15 + 1, 0).astype(np.uint8)
             d = np.searchsorted(first, at, "right") - 1
             k = np.arange(SIDE)
             after, before = at[:, None] + K + k, at[:, None] - 1 - k
             after[after >= first[d + 1][:, None]] = len(h)
             before[before < first[d][:, None]] = len(h)
+            pack = lambda x: pa.array([r.tobytes() for r in (short[x[:, ::2]] << 4 | short[x[:, 1::2]])], pa.binary())
+            after, before = pack(after), pack(before)
             ids = s.column("doc_id")
-            key = {i: xxhash.xxh3_64_intdigest(s.text(i)) >> 1 for i in np.unique(d).tolist()}
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(g.view(np.int64)), pa.array([r.tobytes() for r in short[after]], pa.binary()), pa.array([r.tobytes() for r in short[before]], pa.binary()), pa.array([_doc(ids[i]) for i in d], pa.int64()), pa.array([key[i] for i in d.tolist()], pa.int64()), pa.array((at - first[d]).astype(np.int32))],
-                schema=schema,
-            )
+            check = {i: text_check(s.text(i)) for i in np.unique(d).tolist()}
+            rest = [pa.array([_doc(ids[i]) for i in d], pa.int64()), pa.array([check[i] for i in d.tolist()], pa.int32()), pa.array((at - first[d]).astype(np.int32))]
+            for side, near, far in ((0, after, before), (1, before, after)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), side, np.int32)), pa.array(g.view(np.int64)), near, far, *rest], schema=schema)
 
     return run
 
 
 def _common(x: np.ndarray) -> np.ndarray:
-    """How many leading words each row shares with the row before it."""
-    same = (x[1:] == x[:-1]) & (x[1:] != 0)
-    return np.where(same.all(1), x.shape[1], (~same).argmax(1))
+    """How many leading words each row shares with the row before it; x: packed contexts."""
+    wide = np.empty((len(x), 2 * x.shape[1]), np.uint8)
+    wide[:, ::2], wide[:, 1::2] = x >> 4, x & 15
+    same = (wide[1:] == wide[:-1]) & (wide[1:] != 0)
+    return np.where(same.all(1), wide.shape[1], (~same).argmax(1))
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted suffixes: compare each with the one before it and extend the match both ways."""
-    schema = pa.schema([("doc", pa.int64()), ("t", pa.int64()), ("a", pa.int32()), ("b", pa.int32())])
+    schema = pa.schema([("doc", pa.int64()), ("c", pa.int32()), ("a", pa.int32()), ("b", pa.int32())])
     tail = None
     for b in batches:
         if not b.num_rows:
@@ -131,14 +140,24 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = rows.slice(rows.num_rows - 1)
         if rows.num_rows < 2:
             continue
-        g, doc, t, pos = (rows.column(i).to_numpy() for i in (0, 3, 4, 5))
-        after, before = (np.frombuffer(b"".join(rows.column(i).to_pylist()), ">u2").reshape(len(g), SIDE) for i in (1, 2))
-        right, left = _common(after), _common(before)
-        hit = np.flatnonzero((g[1:] == g[:-1]) & (left + right + K >= LEAST))
+        side, g, doc, c, pos = (rows.column(i).to_numpy() for i in (0, 1, 4, 5, 6))
+        near, far = (_common(np.frombuffer(b"".join(rows.column(i).to_pylist()), np.uint8).reshape(len(g), -1)) for i in (2, 3))
+        other = (doc[1:] != doc[:-1]) | (c[1:] != c[:-1]) | (pos[1:] != pos[:-1])
+        hit = np.flatnonzero((g[1:] == g[:-1]) & (side[1:] == side[:-1]) & other & (near + far + K >= LEAST))
         if len(hit):
+            right, left = np.where(side[hit] == 0, near[hit], far[hit]), np.where(side[hit] == 0, far[hit], near[hit])
             both = np.concatenate((hit, hit + 1))
-            a, z = pos[both] - np.tile(left[hit], 2), pos[both] + K + np.tile(right[hit], 2)
-            yield pa.RecordBatch.from_arrays([pa.array(doc[both]), pa.array(t[both]), pa.array(a.astype(np.int32)), pa.array(z.astype(np.int32))], schema=schema)
+            a, z = pos[both] - np.tile(left, 2), pos[both] + K + np.tile(right, 2)
+            # a document's marks mostly overlap: join them here, before they travel
+            order = np.lexsort((a, c[both], doc[both]))
+            both, a, z = both[order], a[order], z[order]
+            fresh = np.ones(len(both), bool)
+            group = np.cumsum(np.r_[True, (doc[both][1:] != doc[both][:-1]) | (c[both][1:] != c[both][:-1])]).astype(np.int64) << 32
+            reach = np.maximum.accumulate(z + group)
+            fresh[1:] = (a + group)[1:] > reach[:-1]
+            start = np.flatnonzero(fresh)
+            end = (np.maximum.reduceat(z, start)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(doc[both][start]), pa.array(c[both][start]), pa.array(a[start].astype(np.int32)), pa.array(end)], schema=schema)
 
 
 def _merged(spans) -> list[tuple[int, int]]:
@@ -152,12 +171,12 @@ def _merged(spans) -> list[tuple[int, int]]:
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The LEAST-word windows that marked spans hold or touch (a match may reach on past its context)."""
-    schema = pa.schema([("w", pa.int64()), ("doc", pa.int64()), ("t", pa.int64()), ("pos", pa.int32()), ("again", pa.bool_())])
+    """The LEAST-word windows that marked spans hold; pos is -1 - pos where the document has the window further left."""
+    schema = pa.schema([("w", pa.int64()), ("n", pa.int64()), ("pos", pa.int32())])
     for s in slices(batches):
         _, _, h, first = words(s)
         spans = s.column("spans")
-        for i, (d, t) in enumerate(zip(s.column("doc"), s.column("t"), strict=True)):
+        for i, n in enumerate(s.column("n")):
             w = run_hashes(h[first[i] : first[i + 1]], LEAST)
             take = np.zeros(len(w) + 1, np.int64)
             for a, b in _merged(spans[i]):
@@ -170,29 +189,28 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             w = w[pos]
             again = np.ones(len(w), bool)
             again[np.unique(w, return_index=True)[1]] = False
-            yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(np.full(len(w), d)), pa.array(np.full(len(w), t)), pa.array(pos.astype(np.int32)), pa.array(again)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(np.full(len(w), n)), pa.array(np.where(again, -1 - pos, pos).astype(np.int32))], schema=schema)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    @F.pandas_udf("long")
-    def key(texts: pd.Series) -> pd.Series:
-        return pd.Series([xxhash.xxh3_64_intdigest(x or b"") >> 1 for x in texts], dtype="int64")
+    @F.pandas_udf("int")
+    def check(texts: pd.Series) -> pd.Series:
+        return pd.Series([text_check(x or b"") for x in texts], dtype="int32")
 
-    return docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("__t", key(F.col("text").cast("binary")))
+    return docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("__c", check(F.col("text").cast("binary")))
 
 
-def repeats(docs: DataFrame, bits: int = BITS) -> DataFrame:
-    """doc, t (checksum of the text), lost: array of (pos, first): windows that repeat, and the smallest doc holding each."""
+def repeats(docs: DataFrame, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
+    """(lost, ids): lost has n and an array of (pos, first n) of its repeated windows, ids the doc and c (check of the
+    text) behind every n.  Numbers n stand in the order of doc_id."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     twice = spark.sparkContext.broadcast(twice_seen(texts, _prefixes, bits))
-    suffixes = written(texts.mapInArrow(_suffixes(twice), "g long, after binary, before binary, doc long, t long, pos int").dropDuplicates(["doc", "t", "pos"]))
-    marked = None
-    for side, other in (("after", "before"), ("before", "after")):
-        order = ["g", side, other, "doc", "t", "pos"]
-        found = suffixes.repartitionByRange(parallelism(spark), *order).sortWithinPartitions(*order).mapInArrow(_neighbours, "doc long, t long, a int, b int")
-        marked = found if marked is None else marked.unionByName(found)
-    spans = written(marked.distinct().groupBy("doc", "t").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
+    order = ["side", "g", "near", "far", "doc", "c", "pos"]
+    suffixes = texts.mapInArrow(_suffixes(twice), "side int, g long, near binary, far binary, doc long, c int, pos int")
+    marked = suffixes.repartitionByRange(parallelism(spark), *order).sortWithinPartitions(*order).mapInArrow(_neighbours, "doc long, c int, a int, b int")
+    spans = marked.groupBy("doc", "c").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    spans = written(spans.repartitionByRange(parallelism(spark), "doc", "c").sortWithinPartitions("doc", "c").withColumn("n", F.monotonically_increasing_id()))
     wanted = spark.sparkContext.broadcast(_wanted(spans))
 
     @F.pandas_udf("boolean")
@@ -201,12 +219,17 @@ def repeats(docs: DataFrame, bits: int = BITS) -> DataFrame:
         at = d.to_numpy() & (len(m) * 8 - 1)
         return pd.Series((m[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
 
-    some = _keyed(docs.select("doc_id", "text").filter(maybe(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))))).select(F.col("__doc").alias("doc"), F.col("__t").alias("t"), F.col("text").cast("binary").alias("text"))
-    held = spans.join(some.hint("merge"), ["doc", "t"]).dropDuplicates(["doc", "t"]).select("doc", "t", "spans", "text")
-    windows = written(held.mapInArrow(_windows, "w long, doc long, t long, pos int, again boolean"))
-    first = written(windows.groupBy("w").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("w", "first"))
-    lost = windows.join(first.hint("merge"), "w").filter("doc > first or again")
-    return lost.groupBy("doc", "t").agg(F.array_sort(F.collect_list(F.struct("pos", "first"))).alias("lost"))
+    some = _keyed(docs.select("doc_id", "text").filter(maybe(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))))).select(F.col("__doc").alias("doc"), F.col("__c").alias("c"), F.col("text").cast("binary").alias("text"))
+    held = spans.join(some.hint("merge"), ["doc", "c"]).select("n", "spans", "text")
+    windows = written(held.mapInArrow(_windows, "w long, n long, pos int").dropDuplicates(["n", "pos"]) if _has_copies(spans, docs) else held.mapInArrow(_windows, "w long, n long, pos int"))
+    first = windows.groupBy("w").agg(F.min("n").alias("first"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("w", "first")
+    lost = windows.join(first.hint("merge"), "w").filter("n > first or pos < 0").select("n", F.when(F.col("pos") < 0, -1 - F.col("pos")).otherwise(F.col("pos")).alias("pos"), "first")
+    return lost.groupBy("n").agg(F.array_sort(F.collect_list(F.struct("pos", "first"))).alias("lost")), spans.select("n", "doc", "c")
+
+
+def _has_copies(spans: DataFrame, docs: DataFrame) -> bool:
+    """Whether rows repeat a doc_id at all; only then may a document's windows come twice."""
+    return docs.groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0
 
 
 def _wanted(spans: DataFrame) -> bytes:
@@ -215,34 +238,36 @@ def _wanted(spans: DataFrame) -> bytes:
     return _bitmap(spans.select(F.col("doc").alias("t")))
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of consecutive repeated windows with one first document."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        lists = b.column(1)
+        size = np.diff(lists.offsets.to_numpy())
+        flat = lists.flatten()
+        n, pos, first = np.repeat(b.column(0).to_numpy(), size), flat.field("pos").to_numpy(), flat.field("first").to_numpy()
+        if not len(n):
+            continue
+        cut = np.flatnonzero(np.r_[True, (n[1:] != n[:-1]) | (first[1:] != first[:-1]) | (pos[1:] != pos[:-1] + 1)])
+        length = np.diff(np.append(cut, len(n))) + LEAST - 1
+        yield pa.RecordBatch.from_arrays([pa.array(n[cut]), pa.array(pos[cut].astype(np.int32)), pa.array(length.astype(np.int32)), pa.array(first[cut])], ["n", "start", "n_words", "first"])
+
+
 def repeated_spans(docs: DataFrame, bits: int = BITS) -> DataFrame:
     """doc_id, start (in words), n_words, first_doc_id: one row for each run of words that an earlier place holds."""
-    schema = "doc_id long, start int, n_words int, first_doc_id long"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for d, lost in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                start = end = first = None
-                for x in [*lost, None]:
-                    if x is not None and first == x["first"] and x["pos"] == end + 1:
-                        end = x["pos"]
-                        continue
-                    if first is not None:
-                        out.append((None if d == LAST else d, start, end - start + LEAST, None if first == LAST else first))
-                    if x is not None:
-                        start = end = x["pos"]
-                        first = x["first"]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)], ["doc_id", "start", "n_words", "first_doc_id"])
-
-    return repeats(docs, bits).select("doc", "lost").mapInArrow(run, schema)
+    lost, ids = repeats(docs, bits)
+    runs = lost.mapInArrow(_runs, "n long, start int, n_words int, first long")
+    out = runs.join(ids.select("n", "doc").hint("merge"), "n").join(ids.select(F.col("n").alias("first"), F.col("doc").alias("first_doc")).hint("merge"), "first")
+    name = lambda c: F.nullif(F.col(c), F.lit(LAST))
+    return out.select(name("doc").alias("doc_id"), "start", "n_words", name("first_doc").alias("first_doc_id"))
 
 
 def remove_repeats(docs: DataFrame, bits: int = BITS) -> DataFrame:
     """The documents without the words of repeated windows; all other columns as they were."""
-    gone = repeats(docs, bits).select(F.col("doc").alias("__doc"), F.col("t").alias("__t"), F.col("lost.pos").alias("__pos"))
-    joined = _keyed(docs).join(gone.hint("merge"), ["__doc", "__t"], "left")
+    lost, ids = repeats(docs, bits)
+    gone = lost.join(ids.hint("merge"), "n").select(F.col("doc").alias("__doc"), F.col("c").alias("__c"), F.col("lost.pos").alias("__pos"))
+    joined = _keyed(docs).join(gone.hint("merge"), ["__doc", "__c"], "left")
 
     @F.pandas_udf("binary")
     def cut(texts: pd.Series, pos: pd.Series) -> pd.Series:
