@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sqltext import RenderConfig, column_definition, constraint_body, index_column, literal, quote, quoted_list, text
 from ..operators.diff import Diff
+from ..tables import kept
 
 #: Dependency ranks of object kinds, and phases of a plan.
 KIND_RANK = {"enum": 0, "sequence": 1, "table": 2, "view": 3, "index": 4, "constraint": 5, "comment": 6}
@@ -39,6 +40,8 @@ class Collector:
         # the schema of a pair: that of its target, or of its source where the target has none
         named = pairs.join(ns.select(F.col("snapshot_id").alias("target_id"), F.col("schema").alias("ts")), "target_id", "left").join(ns.select(F.col("snapshot_id").alias("source_id"), F.col("schema").alias("ss")), "source_id", "left")
         self.schemas = named.select("pair_id", F.coalesce("ts", "ss", F.lit("public")).alias("schema"))
+        # every branch below reads this one table
+        self.rows = kept(diff.changes().join(self.schemas, "pair_id"))
 
     def _in(self, name: Column) -> Column:
         return text(self.q(F.col("schema")), ".", self.q(name))
@@ -46,7 +49,7 @@ class Collector:
     def add(self, df: DataFrame, op: str, phase: str, kind: str, rank: int, forward: Column, rollback: Column | None, description: Column, payload: Column | None = None, sub: Column | int = 0, table: Column | None = None, many: bool = False) -> None:
         none = F.lit(None).cast("string")
         back = F.lit(None).cast("array<string>") if rollback is None or not self.config.rollback else F.array(rollback)
-        rows = df.join(self.schemas, "pair_id")
+        rows = df if "schema" in df.columns else df.join(self.schemas, "pair_id")
         self.parts.append(
             rows.select(
                 "pair_id", F.lit(op).alias("op_kind"), F.lit(PHASES[phase]).alias("phase"), F.lit(KIND_RANK[kind]).alias("object_kind"), "schema",
@@ -69,12 +72,12 @@ class Collector:
         return out
 
     def _change(self, kind: str, change: str) -> DataFrame:
-        return self.diff.objects(kind).filter(F.col("change") == change).select("pair_id", "table_name", "name", "to_name", "similarity")
+        return self.rows.filter((F.col("kind") == kind) & (F.col("change") == change)).select("pair_id", "schema", "table_name", "name", "to_name")
 
     def _with_object(self, kind: str, change: str, which: str = "t") -> DataFrame:
         """Objects of a change with their struct x (the target's, or the source's) and the source's as before."""
-        rows = self.diff.changes().filter((F.col("kind") == kind) & (F.col("change") == change))
-        return rows.select("pair_id", "table_name", "name", F.col(f"{which}.{kind}").alias("x"), F.col(f"s.{kind}").alias("before"))
+        rows = self.rows.filter((F.col("kind") == kind) & (F.col("change") == change))
+        return rows.select("pair_id", "schema", "table_name", "name", F.col(f"{which}.{kind}").alias("x"), F.col(f"s.{kind}").alias("before"))
 
     def _drops(self) -> None:
         c = self.config
@@ -126,7 +129,7 @@ class Collector:
     def _of_added_tables(self, kind: str) -> DataFrame:
         from ..operators.diff import side
 
-        tables = self._change("table", "added").select("pair_id", F.col("name").alias("table_name"))
+        tables = self._change("table", "added").select("pair_id", "schema", F.col("name").alias("table_name"))
         return side(self.diff.catalog, self.diff.pairs, kind, "target").join(tables, ["pair_id", "table_name"])
 
     def _create_tables(self, fresh: str, exists: str, cascade: str) -> None:
