@@ -10,11 +10,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 #: Fixed value: the hash before the first migration.
 ZERO = "0" * 64
 
-_by_seq = Window.partitionBy("history_id").orderBy("seq")
+def _by_seq() -> WindowSpec:
+    return Window.partitionBy("history_id").orderBy("seq")
 
 
 def framed(*parts: Column) -> Column:
@@ -46,7 +48,7 @@ def from_prefix(prefix: Column) -> Column:
 
 def verify_chain(h: DataFrame) -> DataFrame:
     """history_id, ok, broken_seq, expected_parent, found_parent: the first migration whose parent isn't the hash before it."""
-    want = F.coalesce(F.lag("resulting_hash").over(_by_seq), F.lit(ZERO))
+    want = F.coalesce(F.lag("resulting_hash").over(_by_seq()), F.lit(ZERO))
     rows = h.withColumn("want", want).withColumn("bad", F.col("want") != F.col("parent_hash"))
     first = F.min(F.when(F.col("bad"), F.struct("seq", "want", "parent_hash")))
     return rows.groupBy("history_id").agg(first.alias("b")).select("history_id", F.col("b").isNull().alias("ok"), F.col("b.seq").alias("broken_seq"), F.col("b.want").alias("expected_parent"), F.col("b.parent_hash").alias("found_parent"))
@@ -54,7 +56,7 @@ def verify_chain(h: DataFrame) -> DataFrame:
 
 def nearest_checkpoint(h: DataFrame) -> DataFrame:
     """history_id, seq, checkpoint_seq (null if none), n_replayed: what it takes to rebuild the state at each migration."""
-    at = F.last(F.when(F.col("is_checkpoint"), F.col("seq")), ignorenulls=True).over(_by_seq.rowsBetween(Window.unboundedPreceding, 0))
+    at = F.last(F.when(F.col("is_checkpoint"), F.col("seq")), ignorenulls=True).over(_by_seq().rowsBetween(Window.unboundedPreceding, 0))
     return h.select("history_id", "seq", at.alias("checkpoint_seq")).withColumn("n_replayed", (F.col("seq") - F.coalesce("checkpoint_seq", F.lit(0))).cast("long"))
 
 
@@ -111,7 +113,7 @@ def integrity(recorded: DataFrame, local: DataFrame, checksums: DataFrame) -> Da
 
 def tail(h: DataFrame, n: int) -> DataFrame:
     """The last n migrations of each history in their order, with 1-based numbers."""
-    number = F.row_number().over(_by_seq)
+    number = F.row_number().over(_by_seq())
     back = F.row_number().over(Window.partitionBy("history_id").orderBy(F.desc("seq")))
     return h.withColumn("number", number).withColumn("back", back).filter(F.col("back") <= n).drop("back")
 

@@ -25,9 +25,6 @@ REVERSIBLE = {
 IRREVERSIBLE = ("DropEnum", "AddEnumValue", "DropSequence", "AlterSequence", "DropTable", "DropColumn", "AlterColumn", "DropConstraint", "DropIndex", "DropView", "ReplaceView", "RefreshMaterializedView", "SetComment")
 COLUMNS = ["pair_id", "op_kind", "phase", "object_kind", "schema", "table_name", "name", "to_name", "payload", "forward", "rollback", "description", "r1", "r2"]
 
-_name, _table, _to = F.col("name"), F.col("table_name"), F.col("to_name")
-
-
 class Collector:
     """Collects a diff's operations; `plan` orders them."""
 
@@ -53,7 +50,7 @@ class Collector:
         self.parts.append(
             rows.select(
                 "pair_id", F.lit(op).alias("op_kind"), F.lit(PHASES[phase]).alias("phase"), F.lit(KIND_RANK[kind]).alias("object_kind"), "schema",
-                (table if table is not None else (_table if "table_name" in df.columns else none)).alias("table_name"), _name.alias("name"), (_to if "to_name" in df.columns else none).alias("to_name"),
+                (table if table is not None else (F.col("table_name") if "table_name" in df.columns else none)).alias("table_name"), F.col("name").alias("name"), (F.col("to_name") if "to_name" in df.columns else none).alias("to_name"),
                 (payload if payload is not None else none).alias("payload"), (forward if many else F.array(forward)).alias("forward"), back.alias("rollback"), description.alias("description"),
                 F.lit(rank).alias("r1"), (sub if isinstance(sub, Column) else F.lit(sub)).alias("r2"),
             )
@@ -83,48 +80,48 @@ class Collector:
         c = self.config
         exists, cascade = ("IF EXISTS " if c.if_exists else ""), (" CASCADE" if c.cascade else "")
         for rank, (kind, op, word, label) in enumerate((("view", "DropView", "VIEW", "view"), ("table", "DropTable", "TABLE", "table"), ("sequence", "DropSequence", "SEQUENCE", "sequence"), ("enum", "DropEnum", "TYPE", "enum type"))):
-            self.add(self._change(kind, "removed").drop("to_name"), op, "drop", kind, rank, text(f"DROP {word} {exists}", self._in(_name), cascade), None, text(f"Drop {label} ", F.col("schema"), ".", _name))
+            self.add(self._change(kind, "removed").drop("to_name"), op, "drop", kind, rank, text(f"DROP {word} {exists}", self._in(F.col("name")), cascade), None, text(f"Drop {label} ", F.col("schema"), ".", F.col("name")))
         index = self._with_object("index", "removed", "s").filter(~F.col("x.is_constraint_index"))
         changed = self._with_object("index", "modified").filter(~F.col("x.is_constraint_index"))
         con = "CONCURRENTLY " if c.concurrently else ""
         for sub, df in ((0, index), (3, changed)):
-            self.add(df, "DropIndex", "drop", "index", 4, text(f"DROP INDEX {con}{exists}", self._in(_name), cascade), None, text("Drop index ", F.col("schema"), ".", _name), sub=sub)
+            self.add(df, "DropIndex", "drop", "index", 4, text(f"DROP INDEX {con}{exists}", self._in(F.col("name")), cascade), None, text("Drop index ", F.col("schema"), ".", F.col("name")), sub=sub)
         for sub, df in ((1, self._change("constraint", "removed").drop("to_name")), (2, self._change("constraint", "modified").drop("to_name"))):
-            self.add(df, "DropConstraint", "drop", "constraint", 4, text("ALTER TABLE ", self._in(_table), f" DROP CONSTRAINT {exists}", self.q(_name), cascade), None, text("Drop constraint ", F.col("schema"), ".", _table, ".", _name), sub=sub)
-        self.add(self._change("column", "removed").drop("to_name"), "DropColumn", "drop", "table", 4, text("ALTER TABLE ", self._in(_table), f" DROP COLUMN {exists}", self.q(_name), cascade), None, text("Drop column ", F.col("schema"), ".", _table, ".", _name), sub=4)
+            self.add(df, "DropConstraint", "drop", "constraint", 4, text("ALTER TABLE ", self._in(F.col("table_name")), f" DROP CONSTRAINT {exists}", self.q(F.col("name")), cascade), None, text("Drop constraint ", F.col("schema"), ".", F.col("table_name"), ".", F.col("name")), sub=sub)
+        self.add(self._change("column", "removed").drop("to_name"), "DropColumn", "drop", "table", 4, text("ALTER TABLE ", self._in(F.col("table_name")), f" DROP COLUMN {exists}", self.q(F.col("name")), cascade), None, text("Drop column ", F.col("schema"), ".", F.col("table_name"), ".", F.col("name")), sub=4)
 
     def _renames(self) -> None:
         for rank, (kind, op, word, label) in enumerate((("table", "RenameTable", "TABLE", "table"), ("enum", "RenameEnum", "TYPE", "enum type"), ("sequence", "RenameSequence", "SEQUENCE", "sequence"), ("view", "RenameView", "VIEW", "view"), ("index", "RenameIndex", "INDEX", "index"))):
             say = lambda a, b, w=word: text(f"ALTER {w} ", self._in(a), " RENAME TO ", self.q(b))
-            self.add(self._change(kind, "renamed"), op, "rename", kind, 10 + rank, say(_name, _to), say(_to, _name), text(f"Rename {label} ", F.col("schema"), ".", _name, " to ", _to))
+            self.add(self._change(kind, "renamed"), op, "rename", kind, 10 + rank, say(F.col("name"), F.col("to_name")), say(F.col("to_name"), F.col("name")), text(f"Rename {label} ", F.col("schema"), ".", F.col("name"), " to ", F.col("to_name")))
         for sub, (kind, op, word, rank) in enumerate((("column", "RenameColumn", "COLUMN", "table"), ("constraint", "RenameConstraint", "CONSTRAINT", "constraint"))):
-            say = lambda a, b, w=word: text("ALTER TABLE ", self._in(_table), f" RENAME {w} ", self.q(a), " TO ", self.q(b))
-            self.add(self._change(kind, "renamed"), op, "rename", rank, 15 + sub, say(_name, _to), say(_to, _name), text(f"Rename {word.lower()} ", F.col("schema"), ".", _table, ".", _name, " to ", _to))
+            say = lambda a, b, w=word: text("ALTER TABLE ", self._in(F.col("table_name")), f" RENAME {w} ", self.q(a), " TO ", self.q(b))
+            self.add(self._change(kind, "renamed"), op, "rename", rank, 15 + sub, say(F.col("name"), F.col("to_name")), say(F.col("to_name"), F.col("name")), text(f"Rename {word.lower()} ", F.col("schema"), ".", F.col("table_name"), ".", F.col("name"), " to ", F.col("to_name")))
 
     def _creates(self) -> None:
         c, x, q = self.config, F.col("x"), self.config.quoting
         fresh, exists = ("IF NOT EXISTS " if c.if_not_exists else ""), ("IF EXISTS " if c.if_exists else "")
         cascade = " CASCADE" if c.cascade else ""
         enums = self._with_object("enum", "added").drop("table_name")
-        self.add(enums, "CreateEnum", "create", "enum", 20, text("CREATE TYPE ", self._in(_name), " AS ENUM (", F.array_join(F.transform(x["labels"], literal), ", "), ")"), text("DROP TYPE ", self._in(_name)), text("Create enum type ", F.col("schema"), ".", _name), F.to_json(x))
+        self.add(enums, "CreateEnum", "create", "enum", 20, text("CREATE TYPE ", self._in(F.col("name")), " AS ENUM (", F.array_join(F.transform(x["labels"], literal), ", "), ")"), text("DROP TYPE ", self._in(F.col("name"))), text("Create enum type ", F.col("schema"), ".", F.col("name")), F.to_json(x))
         more = self.diff.enum_changes().select("pair_id", "name", F.posexplode("values_added").alias("k", "label"))
-        self.add(more, "AddEnumValue", "create", "enum", 21, text("ALTER TYPE ", self._in(_name), " ADD VALUE ", literal(F.col("label"))), None, text("Add value '", F.col("label"), "' to enum ", F.col("schema"), ".", _name), F.to_json(F.struct("label")), sub=F.col("k"))
+        self.add(more, "AddEnumValue", "create", "enum", 21, text("ALTER TYPE ", self._in(F.col("name")), " ADD VALUE ", literal(F.col("label"))), None, text("Add value '", F.col("label"), "' to enum ", F.col("schema"), ".", F.col("name")), F.to_json(F.struct("label")), sub=F.col("k"))
         seqs = self._with_object("sequence", "added").drop("table_name")
-        self.add(seqs, "CreateSequence", "create", "sequence", 22, F.concat(text(f"CREATE SEQUENCE {fresh}", self._in(_name), " AS ", x["data_type"]), *[text(f" {w} ", x[f].cast("string")) for w, f in (("START WITH", "start_value"), ("INCREMENT BY", "increment"), ("MINVALUE", "min_value"), ("MAXVALUE", "max_value"), ("CACHE", "cache_size"))], F.when(x["is_cyclic"], " CYCLE").otherwise(" NO CYCLE")), text("DROP SEQUENCE ", self._in(_name)), text("Create sequence ", F.col("schema"), ".", _name), F.to_json(x))
+        self.add(seqs, "CreateSequence", "create", "sequence", 22, F.concat(text(f"CREATE SEQUENCE {fresh}", self._in(F.col("name")), " AS ", x["data_type"]), *[text(f" {w} ", x[f].cast("string")) for w, f in (("START WITH", "start_value"), ("INCREMENT BY", "increment"), ("MINVALUE", "min_value"), ("MAXVALUE", "max_value"), ("CACHE", "cache_size"))], F.when(x["is_cyclic"], " CYCLE").otherwise(" NO CYCLE")), text("DROP SEQUENCE ", self._in(F.col("name"))), text("Create sequence ", F.col("schema"), ".", F.col("name")), F.to_json(x))
         self._create_tables(fresh, exists, cascade)
         added = self._with_object("column", "added")
-        self.add(added, "AddColumn", "create", "table", 26, text("ALTER TABLE ", self._in(_table), " ADD COLUMN ", column_definition(x, q)), text("ALTER TABLE ", self._in(_table), " DROP COLUMN ", self.q(_name)), text("Add column ", F.col("schema"), ".", _table, ".", _name), F.to_json(x), sub=x["position"])
-        say = (text("ALTER TABLE ", self._in(_table), " ADD CONSTRAINT ", self.q(_name), " ", constraint_body(x, q)), text("ALTER TABLE ", self._in(_table), " DROP CONSTRAINT ", self.q(_name)), text("Add constraint ", F.col("schema"), ".", _table, ".", _name), F.to_json(x.dropFields("definition")))
+        self.add(added, "AddColumn", "create", "table", 26, text("ALTER TABLE ", self._in(F.col("table_name")), " ADD COLUMN ", column_definition(x, q)), text("ALTER TABLE ", self._in(F.col("table_name")), " DROP COLUMN ", self.q(F.col("name"))), text("Add column ", F.col("schema"), ".", F.col("table_name"), ".", F.col("name")), F.to_json(x), sub=x["position"])
+        say = (text("ALTER TABLE ", self._in(F.col("table_name")), " ADD CONSTRAINT ", self.q(F.col("name")), " ", constraint_body(x, q)), text("ALTER TABLE ", self._in(F.col("table_name")), " DROP CONSTRAINT ", self.q(F.col("name"))), text("Add constraint ", F.col("schema"), ".", F.col("table_name"), ".", F.col("name")), F.to_json(x.dropFields("definition")))
         own = self._of_added_tables("constraint").filter(x["kind"].isin("FOREIGN KEY", "EXCLUDE"))
         for rank, df in ((24, own), (28, self._with_object("constraint", "added")), (28, self._with_object("constraint", "modified"))):
             self.add(df, "AddConstraint", "create", "constraint", rank, *say)
         con, method = ("CONCURRENTLY " if c.concurrently else ""), F.when(x["method"] == "btree", "").otherwise(text(" USING ", x["method"]))
-        make = F.concat(F.lit("CREATE "), F.when(x["is_unique"], "UNIQUE ").otherwise(""), text(f"INDEX {con}{fresh}", self.q(_name), " ON ", self._in(_table)), method, text(" (", F.array_join(F.transform(x["columns"], lambda i: index_column(i, q)), ", "), ")"), F.coalesce(text(" WHERE ", x["predicate"]), F.lit("")))
+        make = F.concat(F.lit("CREATE "), F.when(x["is_unique"], "UNIQUE ").otherwise(""), text(f"INDEX {con}{fresh}", self.q(F.col("name")), " ON ", self._in(F.col("table_name"))), method, text(" (", F.array_join(F.transform(x["columns"], lambda i: index_column(i, q)), ", "), ")"), F.coalesce(text(" WHERE ", x["predicate"]), F.lit("")))
         for rank, df in ((25, self._of_added_tables("index")), (29, self._with_object("index", "added")), (29, self._with_object("index", "modified"))):
-            self.add(df.filter(~x["is_constraint_index"]), "CreateIndex", "create", "index", rank, make, text(f"DROP INDEX {con}{exists}", self._in(_name)), text("Create index ", F.col("schema"), ".", _name, " on ", _table), F.to_json(x))
+            self.add(df.filter(~x["is_constraint_index"]), "CreateIndex", "create", "index", rank, make, text(f"DROP INDEX {con}{exists}", self._in(F.col("name"))), text("Create index ", F.col("schema"), ".", F.col("name"), " on ", F.col("table_name")), F.to_json(x))
         views = self._with_object("view", "added").drop("table_name")
         word = F.when(x["is_materialized"], "MATERIALIZED VIEW").otherwise("VIEW")
-        self.add(views, "CreateView", "create", "view", 30, text("CREATE ", word, " ", self._in(_name), " AS ", x["definition"]), text("DROP ", word, " ", self._in(_name)), text("Create ", F.lower(word), " ", F.col("schema"), ".", _name), F.to_json(x))
+        self.add(views, "CreateView", "create", "view", 30, text("CREATE ", word, " ", self._in(F.col("name")), " AS ", x["definition"]), text("DROP ", word, " ", self._in(F.col("name"))), text("Create ", F.lower(word), " ", F.col("schema"), ".", F.col("name")), F.to_json(x))
 
     def _of_added_tables(self, kind: str) -> DataFrame:
         from ..operators.diff import side
@@ -136,19 +133,19 @@ class Collector:
         q, x = self.config.quoting, F.col("x")
         tables = self._with_object("table", "added").drop("table_name", "before")
         cols = self._of_added_tables("column").groupBy("pair_id", F.col("table_name").alias("name")).agg(F.transform(F.array_sort(F.collect_list(F.struct(x["position"].alias("k"), column_definition(x, q).alias("d"), x.alias("x")))), lambda v: F.struct(v["d"].alias("d"), F.to_json(v["x"]).alias("j"))).alias("cols"))
-        inline = self._of_added_tables("constraint").filter(x["kind"].isin("PRIMARY KEY", "UNIQUE", "CHECK")).groupBy("pair_id", F.col("table_name").alias("name")).agg(F.array_sort(F.collect_list(F.struct(F.col("name").alias("k"), text("CONSTRAINT ", self.q(_name), " ", constraint_body(x, q)).alias("d"), F.to_json(x.dropFields("definition")).alias("j")))).alias("cons"))
+        inline = self._of_added_tables("constraint").filter(x["kind"].isin("PRIMARY KEY", "UNIQUE", "CHECK")).groupBy("pair_id", F.col("table_name").alias("name")).agg(F.array_sort(F.collect_list(F.struct(F.col("name").alias("k"), text("CONSTRAINT ", self.q(F.col("name")), " ", constraint_body(x, q)).alias("d"), F.to_json(x.dropFields("definition")).alias("j")))).alias("cons"))
         lines = F.concat(F.transform(F.coalesce("cols", F.array().cast("array<struct<d:string,j:string>>")), lambda v: text("    ", v["d"])), F.transform(F.coalesce("cons", F.array().cast("array<struct<k:string,d:string,j:string>>")), lambda v: text("    ", v["d"])))
         keep = lambda c: F.coalesce(F.transform(c, lambda v: v["j"]), F.array().cast("array<string>"))
         full = tables.join(cols, ["pair_id", "name"], "left").join(inline, ["pair_id", "name"], "left").join(table_depth(self.diff), ["pair_id", "name"], "left")
         payload = F.to_json(F.struct(x["kind"].alias("kind"), x["comment"].alias("comment"), keep(F.col("cols")).alias("columns"), keep(F.col("cons")).alias("constraints")))
-        self.add(full, "CreateTable", "create", "table", 23, text(f"CREATE TABLE {fresh}", self._in(_name), " (\n", F.array_join(lines, ",\n"), "\n)"), text(f"DROP TABLE {exists}", self._in(_name), cascade), text("Create table ", F.col("schema"), ".", _name), payload, sub=F.coalesce("depth", F.lit(0)))
+        self.add(full, "CreateTable", "create", "table", 23, text(f"CREATE TABLE {fresh}", self._in(F.col("name")), " (\n", F.array_join(lines, ",\n"), "\n)"), text(f"DROP TABLE {exists}", self._in(F.col("name")), cascade), text("Create table ", F.col("schema"), ".", F.col("name")), payload, sub=F.coalesce("depth", F.lit(0)))
 
     def _alters(self) -> None:
         s, x = F.col("before"), F.col("x")
         cols = self._with_object("column", "modified")
-        head = text("ALTER TABLE ", self._in(_table), " ALTER COLUMN ", self.q(_name))
+        head = text("ALTER TABLE ", self._in(F.col("table_name")), " ALTER COLUMN ", self.q(F.col("name")))
         diff = lambda f: ~s[f].eqNullSafe(x[f])
-        note = text("-- Cannot add GENERATED to existing column; need DROP + ADD\n-- ALTER TABLE ", self._in(_table), " DROP COLUMN ", self.q(_name), ";\n-- ALTER TABLE ", self._in(_table), " ADD COLUMN ", self.q(_name), " ... GENERATED ALWAYS AS (", x["generated"]["expression"], ") STORED")
+        note = text("-- Cannot add GENERATED to existing column; need DROP + ADD\n-- ALTER TABLE ", self._in(F.col("table_name")), " DROP COLUMN ", self.q(F.col("name")), ";\n-- ALTER TABLE ", self._in(F.col("table_name")), " ADD COLUMN ", self.q(F.col("name")), " ... GENERATED ALWAYS AS (", x["generated"]["expression"], ") STORED")
         forward = F.array_compact(F.array(
             F.when(diff("type"), text(head, " TYPE ", x["type"]["formatted"])),
             F.when(diff("is_nullable"), F.when(x["is_nullable"], text(head, " DROP NOT NULL")).otherwise(text(head, " SET NOT NULL"))),
@@ -158,23 +155,23 @@ class Collector:
         ))
         changed = cols.filter(diff("type") | diff("is_nullable") | diff("default_expr") | diff("identity") | diff("generated"))
         keep = F.to_json(F.struct(*[F.when(diff(f), F.struct(x[f].alias("to"))).alias(f) for f in ("type", "is_nullable", "default_expr", "identity", "generated")]))
-        self.add(changed, "AlterColumn", "alter", "table", 27, forward, None, text("Alter column ", F.col("schema"), ".", _table, ".", _name), keep, many=True)
+        self.add(changed, "AlterColumn", "alter", "table", 27, forward, None, text("Alter column ", F.col("schema"), ".", F.col("table_name"), ".", F.col("name")), keep, many=True)
         seqs = self._with_object("sequence", "modified").drop("table_name")
         clause = lambda word, f: F.when(diff(f), text(f"{word} ", x[f].cast("string")))
         clauses = F.array_compact(F.array(clause("AS", "data_type"), clause("INCREMENT BY", "increment"), clause("MINVALUE", "min_value"), clause("MAXVALUE", "max_value"), clause("START WITH", "start_value"), clause("CACHE", "cache_size"), F.when(diff("is_cyclic"), F.when(x["is_cyclic"], "CYCLE").otherwise("NO CYCLE"))))
-        self.add(seqs.filter(F.size(clauses) > 0), "AlterSequence", "alter", "sequence", 22, text("ALTER SEQUENCE ", self._in(_name), " ", F.array_join(clauses, " ")), None, text("Alter sequence ", F.col("schema"), ".", _name), F.to_json(x))
+        self.add(seqs.filter(F.size(clauses) > 0), "AlterSequence", "alter", "sequence", 22, text("ALTER SEQUENCE ", self._in(F.col("name")), " ", F.array_join(clauses, " ")), None, text("Alter sequence ", F.col("schema"), ".", F.col("name")), F.to_json(x))
 
     def _comments(self) -> None:
         rows = self.diff.all_fields().filter("field = 'comment'")
         on = (
-            F.when(F.col("kind") == "namespace", text("SCHEMA ", self.q(_name)))
-            .when(F.col("kind") == "column", text("COLUMN ", self._in(_table), ".", self.q(_name)))
-            .when(F.col("kind") == "constraint", text("CONSTRAINT ", self.q(_name), " ON ", self._in(_table)))
-            .otherwise(text(F.when(F.col("kind") == "enum", "TYPE").otherwise(F.upper("kind")), " ", self._in(_name)))
+            F.when(F.col("kind") == "namespace", text("SCHEMA ", self.q(F.col("name"))))
+            .when(F.col("kind") == "column", text("COLUMN ", self._in(F.col("table_name")), ".", self.q(F.col("name"))))
+            .when(F.col("kind") == "constraint", text("CONSTRAINT ", self.q(F.col("name")), " ON ", self._in(F.col("table_name"))))
+            .otherwise(text(F.when(F.col("kind") == "enum", "TYPE").otherwise(F.upper("kind")), " ", self._in(F.col("name"))))
         )
         sql = text("COMMENT ON ", on, " IS ", F.coalesce(literal(F.col("target")), F.lit("NULL")))
         verb = F.when(F.col("target").isNull(), "Remove").otherwise("Set")
-        self.add(rows, "SetComment", "comment", "comment", 40, sql, None, text(verb, " comment on ", F.col("kind"), " ", F.concat_ws(".", _table, _name)), F.to_json(F.struct("kind", F.col("target").alias("comment"))))
+        self.add(rows, "SetComment", "comment", "comment", 40, sql, None, text(verb, " comment on ", F.col("kind"), " ", F.concat_ws(".", F.col("table_name"), F.col("name"))), F.to_json(F.struct("kind", F.col("target").alias("comment"))))
 
 
 def table_depth(diff: Diff) -> DataFrame:

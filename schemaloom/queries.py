@@ -39,7 +39,11 @@ def diff(spark: SparkSession, config: DiffConfig = DiffConfig()) -> Diff:  # noq
 
 
 _R = "round(similarity, 9) AS similarity"
-_rounded = F.round("similarity", 9).alias("similarity")
+
+
+def _rounded():
+    return F.round("similarity", 9).alias("similarity")
+
 
 # ---- sources ----------------------------------------------------------------------
 
@@ -150,7 +154,7 @@ def drift_details(spark, sf_dir):
 def _sims(kind: str):
     @query(lambda: oracle.diff_ctes() + f" SELECT pair_id, table_name, from_name, to_name, {_R} FROM sims WHERE kind = '{kind}'")
     def f(spark, sf_dir):
-        return diff(spark).similarities().filter(F.col("kind") == kind).select("pair_id", "table_name", "from_name", "to_name", _rounded)
+        return diff(spark).similarities().filter(F.col("kind") == kind).select("pair_id", "table_name", "from_name", "to_name", _rounded())
 
     name = f"sim_{kind}" + ("_basic" if kind in ("table", "column") else "")
     QUERIES[name], ORACLE_SQL[name] = QUERIES.pop("f"), ORACLE_SQL.pop("f")
@@ -182,12 +186,12 @@ def sim_name(spark, sf_dir):
 
 @query()
 def sim_table_advanced(spark, sf_dir):
-    return diff(spark, DiffConfig.with_advanced_similarity()).similarities().filter("kind = 'table'").select("pair_id", "from_name", "to_name", _rounded)
+    return diff(spark, DiffConfig.with_advanced_similarity()).similarities().filter("kind = 'table'").select("pair_id", "from_name", "to_name", _rounded())
 
 
 @query()
 def sim_column_advanced(spark, sf_dir):
-    return diff(spark, DiffConfig.with_advanced_similarity()).similarities().filter("kind = 'column'").select("pair_id", "table_name", "from_name", "to_name", _rounded)
+    return diff(spark, DiffConfig.with_advanced_similarity()).similarities().filter("kind = 'column'").select("pair_id", "table_name", "from_name", "to_name", _rounded())
 
 
 @query(lambda: oracle.diff_ctes() + f" SELECT pair_id, kind, table_name, from_name, to_name, {_R} FROM cand")
@@ -375,7 +379,7 @@ def _checksum_sql() -> str:
         f"SELECT snapshot_id, '1enum/' || name || '//' || {lst('labels')} AS line FROM enums",
         f"SELECT snapshot_id, '2sequence/' || name || '//' || concat_ws('|', data_type, {n('start_value')}, {n('increment')}, {n('min_value')}, {n('max_value')}, {n('cache_size')}, {n('is_cyclic')}) FROM sequences",
         "SELECT snapshot_id, '3table/' || table_name || '//' || kind FROM tables",
-        f"SELECT snapshot_id, '4column/' || table_name || '/' || lpad(position::VARCHAR, 6, '0') || '/' || concat_ws('|', name, type.formatted, {n('is_nullable')}, {n('default_expr')}, {n('generated.expression')}, {n('identity')}, collation) FROM columns",
+        f"SELECT snapshot_id, '4column/' || table_name || '/' || lpad(position::VARCHAR, 6, '0') || '/' || concat_ws('|', name, type.formatted, {n('is_nullable')}, {n('default_expr')}, {n('generated.expression')}, {n('identity')}, "collation") FROM columns",
         f"SELECT snapshot_id, '5constraint/' || table_name || '/' || name || '/' || concat_ws('|', kind, {lst('columns')}, {n('ref_schema')}, {n('ref_table')}, {lst('ref_columns')}, {n('expression')}) FROM constraints",
         f"SELECT snapshot_id, '6index/' || table_name || '/' || name || '/' || concat_ws('|', method, {n('is_unique')}, array_to_string(list_transform(columns, lambda c: concat_ws(' ', c.\"column\", c.expression, c.sort, c.nulls)), ','), {n('predicate')}) FROM indexes",
         f"SELECT snapshot_id, '7view/' || name || '//' || concat_ws('|', definition, {n('is_materialized')}) FROM views",
