@@ -379,7 +379,7 @@ def _checksum_sql() -> str:
         f"SELECT snapshot_id, '1enum/' || name || '//' || {lst('labels')} AS line FROM enums",
         f"SELECT snapshot_id, '2sequence/' || name || '//' || concat_ws('|', data_type, {n('start_value')}, {n('increment')}, {n('min_value')}, {n('max_value')}, {n('cache_size')}, {n('is_cyclic')}) FROM sequences",
         "SELECT snapshot_id, '3table/' || table_name || '//' || kind FROM tables",
-        f"SELECT snapshot_id, '4column/' || table_name || '/' || lpad(position::VARCHAR, 6, '0') || '/' || concat_ws('|', name, type.formatted, {n('is_nullable')}, {n('default_expr')}, {n('generated.expression')}, {n('identity')}, "collation") FROM columns",
+        f"SELECT snapshot_id, '4column/' || table_name || '/' || lpad(position::VARCHAR, 6, '0') || '/' || concat_ws('|', name, type.formatted, {n('is_nullable')}, {n('default_expr')}, {n('generated.expression')}, {n('identity')}, \"collation\") FROM columns",
         f"SELECT snapshot_id, '5constraint/' || table_name || '/' || name || '/' || concat_ws('|', kind, {lst('columns')}, {n('ref_schema')}, {n('ref_table')}, {lst('ref_columns')}, {n('expression')}) FROM constraints",
         f"SELECT snapshot_id, '6index/' || table_name || '/' || name || '/' || concat_ws('|', method, {n('is_unique')}, array_to_string(list_transform(columns, lambda c: concat_ws(' ', c.\"column\", c.expression, c.sort, c.nulls)), ','), {n('predicate')}) FROM indexes",
         f"SELECT snapshot_id, '7view/' || name || '//' || concat_ws('|', definition, {n('is_materialized')}) FROM views",
