@@ -10,7 +10,7 @@ from schemaloom.llm.line_dedup import dedup_lines
 from schemaloom.llm.minhash import keep_first
 from schemaloom.llm.packing import pack
 from schemaloom.llm.quality import fit, score_documents
-from schemaloom.llm.spark_util import written
+from schemaloom.llm.spark_util import small_batches, written
 from schemaloom.llm.suffix import remove_repeats
 
 
@@ -23,6 +23,7 @@ def _as_documents(out: DataFrame, docs: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts (op 8)."""
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     model = fit(docs.select("doc_id", "text"), labels)
     return score_documents(docs, model).filter("predicted = 1").select(*docs.columns)
@@ -30,21 +31,25 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that an earlier document holds (op 3)."""
+    small_batches(spark)
     return _as_documents(dedup_lines(docs), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates (op 6)."""
+    small_batches(spark)
     return keep_first(docs).select(*docs.columns)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that an earlier place holds (op 1)."""
+    small_batches(spark)
     return _as_documents(remove_repeats(docs), docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of 1024 tokens (op 7): one row per piece."""
+    small_batches(spark)
     return pack(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), 1024, 2)
 
 

@@ -15,7 +15,8 @@ import numpy as np
 import pyarrow as pa
 import regex
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10  # what passes over words allocate is some 60 times this
+WIDE_SLICE = 2 << 20  # for passes that gain from seeing a word once in more text
 
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INV = pow(_BASE, -1, 1 << 64)

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import gather, mix, pretokens, slices, span_hashes
+from .batches import WIDE_SLICE, gather, mix, pretokens, slices, span_hashes
 from .spark_util import parallelism
 
 BLOCK_BYTES = 32 << 20
@@ -107,7 +107,7 @@ class Block:
 
 def blocks(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[tuple[str, Block]]:
     b = Block()
-    for s in slices(batches):
+    for s in slices(batches, cap=WIDE_SLICE):
         b.add(s, pattern)
         if b.bytes >= BLOCK_BYTES:
             yield b.mark(), b

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import gather, pretokens, slices
+from .batches import WIDE_SLICE, gather, pretokens, slices
 from .batches import span_hashes as _hashes
 from .spark_util import written
 
@@ -135,7 +135,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, closing_id: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = id_cache(tokenizer_path)
-        for s in slices(batches):
+        for s in slices(batches, cap=WIDE_SLICE):
             rows = []
             for d, ids in zip(s.column("doc_id"), slice_ids(s, cache), strict=True):
                 ids = np.append(ids, np.uint32(closing_id)).astype("<u4")

@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .spark_util import small_batches
+
 RULES = {"block": [("net", "/"), ("example.com", "/de/")], "allow": [("example.net", "/en/"), ("org", "/fr/")]}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if name == "documents":
+        small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

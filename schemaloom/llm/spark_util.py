@@ -30,3 +30,13 @@ def written(df: DataFrame) -> DataFrame:
 
 def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+TEXT_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """For tables of long texts: fewer rows in an Arrow batch than Spark's default, so that a batch stays within memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > TEXT_ROWS:
+        spark.conf.set(key, str(TEXT_ROWS))
