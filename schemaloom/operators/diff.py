@@ -117,7 +117,7 @@ def side(catalog: Catalog, pairs: DataFrame, kind: str, which: str) -> DataFrame
         df = df.withColumn("name", F.col("table_name"))
     table = F.col("table_name") if kind in IN_TABLE else F.lit(None).cast("string")
     key = pairs.select("pair_id", F.col("source_id" if which == "source" else "target_id").alias("snapshot_id"))
-    return df.join(key, "snapshot_id").select("pair_id", table.alias("table_name"), "name", F.struct(*[c for c in df.columns if c != "snapshot_id"]).alias("x"))
+    return df.join(key, "snapshot_id").select("pair_id", table.alias("table_name"), "name", F.struct(*[c for c in _SELF[kind] if c in df.columns]).alias("x"))
 
 
 KEY = ["pair_id", "kind", "table_name", "name"]
