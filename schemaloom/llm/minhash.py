@@ -11,10 +11,13 @@ samples; the chance that a sample of two texts agrees is their weighted Jaccard
 similarity.  Its gamma and uniform variates come from a pool of 2**13 drawn
 once, picked by the shingle's hash, so a sample is one table lookup a shingle.
 Texts that agree in a whole band share a bucket.  Within a bucket, pairs whose
-samples agree in too few places are passed over, and the rest is verified by
-the exact weighted Jaccard similarity: first each text against the smallest
-similar one, then every pair that still lies in two classes.  So a group of
-copies costs one pair a text, and no pair in a bucket goes unseen.
+samples agree in too few places are passed over.  The rest is verified by the
+exact weighted Jaccard similarity in two steps.  First each text is compared
+with the smallest one that it seems similar to; that settles groups of copies
+at one pair a text.  Texts that seem similar form a group; where a group still
+has several classes, all its texts are compared within tasks, block by block,
+and only links that join two classes leave a task.  So no pair of a bucket goes
+unseen, and what travels grows with the texts and not with their pairs.
 
 Equal texts are one node from the start.  Classes are the components of
 verified links.
@@ -180,41 +183,92 @@ def _signed(weights, bands: int, rows: int):
 # ---- candidates within buckets ------------------------------------------------
 
 
-def _agreeing(pdf: pd.DataFrame, lo: int, hi: int, least: float):
-    """Row blocks of the agreement between the two sides: (indexes of a side's rows, other side, flags)."""
-    a = pdf[pdf["block"] == lo].sort_values("t")
-    b = pdf[pdf["block"] == hi].sort_values("t") if hi != lo else a
-    if not len(a) or not len(b):
-        return
-    x, y = (np.frombuffer(b"".join(f["sig"]), np.uint8).reshape(len(f), -1) for f in (a, b))
-    for i in range(0, len(a), 128):
-        same = np.zeros((len(x[i : i + 128]), len(y)), np.int16)
-        for c in range(x.shape[1]):
-            same += x[i : i + 128, c : c + 1] == y[None, :, c]
-        yield a.iloc[i : i + 128], b, same >= least * x.shape[1]
-
-
-def _stars(key, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Each text with the smallest one that it seems similar to."""
-    out: dict[int, int] = {}
-    for a, b, ok in _agreeing(pdf, key[2], key[3], LEAST_AGREEMENT):
-        ta, tb = a["t"].to_numpy(), b["t"].to_numpy()
-        for x, y, m in ((ta, tb, ok), (tb, ta, ok.T)):
-            hit = m & (y[None, :] < x[:, None])
-            for i in np.flatnonzero(hit.any(1)):
-                low = int(y[hit[i].argmax()])
-                out[int(x[i])] = min(low, out.get(int(x[i]), low))
-    return pd.DataFrame({"b": list(out), "a": list(out.values())}, dtype="int64")[["a", "b"]]
-
-
-def _across(key, pdf: pd.DataFrame) -> pd.DataFrame:
-    """All pairs that seem similar but lie in two classes."""
-    found = []
-    for a, b, ok in _agreeing(pdf, key[2], key[3], LEAST_AGREEMENT):
-        i, j = np.nonzero(ok & (a["class"].to_numpy()[:, None] != b["class"].to_numpy()[None, :]))
-        ta, tb = a["t"].to_numpy()[i], b["t"].to_numpy()[j]
-        found.append(pd.DataFrame({"a": np.minimum(ta, tb), "b": np.maximum(ta, tb)}))
-    return pd.concat(found).drop_duplicates() if found else pd.DataFrame({"a": [], "b": []}, dtype="int64")
+SMALL = 48  # buckets up to this size are compared together, larger ones each on its own
+
+
+def _similar_rows(group: np.ndarray, block: np.ndarray, split: np.ndarray, sig: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes i < j of rows of one group whose samples agree in ``least`` of the places.
+
+    Rows stand in order of group.  Where ``split`` holds, the group is the two
+    blocks of a large bucket and only rows of different blocks are compared.
+    """
+    n, need = len(group), int(np.ceil(least * sig.shape[1]))
+    first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    size = np.diff(np.append(first, n))
+    left = np.repeat(first + size, size) - np.arange(n)  # rows from here to the end of the group
+    small = np.repeat(size <= SMALL, size)
+    out_i, out_j = [], []
+
+    def keep(i: np.ndarray, j: np.ndarray) -> None:
+        ok = ~split[i] | (block[i] != block[j])
+        out_i.append(i[ok])
+        out_j.append(j[ok])
+
+    for s in range(1, int(size[size <= SMALL].max(initial=1))):
+        at = np.flatnonzero(small & (left > s))
+        for k in range(0, len(at), 200_000):
+            i = at[k : k + 200_000]
+            i = i[(sig[i] == sig[i + s]).sum(1) >= need]
+            keep(i, i + s)
+    for a, z in zip(first[size > SMALL], size[size > SMALL], strict=True):
+        own = sig[a : a + z]
+        for k in range(0, z, 128):
+            same = np.zeros((len(own[k : k + 128]), z - k), np.int16)
+            for c in range(sig.shape[1]):
+                same += own[k : k + 128, c : c + 1] == own[None, k:, c]
+            i, j = np.nonzero(np.triu(same >= need, 1))
+            keep(a + k + i, a + k + j)
+    return np.concatenate(out_i or [np.empty(0, np.int64)]), np.concatenate(out_j or [np.empty(0, np.int64)])
+
+
+def _labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of n rows the smallest row that pairs (i, j) connect it with."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _in_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by bucket and t: each text with the smallest one that it seems similar to (``test``), and with
+    the smallest of the group that similar pairs make within the bucket."""
+    rest = None
+    for b in _and_last(batches):
+        rows = rest if b is None else b if rest is None else pa.Table.from_batches([rest, b]).combine_chunks().to_batches()[0]
+        rest = None
+        if rows is None or not rows.num_rows:
+            continue
+        band, key, lo, hi, block, t = (rows.column(i).to_numpy() for i in range(6))
+        new = np.r_[True, (band[1:] != band[:-1]) | (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]
+        if b is not None:  # the last bucket may go on in the next batch
+            cut = int(np.flatnonzero(new)[-1])
+            rest = rows.slice(cut)
+            if cut == 0:
+                continue
+            rows, lo, hi, block, t, new = rows.slice(0, cut), lo[:cut], hi[:cut], block[:cut], t[:cut], new[:cut]
+        sig = np.frombuffer(b"".join(rows.column(6).to_pylist()), np.uint8).reshape(rows.num_rows, -1)
+        i, j = _similar_rows(np.cumsum(new), block, lo != hi, sig, LEAST_AGREEMENT)
+        if not len(i):
+            continue
+        root = _labels(len(t), i, j)
+        order = np.lexsort((i, j))
+        i, j = i[order], j[order]
+        lead = np.r_[True, j[1:] != j[:-1]]  # rows are in order of t, so the smallest partner is the first
+        i, j = i[lead], j[lead]
+        far = np.flatnonzero(root != np.arange(len(t)))
+        far = far[~np.isin(far, j) | (root[far] != i[np.minimum(np.searchsorted(j, far), len(j) - 1)])]
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[t[i], t[root[far]]]), pa.array(np.r_[t[j], t[far]]), pa.array(np.r_[np.ones(len(i), bool), np.zeros(len(far), bool)])], ["a", "b", "test"])
+
+
+def _and_last(batches: Iterator[pa.RecordBatch]):
+    yield from batches
+    yield None
 
 
 def _bucketed(texts: DataFrame) -> DataFrame:
@@ -226,9 +280,13 @@ def _bucketed(texts: DataFrame) -> DataFrame:
     return written(in_many.join(texts.select("t", "sig").hint("merge"), "t").select("band", "key", "blocks", "block", "t", "sig"))
 
 
-def _pairs(buckets: DataFrame, how) -> DataFrame:
-    sides = buckets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("blocks", "other")
-    return sides.groupBy("band", "key", "lo", "hi").applyInPandas(how, "a long, b long").distinct()
+def _pairs(buckets: DataFrame) -> DataFrame:
+    """a, b, test; large buckets meet block by block, so a task holds two blocks of one at most."""
+    sides = buckets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
+    group = ["band", "key", "lo", "hi"]
+    dealt = sides.select(*group, "block", "t", "sig").repartition(*group).sortWithinPartitions(*group, "t")
+    found = dealt.mapInArrow(_in_buckets, "a long, b long, test boolean").filter("a <> b")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "test").groupBy("a", "b").agg(F.max("test").alias("test"))
 
 
 # ---- verification ---------------------------------------------------------------
@@ -290,6 +348,76 @@ def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(_verify(threshold), "a long, b long, ok boolean")
 
 
+GROUP_BLOCK = 1024
+
+
+def _links_within(threshold: float):
+    """All texts of two blocks of a group (or of one) against each other: links that join two classes."""
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        _, lo, hi = key
+        block, t = pdf["block"].to_numpy(), pdf["t"].to_numpy()
+        sets = [_unpack_set(x) for x in pdf["set"]]
+        total = np.array([np.exp(v * STEP).sum() for _, v in sets])
+        # a feature for every weight that a shingle has anywhere: the least weight of two texts is then a sum over
+        # the features that both hold.  Features of one text only can't be shared
+        row = np.repeat(np.arange(len(sets)), [len(u) for u, _ in sets])
+        u, level = np.concatenate([u for u, _ in sets]), np.concatenate([v for _, v in sets])
+        shingle = np.unique(u, return_inverse=True)[1]
+        both = np.unique(shingle * LEVELS + level)
+        at = both // LEVELS
+        first = np.r_[True, at[1:] != at[:-1]]
+        w = np.exp((both % LEVELS) * STEP)
+        gain = (w - np.where(first, 0.0, np.r_[0.0, w[:-1]])).astype(np.float32)
+        top = np.searchsorted(both, shingle * LEVELS + level)
+        start = np.searchsorted(both, shingle * LEVELS)
+        n = top - start + 1
+        rows = np.repeat(row, n)
+        feature = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start, n)
+        shared = np.bincount(feature, minlength=len(both)) > 1
+        keep = shared[feature]
+        rows, feature = rows[keep], (np.cumsum(shared) - 1)[feature[keep]]
+        gain = gain[shared]
+        order = np.argsort(feature, kind="stable")
+        rows, feature = rows[order], feature[order]
+        inter = np.zeros((len(sets), len(sets)), np.float32)
+        for k in range(0, len(gain), 2048):
+            a, z = np.searchsorted(feature, [k, k + 2048])
+            x = np.zeros((len(sets), min(2048, len(gain) - k)), np.float32)
+            x[rows[a:z], feature[a:z] - k] = 1
+            inter += (x * gain[k : k + 2048]) @ x.T
+        sim = inter / (total[:, None] + total[None, :] - inter)
+        link = sim >= threshold
+        for i, j in np.argwhere(np.triu(np.abs(sim - threshold) < 1e-4, 1)):
+            link[i, j] = link[j, i] = weighted_jaccard(*sets[i], *sets[j]) >= threshold
+        if lo != hi:
+            link &= block[:, None] != block[None, :]
+        cls = np.unique(pdf["class"].to_numpy(), return_inverse=True)[1]
+        out = []
+        while True:  # each class takes one link to another, as long as there are any
+            open_ = link & (cls[:, None] != cls[None, :])
+            i = np.flatnonzero(open_.any(1))
+            if not len(i):
+                break
+            i = i[np.unique(cls[i], return_index=True)[1]]
+            j = open_[i].argmax(1)
+            out += zip(np.minimum(t[i], t[j]).tolist(), np.maximum(t[i], t[j]).tolist(), strict=True)
+            cls = _labels(int(cls.max()) + 1, cls[i], cls[j])[cls]
+        return pd.DataFrame(sorted(set(out)), columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def _links_in_groups(groups: DataFrame, classes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links between the classes of every group that has several; groups of two have been tested."""
+    label = classes.select(F.col("id").alias("t"), F.col("component").alias("class"))
+    member = groups.select(F.col("id").alias("t"), F.col("component").alias("group")).join(label.hint("merge"), "t", "left").withColumn("class", F.coalesce("class", "t"))
+    mixed = member.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi AND n > 2").select("group", F.ceil(F.col("n") / GROUP_BLOCK).cast("int").alias("blocks"))
+    rows = member.join(mixed.hint("merge"), "group").join(sets.hint("merge"), "t").withColumn("block", F.pmod(F.xxhash64("t"), F.col("blocks")).cast("int"))
+    sides = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("group", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "t", "class", "set")
+    return sides.groupBy("group", "lo", "hi").applyInPandas(_links_within(threshold), "a long, b long")
+
+
 WANTED_BITS = 1 << 26  # 8 MiB
 
 
@@ -314,12 +442,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     buckets = _bucketed(nodes)
     wanted = sc.broadcast(_bitmap(buckets.select("t").distinct()))
     sets = written(texts.mapInArrow(_shingle_sets(weights, wanted), "t long, set binary").dropDuplicates(["t"]))
-    tested = written(_similar(_pairs(buckets, _stars), sets, threshold))
-    links = tested.filter("ok").select("a", "b")
-    classes = written(components(links))
-    placed = buckets.join(classes.select(F.col("id").alias("t"), F.col("component").alias("class")).hint("merge"), "t", "left").withColumn("class", F.coalesce("class", "t"))
-    rest = _pairs(placed, _across).join(tested.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
-    more = written(_similar(rest, sets, threshold).filter("ok").select("a", "b"))
+    pairs = written(_pairs(buckets))
+    links = written(_similar(pairs.filter("test").select("a", "b"), sets, threshold).filter("ok").select("a", "b"))
+    classes, groups = written(components(links)), components(pairs)
+    more = _links_in_groups(groups, classes, sets, threshold)
     classes = written(components(links.unionByName(more)))
     member = signed.select("doc_id", "t").join(classes.select(F.col("id").alias("t"), "component").hint("merge"), "t", "left").select("doc_id", F.coalesce("component", "t").alias("c"))
     low = member.groupBy("c").agg(F.min("doc_id").alias("class_id"))
