@@ -1,24 +1,23 @@
-"""Dedup of repeated passages by a sparse suffix array.
+"""Dedup of repeated passages by suffixes at minimisers.
 
 Texts are sequences of words (white space apart).  Only suffixes that begin at
-a minimiser are retained: of every ``LEAST - K + 1`` consecutive K-word
-prefixes the one of least hash, so two equal runs of LEAST words retain the
-same suffixes whatever stands around them.
-
-1. Suffixes whose K-word prefix occurs once in the corpus are passed over (two
-   Bloom filters, see filters.py; a false hit only costs work).
-2. The others are sorted by content in range partitions, once by what follows
-   and once by what precedes.  Neighbours are compared and the match extended
-   to the right and left; a match of LEAST words or more marks both spans.
-3. Exact confirmation: the LEAST-word windows of marked spans are counted by
-   hash.  A window is repeated if a document of smaller doc_id holds it, or the
-   same document further left.
-
+a minimiser are looked at: of every ``LEAST - K + 1`` consecutive K-word
+prefixes the one of least hash, so two equal runs of LEAST words have the same
+minimiser whatever stands around them.
+
+1. LEAST-word windows whose minimiser's K-word prefix occurs once in the corpus
+   are passed over, and of the others those that occur once themselves (Bloom
+   filters, see filters.py; a false hit only costs work).
+2. Exact confirmation: all other windows are counted by hash.  A window is
+   repeated if a document of smaller doc_id holds it, or the same document
+   further left.
+
+No window is judged by which suffix happens to stand next to it in a sort, so
+groups of many suffixes with one prefix and the bounds of partitions lose none.
 So the first occurrence stays and only later ones go, and a document without a
 repeated run is never touched.  Longer repeats are chains of windows.
 
-Skew: the sort key ends with document and position, so a passage in a third of
-all documents spreads over range partitions; windows are pre-aggregated.
+Skew: a passage in a third of all documents is counted by partial aggregation.
 
 A null text is empty; texts of under LEAST words have no repeats.  A null
 doc_id counts as one after all others.  Rows with equal doc_id and text are
@@ -37,12 +36,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import mix, powers, slices, words
-from .filters import twice_seen
+from .filters import Twice, twice_seen
 from .spark_util import parallelism, written
 
 LEAST, K = 50, 16
 WINDOW = LEAST - K + 1
-SIDE = LEAST - K
 BITS = 28
 LAST = (1 << 63) - 1
 _POS = np.uint64((1 << 28) - 1)
@@ -58,11 +56,11 @@ def run_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return mix((total[n:] - total[:-n]) * down[: len(h) - n + 1])
 
 
-def anchors(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Minimiser positions among the words of a slice, and the hashes of their K-word prefixes."""
+def minimisers(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of the windows within documents of a slice, the position of each one's minimiser, and hashes of all K-word prefixes."""
     g = run_hashes(h, K)
     if len(h) < LEAST:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
+        return np.empty(0, np.int64), np.empty(0, np.int64), g
     low = (g & ~_POS) | np.arange(len(g), dtype=np.uint64)
     size, m = 1, low
     while size * 2 <= WINDOW:
@@ -70,11 +68,27 @@ def anchors(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         size *= 2
     m = np.minimum(m[: len(low) - WINDOW + 1], m[WINDOW - size :][: len(low) - WINDOW + 1])
     doc_end = np.repeat(first[1:], np.diff(first))[: len(m)]
-    inside = np.arange(len(m)) + LEAST <= doc_end
-    at = np.unique((m[inside] & _POS).astype(np.int64))
+    start = np.flatnonzero(np.arange(len(m)) + LEAST <= doc_end)
+    return start, (m[start] & _POS).astype(np.int64), g
+
+
+def anchors(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Minimiser positions among the words of a slice, and the hashes of their K-word prefixes."""
+    _, at, g = minimisers(h, first)
+    at = np.unique(at)
     return at, g[at]
 
 
+def windows_at(h: np.ndarray, first: np.ndarray, prefixes: Twice) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the windows of a slice whose minimiser's prefix may be repeated."""
+    start, at, g = minimisers(h, first)
+    some = np.unique(at)
+    hit = np.zeros(len(g), bool)
+    hit[some[prefixes.test(g[some])]] = True
+    start = start[hit[at]]
+    return start, run_hashes(h, LEAST)[start]
+
+
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
     for s in slices(batches):
         _, _, h, first = words(s)
@@ -90,106 +104,51 @@ def text_check(text: bytes) -> int:
     return xxhash.xxh3_64_intdigest(text) >> 33
 
 
-def _suffixes(twice):
-    schema = pa.schema([("side", pa.int32()), ("g", pa.int64()), ("near", pa.binary()), ("far", pa.binary()), ("doc", pa.int64()), ("c", pa.int32()), ("pos", pa.int32())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = twice.value
+def _window_hashes(prefixes):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for s in slices(batches):
             _, _, h, first = words(s)
-            at, g = anchors(h, first)
-            hit = seen.test(g)
-            at, g = at[hit], g[hit]
-            if not len(at):
-                continue
-            # four bits a word on either side, nearest first; 0 where the document ends.  Words that differ may
-            # look alike and marked spans reach too far, but never too short; windows are confirmed behind
-            short = np.append((h >> np.uint64(60)).astype(np.uint8) % 15 + 1, 0).astype(np.uint8)
-            d = np.searchsorted(first, at, "right") - 1
-            k = np.arange(SIDE)
-            after, before = at[:, None] + K + k, at[:, None] - 1 - k
-            after[after >= first[d + 1][:, None]] = len(h)
-            before[before < first[d][:, None]] = len(h)
-            pack = lambda x: pa.array([r.tobytes() for r in (short[x[:, ::2]] << 4 | short[x[:, 1::2]])], pa.binary())
-            after, before = pack(after), pack(before)
-            ids = s.column("doc_id")
-            check = {i: text_check(s.text(i)) for i in np.unique(d).tolist()}
-            rest = [pa.array([_doc(ids[i]) for i in d], pa.int64()), pa.array([check[i] for i in d.tolist()], pa.int32()), pa.array((at - first[d]).astype(np.int32))]
-            for side, near, far in ((0, after, before), (1, before, after)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), side, np.int32)), pa.array(g.view(np.int64)), near, far, *rest], schema=schema)
+            yield windows_at(h, first, prefixes.value)[1]
 
     return run
 
 
-def _common(x: np.ndarray) -> np.ndarray:
-    """How many leading words each row shares with the row before it; x: packed contexts."""
-    wide = np.empty((len(x), 2 * x.shape[1]), np.uint8)
-    wide[:, ::2], wide[:, 1::2] = x >> 4, x & 15
-    same = (wide[1:] == wide[:-1]) & (wide[1:] != 0)
-    return np.where(same.all(1), wide.shape[1], (~same).argmax(1))
+def _holders(prefixes, twice):
+    """doc and c of the documents with a window that may be repeated."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s in slices(batches):
+            _, _, h, first = words(s)
+            start, w = windows_at(h, first, prefixes.value)
+            d = np.unique(np.searchsorted(first, start[twice.value.test(w)], "right") - 1).tolist()
+            if d:
+                ids = s.column("doc_id")
+                yield pa.RecordBatch.from_arrays([pa.array([_doc(ids[i]) for i in d], pa.int64()), pa.array([text_check(s.text(i)) for i in d], pa.int32())], ["doc", "c"])
+
+    return run
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted suffixes: compare each with the one before it and extend the match both ways."""
-    schema = pa.schema([("doc", pa.int64()), ("c", pa.int32()), ("a", pa.int32()), ("b", pa.int32())])
-    tail = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        rows = b if tail is None else pa.Table.from_batches([tail, b]).combine_chunks().to_batches()[0]
-        tail = rows.slice(rows.num_rows - 1)
-        if rows.num_rows < 2:
-            continue
-        side, g, doc, c, pos = (rows.column(i).to_numpy() for i in (0, 1, 4, 5, 6))
-        near, far = (_common(np.frombuffer(b"".join(rows.column(i).to_pylist()), np.uint8).reshape(len(g), -1)) for i in (2, 3))
-        other = (doc[1:] != doc[:-1]) | (c[1:] != c[:-1]) | (pos[1:] != pos[:-1])
-        hit = np.flatnonzero((g[1:] == g[:-1]) & (side[1:] == side[:-1]) & other & (near + far + K >= LEAST))
-        if len(hit):
-            right, left = np.where(side[hit] == 0, near[hit], far[hit]), np.where(side[hit] == 0, far[hit], near[hit])
-            both = np.concatenate((hit, hit + 1))
-            a, z = pos[both] - np.tile(left, 2), pos[both] + K + np.tile(right, 2)
-            # a document's marks mostly overlap: join them here, before they travel
-            order = np.lexsort((a, c[both], doc[both]))
-            both, a, z = both[order], a[order], z[order]
-            fresh = np.ones(len(both), bool)
-            group = np.cumsum(np.r_[True, (doc[both][1:] != doc[both][:-1]) | (c[both][1:] != c[both][:-1])]).astype(np.int64) << 32
-            reach = np.maximum.accumulate(z + group)
-            fresh[1:] = (a + group)[1:] > reach[:-1]
-            start = np.flatnonzero(fresh)
-            end = (np.maximum.reduceat(z, start)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(doc[both][start]), pa.array(c[both][start]), pa.array(a[start].astype(np.int32)), pa.array(end)], schema=schema)
-
-
-def _merged(spans) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for a, b in sorted((x["a"], x["b"]) for x in spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
-
-
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The LEAST-word windows that marked spans hold; pos is -1 - pos where the document has the window further left."""
+def _windows(prefixes, twice):
+    """The windows that may be repeated; pos is -1 - pos where the document has the window further left."""
     schema = pa.schema([("w", pa.int64()), ("n", pa.int64()), ("pos", pa.int32())])
-    for s in slices(batches):
-        _, _, h, first = words(s)
-        spans = s.column("spans")
-        for i, n in enumerate(s.column("n")):
-            w = run_hashes(h[first[i] : first[i + 1]], LEAST)
-            take = np.zeros(len(w) + 1, np.int64)
-            for a, b in _merged(spans[i]):
-                lo, hi = min(max(0, a), len(w)), min(max(0, b - LEAST + 1), len(w))
-                take[lo] += 1
-                take[hi] -= 1
-            pos = np.flatnonzero(np.cumsum(take)[:-1] > 0)
-            if not len(pos):
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s in slices(batches):
+            _, _, h, first = words(s)
+            start, w = windows_at(h, first, prefixes.value)
+            hit = twice.value.test(w)
+            start, w = start[hit], w[hit]
+            if not len(w):
                 continue
-            w = w[pos]
-            again = np.ones(len(w), bool)
-            again[np.unique(w, return_index=True)[1]] = False
-            yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(np.full(len(w), n)), pa.array(np.where(again, -1 - pos, pos).astype(np.int32))], schema=schema)
+            d = np.searchsorted(first, start, "right") - 1
+            order = np.lexsort((start, w, d))
+            again = np.zeros(len(w), bool)
+            again[order[1:]] = (d[order[1:]] == d[order[:-1]]) & (w[order[1:]] == w[order[:-1]])
+            pos = start - first[d]
+            n = np.array(s.column("n"), np.int64)[d]
+            yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n), pa.array(np.where(again, -1 - pos, pos).astype(np.int32))], schema=schema)
+
+    return run
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -205,13 +164,11 @@ def repeats(docs: DataFrame, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
     text) behind every n.  Numbers n stand in the order of doc_id."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    twice = spark.sparkContext.broadcast(twice_seen(texts, _prefixes, bits))
-    order = ["side", "g", "near", "far", "doc", "c", "pos"]
-    suffixes = texts.mapInArrow(_suffixes(twice), "side int, g long, near binary, far binary, doc long, c int, pos int")
-    marked = suffixes.repartitionByRange(parallelism(spark), *order).sortWithinPartitions(*order).mapInArrow(_neighbours, "doc long, c int, a int, b int")
-    spans = marked.groupBy("doc", "c").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
-    spans = written(spans.repartitionByRange(parallelism(spark), "doc", "c").sortWithinPartitions("doc", "c").withColumn("n", F.monotonically_increasing_id()))
-    wanted = spark.sparkContext.broadcast(_wanted(spans))
+    prefixes = spark.sparkContext.broadcast(twice_seen(texts, _prefixes, bits))
+    twice = spark.sparkContext.broadcast(twice_seen(texts, _window_hashes(prefixes), bits))
+    held_by = texts.mapInArrow(_holders(prefixes, twice), "doc long, c int").distinct()
+    ids = written(held_by.repartitionByRange(parallelism(spark), "doc", "c").sortWithinPartitions("doc", "c").withColumn("n", F.monotonically_increasing_id()))
+    wanted = spark.sparkContext.broadcast(_wanted(ids))
 
     @F.pandas_udf("boolean")
     def maybe(d: pd.Series) -> pd.Series:
@@ -220,22 +177,23 @@ def repeats(docs: DataFrame, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
         return pd.Series((m[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
 
     some = _keyed(docs.select("doc_id", "text").filter(maybe(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))))).select(F.col("__doc").alias("doc"), F.col("__c").alias("c"), F.col("text").cast("binary").alias("text"))
-    held = spans.join(some.hint("merge"), ["doc", "c"]).select("n", "spans", "text")
-    windows = written(held.mapInArrow(_windows, "w long, n long, pos int").dropDuplicates(["n", "pos"]) if _has_copies(spans, docs) else held.mapInArrow(_windows, "w long, n long, pos int"))
+    held = ids.join(some.hint("merge"), ["doc", "c"]).select("n", "text")
+    windows = held.mapInArrow(_windows(prefixes, twice), "w long, n long, pos int")
+    windows = written(windows.dropDuplicates(["n", "pos"]) if _has_copies(docs) else windows)
     first = windows.groupBy("w").agg(F.min("n").alias("first"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("w", "first")
     lost = windows.join(first.hint("merge"), "w").filter("n > first or pos < 0").select("n", F.when(F.col("pos") < 0, -1 - F.col("pos")).otherwise(F.col("pos")).alias("pos"), "first")
-    return lost.groupBy("n").agg(F.array_sort(F.collect_list(F.struct("pos", "first"))).alias("lost")), spans.select("n", "doc", "c")
+    return lost.groupBy("n").agg(F.array_sort(F.collect_list(F.struct("pos", "first"))).alias("lost")), ids.select("n", "doc", "c")
 
 
-def _has_copies(spans: DataFrame, docs: DataFrame) -> bool:
+def _has_copies(docs: DataFrame) -> bool:
     """Whether rows repeat a doc_id at all; only then may a document's windows come twice."""
     return docs.groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0
 
 
-def _wanted(spans: DataFrame) -> bytes:
+def _wanted(ids: DataFrame) -> bytes:
     from .minhash import _bitmap
 
-    return _bitmap(spans.select(F.col("doc").alias("t")))
+    return _bitmap(ids.select(F.col("doc").alias("t")))
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

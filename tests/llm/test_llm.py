@@ -89,6 +89,21 @@ def test_suffix_dedup_matches_brute_force(spark):
             assert out[i] == t
 
 
+def lost_words(spark, texts):
+    got = collections.defaultdict(set)
+    for r in suffix.repeated_spans(docs(spark, texts)).collect():
+        got[r["doc_id"]] |= set(range(r["start"], r["start"] + r["n_words"]))
+    return dict(got)
+
+
+def test_suffix_dedup_finds_every_window_of_slotted_texts(spark):
+    rng = random.Random(11)
+    core = words(rng, 30, 10**6)
+    slots = [[words(rng, 15, 10**6) for _ in range(8)] for _ in range(2)]
+    texts = [" ".join(words(rng, 20, 10**6) + rng.choice(slots[0]) + core + rng.choice(slots[1]) + words(rng, 20, 10**6)) for _ in range(300)]
+    assert lost_words(spark, texts) == brute_repeats(texts)
+
+
 def test_suffix_dedup_empty(spark):
     assert suffix.repeated_spans(docs(spark, [])).count() == 0
     assert suffix.remove_repeats(docs(spark, [])).columns == docs(spark, []).columns
