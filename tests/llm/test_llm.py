@@ -104,6 +104,20 @@ def test_suffix_dedup_finds_every_window_of_slotted_texts(spark):
     assert lost_words(spark, texts) == brute_repeats(texts)
 
 
+def test_suffix_dedup_loses_nothing_between_partitions(spark):
+    rng = random.Random(12)
+    texts = []
+    for _ in range(150):
+        passage = words(rng, rng.randrange(51, 75), 10**6)
+        texts += [" ".join(words(rng, 9, 10**6) + passage + words(rng, 9, 10**6)) for _ in range(2)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        assert lost_words(spark, texts) == brute_repeats(texts)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_suffix_dedup_empty(spark):
     assert suffix.repeated_spans(docs(spark, [])).count() == 0
     assert suffix.remove_repeats(docs(spark, [])).columns == docs(spark, []).columns
