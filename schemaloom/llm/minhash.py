@@ -8,16 +8,16 @@ table that is broadcast has a fixed size.
 
 Improved consistent weighted sampling (Ioffe 2010) draws ``bands * rows``
 samples; the chance that a sample of two texts agrees is their weighted Jaccard
-similarity.  Its gamma and uniform variates come from a pool of 2**13 drawn
-once, picked by the shingle's hash, so a sample is one table lookup a shingle.
-Texts that agree in a whole band share a bucket.  Within a bucket, pairs whose
-samples agree in too few places are passed over.  The rest is verified by the
-exact weighted Jaccard similarity in two steps.  First each text is compared
-with the smallest one that it seems similar to; that settles groups of copies
-at one pair a text.  Texts that seem similar form a group; where a group still
-has several classes, all its texts are compared within tasks, block by block,
-and only links that join two classes leave a task.  So no pair of a bucket goes
-unseen, and what travels grows with the texts and not with their pairs.
+similarity.  Its gamma and uniform variates come from a hash of the shingle and
+the sample's number, so samples are independent however long a text is.  Texts
+that agree in a whole band share a bucket, and every pair of a bucket is
+verified by the exact weighted Jaccard similarity, in two steps.  First each
+text is compared with the smallest one of its bucket; that settles groups of
+copies at one pair a text.  Where a bucket still has several classes, all its
+texts are compared within tasks, block by block, and only links that join two
+classes leave a task.  Bands with the same texts make one bucket.  So no pair
+of a bucket goes unseen, and what travels grows with the texts and not with
+their pairs.
 
 Equal texts are one node from the start.  Classes are the components of
 verified links.
@@ -47,10 +47,8 @@ from .spark_util import written
 WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 12, 4
-POOL_BITS, LEVELS, STEP = 13, 128, np.log(1.1)
+LEVELS, STEP = 128, np.log(1.1)
 DF_BITS = 20
-BLOCK = 2048
-LEAST_AGREEMENT = 0.6  # of the samples; below it a pair isn't verified (three deviations under the threshold)
 
 
 # ---- document frequencies ----------------------------------------------------
@@ -116,31 +114,31 @@ def shingles(h: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return u, np.clip(np.rint(np.log(tf * w[at] / k) / STEP), 0, LEVELS - 1).astype(np.int64)
 
 
-@lru_cache(maxsize=1)
-def _pool() -> tuple[np.ndarray, np.ndarray]:
-    """ln a and t of consistent weighted sampling for every pool entry and weight level."""
-    rng = np.random.default_rng(20100)
-    n = 1 << POOL_BITS
-    r, c, beta = rng.gamma(2, 1, (n, 1)), rng.gamma(2, 1, (n, 1)), rng.uniform(0, 1, (n, 1))
-    t = np.floor(np.arange(LEVELS) * STEP / r + beta)
-    return (np.log(c) - r * (t - beta) - r).astype(np.float32).ravel(), t.astype(np.int64).ravel()
-
-
 @lru_cache(maxsize=1)
 def _picks(k: int) -> np.ndarray:
     return (np.random.default_rng(4).integers(1 << 63, size=(k, 1)).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
+def _gamma(x: np.ndarray) -> np.ndarray:
+    """Gamma(2, 1) variates from the two halves of 64-bit hashes."""
+    v = np.log((x.view(np.uint32).astype(np.float32) + np.float32(1)) * np.float32(2.0**-32))
+    return np.maximum(-(v[..., ::2] + v[..., 1::2]), np.float32(1e-9))
+
+
 def samples(u: np.ndarray, level: np.ndarray, k: int) -> np.ndarray:
     """k consistent weighted samples (shingle and t) of a text, each as a 64-bit number."""
-    value, t = _pool()
-    best = np.empty(k, np.int64)
-    step = max(1, 2_000_000 // max(1, len(u)))
+    out = np.empty(k, np.uint64)
+    log_w = (level * STEP).astype(np.float32)
+    step = max(1, 20_000 // max(1, len(u)))  # what stays in the cache
     for a in range(0, k, step):
-        at = ((u[None, :] * _picks(k)[a : a + step]) >> np.uint64(64 - POOL_BITS)).astype(np.int64) * LEVELS + level
-        best[a : a + step] = value[at].argmin(1)  # the first of equals is the smallest shingle
-    pick = ((u[best] * _picks(k)[:, 0]) >> np.uint64(64 - POOL_BITS)).astype(np.int64) * LEVELS + level[best]
-    return mix(u[best] + t[pick].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        x = mix(u[None, :] * _picks(k)[a : a + step])
+        y = mix(x + np.uint64(0x9E3779B97F4A7C15))
+        r, c = _gamma(x), _gamma(y)
+        beta = ((x ^ y) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(40)).astype(np.float32) * np.float32(2.0**-24)
+        t = np.floor(log_w / r + beta)
+        best = (np.log(c) - r * (t - beta) - r).argmin(1)  # the first of equals is the smallest shingle
+        out[a : a + step] = mix(u[best] + t[np.arange(len(t)), best].astype(np.int64).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return out
 
 
 def _each_text(s, weights: np.ndarray):
@@ -159,7 +157,7 @@ def text_key(s, i: int, h: np.ndarray) -> int:
 
 
 def _signed(weights, bands: int, rows: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = weights.value
@@ -168,13 +166,13 @@ def _signed(weights, bands: int, rows: int):
             for i, (d, (h, w)) in enumerate(zip(s.column("doc_id"), _each_text(s, table), strict=True)):
                 key = text_key(s, i, h)
                 if not len(h):
-                    out.append((d, key, b"", []))
+                    out.append((d, key, []))
                     continue
                 x = samples(*shingles(h, w), bands * rows)
                 b = np.zeros(bands, np.uint64)
                 for j in range(rows):
                     b = mix(b * np.uint64(0x9E3779B97F4A7C15) + x[j::rows])
-                out.append((d, key, (x >> np.uint64(56)).astype(np.uint8).tobytes(), b.view(np.int64).tolist()))
+                out.append((d, key, b.view(np.int64).tolist()))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     return run
@@ -183,44 +181,6 @@ def _signed(weights, bands: int, rows: int):
 # ---- candidates within buckets ------------------------------------------------
 
 
-SMALL = 48  # buckets up to this size are compared together, larger ones each on its own
-
-
-def _similar_rows(group: np.ndarray, block: np.ndarray, split: np.ndarray, sig: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Indexes i < j of rows of one group whose samples agree in ``least`` of the places.
-
-    Rows stand in order of group.  Where ``split`` holds, the group is the two
-    blocks of a large bucket and only rows of different blocks are compared.
-    """
-    n, need = len(group), int(np.ceil(least * sig.shape[1]))
-    first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-    size = np.diff(np.append(first, n))
-    left = np.repeat(first + size, size) - np.arange(n)  # rows from here to the end of the group
-    small = np.repeat(size <= SMALL, size)
-    out_i, out_j = [], []
-
-    def keep(i: np.ndarray, j: np.ndarray) -> None:
-        ok = ~split[i] | (block[i] != block[j])
-        out_i.append(i[ok])
-        out_j.append(j[ok])
-
-    for s in range(1, int(size[size <= SMALL].max(initial=1))):
-        at = np.flatnonzero(small & (left > s))
-        for k in range(0, len(at), 200_000):
-            i = at[k : k + 200_000]
-            i = i[(sig[i] == sig[i + s]).sum(1) >= need]
-            keep(i, i + s)
-    for a, z in zip(first[size > SMALL], size[size > SMALL], strict=True):
-        own = sig[a : a + z]
-        for k in range(0, z, 128):
-            same = np.zeros((len(own[k : k + 128]), z - k), np.int16)
-            for c in range(sig.shape[1]):
-                same += own[k : k + 128, c : c + 1] == own[None, k:, c]
-            i, j = np.nonzero(np.triu(same >= need, 1))
-            keep(a + k + i, a + k + j)
-    return np.concatenate(out_i or [np.empty(0, np.int64)]), np.concatenate(out_j or [np.empty(0, np.int64)])
-
-
 def _labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """For each of n rows the smallest row that pairs (i, j) connect it with."""
     label = np.arange(n)
@@ -235,58 +195,12 @@ def _labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _in_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by bucket and t: each text with the smallest one that it seems similar to (``test``), and with
-    the smallest of the group that similar pairs make within the bucket."""
-    rest = None
-    for b in _and_last(batches):
-        rows = rest if b is None else b if rest is None else pa.Table.from_batches([rest, b]).combine_chunks().to_batches()[0]
-        rest = None
-        if rows is None or not rows.num_rows:
-            continue
-        band, key, lo, hi, block, t = (rows.column(i).to_numpy() for i in range(6))
-        new = np.r_[True, (band[1:] != band[:-1]) | (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]
-        if b is not None:  # the last bucket may go on in the next batch
-            cut = int(np.flatnonzero(new)[-1])
-            rest = rows.slice(cut)
-            if cut == 0:
-                continue
-            rows, lo, hi, block, t, new = rows.slice(0, cut), lo[:cut], hi[:cut], block[:cut], t[:cut], new[:cut]
-        sig = np.frombuffer(b"".join(rows.column(6).to_pylist()), np.uint8).reshape(rows.num_rows, -1)
-        i, j = _similar_rows(np.cumsum(new), block, lo != hi, sig, LEAST_AGREEMENT)
-        if not len(i):
-            continue
-        root = _labels(len(t), i, j)
-        order = np.lexsort((i, j))
-        i, j = i[order], j[order]
-        lead = np.r_[True, j[1:] != j[:-1]]  # rows are in order of t, so the smallest partner is the first
-        i, j = i[lead], j[lead]
-        far = np.flatnonzero(root != np.arange(len(t)))
-        far = far[~np.isin(far, j) | (root[far] != i[np.minimum(np.searchsorted(j, far), len(j) - 1)])]
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[t[i], t[root[far]]]), pa.array(np.r_[t[j], t[far]]), pa.array(np.r_[np.ones(len(i), bool), np.zeros(len(far), bool)])], ["a", "b", "test"])
-
-
-def _and_last(batches: Iterator[pa.RecordBatch]):
-    yield from batches
-    yield None
-
-
 def _bucketed(texts: DataFrame) -> DataFrame:
-    """band, key, block, t, sig of every bucket with two texts at least; large buckets in blocks."""
+    """bucket, low, t of every bucket with two texts at least; low is its smallest t.  Bands with the same texts are one."""
     rows = texts.select("t", F.posexplode("bands").alias("band", "key"))
-    many = rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    in_many = rows.join(many.hint("merge"), ["band", "key"]).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    in_many = in_many.withColumn("block", F.pmod(F.xxhash64("t"), F.col("blocks")).cast("int"))
-    return written(in_many.join(texts.select("t", "sig").hint("merge"), "t").select("band", "key", "blocks", "block", "t", "sig"))
-
-
-def _pairs(buckets: DataFrame) -> DataFrame:
-    """a, b, test; large buckets meet block by block, so a task holds two blocks of one at most."""
-    sides = buckets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-    group = ["band", "key", "lo", "hi"]
-    dealt = sides.select(*group, "block", "t", "sig").repartition(*group).sortWithinPartitions(*group, "t")
-    found = dealt.mapInArrow(_in_buckets, "a long, b long, test boolean").filter("a <> b")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "test").groupBy("a", "b").agg(F.max("test").alias("test"))
+    many = rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("low"), F.bit_xor(F.xxhash64("t")).alias("x"), F.bit_xor(F.xxhash64("t", F.lit(1))).alias("y")).filter("n > 1")
+    many = many.select("band", "key", "low", F.xxhash64("n", "low", "x", "y").alias("bucket"))
+    return written(rows.join(many.hint("merge"), ["band", "key"]).select("bucket", "low", "t").distinct())
 
 
 # ---- verification ---------------------------------------------------------------
@@ -408,10 +322,10 @@ def _links_within(threshold: float):
     return run
 
 
-def _links_in_groups(groups: DataFrame, classes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Links between the classes of every group that has several; groups of two have been tested."""
+def _links_in_buckets(buckets: DataFrame, classes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links between the classes of every bucket that has several; buckets of two have been tested."""
     label = classes.select(F.col("id").alias("t"), F.col("component").alias("class"))
-    member = groups.select(F.col("id").alias("t"), F.col("component").alias("group")).join(label.hint("merge"), "t", "left").withColumn("class", F.coalesce("class", "t"))
+    member = buckets.select("t", F.col("bucket").alias("group")).join(label.hint("merge"), "t", "left").withColumn("class", F.coalesce("class", "t"))
     mixed = member.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi AND n > 2").select("group", F.ceil(F.col("n") / GROUP_BLOCK).cast("int").alias("blocks"))
     rows = member.join(mixed.hint("merge"), "group").join(sets.hint("merge"), "t").withColumn("block", F.pmod(F.xxhash64("t"), F.col("blocks")).cast("int"))
     sides = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("group", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "t", "class", "set")
@@ -437,15 +351,14 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     sc = docs.sparkSession.sparkContext
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     weights = sc.broadcast(idf(*document_frequencies(texts)))
-    signed = written(texts.mapInArrow(_signed(weights, bands, rows), "doc_id long, t long, sig binary, bands array<long>"))
-    nodes = signed.groupBy("t").agg(F.first("sig").alias("sig"), F.first("bands").alias("bands")).filter(F.size("bands") > 0)
+    signed = written(texts.mapInArrow(_signed(weights, bands, rows), "doc_id long, t long, bands array<long>"))
+    nodes = signed.groupBy("t").agg(F.first("bands").alias("bands")).filter(F.size("bands") > 0)
     buckets = _bucketed(nodes)
     wanted = sc.broadcast(_bitmap(buckets.select("t").distinct()))
     sets = written(texts.mapInArrow(_shingle_sets(weights, wanted), "t long, set binary").dropDuplicates(["t"]))
-    pairs = written(_pairs(buckets))
-    links = written(_similar(pairs.filter("test").select("a", "b"), sets, threshold).filter("ok").select("a", "b"))
-    classes, groups = written(components(links)), components(pairs)
-    more = _links_in_groups(groups, classes, sets, threshold)
+    pairs = buckets.filter("low < t").select(F.col("low").alias("a"), F.col("t").alias("b")).distinct()
+    links = written(_similar(pairs, sets, threshold).filter("ok").select("a", "b"))
+    more = written(_links_in_buckets(buckets, written(components(links)), sets, threshold))
     classes = written(components(links.unionByName(more)))
     member = signed.select("doc_id", "t").join(classes.select(F.col("id").alias("t"), "component").hint("merge"), "t", "left").select("doc_id", F.coalesce("component", "t").alias("c"))
     low = member.groupBy("c").agg(F.min("doc_id").alias("class_id"))

@@ -302,6 +302,20 @@ def test_samples_agree_as_often_as_the_weighted_similarity():
     assert abs(share - minhash.weighted_jaccard(u, level, v, lv)) < 0.05
 
 
+def test_samples_of_long_texts_agree_as_often_as_the_weighted_similarity():
+    rng = np.random.default_rng(2)
+    for _ in range(3):
+        u = np.sort(rng.integers(1 << 62, size=50_000).astype(np.uint64) << np.uint64(2))
+        level = rng.integers(0, 6, len(u))
+        fresh = rng.integers(1 << 62, size=400).astype(np.uint64) << np.uint64(2)
+        v = np.r_[u[400:], fresh]
+        lv = np.r_[level[400:], np.full(400, 36)]
+        order = np.argsort(v)
+        v, lv = v[order], lv[order]
+        share = (minhash.samples(u, level, 480) == minhash.samples(v, lv, 480)).mean()
+        assert abs(share - minhash.weighted_jaccard(u, level, v, lv)) < 0.08
+
+
 def test_group_links_give_the_components_of_all_links():
     import pandas as pd
 
