@@ -2,10 +2,10 @@
 
 Vectors are compared only within their label.  Equal vectors are one node with
 a multiplicity.  The first graph comes from several orders by random sign
-codes: each node meets the next rows of its label in every order.  NN-descent
-then refines it: neighbours of neighbours are compared wherever a node's list
-changed, until few edges improve.  Lists hold ``k`` neighbours; a node whose
-whole list lies above the threshold is saturated, and its list is enlarged to
+codes of the vectors less their mean: each node meets the next rows of its label
+in every order.  NN-descent then refines it: neighbours of neighbours are
+compared until few edges improve.  Lists hold the ``k`` best neighbours whatever
+their cosine, and all over the threshold; a node whose whole list lies above the threshold is saturated, and its list is enlarged to
 its whole component of threshold edges: members are compared block by block,
 which also gives every member's exact number of links without emitting pairs.
 A sample is audited by brute force; a recall under ``audit`` adds further
@@ -47,8 +47,30 @@ def _orders(n: int, reach: int, threshold: float) -> int:
     return int(np.clip(np.ceil(np.log(1e-4) / np.log(1 - same**depth + 1e-12)), 4, 64))
 
 
-def _first_graph(nodes: DataFrame, kind: str, orders: range, reach: int, floor: float) -> DataFrame:
-    """Edges a < b with cosine >= floor between rows that stand near each other in some order."""
+def _means(nodes: DataFrame, kind: str) -> dict[int, np.ndarray]:
+    """The mean unit vector of every length: a direction common to all would make their sign codes alike."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        n: dict[int, int] = {}
+        for b in batches:
+            v = b.column(0).to_pylist()
+            size = np.array([len(x) for x in v])
+            for z in np.unique(size):
+                x = unit(stacked([v[i] for i in np.flatnonzero(size == z)], kind))
+                total[x.shape[1]] = total.get(x.shape[1], 0) + x.sum(0)
+                n[x.shape[1]] = n.get(x.shape[1], 0) + len(x)
+        for d, x in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(d, d, np.int32)), pa.array(np.arange(d, dtype=np.int32)), pa.array(x), pa.array(np.full(d, n[d]))], ["d", "i", "x", "n"])
+
+    out: dict[int, np.ndarray] = {}
+    for r in nodes.select("v").mapInArrow(sums, "d int, i int, x double, n long").groupBy("d", "i").agg((F.sum("x") / F.sum("n")).alias("m")).collect():
+        out.setdefault(r["d"], np.zeros(r["d"]))[r["i"]] = r["m"]
+    return out
+
+
+def _first_graph(nodes: DataFrame, kind: str, orders: range, reach: int, means: dict[int, np.ndarray]) -> DataFrame:
+    """Edges a < b between rows that stand near each other in some order."""
     spark = nodes.sparkSession
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,7 +82,8 @@ def _first_graph(nodes: DataFrame, kind: str, orders: range, reach: int, floor:
             for i, x in enumerate(v):
                 by_dim.setdefault(len(x), []).append(i)
             for at in by_dim.values():
-                x = stacked([v[i] for i in at], kind)
+                x = unit(stacked([v[i] for i in at], kind))
+                x -= means[x.shape[1]]
                 for t in orders:
                     planes = np.random.default_rng(1000 + t).normal(size=(x.shape[1], CODE_BITS))
                     code = ((x @ planes > 0) @ (1 << np.arange(CODE_BITS - 1, -1, -1, dtype=np.int64))).astype(np.int64)
@@ -89,7 +112,6 @@ def _first_graph(nodes: DataFrame, kind: str, orders: range, reach: int, floor:
                     ok = (t[i] == t[j]) & (label[i] == label[j]) & (ids[i] != ids[j]) & (j >= fresh)
                     if ok.any():
                         s = (u[:-g] * u[g:]).sum(1)
-                        ok &= s >= floor
                         a, c = np.minimum(ids[i], ids[j])[ok], np.maximum(ids[i], ids[j])[ok]
                         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c), pa.array(s[ok])], ["a", "b", "s"])
             tail = rows.slice(max(0, rows.num_rows - reach))
@@ -97,25 +119,31 @@ def _first_graph(nodes: DataFrame, kind: str, orders: range, reach: int, floor:
     return dealt.mapInArrow(near, "a long, b long, s double").groupBy("a", "b").agg(F.max("s").alias("s"))
 
 
-def _lists(edges: DataFrame, k: int) -> DataFrame:
-    """Each node's k best neighbours, from edges in either direction."""
-    both = edges.select(F.col("a").alias("id"), F.col("b").alias("nb"), "s").unionByName(edges.select(F.col("b").alias("id"), F.col("a").alias("nb"), "s"))
-    best = both.groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("s"), "nb"))).alias("n"))
-    return best.select("id", F.slice("n", 1, k).alias("n"))
+def _ranked(edges: DataFrame) -> DataFrame:
+    """id, nb, s, r: every node's neighbours, the best first, from edges in either direction."""
+    lists = edges.select(F.col("a").alias("id"), F.col("b").alias("nb"), "s").unionByName(edges.select(F.col("b").alias("id"), F.col("a").alias("nb"), "s"))
+    return lists.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("s"), "nb")))
 
 
-def _join_neighbours(edges: DataFrame, nodes: DataFrame, kind: str, k: int, floor: float) -> DataFrame:
-    """Neighbours of neighbours: within every node's list all are compared; edges with cosine >= floor."""
-    lists = edges.select(F.col("a").alias("id"), F.col("b").alias("nb"), "s").unionByName(edges.select(F.col("b").alias("id"), F.col("a").alias("nb"), "s"))
-    ranked = lists.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("s"), "nb"))).filter(F.col("r") <= k).select("id", "nb")
-    # the vector travels with the neighbour's id to the list's owner
-    with_v = ranked.join(nodes.select(F.col("id").alias("nb"), "v").hint("merge"), "nb").select("id", "nb", "v")
+def _kept(edges: DataFrame, k: int, threshold: float) -> DataFrame:
+    """Edges that one end has among its k best, and all over the threshold."""
+    some = _ranked(edges.groupBy("a", "b").agg(F.max("s").alias("s"))).filter((F.col("r") <= k) | (F.col("s") >= threshold))
+    return some.select(F.least("id", "nb").alias("a"), F.greatest("id", "nb").alias("b"), "s").groupBy("a", "b").agg(F.max("s").alias("s"))
+
+
+def _join_neighbours(edges: DataFrame, nodes: DataFrame, kind: str, k: int, threshold: float) -> DataFrame:
+    """Neighbours of neighbours: within every node's list all are compared; edges that better a list or reach the threshold."""
+    ranked = _ranked(edges).filter(F.col("r") <= k).select("id", "nb", "s")
+    worst = ranked.groupBy("id").agg(F.when(F.count(F.lit(1)) == k, F.min("s")).otherwise(-2.0).alias("worst"))
+    # the vector and the worst of its own list travel with the neighbour's id to the list's owner
+    known = nodes.select("id", "v").join(worst.hint("merge"), "id").select(F.col("id").alias("nb"), "v", "worst")
+    with_v = ranked.join(known.hint("merge"), "nb").select("id", "nb", "v", "worst")
 
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = pdf["nb"].to_numpy()
+        ids, worst = pdf["nb"].to_numpy(), pdf["worst"].to_numpy()
         u = unit(stacked(pdf["v"].tolist(), kind))
         s = u @ u.T
-        i, j = np.nonzero(np.triu(s >= floor, 1))
+        i, j = np.nonzero(np.triu((s > np.minimum(worst[:, None], worst[None, :])) | (s >= threshold), 1))
         a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
         return pd.DataFrame({"a": a, "b": b, "s": s[i, j]})
 
@@ -181,7 +209,7 @@ def _audit(nodes: DataFrame, edges: DataFrame, found: DataFrame | None, kind: st
     return 1.0 if not n else hit / n
 
 
-def dedup(table: DataFrame, threshold: float = 0.98, k: int = 12, reach: int = 6, audit: float = 0.995, slack: float = 0.04, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
+def dedup(table: DataFrame, threshold: float = 0.98, k: int = 12, reach: int = 6, audit: float = 0.995, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """vec_id, n_links, component_id, kept, one row per row of the table.
 
     n_links counts the other rows of equal label with cosine >= threshold;
@@ -209,23 +237,24 @@ def dedup(table: DataFrame, threshold: float = 0.98, k: int = 12, reach: int = 6
     # two nodes may share a vec_id (repeated ids with other vectors): nodes are told apart by a number of their own
     nodes = written(nodes.withColumn("first", F.col("id")).withColumn("id", F.monotonically_increasing_id()))
     top = nodes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    n_orders, floor = _orders(top, reach, threshold), threshold - slack
-    edges = written(_first_graph(nodes, kind, range(n_orders), reach, floor))
+    n_orders, means = _orders(top, reach, threshold), _means(nodes, kind)
+    edges = written(_kept(_first_graph(nodes, kind, range(n_orders), reach, means), k, threshold))
     found, tries, used = None, 0, n_orders
     while True:
         for _ in range(6):
-            more = _join_neighbours(edges, nodes, kind, k, floor)
-            grown = written(edges.unionByName(more).groupBy("a", "b").agg(F.max("s").alias("s")))
-            before, now = edges.count(), grown.count()
-            links_before, links_now = edges.filter(F.col("s") >= threshold).count(), grown.filter(F.col("s") >= threshold).count()
+            more = _join_neighbours(edges, nodes, kind, k, threshold)
+            grown = written(_kept(edges.unionByName(more), k, threshold))
+            new = grown.join(edges.hint("merge"), ["a", "b"], "left_anti")
+            fresh, new_links = new.agg(F.count(F.lit(1)), F.count(F.when(F.col("s") >= threshold, 1))).first()
+            total, links = grown.agg(F.count(F.lit(1)), F.count(F.when(F.col("s") >= threshold, 1))).first()
             edges = grown
-            if now - before <= before // 50 or links_now - links_before <= links_before // 50:
+            if fresh <= total // 50 and new_links <= links // 50:
                 break
         found = written(components(edges.filter(F.col("s") >= threshold)))
         if top < 2 or _audit(nodes, edges, found, kind, threshold) >= audit or tries == 3:
             break
         tries += 1
-        edges = written(edges.unionByName(_first_graph(nodes, kind, range(used, used + n_orders), reach, floor)).groupBy("a", "b").agg(F.max("s").alias("s")))
+        edges = written(_kept(edges.unionByName(_first_graph(nodes, kind, range(used, used + n_orders), reach, means)), k, threshold))
         used += n_orders
     members = nodes.join(found.hint("merge"), "id")
     lowest = members.groupBy("component").agg(F.min("first").alias("component_id"))

@@ -230,6 +230,14 @@ def test_embedding_dedup_matches_brute_force(spark):
     assert embed_dedup.dedup(df.limit(0)).count() == 0
 
 
+def test_embedding_graph_keeps_neighbours_under_the_threshold(spark):
+    rng = np.random.default_rng(4)
+    nodes = spark.createDataFrame([(i, bytearray(v.astype("<f4").tobytes())) for i, v in enumerate(rng.normal(size=(150, 24)))], "id long, v binary")
+    edges = spark.createDataFrame([(i, i + 1, 0.0) for i in range(149)], "a long, b long, s double")
+    got = {(r["a"], r["b"]) for r in embed_dedup._join_neighbours(edges, nodes, "<f4", 12, 0.94).collect()}
+    assert got == {(i, i + 2) for i in range(148)}
+
+
 # ---- op 5 ------------------------------------------------------------------------
 
 
