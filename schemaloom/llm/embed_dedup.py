@@ -8,8 +8,10 @@ compared until few edges improve.  Lists hold the ``k`` best neighbours whatever
 their cosine, and all over the threshold; a node whose whole list lies above the threshold is saturated, and its list is enlarged to
 its whole component of threshold edges: members are compared block by block,
 which also gives every member's exact number of links without emitting pairs.
-A sample is audited by brute force; a recall under ``audit`` adds further
-orders and descends again.
+A random sample of nodes is audited by brute force, each linked node with equal
+weight; a recall under ``audit`` adds further orders and descends again.  If it
+stays below after three tries, all vectors of a label are compared, block by
+block, so the result is then exact.
 
 Vectors that are null, zero or hold null or non-finite components, rows with a
 null label, and vectors whose length no other of their label shares link with
@@ -32,11 +34,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
+from .minhash import _labels
 from .spark_util import parallelism, written
 from .vectors import cosine, element, matrix, stacked, unit, valid
 
 BLOCK = 512
-AUDIT = 64
+AUDIT = 1024
 CODE_BITS = 32
 
 
@@ -150,12 +153,40 @@ def _join_neighbours(edges: DataFrame, nodes: DataFrame, kind: str, k: int, thre
     return with_v.groupBy("id").applyInPandas(pairs, "a long, b long, s double").filter("a < b")
 
 
+def _block_pairs(members: DataFrame, group: list[str]) -> DataFrame:
+    """Rows of every group dealt to pairs of blocks lo <= hi."""
+    sizes = members.groupBy(*group).agg(F.count(F.lit(1)).alias("size"))
+    dealt = members.join(sizes.hint("merge"), group).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    sides = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return sides.select(*group, F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", *(c for c in members.columns if c not in group))
+
+
+def _hits(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    s = unit(x) @ unit(y).T
+    hit = s >= threshold
+    for i, j in np.argwhere(np.abs(s - threshold) < 1e-12):  # rounding decides: take the exact measure
+        hit[i, j] = cosine(x[i : i + 1], y[j : j + 1])[0] >= threshold
+    return hit
+
+
+def _all_edges(nodes: DataFrame, kind: str, threshold: float) -> DataFrame:
+    """a, b: edges that join what links join, from all pairs of every label and length."""
+
+    def join(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        x, ids, block = stacked(pdf["v"].tolist(), kind), pdf["id"].to_numpy(), pdf["block"].to_numpy()
+        i, j = np.nonzero(np.triu(_hits(x, x, threshold), 1))
+        root = _labels(len(ids), i, j)
+        some = root != np.arange(len(ids))
+        return pd.DataFrame({"a": ids[root[some]], "b": ids[some]})
+
+    sides = _block_pairs(nodes.select("id", "label", F.length("v").alias("d"), "v"), ["label", "d"])
+    return sides.groupBy("label", "d", "lo", "hi").applyInPandas(join, "a long, b long")
+
+
 def _exact_links(members: DataFrame, kind: str, threshold: float) -> DataFrame:
     """id, links, of every member of a component: all members compared, block by block."""
-    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    dealt = members.join(sizes.hint("merge"), "component").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    sides = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("component", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "m", "v")
+    sides = _block_pairs(members, ["component"])
 
     def count(key, pdf: pd.DataFrame) -> pd.DataFrame:
         _, lo, hi = key
@@ -164,11 +195,7 @@ def _exact_links(members: DataFrame, kind: str, threshold: float) -> DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"id": [], "links": []}).astype("int64")
         x, y = stacked(a["v"].tolist(), kind), stacked(b["v"].tolist(), kind)
-        s = unit(x) @ unit(y).T
-        edge = np.argwhere(np.abs(s - threshold) < 1e-12)  # rounding decides: take the exact measure
-        hit = s >= threshold
-        for i, j in edge:
-            hit[i, j] = cosine(x[i : i + 1], y[j : j + 1])[0] >= threshold
+        hit = _hits(x, y, threshold)
         if hi == lo:
             np.fill_diagonal(hit, False)
         out = [pd.DataFrame({"id": a["id"].to_numpy(), "links": hit @ b["m"].to_numpy()})]
@@ -179,12 +206,9 @@ def _exact_links(members: DataFrame, kind: str, threshold: float) -> DataFrame:
     return sides.groupBy("component", "lo", "hi").applyInPandas(count, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
 
 
-def _audit(nodes: DataFrame, edges: DataFrame, found: DataFrame | None, kind: str, threshold: float) -> float:
-    """Share of the audited nodes' true links whose two ends the found components join."""
-    spark = nodes.sparkSession
-    # half of the audit falls on nodes with a neighbour, where a loss can be
-    linked = edges.select(F.col("a").alias("id")).distinct().orderBy(F.xxhash64("id", F.lit(5))).limit(AUDIT // 2)
-    some = nodes.join(F.broadcast(linked), "id", "left_semi").select("id", "label", "v").unionByName(nodes.orderBy(F.xxhash64("id", F.lit(9))).limit(AUDIT // 2).select("id", "label", "v")).collect()
+def _audit(nodes: DataFrame, found: DataFrame, kind: str, threshold: float) -> float:
+    """Mean over audited nodes with links of the share of links whose two ends the found components join."""
+    some = nodes.orderBy(F.xxhash64("id", F.lit(9))).limit(AUDIT).select("id", "label", "v").collect()
     if not some:
         return 1.0
     by: dict[tuple, list] = {}
@@ -205,8 +229,9 @@ def _audit(nodes: DataFrame, edges: DataFrame, found: DataFrame | None, kind: st
 
     true = nodes.select("id", "label", "v").mapInArrow(brute, "a long, b long").distinct()
     joined = true.join(found.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left").join(found.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
-    n, hit = joined.agg(F.count(F.lit(1)), F.sum(F.when(F.col("ca") == F.col("cb"), 1).otherwise(0))).first()
-    return 1.0 if not n else hit / n
+    each = joined.groupBy("a").agg(F.avg(F.when(F.col("ca") == F.col("cb"), 1.0).otherwise(0.0)).alias("share"))
+    share = each.agg(F.avg("share")).first()[0]
+    return 1.0 if share is None else share
 
 
 def dedup(table: DataFrame, threshold: float = 0.98, k: int = 12, reach: int = 6, audit: float = 0.995, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
@@ -251,7 +276,10 @@ def dedup(table: DataFrame, threshold: float = 0.98, k: int = 12, reach: int = 6
             if fresh <= total // 50 and new_links <= links // 50:
                 break
         found = written(components(edges.filter(F.col("s") >= threshold)))
-        if top < 2 or _audit(nodes, edges, found, kind, threshold) >= audit or tries == 3:
+        if top < 2 or _audit(nodes, found, kind, threshold) >= audit:
+            break
+        if tries == 3:
+            found = written(components(_all_edges(nodes, kind, threshold)))
             break
         tries += 1
         edges = written(_kept(edges.unionByName(_first_graph(nodes, kind, range(used, used + n_orders), reach, means)), k, threshold))

@@ -238,6 +238,19 @@ def test_embedding_graph_keeps_neighbours_under_the_threshold(spark):
     assert got == {(i, i + 2) for i in range(148)}
 
 
+def test_embedding_dedup_is_exact_where_the_audit_finds_losses(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(400, 24))
+    rows = [(i, [float(x) for x in v], 0) for i, v in enumerate(np.r_[base, base + rng.normal(size=base.shape) * 0.03])]
+    rows += [(800 + i, [float(x) for x in base[0] + rng.normal(size=24) * 0.03], 0) for i in range(20)]
+    first = embed_dedup._first_graph
+    # a first graph without an edge
+    monkeypatch.setattr(embed_dedup, "_first_graph", lambda *a: first(*a).filter("s > 2"))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {r["vec_id"]: r["component_id"] for r in embed_dedup.dedup(df).collect()}
+    assert got == {i: i % 400 if i < 800 else 0 for i in range(820)}
+
+
 # ---- op 5 ------------------------------------------------------------------------
 
 
