@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 
 SLICE_BYTES = 512 << 10  # what passes over words allocate is some 60 times this
 WIDE_SLICE = 2 << 20  # for passes that gain from seeing a word once in more text
@@ -77,13 +78,20 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+LONG = 64  # polynomials modulo 2**64 can be made to collide from some 1,000 bytes on; longer spans are hashed as bytes
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[starts[i]:ends[i]], from prefix sums of a polynomial."""
+    """64-bit hashes of data[starts[i]:ends[i]]: from prefix sums of a polynomial, and of the bytes themselves where they are over LONG."""
     up, down = powers(len(data) + 1)
     total = np.empty(len(data) + 1, np.uint64)
     total[0] = 0
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    size = ends - starts
+    out = mix((total[ends] - total[starts]) * down[starts] + size.astype(np.uint64))
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
+    return out
 
 
 _SPACE = np.zeros(256, bool)

@@ -23,8 +23,10 @@ Equal texts are one node from the start.  Classes are the components of
 verified links.
 
 Nulls: a null text is an empty text; empty texts are equal to each other.  A
-null doc_id is a row of its class, whose id is its smallest doc_id.  Extra
-columns are ignored by `near_duplicates` and kept by `keep_first`.
+null doc_id is a row of its class, whose id is its smallest doc_id (null if it
+has no other).  Rows that share a doc_id are members of the classes of their
+own texts.  Extra columns are ignored by `near_duplicates` and kept by
+`keep_first`, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,7 +45,7 @@ from pyspark.sql import functions as F
 from .batches import mix, slices, words
 from .filters import FAN_IN
 from .graph import components
-from .spark_util import written
+from .spark_util import bitmap, heavy_join, written
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -149,30 +152,29 @@ def _each_text(s, weights: np.ndarray):
         yield h[first[i] : first[i + 1]], w[first[i] : first[i + 1]]
 
 
-def text_key(s, i: int, h: np.ndarray) -> int:
-    """The node of a text: equal for texts that are equal up to case of A-Z and white space."""
-    import xxhash
-
-    return xxhash.xxh3_64_intdigest(h.tobytes()) >> 1
+def text_key(h: np.ndarray) -> tuple[int, int]:
+    """The node of a text (equal for texts that are equal up to case of A-Z and white space), and a check of 64 further bits."""
+    k = xxhash.xxh3_128_intdigest(h.tobytes())
+    return k >> 65, (k & (1 << 64) - 1) - (1 << 63)
 
 
 def _signed(weights, bands: int, rows: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("t", pa.int64()), ("u", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = weights.value
         for s in slices(batches):
             out = []
-            for i, (d, (h, w)) in enumerate(zip(s.column("doc_id"), _each_text(s, table), strict=True)):
-                key = text_key(s, i, h)
+            for r, d, (h, w) in zip(s.column("row"), s.column("doc_id"), _each_text(s, table), strict=True):
+                key = text_key(h)
                 if not len(h):
-                    out.append((d, key, []))
+                    out.append((r, d, *key, []))
                     continue
                 x = samples(*shingles(h, w), bands * rows)
                 b = np.zeros(bands, np.uint64)
                 for j in range(rows):
                     b = mix(b * np.uint64(0x9E3779B97F4A7C15) + x[j::rows])
-                out.append((d, key, b.view(np.int64).tolist()))
+                out.append((r, d, *key, b.view(np.int64).tolist()))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     return run
@@ -216,18 +218,17 @@ def weighted_jaccard(u: np.ndarray, lu: np.ndarray, v: np.ndarray, lv: np.ndarra
 
 def _shingle_sets(weights, wanted):
     """t and packed shingles of the texts that a bitmap of wanted nodes lets through."""
-    schema = pa.schema([("t", pa.int64()), ("set", pa.binary())])
+    schema = pa.schema([("t", pa.int64()), ("u", pa.int64()), ("set", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, bits = weights.value, np.frombuffer(wanted.value, np.uint8)
         for s in slices(batches):
             out = []
-            for i, (h, w) in enumerate(_each_text(s, table)):
-                key = text_key(s, i, h)
-                at = key & (len(bits) * 8 - 1)
+            for h, w in _each_text(s, table):
+                key = text_key(h)
+                at = key[0] & (len(bits) * 8 - 1)
                 if bits[at >> 3] >> (at & 7) & 1:
-                    u, level = shingles(h, w)
-                    out.append((key, _pack_set(u, level)))
+                    out.append((*key, _pack_set(*shingles(h, w))))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
@@ -332,40 +333,45 @@ def _links_in_buckets(buckets: DataFrame, classes: DataFrame, sets: DataFrame, t
     return sides.groupBy("group", "lo", "hi").applyInPandas(_links_within(threshold), "a long, b long")
 
 
-WANTED_BITS = 1 << 26  # 8 MiB
-
-
-def _bitmap(ids: DataFrame) -> bytes:
-    """Which nodes are wanted, by the low bits of their key; false hits are dropped by the join behind it."""
-    rows = ids.select(F.pmod("t", F.lit(WANTED_BITS)).alias("p")).selectExpr("cast(shiftright(p, 5) as int) AS w", "shiftleft(1L, cast(p & 31 as int)) AS m").groupBy("w").agg(F.bit_or("m").alias("m"))
-    packed = rows.groupBy(F.shiftright("w", 14).alias("g")).agg(F.collect_list(F.struct("w", "m")).alias("x"))
-    bits = np.zeros(WANTED_BITS // 32, "<u4")
-    for r in packed.toLocalIterator():
-        for x in r["x"]:
-            bits[x["w"]] = x["m"]
-    return bits.tobytes()
-
-
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, class_id (the smallest doc_id of the class), kept, of every document."""
+def _classed(docs: DataFrame, threshold: float, bands: int, rows: int) -> DataFrame:
+    """row (a number of the input row), doc_id and c (the class) of every row."""
     sc = docs.sparkSession.sparkContext
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    texts = docs.select("row", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     weights = sc.broadcast(idf(*document_frequencies(texts)))
-    signed = written(texts.mapInArrow(_signed(weights, bands, rows), "doc_id long, t long, bands array<long>"))
+    signed = written(texts.mapInArrow(_signed(weights, bands, rows), "row long, doc_id long, t long, u long, bands array<long>"))
+    # texts that share a node's 63 bits but not the further 64 get a node of their own (about n * n / 2**64 of n texts)
+    clash = written(signed.groupBy("t").agg(F.min("u").alias("lo"), F.max("u").alias("hi")).filter("lo <> hi").select("t", "lo"))
+
+    def told_apart(df: DataFrame) -> DataFrame:
+        other = F.when(F.col("u") != F.col("lo"), F.shiftrightunsigned(F.xxhash64("t", "u"), 1)).otherwise(F.col("t"))
+        return df.join(clash, "t", "left").withColumn("t", other).drop("u", "lo")
+
+    if not clash.isEmpty():
+        signed = written(told_apart(signed))
     nodes = signed.groupBy("t").agg(F.first("bands").alias("bands")).filter(F.size("bands") > 0)
     buckets = _bucketed(nodes)
-    wanted = sc.broadcast(_bitmap(buckets.select("t").distinct()))
-    sets = written(texts.mapInArrow(_shingle_sets(weights, wanted), "t long, set binary").dropDuplicates(["t"]))
+    wanted = bitmap(buckets.select("t").unionByName(clash.select("t")), "t")
+    sets = texts.mapInArrow(_shingle_sets(weights, wanted), "t long, u long, set binary").dropDuplicates(["t", "u"])
+    sets = written(sets.drop("u") if clash.isEmpty() else told_apart(sets))
     pairs = buckets.filter("low < t").select(F.col("low").alias("a"), F.col("t").alias("b")).distinct()
     links = written(_similar(pairs, sets, threshold).filter("ok").select("a", "b"))
     more = written(_links_in_buckets(buckets, written(components(links)), sets, threshold))
     classes = written(components(links.unionByName(more)))
-    member = signed.select("doc_id", "t").join(classes.select(F.col("id").alias("t"), "component").hint("merge"), "t", "left").select("doc_id", F.coalesce("component", "t").alias("c"))
-    low = member.groupBy("c").agg(F.min("doc_id").alias("class_id"))
-    return member.join(low.hint("merge"), "c").select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)).alias("kept"))
+    return written(signed.select("row", "doc_id", "t").join(classes.select(F.col("id").alias("t"), "component").hint("merge"), "t", "left").select("row", "doc_id", F.coalesce("component", "t").alias("c")))
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id, class_id (the smallest doc_id of the class), kept, of every document."""
+    member = _classed(docs.select(F.lit(0).cast("long").alias("row"), "doc_id", "text"), threshold, bands, rows).drop("row")
+    low = written(member.groupBy("c").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("k")))
+    out = heavy_join(member, low, ["c"], "k")
+    return out.select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)).alias("kept"))
 
 
 def keep_first(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that are the smallest doc_id of their class; rows with a null doc_id stay."""
-    gone = near_duplicates(docs, threshold).filter("doc_id is not null and not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone.hint("merge"), docs["doc_id"] == F.col("__gone"), "left_anti")
+    """One row of each class: the first one of its smallest doc_id (null ids count last); other rows that share a doc_id with
+    a row that goes are judged by their own texts."""
+    docs = written(docs.select(F.struct(*docs.columns).alias("x")).withColumn("row", F.monotonically_increasing_id()))
+    member = _classed(docs.select("row", F.col("x.doc_id").alias("doc_id"), F.col("x.text").alias("text")), threshold, BANDS, ROWS)
+    first = member.groupBy("c").agg(F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("row")).select("row")
+    return docs.join(first.hint("merge"), "row", "left_semi").select("x.*")
