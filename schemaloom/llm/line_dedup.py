@@ -2,17 +2,19 @@
 
 Two passes over the documents.  The first builds the once-seen and twice-seen
 filters of line keys (filters.py).  In the second only keys whose bit was seen
-twice are suspected; they travel as 256-bit digests with their doc_id, are
+twice are suspected; they travel as 128-bit digests with their doc_id, are
 counted with map-side partial aggregation, and confirmed keys go back to the
 documents that must lose them.
 
 A line's key is the line stripped of ASCII white space, A-Z lower-cased.
 Documents are told apart by doc_id; rows that share one are one document and
-keep each other's lines.  A null doc_id counts as one document after all
-others.  A null or empty text is one empty line.  Extra columns are kept.
+keep each other's lines.  Rows with a null doc_id are one document after all
+others.  A null or empty text is one empty line.  Extra columns are kept,
+whatever their names; n_lines and n_dropped of the input are replaced.
 
-Skew: a key held by a third of all documents is pre-aggregated per task; the
-way back is a join that adaptive execution can split.
+Skew: a key held by a third of all documents is pre-aggregated per task, and its
+way back is a broadcast (`heavy_join`), so its rows aren't gathered.  What goes
+back to a row are keys that it holds.
 """
 
 from __future__ import annotations
@@ -28,10 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .filters import Twice, twice_seen
-from .spark_util import written
+from .spark_util import bitmap, heavy_join, in_bitmap, written
 
 BITS = 28  # 32 MiB
-LAST = (1 << 63) - 1  # stands for a null doc_id
 _WS = b" \t\n\v\f\r"
 
 
@@ -52,46 +53,61 @@ def _keys(text: bytes | None, least: int) -> set[bytes]:
 def _hashes(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for b in batches:
-            yield np.array([xxhash.xxh3_64_intdigest(k) for t in b.column(1).to_pylist() for k in _keys(t, least)], np.uint64)
+            yield np.array([xxhash.xxh3_64_intdigest(k) for t in b.column(2).to_pylist() for k in _keys(t, least)], np.uint64)
 
     return run
 
 
+def _digest(key: bytes) -> bytes:
+    return hashlib.blake2b(key, digest_size=16).digest()
+
+
 def _suspects(least: int, twice):
-    schema = pa.schema([("doc", pa.int64()), ("digest", pa.binary())])
+    schema = pa.schema([("doc", pa.int64()), ("c", pa.int64()), ("digest", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Twice = twice.value
         for b in batches:
-            ids, keys = [], []
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            rows, keys = [], []
+            for i, t in enumerate(b.column(2).to_pylist()):
                 k = list(_keys(t, least))
-                ids += [LAST if d is None else d] * len(k)
+                rows += [i] * len(k)
                 keys += k
             if keys:
                 hit = np.flatnonzero(seen.test(np.array([xxhash.xxh3_64_intdigest(k) for k in keys], np.uint64))).tolist()
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in hit], pa.int64()), pa.array([hashlib.sha256(keys[i]).digest() for i in hit], pa.binary())], schema=schema)
+                of = pa.array([rows[i] for i in hit], pa.int32())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(of), b.column(1).take(of), pa.array([_digest(keys[i]) for i in hit], pa.binary())], schema=schema)
 
     return run
 
 
+def _check():
+    """Tells rows that share a doc_id apart."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def repeated_keys(docs: DataFrame, least: int = 10, bits: int = BITS) -> DataFrame:
-    """doc, digest of every key that a document must lose: it is also in a document of smaller id."""
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    """doc, c (check of the row's text), digest of every key that a row must lose: a document of smaller id holds it."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), _check().alias("c"), F.col("text").cast("binary").alias("text"))
     twice = docs.sparkSession.sparkContext.broadcast(twice_seen(texts, _hashes(least), bits))
-    suspects = written(texts.mapInArrow(_suspects(least, twice), "doc long, digest binary"))
-    first = suspects.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select("digest", "first")
-    return suspects.join(first.hint("merge"), "digest").filter("doc > first").select("doc", "digest").distinct()
+    suspects = written(texts.mapInArrow(_suspects(least, twice), "doc long, c long, digest binary"))
+    first = suspects.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count(F.when(F.col("doc").isNull(), 1)).alias("nulls"), F.count(F.lit(1)).alias("k"))
+    first = written(first.filter("first < last or (first is not null and nulls > 0)").select("digest", "first", "k"))
+    return heavy_join(suspects, first, ["digest"], "k").filter("doc is null or doc > first").select("doc", "c", "digest")
 
 
 def dedup_lines(docs: DataFrame, least: int = 10, bits: int = BITS) -> DataFrame:
     """The documents with text replaced by the lines kept, and n_lines, n_dropped, beside all other columns."""
-    gone = repeated_keys(docs, least, bits).groupBy("doc").agg(F.collect_list("digest").alias("__gone"))
-    whole = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))
-    joined = whole.join(gone.withColumnRenamed("doc", "__doc").hint("merge"), "__doc", "left")
-    kept = joined.withColumn("__kept", _keep(least)(F.col("text").cast("binary"), F.col("__gone")))
-    out = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
-    return kept.select(*out, F.col("__kept.text").cast("string").alias("text"), F.col("__kept.n_lines").alias("n_lines"), F.col("__kept.n_dropped").alias("n_dropped"))
+    gone = written(repeated_keys(docs, least, bits).groupBy("doc", "c").agg(F.collect_set("digest").alias("gone")))
+    touched = in_bitmap(bitmap(gone, "c"), _check())
+    # the columns of docs travel in a struct, so their names can't clash; documents that lose nothing stay where they are
+    row = F.struct(*docs.columns).alias("row")
+    left = docs.filter(touched).select(row, F.col("doc_id").cast("long").alias("d"), _check().alias("c"))
+    some = left.join(gone.hint("merge"), left["d"].eqNullSafe(gone["doc"]) & (left["c"] == gone["c"]), "left").select("row", "gone")
+    rest = docs.filter(~touched).select(row, F.lit(None).cast("array<binary>").alias("gone"))
+    kept = some.unionByName(rest).withColumn("kept", _keep(least)(F.col("row.text").cast("binary"), F.col("gone")))
+    out = [F.col("row")[c].alias(c) for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
+    return kept.select(*out, F.col("kept.text").cast("string").alias("text"), F.col("kept.n_lines").alias("n_lines"), F.col("kept.n_dropped").alias("n_dropped"))
 
 
 def _keep(least: int) -> Callable:
@@ -102,7 +118,7 @@ def _keep(least: int) -> Callable:
             n = len(lines)
             if g is not None and len(g):
                 lost = {bytes(x) for x in g}
-                lines = [x for x in lines if (k := line_key(x, least)) is None or hashlib.sha256(k).digest() not in lost]
+                lines = [x for x in lines if (k := line_key(x, least)) is None or _digest(k) not in lost]
             rows.append((b"\n".join(lines), n, n - len(lines)))
         return pd.DataFrame(rows, columns=["text", "n_lines", "n_dropped"])
 

@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from .batches import mix, slices, words
 from .filters import FAN_IN
 from .graph import components
-from .spark_util import bitmap, heavy_join, written
+from .spark_util import bitmap, heavy_join, in_bitmap, written
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -369,9 +369,18 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
 
 
 def keep_first(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row of each class: the first one of its smallest doc_id (null ids count last); other rows that share a doc_id with
-    a row that goes are judged by their own texts."""
-    docs = written(docs.select(F.struct(*docs.columns).alias("x")).withColumn("row", F.monotonically_increasing_id()))
-    member = _classed(docs.select("row", F.col("x.doc_id").alias("doc_id"), F.col("x.text").alias("text")), threshold, BANDS, ROWS)
-    first = member.groupBy("c").agg(F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("row")).select("row")
-    return docs.join(first.hint("merge"), "row", "left_semi").select("x.*")
+    """One row of each class: that of its smallest doc_id (null ids count last); rows that share a doc_id with a row that
+    goes are judged by their own texts, and rows equal in doc_id and text are one."""
+    check = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("doc_id").isNull())
+    member = _classed(docs.select(check.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"), threshold, BANDS, ROWS)
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
+    first = written(member.groupBy("c").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("k")))
+    gone = written(heavy_join(member, first, ["c"], "k").filter(~order.eqNullSafe(F.col("first"))).select(F.col("doc_id").alias("d"), "row").distinct())
+    touched = in_bitmap(bitmap(gone, "row"), check)
+    kept = docs.filter(touched).select(F.struct(*docs.columns).alias("x"), F.col("doc_id").cast("long").alias("d"), check.alias("row"))
+    kept = kept.join(gone.hint("merge"), kept["d"].eqNullSafe(gone["d"]) & (kept["row"] == gone["row"]), "left_anti")
+    whole = docs.filter(~touched).unionByName(kept.select("x.*"))
+    if docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return whole
+    each = whole.select(F.struct(*docs.columns).alias("x"), F.col("doc_id").alias("d"), check.alias("row"))
+    return each.dropDuplicates(["d", "row"]).select("x.*")
