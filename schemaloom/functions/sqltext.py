@@ -9,11 +9,20 @@ from pyspark.sql import functions as F
 
 #: Reserved words that an identifier can't be without quotes.
 RESERVED = (
-    "all analyse analyze and any array as asc asymmetric authorization between bigint binary bit boolean both case cast char character check coalesce collate collation column concurrently constraint create cross "
-    "current_catalog current_date current_role current_schema current_time current_timestamp current_user dec decimal default deferrable desc distinct do else end except exists extract false fetch float for foreign freeze from full grant greatest group grouping having "
-    "ilike in initially inner inout int integer intersect interval into is isnull join lateral leading least left like limit localtime localtimestamp national natural nchar none not notnull null nullif numeric offset on only or order out outer overlaps overlay "
-    "placing position precision primary real references returning right row select session_user setof similar smallint some substring symmetric table tablesample then time timestamp to trailing treat trim true union unique user using values varchar variadic verbose when where window with"
-).split()
+    "all", "analyse", "analyze", "and", "any", "array", "as", "asc", "asymmetric", "authorization", "between",
+    "bigint", "binary", "bit", "boolean", "both", "case", "cast", "char", "character", "check", "coalesce", "collate",
+    "collation", "column", "concurrently", "constraint", "create", "cross", "current_catalog", "current_date",
+    "current_role", "current_schema", "current_time", "current_timestamp", "current_user", "dec", "decimal",
+    "default", "deferrable", "desc", "distinct", "do", "else", "end", "except", "exists", "extract", "false", "fetch",
+    "float", "for", "foreign", "freeze", "from", "full", "grant", "greatest", "group", "grouping", "having", "ilike",
+    "in", "initially", "inner", "inout", "int", "integer", "intersect", "interval", "into", "is", "isnull", "join",
+    "lateral", "leading", "least", "left", "like", "limit", "localtime", "localtimestamp", "national", "natural",
+    "nchar", "none", "not", "notnull", "null", "nullif", "numeric", "offset", "on", "only", "or", "order", "out",
+    "outer", "overlaps", "overlay", "placing", "position", "precision", "primary", "real", "references", "returning",
+    "right", "row", "select", "session_user", "setof", "similar", "smallint", "some", "substring", "symmetric",
+    "table", "tablesample", "then", "time", "timestamp", "to", "trailing", "treat", "trim", "true", "union", "unique",
+    "user", "using", "values", "varchar", "variadic", "verbose", "when", "where", "window", "with",
+)
 
 
 @dataclass(frozen=True)

@@ -73,7 +73,7 @@ def schema_summary(spark, sf_dir):
 
 
 def _case_of(table: dict[str, str], column: str, default: str) -> str:
-    return "CASE " + " ".join(f"WHEN {column} = '{k}' THEN '{v}'" for k, v in typemap.spread(table).items()) + f" ELSE '{default}' END"
+    return "CASE " + " ".join(f"WHEN {column} = '{k}' THEN '{v}'" for k, v in table.items()) + f" ELSE '{default}' END"
 
 
 def _type_sql(table: dict[str, str], default: str, left: str, right: str) -> str:
