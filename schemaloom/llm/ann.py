@@ -2,15 +2,15 @@
 
 Vectors (unit length) are projected to a few dimensions by several random
 orthonormal maps, shifted, and ordered along a Hilbert curve for each map.
-Spark range-partitions every ordering; runs of ``block`` rows form the blocks
-of a curve.  A query looks into its own block and ``radius`` blocks on either
-side on every curve; the windows' best are merged and reranked by the exact
-cosine of the original vectors.
+Spark range-partitions every ordering and numbers its rows.  A query is compared
+with the ``radius`` rows before and after it on every curve; the windows' best
+are merged and reranked by the exact cosine of the original vectors.  Windows
+are worked off in blocks of a curve, so memory doesn't depend on the radius.
 
 The radius isn't guessed: a bounded set of audit queries is answered by brute
 force, and the least radius whose windows hold ``target`` of their true
-neighbours is taken.  On vectors without structure that radius is large; on
-clustered ones it is small.
+neighbours is taken.  On vectors without structure that radius is a good part of
+the table; on clustered ones it is a few rows.
 
 Vectors that are null, zero or hold null or non-finite components take no
 part, neither do those whose length differs from the most frequent one.  Rows
@@ -28,10 +28,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .batches import lean
 from .spark_util import parallelism, written
 from .vectors import cosine, element, matrix, stacked, unit, valid
 
-AUDIT = 96
+AUDIT = 128
 
 
 def hilbert(x: np.ndarray, bits: int) -> np.ndarray:
@@ -92,7 +93,7 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 def search(
     table: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding",
-    curves: int = 8, out_dim: int = 6, bits: int = 10, block: int = 2048, target: float = 0.97, seed: int = 7,
+    curves: int = 16, out_dim: int = 6, bits: int = 10, block: int = 4096, target: float = 0.95, seed: int = 7,
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found for every row where ``is_query`` holds."""
     spark = table.sparkSession
@@ -117,7 +118,7 @@ def search(
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), c, np.int32)), pa.array(keys[c]), b.column(0), b.column(1), blobs], ["curve", "key", "id", "q", "v"])
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Block numbers within this range partition, in the order of the curve."""
+        """Numbers of the rows within this range partition, in the order of each curve."""
         from pyspark import TaskContext
 
         part, seen = TaskContext.get().partitionId(), {}
@@ -128,10 +129,10 @@ def search(
                 at = np.flatnonzero(c == x)
                 local[at] = seen.get(x, 0) + np.arange(len(at))
                 seen[x] = seen.get(x, 0) + len(at)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(c), part, np.int32)), pa.array((local // block).astype(np.int32)), *b.columns[2:]], ["curve", "part", "local", "id", "q", "v"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(c), part, np.int32)), pa.array(local), *b.columns[2:]], ["curve", "part", "local", "id", "q", "v"])
 
-    ordered = rows.mapInArrow(keyed, "curve int, key long, id long, q boolean, v binary").repartitionByRange(parallelism(spark), "curve", "key").sortWithinPartitions("curve", "key", "id")
-    placed = written(ordered.mapInArrow(numbered, "curve int, part int, local int, id long, q boolean, v binary"))
+    ordered = rows.mapInArrow(lean(keyed), "curve int, key long, id long, q boolean, v binary").repartitionByRange(parallelism(spark), "curve", "key").sortWithinPartitions("curve", "key", "id")
+    placed = written(ordered.mapInArrow(lean(numbered), "curve int, part int, local long, id long, q boolean, v binary"))
     # one row for each curve and range partition: bounded by the partitions
     first: dict[tuple[int, int], int] = {}
     total: dict[int, int] = {}
@@ -140,49 +141,57 @@ def search(
         total[r["curve"]] = total.get(r["curve"], 0) + r["n"] + 1
     if not total:
         return empty
-
-    @F.pandas_udf("int")
-    def place(curve: pd.Series, part: pd.Series, local: pd.Series) -> pd.Series:
-        return pd.Series([first[c, p] + n for c, p, n in zip(curve, part, local, strict=True)], dtype="int32")
-
-    blocked = placed.select("curve", place("curve", "part", "local").alias("block"), "id", "q", "v")
-    radius = _radius(blocked, kind, k, target, max(total.values()))
+    base = F.create_map(*[F.lit(x) for (c, p), n in first.items() for x in (c << 32 | p, n)])
+    ranked = placed.select("curve", (F.col("local") + base[F.shiftleft(F.col("curve").cast("long"), 32).bitwiseOR(F.col("part").cast("long"))]).alias("rank"), "id", "q", "v")
+    radius = _radius(ranked, kind, k, target, max(total.values()))
 
     def windows(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        """The queries that look into one block, against the block's rows."""
-        own = pdf[~pdf["visitor"]]
+        """The queries whose window reaches into one block, against the rows of their windows in it."""
+        own = pdf[~pdf["visitor"]].sort_values("rank")
         asks = pdf[pdf["visitor"]]
         out = []
         if len(own) and len(asks):
-            base, ids = stacked(own["v"].tolist(), kind), own["id"].to_numpy()
+            base, ids, rank = stacked(own["v"].tolist(), kind), own["id"].to_numpy(), own["rank"].to_numpy()
             n = unit(base)
-            for q, v in zip(asks["id"], asks["v"], strict=True):
+            for q, r, v in zip(asks["id"], asks["rank"], asks["v"], strict=True):
+                a, z = np.searchsorted(rank, [r - radius, r + radius + 1])
                 one = np.frombuffer(v, kind).astype(np.float64)
-                s = n @ (one / np.sqrt((one * one).sum()))
-                s[ids == q] = -np.inf
-                at = _best(s, ids, 2 * k)
-                at = at[np.isfinite(s[at])]
+                s = n[a:z] @ (one / np.sqrt((one * one).sum()))
+                s[ids[a:z] == q] = -np.inf
+                at = a + _distinct_best(s, ids[a:z], k)
                 exact = cosine(base[at], np.broadcast_to(one, (len(at), len(one))))
-                keep = np.lexsort((ids[at], -exact))[:k]
-                out += [(q, int(ids[at[i]]), float(exact[i])) for i in keep]
+                out += [(q, int(i), float(x)) for i, x in zip(ids[at], exact, strict=True)]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
-    limits = F.create_map(*[F.lit(x) for c in total for x in (c, total[c])])
-    visits = blocked.filter("q").select("curve", F.explode(F.sequence(F.greatest(F.col("block") - radius, F.lit(0)), F.least(F.col("block") + radius, limits[F.col("curve")] - 1))).alias("block"), "id", F.lit(True).alias("visitor"), "v")
-    meet = blocked.select("curve", "block", "id", F.lit(False).alias("visitor"), "v").unionByName(visits)
+    limits = F.create_map(*[F.lit(x) for c in total for x in (c, (total[c] - 1) // block)])
+    low, high = F.greatest(F.floor((F.col("rank") - radius) / block), F.lit(0)), F.least(F.floor((F.col("rank") + radius) / block), limits[F.col("curve")])
+    visits = ranked.filter("q").select("curve", F.explode(F.sequence(low, high)).alias("block"), "rank", "id", F.lit(True).alias("visitor"), "v")
+    meet = ranked.select("curve", F.floor(F.col("rank") / block).alias("block"), "rank", "id", F.lit(False).alias("visitor"), "v").unionByName(visits)
     found = meet.groupBy("curve", "block").applyInPandas(windows, "query_id long, vec_id long, score double")
     merged = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    ranked = merged.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _radius(blocked: DataFrame, kind: str, k: int, target: float, blocks: int) -> int:
-    """The least number of blocks on either side whose windows hold ``target`` of the audit's true neighbours."""
-    spark = blocked.sparkSession
-    one = blocked.filter("curve = 0")
-    audit = one.filter("q").orderBy(F.xxhash64("id", F.lit(3))).limit(AUDIT).select("id", "v").collect()
-    if not audit or blocks < 4:
-        return blocks
+    best = merged.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    return best.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _distinct_best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Rows of the k best ids and some to spare (rounding may turn them about), the best row of each id."""
+    m = 2 * k
+    while True:
+        at = _best(scores, ids, m)
+        at = at[np.isfinite(scores[at])]
+        at = at[np.sort(np.unique(ids[at], return_index=True)[1])]
+        if len(at) > k or m >= len(scores):
+            return at[: 2 * k]
+        m *= 4
+
+
+def _radius(ranked: DataFrame, kind: str, k: int, target: float, rows: int) -> int:
+    """The least number of rows on either side whose windows hold ``target`` of the audit's true neighbours."""
+    spark = ranked.sparkSession
+    one = ranked.filter("curve = 0")
+    audit = one.filter("q").orderBy(F.xxhash64("id", F.lit(3)), "id").limit(AUDIT).select("id", "v").collect()
+    if not audit:
+        return 0
     ask_ids = np.array([r["id"] for r in audit])
     asks = unit(stacked([bytes(r["v"]) for r in audit], kind))
 
@@ -193,16 +202,19 @@ def _radius(blocked: DataFrame, kind: str, k: int, target: float, blocks: int) -
             ids = b.column(0).to_numpy()
             s = asks @ unit(stacked(b.column(1).to_pylist(), kind)).T
             s[ask_ids[:, None] == ids[None, :]] = -np.inf
-            out = [(int(ask_ids[i]), int(ids[j]), float(s[i, j])) for i in range(len(asks)) for j in _best(s[i], ids, k) if np.isfinite(s[i, j])]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["ask", "id", "s"])
+            out = [(int(ask_ids[i]), int(ids[j]), float(s[i, j])) for i in range(len(asks)) for j in _distinct_best(s[i], ids, k)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["ask", "id", "s"])
 
-    near = one.select("id", "v").mapInArrow(brute, "ask long, id long, s double")
-    near = near.distinct().withColumn("r", F.row_number().over(Window.partitionBy("ask").orderBy(F.desc("s"), "id"))).filter(F.col("r") <= k)
+    near = one.select("id", "v").mapInArrow(lean(brute), "ask long, id long, s double").groupBy("ask", "id").agg(F.max("s").alias("s"))
+    near = near.withColumn("r", F.row_number().over(Window.partitionBy("ask").orderBy(F.desc("s"), "id"))).filter(F.col("r") <= k)
     pairs = [(r["ask"], r["id"]) for r in near.collect()]  # at most AUDIT * k
+    if not pairs:
+        return 0
     wanted = sorted({x for p in pairs for x in p})
     # at most AUDIT * (k + 1) ids: a proven bound
     ids = F.broadcast(spark.createDataFrame([(x,) for x in wanted], "id long"))
-    at = {(r["curve"], r["id"]): r["block"] for r in blocked.join(ids, "id").select("curve", "id", "block").collect()}
+    at = {(r["curve"], r["id"]): r["rank"] for r in ranked.join(ids, "id").groupBy("curve", "id").agg(F.min("rank").alias("rank")).collect()}
     curves = sorted({c for c, _ in at})
     gaps = sorted(min(abs(at[c, a] - at[c, b]) for c in curves) for a, b in pairs)
-    return gaps[min(len(gaps) - 1, int(np.ceil(target * len(gaps))) - 1)] if gaps else 1
+    return min(rows, max(2 * k, gaps[min(len(gaps) - 1, int(np.ceil(target * len(gaps))) - 1)]))

@@ -2,14 +2,17 @@
 
 Whole texts are pre-tokenised in blocks.  A block (one run of documents in one
 task) keeps, for each pre-token position, the index of its word in the block's
-dictionary; the dictionary's words are dealt by hash to word buckets.  There
-every distinct word of the corpus is encoded once; its ids go back to the
-blocks that asked, which reassemble their documents by position.  Decoding
-joins ids with the fixed token-byte table.
+dictionary; a row goes out for each word of the dictionary.  The rows are dealt
+and sorted by word, so every distinct word of the corpus is encoded once, in a
+stream; its ids go back to the blocks that asked, which reassemble their
+documents by position.  Decoding joins ids with the fixed token-byte table.
+
+Words are told apart by their bytes: a block whose dictionary doesn't give its
+texts back (two words with one 64-bit hash) is read again with another hash.
 
 Skew: a frequent word crosses the shuffle once per block, never once per
-occurrence.  Memory: a block is bounded in bytes, a bucket by the number of
-buckets, which follows the shuffle partitions.
+occurrence, and words are encoded in a stream.  Memory: a block is bounded in
+bytes (or one document).
 
 Nulls: a null text is an empty text (no tokens).  A null doc_id is kept.
 Repeated rows give repeated result rows.  Extra columns are ignored.
@@ -19,20 +22,22 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import WIDE_SLICE, gather, mix, pretokens, slices, span_hashes
+from .batches import WIDE_SLICE, gather, lean, pretokens, slices, span_hashes
 from .spark_util import parallelism
 
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 
 
 @lru_cache(maxsize=4)
@@ -74,106 +79,131 @@ def unpack(b: bytes, dtype) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), dtype)
 
 
+class Collision(Exception):
+    """Two different words of a block share a hash."""
+
+
 class Block:
-    """Distinct words of a run of slices, and each document's positions as indexes into them."""
+    """Distinct words of a run of slices, and each document's positions as indexes into them (the most frequent word first)."""
 
-    def __init__(self) -> None:
-        self.bytes, self.docs, self.hashes, self.words, self.size = 0, [], [], [], []
+    def __init__(self, seed: int) -> None:
+        self.seed, self.bytes, self.docs, self.seen = seed, 0, [], []
         self.known = np.empty(0, np.uint64)
+        self.flat, self.start, self.size, self.count = np.empty(0, np.uint8), *(np.empty(0, np.int64) for _ in range(3))
 
     def add(self, s, pattern: str) -> None:
         starts, ends, first = pretokens(s, pattern)
-        h, at, inv = np.unique(span_hashes(s.data, starts, ends), return_index=True, return_inverse=True)
+        if self.seed:
+            data = s.data.tobytes()
+            h = np.array([xxhash.xxh3_64_intdigest(data[a:z], self.seed) for a, z in zip(starts.tolist(), ends.tolist(), strict=True)], np.uint64)
+        else:
+            h = span_hashes(s.data, starts, ends)
+        u, at, inv, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+        new = np.flatnonzero(~np.isin(u, self.known, assume_unique=True))
+        a, z = starts[at[new]], ends[at[new]]
+        place = np.searchsorted(self.known, u[new])
+        self.start = np.insert(self.start, place, len(self.flat) + np.cumsum(z - a) - (z - a))
+        self.size, self.known = np.insert(self.size, place, z - a), np.insert(self.known, place, u[new])
+        self.count = np.insert(self.count, place, 0)
+        self.flat = np.concatenate((self.flat, gather(s.data, a, z - a, np.arange(len(new)))[0]))
+        where = np.searchsorted(self.known, u)
+        self.count[where] += n
+        # the dictionary's words, put together again, must be the text: hashes alone don't decide
+        if not np.array_equal(gather(self.flat, self.start, self.size, where[inv])[0], s.data):
+            raise Collision
         ids = s.rows.column(s.rows.schema.get_field_index("doc_id")).to_pylist()
-        self.docs.append((ids, h[inv], first, [hashlib.sha256(s.text(i)).digest() for i in range(len(ids))]))
-        new = ~np.isin(h, self.known, assume_unique=True)
-        at = at[new]
-        self.known = np.union1d(self.known, h[new])
-        self.hashes.append(h[new])
-        a, b = starts[at], ends[at]
-        self.words.append(gather(s.data, a, b - a, np.arange(len(at)))[0])
-        self.size.append(b - a)
+        self.docs.append((ids, h, first, [hashlib.sha256(s.text(i)).digest() for i in range(len(ids))]))
         self.bytes += len(s.data)
 
-    def order(self) -> np.ndarray:
-        """Hashes in the block's dictionary order: sorted."""
-        return self.known
+    def rank(self) -> np.ndarray:
+        """The place of every known word in the block's dictionary order."""
+        out = np.empty(len(self.known), np.uint32)
+        out[np.argsort(-self.count, kind="stable")] = np.arange(len(self.known))
+        return out
 
-    def mark(self) -> str:
+    def mark(self) -> int:
         """The block's name, from its ids and texts: words and positions read apart then meet, or not at all."""
         parts = [x for ids, _, _, sha in self.docs for x in (str(ids).encode(), *sha)]
-        return hashlib.blake2b(b"".join(parts), digest_size=16).hexdigest()
+        return xxhash.xxh3_64_intdigest(b"".join(parts)) - (1 << 63)
 
 
-def blocks(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[tuple[str, Block]]:
-    b = Block()
+def blocks(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[Block]:
+    held, size = [], 0
     for s in slices(batches, cap=WIDE_SLICE):
-        b.add(s, pattern)
-        if b.bytes >= BLOCK_BYTES:
-            yield b.mark(), b
-            b = Block()
-    if b.docs:
-        yield b.mark(), b
-
+        held.append(s)
+        size += len(s.data)
+        if size >= BLOCK_BYTES:
+            yield _block(held, pattern)
+            held, size = [], 0
+    if held:
+        yield _block(held, pattern)
+
+
+def _block(held: list, pattern: str) -> Block:
+    for seed in range(64):
+        b = Block(seed)
+        try:
+            for s in held:
+                b.add(s, pattern)
+            return b
+        except Collision:
+            continue
+    raise RuntimeError("no hash tells the words of a block apart")
+
+
+def _words_of(pattern: str):
+    schema = pa.schema([("block", pa.int64()), ("at", pa.int32()), ("word", pa.binary())])
 
-def _words_of(pattern: str, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, b in blocks(batches, pattern):
-            h, flat, size = np.concatenate(b.hashes), np.concatenate(b.words), np.concatenate(b.size)
-            start = np.cumsum(size) - size
-            bucket = (mix(h) % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((h, bucket))
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            out: dict[str, list] = {"bucket": [], "block": [], "words": [], "sizes": [], "hashes": []}
-            for k in range(buckets):
-                pick = order[cuts[k] : cuts[k + 1]]
-                if len(pick):
-                    for c, v in zip(out, (k, name, pack(gather(flat, start, size, pick)[0]), pack(size[pick].astype(np.uint32)), pack(h[pick])), strict=True):
-                        out[c].append(v)
-            out.pop("hashes")
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("bucket", pa.int64()), ("block", pa.string()), ("words", pa.binary()), ("sizes", pa.binary())]))
+        for b in blocks(batches, pattern):
+            name, rank = b.mark(), b.rank()
+            for k in range(0, len(rank), 50_000):
+                pick = np.arange(k, min(k + 50_000, len(rank)))
+                flat, ends = gather(b.flat, b.start, b.size, pick)
+                offsets = np.concatenate(([0], ends)).astype(np.int32)
+                word = pa.Array.from_buffers(pa.binary(), len(pick), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(flat.tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pick), name, np.int64)), pa.array(rank[pick].astype(np.int32)), word], schema=schema)
 
     return run
 
 
-def _encode_bucket(path: str, pattern: str):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """All askers of one bucket: each distinct word is encoded once."""
-        encode, known, out = piece_encoder(path, pattern), {}, []
-        for block, words, sizes in zip(pdf["block"], pdf["words"], pdf["sizes"], strict=True):
-            flat = zstandard.ZstdDecompressor().decompress(words)
-            at, ids, n = 0, [], []
-            for z in unpack(sizes, np.uint32).tolist():
-                w = flat[at : at + z]
-                at += z
-                got = known.get(w)
-                if got is None:
-                    got = known[w] = encode(w)
-                ids += got
-                n.append(len(got))
-            out.append((block, pdf["bucket"].iloc[0], pack(np.array(ids, np.uint32)), pack(np.array(n, np.uint32)), None, None, None, None))
-        return pd.DataFrame(out, columns=["block", "bucket", "ids", "counts", "doc_ids", "positions", "bounds", "digests"])
+_PARTS = "block long, at int, data binary"
 
-    return run
 
+def _encoded(path: str, pattern: str):
+    schema = pa.schema([("block", pa.int64()), ("at", pa.int32()), ("data", pa.binary())])
 
-_PARTS = "block string, bucket long, ids binary, counts binary, doc_ids binary, positions binary, bounds binary, digests binary"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Words in their order: each distinct one is encoded once, however many blocks ask for it."""
+        encode, last, ids = piece_encoder(path, pattern), None, b""
+        for b in batches:
+            out = []
+            for w in b.column(2).to_pylist():
+                if w != last:
+                    last, ids = w, np.array(encode(w), "<u4").tobytes()
+                out.append(ids)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], schema=schema)
+
+    return run
 
 
 def _positions_of(pattern: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import json
+    """One row for each block, at -1: its documents' ids, positions, bounds and digests."""
+    schema = pa.schema([("block", pa.int64()), ("at", pa.int32()), ("data", pa.binary())])
 
-        schema = pa.schema([("block", pa.string()), ("bucket", pa.int64()), *((c, pa.binary()) for c in ("ids", "counts", "doc_ids", "positions", "bounds", "digests"))])
-        for name, b in blocks(batches, pattern):
-            order, ids, idx, bounds, digests, base = b.order(), [], [], [0], [], 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in blocks(batches, pattern):
+            rank = b.rank()
+            ids, idx, bounds, digests, base = [], [], [0], [], 0
             for d, h, first, sha in b.docs:
                 ids += d
-                idx.append(np.searchsorted(order, h).astype(np.uint32))
+                idx.append(rank[np.searchsorted(b.known, h)])
                 bounds += (first[1:] + base).tolist()
                 base += len(h)
                 digests += sha
-            yield pa.RecordBatch.from_pydict({"block": [name], "bucket": [-1], "ids": [None], "counts": [None], "doc_ids": [pack(np.frombuffer(json.dumps(ids).encode(), np.uint8))], "positions": [_pack_planes(np.concatenate(idx))], "bounds": [pack(np.array(bounds, np.int64))], "digests": [pack(np.frombuffer(b"".join(digests) + pack(order), np.uint8))]}, schema=schema)
+            parts = [pack(np.frombuffer(json.dumps([len(rank), ids]).encode(), np.uint8)), _pack_planes(np.concatenate(idx)), pack(np.array(bounds, np.int64)), pack(np.frombuffer(b"".join(digests), np.uint8))]
+            data = np.array([len(x) for x in parts], "<i8").tobytes() + b"".join(parts)
+            yield pa.RecordBatch.from_pydict({"block": [b.mark()], "at": [-1], "data": [data]}, schema=schema)
 
     return run
 
@@ -188,30 +218,29 @@ def _unpack_planes(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
-def _reassemble(path: str, buckets: int):
+def _reassemble(path: str):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """One block: put the buckets' ids in dictionary order, then join them by position."""
-        import json
-
-        heads = pdf[pdf["bucket"] == -1]
-        rest = pdf[pdf["bucket"] >= 0].drop_duplicates("bucket").sort_values("bucket")  # blocks that are equal throughout asked twice
-        if not len(heads):
+        """One block: its words' ids in dictionary order, then joined by position."""
+        at = pdf["at"].to_numpy()
+        heads = pdf["data"][at < 0].tolist()
+        told = np.flatnonzero(at >= 0)
+        told = told[np.unique(at[told], return_index=True)[1]]  # blocks that are equal throughout asked twice
+        if not heads:
             raise RuntimeError("a block's positions are missing: its input rows changed between two reads")
-        flat = np.concatenate([unpack(x, np.uint32) for x in rest["ids"]] or [np.empty(0, np.uint32)])
-        size = np.concatenate([unpack(x, np.uint32) for x in rest["counts"]] or [np.empty(0, np.uint32)]).astype(np.int64)
+        data = pdf["data"].to_numpy()[told].tolist()
+        flat = np.frombuffer(b"".join(data), "<u4")
+        size = np.array([len(x) // 4 for x in data], np.int64)
+        start = np.cumsum(size) - size
         rows = []
-        for head in heads.itertuples():
-            doc_ids = json.loads(unpack(head.doc_ids, np.uint8).tobytes())
-            bounds, raw = unpack(head.bounds, np.int64), unpack(head.digests, np.uint8).tobytes()
-            sha, known = raw[: 32 * len(doc_ids)], unpack(raw[32 * len(doc_ids) :], np.uint64)
-            if len(size) != len(known):
+        for head in heads:
+            ends = np.cumsum(np.frombuffer(head, "<i8", 4)) + 32
+            names, positions, bounds, sha = (head[a:z] for a, z in zip([32, *ends[:-1].tolist()], ends.tolist(), strict=True))
+            n, doc_ids = json.loads(unpack(names, np.uint8).tobytes())
+            if n != len(size):
                 raise RuntimeError("a block's words are missing: its input rows changed between two reads")
-            order = np.lexsort((known, (mix(known) % np.uint64(buckets)).astype(np.int64)))  # as the words were dealt
-            start_at, size_at = np.empty(len(size), np.int64), np.empty(len(size), np.int64)
-            start_at[order], size_at[order] = np.cumsum(size) - size, size
-            pos = _unpack_planes(head.positions)
+            pos, bounds, sha = _unpack_planes(positions), unpack(bounds, np.int64), unpack(sha, np.uint8).tobytes()
             for i, d in enumerate(doc_ids):
-                ids, _ = gather(flat, start_at, size_at, pos[bounds[i] : bounds[i + 1]])
+                ids, _ = gather(flat, start, size, pos[bounds[i] : bounds[i + 1]])
                 decoded = hashlib.sha256(decode_ids(ids, path))
                 if decoded.digest() != sha[32 * i : 32 * i + 32]:
                     raise RuntimeError(f"document {d}: decoding does not give its text back")
@@ -221,22 +250,19 @@ def _reassemble(path: str, buckets: int):
     return run
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, buckets: int | None = None, digest: bool = False) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, digest: bool = False) -> DataFrame:
     """Encode every whole text, then decode the ids and check the round trip.
 
     Returns doc_id, n_tokens, ids (binary, little-endian unsigned 32-bit; with
     ``digest`` instead ids_sha256 of the decimal ids joined by commas) and
-    decoded_sha256.  ``buckets``: word buckets, by default twice the shuffle
-    partitions.  Input rows must read the same twice (files do); a block whose
-    rows changed raises instead of giving wrong ids.
+    decoded_sha256.  Input rows must read the same twice (files do); a block
+    whose rows changed raises instead of giving wrong ids.
     """
-    spark = docs.sparkSession
-    n = buckets or 2 * parallelism(spark)
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    asked = texts.mapInArrow(_words_of(pattern, n), "bucket long, block string, words binary, sizes binary")
-    told = asked.groupBy("bucket").applyInPandas(_encode_bucket(ranks_path, pattern), _PARTS)
-    parts = told.unionByName(texts.mapInArrow(_positions_of(pattern), _PARTS))
-    whole = _reassemble(ranks_path, n)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    asked = texts.mapInArrow(lean(_words_of(pattern)), "block long, at int, word binary")
+    dealt = asked.repartition(parallelism(docs.sparkSession), "word").sortWithinPartitions("word")
+    parts = dealt.mapInArrow(lean(_encoded(ranks_path, pattern)), _PARTS).unionByName(texts.mapInArrow(lean(_positions_of(pattern)), _PARTS))
+    whole = _reassemble(ranks_path)
     if not digest:
         return parts.groupBy("block").applyInPandas(whole, "doc_id long, n_tokens long, ids binary, decoded_sha256 string")
 
@@ -256,4 +282,4 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
             out = [None if x is None else decode_ids(np.frombuffer(x, "<u4"), ranks_path) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text binary").withColumn("text", F.col("text").cast("string"))
+    return encoded.select("doc_id", "ids").mapInArrow(lean(run), "doc_id long, text binary").withColumn("text", F.col("text").cast("string"))

@@ -33,12 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .batches import lean
 from .graph import components
 from .minhash import _labels
-from .spark_util import parallelism, written
+from .spark_util import heavy_join, parallelism, written
 from .vectors import cosine, element, matrix, stacked, unit, valid
 
-BLOCK = 512
+BLOCK = 2048
 AUDIT = 1024
 CODE_BITS = 32
 
@@ -67,7 +68,7 @@ def _means(nodes: DataFrame, kind: str) -> dict[int, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(d, d, np.int32)), pa.array(np.arange(d, dtype=np.int32)), pa.array(x), pa.array(np.full(d, n[d]))], ["d", "i", "x", "n"])
 
     out: dict[int, np.ndarray] = {}
-    for r in nodes.select("v").mapInArrow(sums, "d int, i int, x double, n long").groupBy("d", "i").agg((F.sum("x") / F.sum("n")).alias("m")).collect():
+    for r in nodes.select("v").mapInArrow(lean(sums), "d int, i int, x double, n long").groupBy("d", "i").agg((F.sum("x") / F.sum("n")).alias("m")).collect():
         out.setdefault(r["d"], np.zeros(r["d"]))[r["i"]] = r["m"]
     return out
 
@@ -93,7 +94,7 @@ def _first_graph(nodes: DataFrame, kind: str, orders: range, reach: int, means:
                     some = pa.array(at, pa.int32())
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t, np.int32)), b.column(1).take(some), pa.array(np.full(len(at), x.shape[1], np.int32)), pa.array(code), b.column(0).take(some), b.column(2).take(some)], ["t", "label", "d", "code", "id", "v"])
 
-    rows = nodes.select("id", "label", "v").mapInArrow(coded, "t int, label long, d int, code long, id long, v binary")
+    rows = nodes.select("id", "label", "v").mapInArrow(lean(coded), "t int, label long, d int, code long, id long, v binary")
     # ranges of whole codes overlap nowhere; a pair cut apart by a boundary meets in other orders
     dealt = rows.repartitionByRange(parallelism(spark), "t", "label", "d", "code", "id").sortWithinPartitions("t", "label", "d", "code", "id")
 
@@ -119,7 +120,7 @@ def _first_graph(nodes: DataFrame, kind: str, orders: range, reach: int, means:
                         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c), pa.array(s[ok])], ["a", "b", "s"])
             tail = rows.slice(max(0, rows.num_rows - reach))
 
-    return dealt.mapInArrow(near, "a long, b long, s double").groupBy("a", "b").agg(F.max("s").alias("s"))
+    return dealt.mapInArrow(lean(near), "a long, b long, s double").groupBy("a", "b").agg(F.max("s").alias("s"))
 
 
 def _ranked(edges: DataFrame) -> DataFrame:
@@ -142,21 +143,62 @@ def _join_neighbours(edges: DataFrame, nodes: DataFrame, kind: str, k: int, thre
     known = nodes.select("id", "v").join(worst.hint("merge"), "id").select(F.col("id").alias("nb"), "v", "worst")
     with_v = ranked.join(known.hint("merge"), "nb").select("id", "nb", "v", "worst")
 
-    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, worst = pdf["nb"].to_numpy(), pdf["worst"].to_numpy()
-        u = unit(stacked(pdf["v"].tolist(), kind))
-        s = u @ u.T
-        i, j = np.nonzero(np.triu((s > np.minimum(worst[:, None], worst[None, :])) | (s >= threshold), 1))
-        a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
-        return pd.DataFrame({"a": a, "b": b, "s": s[i, j]})
-
-    return with_v.groupBy("id").applyInPandas(pairs, "a long, b long, s double").filter("a < b")
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All pairs of every list; lists are padded to k rows, so many are compared at once."""
+        held = None
+        for b in _ending(batches):
+            rows = pa.Table.from_batches([x for x in (held, b) if x is not None]).combine_chunks() if b is not None else held
+            if rows is None or not rows.num_rows:
+                continue
+            owner = rows.column("id").to_numpy()
+            cut = rows.num_rows if b is None else int(np.searchsorted(owner, owner[-1], "left"))
+            held = None if b is None else rows.slice(cut).combine_chunks().to_batches()[0]
+            yield from _list_pairs(rows.slice(0, cut), kind, k, threshold)
+
+    lists = with_v.repartition(parallelism(nodes.sparkSession), "id").sortWithinPartitions("id", "nb")
+    return lists.mapInArrow(lean(pairs), "a long, b long, s double")
+
+
+def _ending(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    """The batches that hold rows, then None."""
+    for b in batches:
+        if b.num_rows:
+            yield b
+    yield None
+
+
+def _list_pairs(rows: pa.Table, kind: str, k: int, threshold: float) -> Iterator[pa.RecordBatch]:
+    if not rows.num_rows:
+        return
+    owner, nb, worst = (rows.column(c).to_numpy() for c in ("id", "nb", "worst"))
+    v = rows.column("v").to_pylist()
+    size = np.array([len(x) for x in v])
+    for z in np.unique(size):
+        at = np.flatnonzero(size == z)
+        group = np.unique(owner[at], return_inverse=True)[1]
+        place = np.arange(len(at)) - np.searchsorted(group, group)
+        u = unit(stacked([v[i] for i in at], kind))
+        for lo in range(0, int(group[-1]) + 1, 2000):  # so many lists at a time
+            a, e = np.searchsorted(group, [lo, lo + 2000])
+            g, p = group[a:e] - lo, place[a:e]
+            m = np.zeros((int(g[-1]) + 1, k, u.shape[1]))
+            m[g, p] = u[a:e]
+            row = np.full((len(m), k), -1)
+            row[g, p] = at[a:e]
+            s = m @ m.transpose(0, 2, 1)
+            least = np.where(row >= 0, worst[row], np.inf)
+            hit = (s > np.minimum(least[:, :, None], least[:, None, :])) | (s >= threshold)
+            hit &= (row >= 0)[:, :, None] & (row >= 0)[:, None, :] & np.triu(np.ones((k, k), bool), 1)
+            x, i, j = np.nonzero(hit)
+            n, o = nb[row[x, i]], nb[row[x, j]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(n, o)), pa.array(np.maximum(n, o)), pa.array(s[x, i, j])], ["a", "b", "s"])
 
 
 def _block_pairs(members: DataFrame, group: list[str]) -> DataFrame:
     """Rows of every group dealt to pairs of blocks lo <= hi."""
-    sizes = members.groupBy(*group).agg(F.count(F.lit(1)).alias("size"))
-    dealt = members.join(sizes.hint("merge"), group).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    members = written(members)
+    sizes = written(members.groupBy(*group).agg(F.count(F.lit(1)).alias("size")))
+    dealt = heavy_join(members, sizes, group, "size").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     sides = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return sides.select(*group, F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", *(c for c in members.columns if c not in group))
@@ -227,7 +269,7 @@ def _audit(nodes: DataFrame, found: DataFrame, kind: str, threshold: float) -> f
                     ok = ask[i] != ids[at[j]]
                     yield pa.RecordBatch.from_arrays([pa.array(ask[i][ok]), pa.array(ids[at[j]][ok])], ["a", "b"])
 
-    true = nodes.select("id", "label", "v").mapInArrow(brute, "a long, b long").distinct()
+    true = nodes.select("id", "label", "v").mapInArrow(lean(brute), "a long, b long").distinct()
     joined = true.join(found.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left").join(found.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
     each = joined.groupBy("a").agg(F.avg(F.when(F.col("ca") == F.col("cb"), 1.0).otherwise(0.0)).alias("share"))
     share = each.agg(F.avg("share")).first()[0]
@@ -256,7 +298,7 @@ def dedup(table: DataFrame, threshold: float = 0.98, k: int = 12, reach: int = 6
                     blobs[i] = r.tobytes()
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(blobs, pa.binary())], ["vec_id", "label", "v"])
 
-    each = written(good.select("vec_id", "label", "e").mapInArrow(packed, "vec_id long, label long, v binary"))
+    each = written(good.select("vec_id", "label", "e").mapInArrow(lean(packed), "vec_id long, label long, v binary"))
     # equal vectors of a label are one node: its smallest vec_id, m rows
     nodes = written(each.groupBy("label", "v").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("m")))
     # two nodes may share a vec_id (repeated ids with other vectors): nodes are told apart by a number of their own
@@ -284,11 +326,12 @@ def dedup(table: DataFrame, threshold: float = 0.98, k: int = 12, reach: int = 6
         tries += 1
         edges = written(_kept(edges.unionByName(_first_graph(nodes, kind, range(used, used + n_orders), reach, means)), k, threshold))
         used += n_orders
-    members = nodes.join(found.hint("merge"), "id")
-    lowest = members.groupBy("component").agg(F.min("first").alias("component_id"))
+    members = written(nodes.join(found.hint("merge"), "id"))
+    lowest = written(members.groupBy("component").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("size")))
     links = _exact_links(members.select("id", "component", "m", "v"), kind, threshold)
-    node_out = nodes.join(found.hint("merge"), "id", "left").join(links.hint("merge"), "id", "left").join(lowest.hint("merge"), "component", "left")
-    node_out = node_out.select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component_id", "first").alias("component_id"))
-    out = each.join(node_out.hint("merge"), ["label", "v"]).select("vec_id", "n_links", "component_id")
+    linked = heavy_join(members, lowest, ["component"], "size").join(links.hint("merge"), "id", "left")
+    linked = linked.select("label", "v", "m", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), "component_id")
+    single = nodes.join(found.hint("merge"), "id", "left_anti").select("label", "v", "m", (F.col("m") - 1).alias("n_links"), F.col("first").alias("component_id"))
+    out = heavy_join(each, written(linked.unionByName(single)), ["label", "v"], "m").select("vec_id", "n_links", "component_id")
     alone = rows.filter(F.col("vec_id").isNull() | F.col("label").isNull() | ~F.coalesce(valid(F.col("e")), F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

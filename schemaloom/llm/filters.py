@@ -20,6 +20,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import lean
+
 RANGE_BITS = 20  # bits of the filter in one range, as a power of two
 FAN_IN = 256
 _SCHEMA = pa.schema([("range", pa.int32()), ("part", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())])
@@ -76,7 +78,7 @@ def _partials(hashes: Callable, bits: int):
         for h in hashes(batches):
             held.append(bit_of(h, bits).astype(np.uint32))
             n += len(h)
-            if n >= 4_000_000:
+            if n >= 1_000_000:
                 yield _flush(held, part)
                 held, n = [], 0
         if n:
@@ -110,7 +112,7 @@ def twice_seen(df: DataFrame, hashes: Callable, bits: int) -> Twice:
 
     At most 2**bits / 8 bytes reach the driver and are broadcast.
     """
-    parts = df.mapInArrow(_partials(hashes, bits), _DDL)
+    parts = df.mapInArrow(lean(_partials(hashes, bits)), _DDL)
     n = df.rdd.getNumPartitions()
     while True:  # a tree: no task merges more than FAN_IN partial filters of a range
         group = F.floor(F.col("part") / FAN_IN).cast("int")

@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import lean
 from .filters import Twice, twice_seen
 from .spark_util import bitmap, heavy_join, in_bitmap, written
 
@@ -90,7 +91,7 @@ def repeated_keys(docs: DataFrame, least: int = 10, bits: int = BITS) -> DataFra
     """doc, c (check of the row's text), digest of every key that a row must lose: a document of smaller id holds it."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), _check().alias("c"), F.col("text").cast("binary").alias("text"))
     twice = docs.sparkSession.sparkContext.broadcast(twice_seen(texts, _hashes(least), bits))
-    suspects = written(texts.mapInArrow(_suspects(least, twice), "doc long, c long, digest binary"))
+    suspects = written(texts.mapInArrow(lean(_suspects(least, twice)), "doc long, c long, digest binary"))
     first = suspects.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count(F.when(F.col("doc").isNull(), 1)).alias("nulls"), F.count(F.lit(1)).alias("k"))
     first = written(first.filter("first < last or (first is not null and nulls > 0)").select("digest", "first", "k"))
     return heavy_join(suspects, first, ["digest"], "k").filter("doc is null or doc > first").select("doc", "c", "digest")
@@ -103,11 +104,12 @@ def dedup_lines(docs: DataFrame, least: int = 10, bits: int = BITS) -> DataFrame
     # the columns of docs travel in a struct, so their names can't clash; documents that lose nothing stay where they are
     row = F.struct(*docs.columns).alias("row")
     left = docs.filter(touched).select(row, F.col("doc_id").cast("long").alias("d"), _check().alias("c"))
-    some = left.join(gone.hint("merge"), left["d"].eqNullSafe(gone["doc"]) & (left["c"] == gone["c"]), "left").select("row", "gone")
-    rest = docs.filter(~touched).select(row, F.lit(None).cast("array<binary>").alias("gone"))
-    kept = some.unionByName(rest).withColumn("kept", _keep(least)(F.col("row.text").cast("binary"), F.col("gone")))
+    kept = left.join(gone.hint("merge"), left["d"].eqNullSafe(gone["doc"]) & (left["c"] == gone["c"]), "left").withColumn("kept", _keep(least)(F.col("row.text").cast("binary"), F.col("gone")))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    whole = F.struct(text.cast("binary").alias("text"), F.size(F.split(text, "\n", -1)).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
+    both = kept.select("row", "kept").unionByName(docs.filter(~touched).select(row, whole.alias("kept")))
     out = [F.col("row")[c].alias(c) for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
-    return kept.select(*out, F.col("kept.text").cast("string").alias("text"), F.col("kept.n_lines").alias("n_lines"), F.col("kept.n_dropped").alias("n_dropped"))
+    return both.select(*out, F.col("kept.text").cast("string").alias("text"), F.col("kept.n_lines").alias("n_lines"), F.col("kept.n_dropped").alias("n_dropped"))
 
 
 def _keep(least: int) -> Callable:

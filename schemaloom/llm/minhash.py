@@ -42,7 +42,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import mix, slices, words
+from .batches import lean, mix, slices, words
 from .filters import FAN_IN
 from .graph import components
 from .spark_util import bitmap, heavy_join, in_bitmap, written
@@ -81,7 +81,7 @@ def _sum(pdf: pd.DataFrame) -> pd.DataFrame:
 def document_frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
     """The number of documents, and how many hold a word of each bucket (8 MiB, whatever the corpus)."""
     ddl = "range int, part int, n long, counts binary"
-    parts, n = texts.mapInArrow(_counts, ddl), texts.rdd.getNumPartitions()
+    parts, n = texts.mapInArrow(lean(_counts), ddl), texts.rdd.getNumPartitions()
     while True:
         parts = parts.groupBy("range", F.floor(F.col("part") / FAN_IN).cast("int").alias("g")).applyInPandas(_sum, ddl)
         n = -(-n // FAN_IN)
@@ -260,7 +260,7 @@ def _verify(threshold: float):
 def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     left = pairs.join(sets.select(F.col("t").alias("b"), F.col("set").alias("y")).hint("merge"), "b")
     both = left.join(sets.select(F.col("t").alias("a"), F.col("set").alias("x")).hint("merge"), "a")
-    return both.select("a", "b", "x", "y").mapInArrow(_verify(threshold), "a long, b long, ok boolean")
+    return both.select("a", "b", "x", "y").mapInArrow(lean(_verify(threshold)), "a long, b long, ok boolean")
 
 
 GROUP_BLOCK = 1024
@@ -338,7 +338,7 @@ def _classed(docs: DataFrame, threshold: float, bands: int, rows: int) -> DataFr
     sc = docs.sparkSession.sparkContext
     texts = docs.select("row", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     weights = sc.broadcast(idf(*document_frequencies(texts)))
-    signed = written(texts.mapInArrow(_signed(weights, bands, rows), "row long, doc_id long, t long, u long, bands array<long>"))
+    signed = written(texts.mapInArrow(lean(_signed(weights, bands, rows)), "row long, doc_id long, t long, u long, bands array<long>"))
     # texts that share a node's 63 bits but not the further 64 get a node of their own (about n * n / 2**64 of n texts)
     clash = written(signed.groupBy("t").agg(F.min("u").alias("lo"), F.max("u").alias("hi")).filter("lo <> hi").select("t", "lo"))
 
@@ -351,7 +351,7 @@ def _classed(docs: DataFrame, threshold: float, bands: int, rows: int) -> DataFr
     nodes = signed.groupBy("t").agg(F.first("bands").alias("bands")).filter(F.size("bands") > 0)
     buckets = _bucketed(nodes)
     wanted = bitmap(buckets.select("t").unionByName(clash.select("t")), "t")
-    sets = texts.mapInArrow(_shingle_sets(weights, wanted), "t long, u long, set binary").dropDuplicates(["t", "u"])
+    sets = texts.mapInArrow(lean(_shingle_sets(weights, wanted)), "t long, u long, set binary").dropDuplicates(["t", "u"])
     sets = written(sets.drop("u") if clash.isEmpty() else told_apart(sets))
     pairs = buckets.filter("low < t").select(F.col("low").alias("a"), F.col("t").alias("b")).distinct()
     links = written(_similar(pairs, sets, threshold).filter("ok").select("a", "b"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import WIDE_SLICE, gather, pretokens, slices
+from .batches import WIDE_SLICE, gather, lean, pretokens, slices
 from .batches import span_hashes as _hashes
 from .spark_util import written
 
@@ -64,43 +64,50 @@ def _piece_encoder(path: str):
 
 
 class IdCache:
-    """Ids of pre-tokens met before, by 64-bit hash, in sorted arrays; forgotten beyond ``limit`` words."""
+    """Ids of pre-tokens met before, by 64-bit hash and their bytes; forgotten beyond ``limit`` words."""
 
-    def __init__(self, path: str, limit: int = 2_000_000) -> None:
+    def __init__(self, path: str, limit: int = 1_000_000) -> None:
         self.path, self.limit = path, limit
         self.encode, self.special = _piece_encoder(path)
         self.reset()
 
     def reset(self) -> None:
-        self.hash, self.start, self.size = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-        self.flat = np.empty(0, np.uint32)
+        self.hash, self.ids, self.words = np.empty(0, np.uint64), np.empty(0, np.uint32), np.empty(0, np.uint8)
+        self.start, self.size, self.at, self.length = (np.empty(0, np.int64) for _ in range(4))
 
-    def add(self, h: np.ndarray, words: list[bytes]) -> None:
-        """h: sorted hashes not yet known."""
+    def add(self, h: np.ndarray, flat: np.ndarray, length: np.ndarray) -> None:
+        """h: sorted hashes not yet known, of words that lie one after the other in flat."""
         if len(self.hash) + len(h) > self.limit:
             self.reset()
-        ids: list[int] = []
-        size = np.empty(len(words), np.int64)
-        for k, w in enumerate(words):
-            got = self.encode(w)
+        raw, ids, size, z = flat.tobytes(), [], np.empty(len(h), np.int64), 0
+        for k, n in enumerate(length.tolist()):
+            got = self.encode(raw[z : z + n])
             ids += got
             size[k] = len(got)
+            z += n
         at = np.searchsorted(self.hash, h)
-        self.start = np.insert(self.start, at, len(self.flat) + np.cumsum(size) - size)
-        self.size, self.hash = np.insert(self.size, at, size), np.insert(self.hash, at, h)
-        self.flat = np.concatenate((self.flat, np.array(ids, np.uint32)))
-
-    def lookup(self, h: np.ndarray, word_at) -> tuple[np.ndarray, np.ndarray]:
-        """Start and size in ``flat`` for sorted hashes h; word_at(k) gives the bytes of the k-th."""
+        self.start = np.insert(self.start, at, len(self.ids) + np.cumsum(size) - size)
+        self.at = np.insert(self.at, at, len(self.words) + np.cumsum(length) - length)
+        self.size, self.length, self.hash = np.insert(self.size, at, size), np.insert(self.length, at, length), np.insert(self.hash, at, h)
+        self.ids, self.words = np.concatenate((self.ids, np.array(ids, np.uint32))), np.concatenate((self.words, flat))
+
+    def ids_of(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pre-tokens of a buffer, and where those of each end."""
+        h, at, inv = np.unique(_hashes(data, starts, ends), return_index=True, return_inverse=True)
         known = np.isin(h, self.hash, assume_unique=True)
+        if len(self.hash) + int((~known).sum()) > self.limit:
+            self.reset()
+            known[:] = False
         if not known.all():
-            if len(self.hash) + int((~known).sum()) > self.limit:
-                self.reset()
-                known[:] = False
-            new = np.flatnonzero(~known)
-            self.add(h[new], [word_at(k) for k in new.tolist()])
-        at = np.searchsorted(self.hash, h)
-        return self.start[at], self.size[at]
+            a, z = starts[at[~known]], ends[at[~known]]
+            self.add(h[~known], gather(data, a, z - a, np.arange(len(a)))[0], z - a)
+        pick = np.searchsorted(self.hash, h)[inv]
+        # the words looked up, put together, must be the text: hashes alone don't decide
+        if np.array_equal(gather(self.words, self.at, self.length, pick)[0], data):
+            return gather(self.ids, self.start, self.size, pick)
+        raw = data.tobytes()
+        each = [self.encode(raw[x:y]) for x, y in zip(starts.tolist(), ends.tolist(), strict=True)]
+        return np.array([i for x in each for i in x], np.uint32), np.cumsum([len(x) for x in each], dtype=np.int64)
 
 
 @lru_cache(maxsize=1)
@@ -115,12 +122,10 @@ def slice_ids(s, cache: IdCache) -> list[np.ndarray]:
     token's string go through the library itself.
     """
     starts, ends, first = pretokens(s, BYTE_PATTERN)
-    h, at, inv = np.unique(_hashes(s.data, starts, ends), return_index=True, return_inverse=True)
-    raw, a, b = s.data.tobytes(), starts[at].tolist(), ends[at].tolist()
-    start, size = cache.lookup(h, lambda k: raw[a[k] : b[k]])
-    flat, stop = gather(cache.flat, start, size, inv)
+    flat, stop = cache.ids_of(s.data, starts, ends)
     stop = np.concatenate(([0], stop))
     out = [flat[stop[first[i]] : stop[first[i + 1]]] for i in range(len(first) - 1)]
+    raw = s.data.tobytes()
     for t in cache.special:
         if t in raw:
             for i in range(len(out)):
@@ -146,7 +151,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, closing_id: int)
                     rows.append((d, k, cuts[k], len(part), zlib.crc32(part.tobytes())))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(lean(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -177,7 +182,7 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-_BIN = "size long, full boolean, content array<struct<item:long,length:int>>"
+_BIN = "size long, full boolean, content array<struct<item:long,offset:int>>"
 
 
 def _round(capacity: int, slack: int):
@@ -193,7 +198,10 @@ def _round(capacity: int, slack: int):
         out = []
         for b in best_fit(size, capacity):
             total = sum(size[i] for i in b)
-            held = [{"item": int(x["item"]), "length": int(x["length"])} for i in b for x in content[i]]
+            held, base = [], 0
+            for i in b:
+                held += [{"item": int(x["item"]), "offset": base + int(x["offset"])} for x in content[i]]
+                base += size[i]
             out.append((total, total >= capacity - slack, held))
             if len(out) >= 5_000:
                 yield pd.DataFrame(out, columns=["size", "full", "content"])
@@ -214,7 +222,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, closing_id:
     all_pieces = written(pieces(docs, tokenizer_path, capacity, closing_id).withColumn("item", F.monotonically_increasing_id()))
     whole = all_pieces.filter(F.col("length") == capacity)
     small = all_pieces.filter(F.col("length") < capacity)
-    one = F.array(F.struct(F.col("item"), F.col("length").cast("int").alias("length")))
+    one = F.array(F.struct(F.col("item"), F.lit(0).alias("offset")))
     items = small.select(F.col("length").alias("size"), F.lit(False).alias("full"), one.alias("content"))
     left = small.count()
     done: list[DataFrame] = []
@@ -223,7 +231,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, closing_id:
     before = None
     while left:
         dealt = items.repartition(tasks, F.xxhash64(F.col("content")[0]["item"]))
-        bins = written(dealt.mapInPandas(_round(capacity, NEARLY_FULL), _BIN))
+        bins = written(dealt.mapInPandas(lean(_round(capacity, NEARLY_FULL)), _BIN))
         done.append(bins.filter("full"))
         items = bins.filter(~F.col("full"))
         now = items.count()
@@ -239,9 +247,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, closing_id:
     whole = whole.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("item") * 64).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     if seq is None:
         return whole
-    placed = seq.select("sequence_id", F.posexplode("content").alias("k", "x"), "content").select(
-        "sequence_id", F.col("x.item").alias("item"), F.aggregate(F.slice("content", 1, F.col("k")), F.lit(0).cast("long"), lambda a, x: a + x["length"]).alias("offset")
-    )
+    placed = seq.select("sequence_id", F.explode("content").alias("x")).select("sequence_id", F.col("x.item").alias("item"), F.col("x.offset").cast("long").alias("offset"))
     # no broadcast: the placements grow with the corpus
     packed = small.hint("merge").join(placed, "item").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
     return packed.unionByName(whole)

@@ -7,15 +7,19 @@ ratio of their shares above a score.  The model minimises the non-negative
 unbiased risk  prior * R_P(+) + max(0, R_U(-) - prior * R_P(-))  over features
 of the whole text (character classes, word shapes, repetition).
 
-The fit uses a bounded sample: at most ``SAMPLE`` positives and as many
-unlabelled documents, chosen by hash of doc_id; every document is scored.
-Labels, language, source and doc_id are never inputs of a score.
-
-Nulls: a null or empty text is scored as an empty text.  Rows of ``labels``
-with a null doc_id or null quality are ignored; a document whose labels
-disagree isn't a trusted positive.  Without any positive the score is 0.5 for
-all.  Repeated rows are scored one by one.  Extra columns are kept by
-`score_documents`.
+The gradient steps see a bounded sample: at most ``SAMPLE`` trusted positives
+and as many unlabelled documents, each chosen by hash of doc_id.  Everything
+else covers all documents: means and scales of features, the class prior, and
+the margin at which a text counts as good, which follows from the prior and the
+documents' own margins.  Labels of bad text aren't used at all.  Labels,
+language, source and doc_id are never inputs of a score.
+
+Nulls: a null or empty text is scored as an empty text; a document with a null
+doc_id is scored and counted but never in the sample.  Rows of ``labels`` with a
+null doc_id or null quality are ignored; a document whose labels disagree isn't
+a trusted positive.  Without any positive the score is 0.5 for all.  Repeated
+rows are scored one by one.  Extra columns are kept by `score_documents`, but
+for its results' names.
 """
 
 from __future__ import annotations
@@ -29,7 +33,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .batches import slices, words
+from .batches import lean, slices, words
+from .spark_util import written
 
 SAMPLE = 8_000
 
@@ -80,7 +85,7 @@ def features(s) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Standardisation, one hidden layer and a calibrated output."""
+    """Standardisation, one hidden layer, and the margin at which a text counts as good."""
 
     mean: np.ndarray
     scale: np.ndarray
@@ -89,22 +94,23 @@ class Model:
     w2: np.ndarray
     b2: float
     prior: float = 0.5
-    slope: float = 1.0
-    shift: float = 0.0
+    cut: float = 0.0
 
     def margin(self, x: np.ndarray) -> np.ndarray:
         hidden = np.tanh(np.clip((x - self.mean) / self.scale, -6, 6) @ self.w1 + self.b1)
         return hidden @ self.w2 + self.b2
 
+    def bound(self) -> float:
+        """No margin is larger."""
+        return float(np.abs(self.w2).sum() + abs(self.b2))
+
     def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.margin(x) + self.shift, -35, 35)))
+        return 1 / (1 + np.exp(-np.clip(self.margin(x) - self.cut, -35, 35)))
 
 
-def _fit(p: np.ndarray, u: np.ndarray, prior: float | None, steps: int, seed: int, hidden: int = 24) -> Model:
+def _fit(p: np.ndarray, u: np.ndarray, mean: np.ndarray, scale: np.ndarray, prior: float | None, steps: int, seed: int, hidden: int = 24) -> Model:
     """Minimise the risk by Adam; without a prior, plain logistic risk of positives against unlabelled text."""
     rng = np.random.default_rng(seed)
-    both = np.concatenate((p, u))
-    mean, scale = both.mean(0), both.std(0) + 1e-3
     p, u = np.clip((p - mean) / scale, -6, 6), np.clip((u - mean) / scale, -6, 6)
     d = p.shape[1]
     par = [rng.normal(0, 1 / np.sqrt(d), (d, hidden)), np.zeros(hidden), rng.normal(0, 0.3, hidden), np.zeros(1)]
@@ -139,36 +145,108 @@ def _fit(p: np.ndarray, u: np.ndarray, prior: float | None, steps: int, seed: in
     return Model(mean, scale, par[0], par[1], par[2], float(par[3][0]), prior or 0.5)
 
 
-def estimate_prior(p: np.ndarray, u: np.ndarray, seed: int = 0) -> float:
-    """Share of positives in unlabelled text: the least ratio of the two sides' shares above a score.
+# ---- what is counted over all documents -----------------------------------------
+
+
+def featured(docs: DataFrame) -> DataFrame:
+    """doc_id and x (the features, packed) of every row, as a written table."""
+    schema = pa.schema([("doc_id", pa.int64()), ("x", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s in slices(batches):
+            yield pa.RecordBatch.from_arrays([s.rows.column(0), pa.array([r.tobytes() for r in features(s).astype("<f4")], pa.binary())], schema=schema)
+
+    return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(lean(run), "doc_id long, x binary"))
+
+
+def _unpacked(col: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(col.to_pylist()), "<f4").reshape(-1, _N_FEATURES).astype(np.float64)
+
+
+def _moments(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and standard deviation of every feature over all rows; rounded, so that the order of sums doesn't matter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, one, two = 0, np.zeros(_N_FEATURES), np.zeros(_N_FEATURES)
+        for b in batches:
+            x = _unpacked(b.column(0))
+            n, one, two = n + len(x), one + x.sum(0), two + (x * x).sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(_N_FEATURES)), pa.array(np.full(_N_FEATURES, n)), pa.array(one), pa.array(two)], ["k", "n", "one", "two"])
+
+    sums = rows.select("x").mapInArrow(lean(run), "k long, n long, one double, two double").groupBy("k").agg(F.sum("n").alias("n"), F.sum("one").alias("one"), F.sum("two").alias("two")).orderBy("k").collect()
+    n, one, two = (np.array([r[c] for r in sums], float) for c in ("n", "one", "two"))
+    mean = one / np.maximum(n, 1)
+    return np.round(mean, 6), np.round(np.sqrt(np.maximum(0, two / np.maximum(n, 1) - mean * mean)), 6) + 1e-3
+
+
+def _counts(rows: DataFrame, of, size: int) -> np.ndarray:
+    """The sum over all rows of what ``of`` (features, doc_ids to ``size`` counts) gives for each batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
+        for b in batches:
+            if b.num_rows:
+                total += of(_unpacked(b.column(1)), b.column(0))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(total)], ["k", "n"])
+
+    found = rows.select("doc_id", "x").mapInArrow(lean(run), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
+    out = np.zeros(size, np.int64)
+    for r in found:
+        out[r["k"]] = r["n"]
+    return out
+
+
+def estimate_prior(p: np.ndarray, u: np.ndarray, rows: DataFrame, mean: np.ndarray, scale: np.ndarray, seed: int = 0) -> float:
+    """Share of positives among all documents: the least ratio of the two sides' shares above a score.
 
-    Scored crosswise: each half by the model of the other.  Scores are bounded
-    to thresholds that keep a tenth of the positives, for a steady ratio.
+    The positives are scored crosswise, each half by the model of the other; so
+    are the documents, by a hash of their features.  Scores are bounded to cuts
+    that keep a tenth of the positives, for a steady ratio.
     """
-    sp, su = np.empty(len(p)), np.empty(len(u))
-    hp, hu = np.arange(len(p)) % 2, np.arange(len(u)) % 2
+    half = np.arange(len(p)) % 2
+    models = [_fit(p[half == k], u[np.arange(len(u)) % 2 == k], mean, scale, None, 400, seed + k) for k in (0, 1)]
+    sp = np.empty(len(p))
     for k in (0, 1):
-        model = _fit(p[hp == k], u[hu == k], None, 400, seed + k)
-        sp[hp != k], su[hu != k] = model.margin(p[hp != k]), model.margin(u[hu != k])
+        sp[half != k] = models[k].margin(p[half != k])
     cuts = np.quantile(sp, np.linspace(0.02, 0.9, 45))
-    share = lambda s: (s[:, None] >= cuts).mean(0)
-    return float(np.clip((share(su) / np.maximum(share(sp), 1e-9)).min(), 0.05, 0.98))
-
-
-def _platt(m: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic curve through margins and labels."""
-    a, b = 1.0, 0.0
-    target = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
-    for _ in range(100):
-        q = 1 / (1 + np.exp(-np.clip(a * m + b, -35, 35)))
-        g = np.array([((q - target) * m).sum() + 1e-6 * a, (q - target).sum()])
-        w = q * (1 - q) + 1e-9
-        hess = np.array([[(w * m * m).sum() + 1e-6, (w * m).sum()], [(w * m).sum(), w.sum() + 1e-6]])
-        step = np.linalg.solve(hess, g)
-        a, b = a - step[0], b - step[1]
-        if abs(step).max() < 1e-9:
-            break
-    return (float(a), float(b)) if a > 0 else (1.0, 0.0)
+
+    def above(x: np.ndarray, ids: pa.Array) -> np.ndarray:
+        s = np.where((x.sum(1) * 1000).astype(np.int64) % 2 == 0, models[0].margin(x), models[1].margin(x))
+        return np.append((s[:, None] >= cuts).sum(0), len(s))
+
+    n = _counts(rows, above, len(cuts) + 1)
+    share = (sp[:, None] >= cuts).mean(0)
+    return float(np.clip((n[:-1] / max(1, n[-1]) / np.maximum(share, 1e-9)).min(), 0.05, 0.98))
+
+
+BINS = 512
+
+
+def place_cut(model: Model, rows: DataFrame) -> float:
+    """The margin that parts good from bad: the emptiest stretch of all documents' margins near the prior's share.
+
+    Labels take no part.  Candidates are the bins above which 0.8 to 1.2 times the prior's share of documents lies; among
+    equally empty ones the nearest to the prior's own quantile.
+    """
+    top = model.bound() + 1e-9
+
+    def histogram(x: np.ndarray, ids: pa.Array) -> np.ndarray:
+        at = ((model.margin(x) + top) / (2 * top) * BINS).astype(np.int64)
+        return np.bincount(np.clip(at, 0, BINS - 1), minlength=BINS)
+
+    n = _counts(rows, histogram, BINS)
+    share = n[::-1].cumsum()[::-1] / max(1, n.sum())  # at or above a bin's lower end
+    near = np.convolve(n, np.ones(9), "same")
+    k = np.arange(BINS)
+    able = (share >= 0.8 * model.prior) & (share <= 1.2 * model.prior) & (k > 0)
+    if not able.any():
+        able = k == np.abs(share - model.prior).argmin()
+    best = min(np.flatnonzero(able), key=lambda i: (near[i], abs(share[i] - model.prior), i))
+    # the middle of a run of equally empty bins
+    run = best
+    while run + 1 < BINS and able[run + 1] and near[run + 1] == near[best] and n[run] == 0:
+        run += 1
+    return float((best + run) / 2 / BINS * 2 * top - top)
 
 
 def fold(doc_id: Column) -> Column:
@@ -176,44 +254,47 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("kind", pa.int32()), ("x", pa.binary())])
-    for s in slices(batches):
-        yield pa.RecordBatch.from_arrays([s.rows.column(0), pa.array([r.tobytes() for r in features(s)], pa.binary())], schema=schema)
-
-
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, held_out: int = 1) -> Model | None:
-    """Learn from documents outside the held-out fold; None if there are no trusted positives."""
+def fit(rows: DataFrame, labels: DataFrame, sample: int = SAMPLE, held_out: int = 1) -> Model | None:
+    """Learn from documents (as `featured` gives them) outside the held-out fold; None if there are no trusted positives."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (fold(F.col("doc_id")) != held_out))
-    known = known.groupBy("doc_id").agg(F.min("quality").alias("low"), F.max("quality").alias("high")).filter("low = high")
-    order = F.xxhash64("doc_id", F.lit(17))
-    # at most 2 * sample ids each: a proven bound for the broadcasts below
-    some = known.orderBy(order).limit(2 * sample).select("doc_id", F.when(F.col("low") == 1, 1).otherwise(0).alias("kind"))
-    other = docs.select("doc_id").filter(F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != held_out)).distinct().orderBy(F.xxhash64("doc_id", F.lit(29))).limit(sample).select("doc_id", F.lit(2).alias("kind"))
-    chosen = some.unionByName(other)
-    texts = docs.join(F.broadcast(chosen), "doc_id").select("kind", F.col("text").cast("binary").alias("text"))
-    rows = texts.mapInArrow(_features, "kind int, x binary").collect()
-    by = [np.array([np.frombuffer(r["x"]) for r in rows if r["kind"] == k]).reshape(-1, _N_FEATURES) for k in range(3)]
-    by = [np.array(sorted(map(tuple, x))).reshape(-1, _N_FEATURES) for x in by]  # the same model whatever order rows come in
-    neg, pos, unl = (x[np.random.default_rng(5).permutation(len(x))] for x in by)
-    if not len(pos) or not len(unl):
+    known = known.groupBy("doc_id").agg(F.min("quality").alias("low"), F.max("quality").alias("high")).filter("low = 1 and high = 1")
+    # at most ``sample`` ids on each side: a proven bound for the broadcast below
+    trusted = known.orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").limit(sample).select("doc_id", F.lit(1).alias("kind"))
+    other = rows.select("doc_id").filter(F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != held_out)).distinct()
+    other = other.orderBy(F.xxhash64("doc_id", F.lit(29)), "doc_id").limit(sample).select("doc_id", F.lit(0).alias("kind"))
+    # rows that repeat a doc_id are one, so the sample stays within its bound
+    chosen = rows.join(F.broadcast(trusted.unionByName(other)), "doc_id").groupBy("kind", "doc_id").agg(F.min("x").alias("x")).select("kind", "x").collect()
+    # sorted: the same model whatever order rows come in
+    by = [sorted(bytes(r["x"]) for r in chosen if r["kind"] == k) for k in (0, 1)]
+    if not by[0] or not by[1]:
         return None
-    prior = estimate_prior(pos, unl)
-    model = _fit(pos, unl, prior, 1500, 1)
-    if len(neg) >= 20 and len(pos) >= 20:
-        model.slope, model.shift = _platt(model.margin(np.concatenate((pos, neg))), np.r_[np.ones(len(pos)), np.zeros(len(neg))])
+    unl, pos = (np.frombuffer(b"".join(x), "<f4").reshape(-1, _N_FEATURES).astype(np.float64) for x in by)
+    unl, pos = (x[np.random.default_rng(5).permutation(len(x))] for x in (unl, pos))
+    mean, scale = _moments(rows)
+    prior = estimate_prior(pos, unl, rows, mean, scale) if len(pos) > 1 and len(unl) > 1 else 0.5
+    model = _fit(pos, unl, mean, scale, prior, 1500, 1)
+    model.cut = place_cut(model, rows)
     return model
 
 
+def score_features(rows: DataFrame, model: Model | None) -> DataFrame:
+    """doc_id, score and predicted of every row that `featured` gave."""
+    return _scored(rows, model, "x", lambda x: model.score(np.frombuffer(b"".join(x), "<f4").reshape(-1, _N_FEATURES).astype(np.float64))).drop("x")
+
+
 def score_documents(docs: DataFrame, model: Model | None) -> DataFrame:
-    """All columns of docs with score (0 to 1) and predicted (1 if score >= 0.5)."""
-    if model is None:
-        return docs.withColumn("score", F.lit(0.5)).withColumn("predicted", F.lit(1))
+    """All columns of docs with score (0 to 1) and predicted (1 if score >= 0.5); columns of docs with these names are replaced."""
 
-    def run(texts: pd.Series) -> pd.Series:
+    def run(texts: pd.Series) -> np.ndarray:
         batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], ["text"])
-        out = [model.score(features(s)) for s in slices([batch])]
-        return pd.Series(np.concatenate(out) if out else np.empty(0))
+        out = [model.score(features(s).astype("<f4").astype(np.float64)) for s in slices([batch])]
+        return np.concatenate(out) if out else np.empty(0)
+
+    return _scored(docs, model, F.col("text").cast("binary"), run)
 
-    out = docs.withColumn("score", F.pandas_udf(run, "double")(F.col("text").cast("binary")))
+
+def _scored(rows: DataFrame, model: Model | None, of, run) -> DataFrame:
+    if model is None:
+        return rows.withColumn("score", F.lit(0.5)).withColumn("predicted", F.lit(1))
+    out = rows.withColumn("score", F.pandas_udf(lambda x: pd.Series(run(x), dtype="float64"), "double")(of))
     return out.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))

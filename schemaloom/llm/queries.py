@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from .spark_util import small_batches
 
+#: The block list of op10, a parameter: domains that are blocked with all their subdomains.
+LISTED = tuple(f"{name}.example.{end}" for name in ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm") for end in ("com", "net", "org"))
 RULES = {"block": [("net", "/"), ("example.com", "/de/")], "allow": [("example.net", "/en/"), ("org", "/fr/")]}
 
 
@@ -62,11 +64,11 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .quality import fit, fold, score_documents
+    from .quality import featured, fit, fold, score_features
 
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = fit(docs, _table(spark, sf_dir, "labels").select("doc_id", "quality"))
-    return score_documents(docs, model).select("doc_id", (fold(F.col("doc_id")) == 1).alias("held_out"), "score", "predicted")
+    rows = featured(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    model = fit(rows, _table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return score_features(rows, model).select("doc_id", (fold(F.col("doc_id")) == 1).alias("held_out"), "score", "predicted")
 
 
 def op9_bounded_load_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,12 +79,10 @@ def op9_bounded_load_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .url_filter import host, judge
+    from .url_filter import judge
 
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
-    # the list: every host of the corpus with a label that begins with "spam"
-    listed = pages.select(host(F.col("url")).alias("key")).filter(F.col("key").rlike(r"(^|\.)spam")).distinct()
-    return judge(pages, RULES, listed)
+    return judge(pages, RULES, spark.createDataFrame([(d,) for d in LISTED], "key string"))
 
 
 QUERIES = {f.__name__: f for f in (op1_sparse_suffix_array, op2_hilbert_search, op3_line_dedup, op4_nn_descent_dedup, op5_byte_bpe, op6_weighted_minhash, op7_best_fit_packing, op8_pu_quality, op9_bounded_load_sharding, op10_url_filter)}
@@ -98,7 +98,8 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT
 FROM marked GROUP BY doc_id
 """
 
-_OP10 = r"""
+_OP10 = (
+    r"""
 WITH p AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
  coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
 f AS (SELECT *, '.' || host AS h FROM p),
@@ -107,8 +108,10 @@ r AS (SELECT *, CASE WHEN ends_with(h, '.example.net') AND starts_with(path, '/e
  WHEN ends_with(h, '.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
  WHEN ends_with(h, '.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM f)
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
- WHEN regexp_matches(host, '(^|\.)spam') THEN 'block' ELSE 'allow' END AS verdict FROM r
+ WHEN EXISTS (SELECT 1 FROM listed WHERE ends_with(h, '.' || d)) THEN 'block' ELSE 'allow' END AS verdict FROM r
 """
+)
+_OP10 = _OP10.replace("WITH p AS", "WITH listed(d) AS (VALUES " + ", ".join(f"('{d}')" for d in LISTED) + "), p AS")
 
 _OP4 = """
 WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL

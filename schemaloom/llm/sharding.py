@@ -7,13 +7,14 @@ capacity, and keys that find a shard full continue clockwise.  With capacities
 of n/shards rounded up or down (epsilon 0) counts differ by one at most; with
 epsilon > 0 fewer rows move when a shard is added.
 
-The walk needs only the number of rows per cell, so at most ``cells`` counts
-reach the driver (a fixed bound); rows get their place from their rank within
-the cell, a window over one cell's rows.
-
-Null doc_ids share one key (hash of null and of the row's size and checksum).
-A null text has no bytes.  Rows repeated in full are placed one by one.
-Extra columns are ignored.
+The walk needs only the number of rows per cell, so at most ``cells`` times
+``SPREAD`` counts reach the driver (a fixed bound); rows get their place from
+their rank within the cell.  Cells are ranked in ``SPREAD`` parts, so one key
+with a third of all rows isn't sorted in one task.
+
+A key is the doc_id; rows with a null doc_id enter the ring at the hash of their
+size and checksum.  A null text has no bytes.  Rows repeated in full are placed
+one by one.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from bisect import bisect_left
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .spark_util import written
+
 CELLS = 1 << 14
 VIRTUAL_NODES = 64
 
@@ -80,16 +83,31 @@ def capacities(n: int, shards: int, epsilon: float) -> list[int]:
     return [n // shards + (s < n % shards) for s in range(shards)]
 
 
+SPREAD = 16
+
+
 def shard(docs: DataFrame, shards: int = 40, epsilon: float = 0.0, cells: int = CELLS, virtual_nodes: int = VIRTUAL_NODES) -> DataFrame:
     """doc_id, size (UTF-8 bytes plus 16), text_crc32, shard, slot (gapless from 0 in each shard)."""
+    spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = docs.select(F.col("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    key = F.xxhash64("doc_id")
-    cell = F.pmod(F.shiftrightunsigned(key, 20), F.lit(cells)).cast("int")
-    counts = {r["cell"]: r["n"] for r in docs.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    key = F.when(F.col("doc_id").isNull(), F.xxhash64("text_crc32", "size")).otherwise(F.xxhash64("doc_id"))
+    rows = rows.withColumn("cell", F.pmod(F.shiftrightunsigned(key, 20), F.lit(cells)).cast("int"))
+    # written, so that numbers of rows are the same in both passes below; rows of one cell are ranked in SPREAD parts
+    rows = written(rows.withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD)).cast("int")))
+    # at most cells * SPREAD counts: a fixed bound
+    counts: dict[int, int] = {}
+    starts = []
+    for r in sorted(rows.groupBy("cell", "part").count().collect()):
+        starts.append((r["cell"], r["part"], counts.get(r["cell"], 0)))
+        counts[r["cell"]] = counts.get(r["cell"], 0) + r["count"]
     placed = walk(counts, ring(shards, virtual_nodes, cells), capacities(sum(counts.values()), shards, epsilon))
-    quota = docs.sparkSession.createDataFrame(placed or [(0, 0, 0, 0, 0)], "q_cell int, q_from long, q_to long, shard int, first long")
-    ranked = rows.withColumn("cell", cell).withColumn("rank", F.row_number().over(Window.partitionBy("cell").orderBy("doc_id", "text_crc32", "size")) - 1)
-    # broadcast: at most cells + shards rows by construction
-    found = ranked.join(F.broadcast(quota), (F.col("cell") == F.col("q_cell")) & (F.col("rank") >= F.col("q_from")) & (F.col("rank") < F.col("q_to")))
-    return found.select("doc_id", "size", "text_crc32", "shard", (F.col("first") + F.col("rank") - F.col("q_from")).alias("slot"))
+    quota: dict[int, list] = {}
+    for cell, a, z, to, slot in placed:
+        quota.setdefault(cell, []).append({"a": a, "z": z, "shard": to, "slot": slot})
+    # broadcast: at most cells * SPREAD rows, and cells + shards stretches in them
+    table = spark.createDataFrame([(c, p, n, quota[c]) for c, p, n in starts], "cell int, part int, before long, stretches array<struct<a:long,z:long,shard:int,slot:long>>")
+    ranked = rows.withColumn("k", F.row_number().over(Window.partitionBy("cell", "part").orderBy("doc_id", "text_crc32", "size")) - 1)
+    found = ranked.join(F.broadcast(table), ["cell", "part"]).withColumn("rank", F.col("k") + F.col("before"))
+    own = F.filter("stretches", lambda x: (F.col("rank") >= x["a"]) & (F.col("rank") < x["z"]))[0]
+    return found.select("doc_id", "size", "text_crc32", own["shard"].alias("shard"), (own["slot"] + F.col("rank") - own["a"]).alias("slot"))

@@ -2,35 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import kept as written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir.  Where that is unset, a temporary one, in local mode alone."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write df as Parquet in the shared folder and read it again.
-
-    Later stages then neither recompute it nor lose it with an executor.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["bitmap", "heavy_join", "in_bitmap", "parallelism", "small_batches", "written"]
 
 
 def parallelism(spark: SparkSession) -> int:

@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import mix, powers, slices, words
+from .batches import lean, mix, powers, slices, words
 from .spark_util import bitmap, heavy_join, in_bitmap, parallelism, written
 
 LEAST, K = 50, 16
@@ -296,16 +296,17 @@ def _doc():
 
 
 def _check():
-    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("doc_id").isNull())
+    x = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return F.when(F.col("doc_id").isNull(), x.bitwiseAND(LAST)).otherwise(x.bitwiseOR(~LAST))  # null ids come last
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """doc, c, pos, n, first: runs pos to pos + n - 1 of a document that the document ``first`` holds before."""
     parts = parallelism(docs.sparkSession)
     texts = _keyed(docs)
-    prefixes = written(texts.mapInArrow(_prefixes, "g long, doc long, c long, own boolean"))
+    prefixes = written(texts.mapInArrow(lean(_prefixes), "g long, doc long, c long, own boolean"))
     ordered = prefixes.repartitionByRange(parts, "g", "doc", "c").sortWithinPartitions("g", "doc", "c")
-    found = written(ordered.mapInArrow(_shared, "g long, doc long, c long, edge boolean"))
+    found = written(ordered.mapInArrow(lean(_shared), "g long, doc long, c long, edge boolean"))
     # two rows at most for each range partition
     edges = found.filter("edge")
     across = edges.join(edges.groupBy("g").count().filter("count > 1").select("g"), "g").select("g", "doc", "c")
@@ -313,10 +314,10 @@ def repeats(docs: DataFrame) -> DataFrame:
     lists = written(shared.groupBy("doc", "c").agg(F.collect_set("g").alias("gs")))
     some = texts.filter(in_bitmap(bitmap(lists, "c"), "c")).dropDuplicates(["doc", "c"]) if _has_copies(docs) else texts.filter(in_bitmap(bitmap(lists, "c"), "c"))
     held = some.hint("merge").join(lists, ["doc", "c"]).select("doc", "c", "text", "gs")
-    stretches = written(held.mapInArrow(_stretches, _STRETCH_DDL))
+    stretches = written(held.mapInArrow(lean(_stretches), _STRETCH_DDL))
     order = ["g", "d", "doc", "c", "pos"]
-    compared = written(stretches.filter("not copy").repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_compare, _FOUND_DDL))
-    runs = compared.filter("open").select("g", "doc", "c", "pos", "n", "w").mapInArrow(_runs_of, "g long, w long, doc long, c long, pos int")
+    compared = written(stretches.filter("not copy").repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(lean(_compare), _FOUND_DDL))
+    runs = compared.filter("open").select("g", "doc", "c", "pos", "n", "w").mapInArrow(lean(_runs_of), "g long, w long, doc long, c long, pos int")
     runs = written(runs)
     place = F.struct("doc", "c", "pos")
     firsts = written(runs.groupBy("g", "w").agg(F.min(place).alias("f"), F.count(F.lit(1)).alias("k")).filter("k > 1"))
@@ -353,7 +354,7 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc_id, start (in words), n_words, first_doc_id: one row for each run of words that an earlier place holds."""
     each = repeats(docs).groupBy("doc", "c").agg(F.array_sort(F.collect_set(F.struct("first", "pos", "n"))).alias("lost"))
-    out = each.select("doc", "lost").mapInArrow(_spans, "doc long, start int, n_words int, first long")
+    out = each.select("doc", "lost").mapInArrow(lean(_spans), "doc long, start int, n_words int, first long")
     name = lambda c: F.nullif(F.col(c), F.lit(LAST))
     return out.select(name("doc").alias("doc_id"), "start", "n_words", name("first").alias("first_doc_id"))
 

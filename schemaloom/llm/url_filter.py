@@ -6,12 +6,15 @@ takes for listed wrongly; level 2 the listed keys that level 1 takes wrongly;
 and so on until nothing is wrong.  The universe is complete: all keys that the
 corpus can ask about, so the answer over the corpus is exact.
 
-Building shuffles distinct keys once, map-side combined.  A cascade is
-broadcast only if its levels stay under ``MAX_BYTES``; a longer list is
-answered by a shuffled join of the distinct keys instead (`member` decides).
+Building shuffles distinct keys once, map-side combined.  The first level is
+sized so that about as many unlisted keys pass it as there are listed ones, so a
+cascade's bytes follow the list and not the corpus.  It is broadcast if it stays
+under ``MAX_BYTES``; a list too long for that is answered by a shuffled join of
+the distinct keys (`member`, `judge`), with the same result.
 
 Null URLs and URLs without ``://`` have an empty host and path and meet no
-rule.  Repeated rows are judged one by one.  Extra columns are ignored.
+rule.  Repeated rows, and rows with a repeated or null page_id, are judged one
+by one.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .batches import lean
 from .spark_util import written
 
 MAX_BYTES = 32 << 20
@@ -42,8 +46,11 @@ def path(url: Column) -> Column:
 
 
 class Bloom:
-    def __init__(self, n: int, seed: int, bits_per_key: int = 10, probes: int = 7) -> None:
-        self.m, self.seed, self.probes = max(64, -(-n * bits_per_key // 8) * 8), seed, probes
+    """A filter for n keys that lets a share ``rate`` of others through."""
+
+    def __init__(self, n: int, seed: int, rate: float = 0.01) -> None:
+        self.seed, self.probes = seed, max(1, round(-np.log2(rate)))
+        self.m = max(1024, -(-int(n * -np.log(rate) / np.log(2) ** 2 + 1) // 8) * 8)
         self.bits = np.zeros(self.m // 8, np.uint8)
 
     def positions(self, keys: Iterable[str]) -> np.ndarray:
@@ -85,12 +92,13 @@ class Cascade:
         return verdict
 
 
-def _level(keys: DataFrame, n: int, seed: int) -> Bloom:
-    """A filter over all keys: one partial filter per task, merged pairwise in the cluster and then here."""
-    empty = Bloom(n, seed)
+def _level(keys: DataFrame, empty: Bloom) -> Bloom:
+    """The filter over all keys: one partial filter per task, merged here one by one."""
+    m, seed, probes = empty.m, empty.seed, empty.probes
 
     def partial(frames):
-        b, some = Bloom(n, seed), False
+        b, some = Bloom(1, seed), False
+        b.m, b.probes, b.bits = m, probes, np.zeros(m // 8, np.uint8)
         for f in frames:
             if len(f):
                 at = b.positions(f["key"]).ravel()
@@ -100,7 +108,7 @@ def _level(keys: DataFrame, n: int, seed: int) -> Bloom:
             yield pd.DataFrame({"bits": [b.bits.tobytes()]})
 
     tasks = max(1, min(keys.rdd.getNumPartitions(), MAX_BYTES * 4 // len(empty.bits)))
-    return empty.union(r["bits"] for r in keys.coalesce(tasks).mapInPandas(partial, "bits binary").toLocalIterator())
+    return empty.union(r["bits"] for r in keys.coalesce(tasks).mapInPandas(lean(partial), "bits binary").toLocalIterator())
 
 
 def _passes(cascade: Cascade):
@@ -115,28 +123,32 @@ def _passes(cascade: Cascade):
     return passes
 
 
-def build(listed: DataFrame, universe: DataFrame) -> Cascade | None:
-    """The cascade of listed.key over universe.key; None if it would exceed MAX_BYTES."""
+def build(listed: DataFrame, universe: DataFrame, limit: int = MAX_BYTES) -> Cascade | None:
+    """The cascade of listed.key over universe.key; None if it would exceed ``limit`` bytes."""
     tagged = listed.select("key", F.lit(True).alias("listed")).unionByName(universe.select("key", F.lit(False).alias("listed")))
     keys = written(tagged.filter("key is not null").groupBy("key").agg(F.max("listed").alias("listed")))
+    sizes = {r["listed"]: r["count"] for r in keys.groupBy("listed").count().collect()}
     out = Cascade()
+    if not sizes.get(True):
+        return out
+    # the first level lets through about as many others as there are listed keys, so the size follows the list and not the corpus
+    rate = float(np.clip(sizes[True] / max(1, sizes.get(False, 0)), 1e-9, 0.5))
     for seed in range(64):
         side = keys.filter(F.col("listed") == F.lit(seed % 2 == 0))
         todo = side.filter(_passes(out)("key")) if out.levels else side
         n = todo.count()
         if n == 0:
-            if seed == 0:
-                out.levels = []
             return out
-        if out.size + n * 10 // 8 > MAX_BYTES:
+        level = Bloom(n, seed, 0.01 if seed else rate)
+        if out.size + len(level.bits) > limit:
             return None
-        out.levels.append(_level(todo.select("key"), n, seed))
+        out.levels.append(_level(todo.select("key"), level))
     raise RuntimeError("the cascade didn't end")
 
 
-def member(keys: DataFrame, listed: DataFrame) -> DataFrame:
-    """Distinct keys of ``keys`` with a flag ``listed``, by cascade, or by a join where the list is too long."""
-    cascade = build(listed, keys)
+def member(keys: DataFrame, listed: DataFrame, limit: int = MAX_BYTES) -> DataFrame:
+    """Distinct keys of ``keys`` with a flag ``listed``: by cascade, or by a shuffled join where the list is too long to broadcast."""
+    cascade = build(listed, keys, limit)
     distinct = keys.select("key").distinct()
     if cascade is None:
         return distinct.join(listed.select("key", F.lit(True).alias("listed")).distinct(), "key", "left").select("key", F.coalesce("listed", F.lit(False)).alias("listed"))
@@ -150,13 +162,14 @@ def suffixes(h: str) -> list[str]:
     return [".".join(labels[i:]) for i in range(len(labels))]
 
 
-def judge(pages: DataFrame, rules: dict[str, list[tuple[str, str]]], listed_hosts: DataFrame) -> DataFrame:
+def judge(pages: DataFrame, rules: dict[str, list[tuple[str, str]]], listed_domains: DataFrame, limit: int = MAX_BYTES) -> DataFrame:
     """Judge every url: page_id, host, path, rule, verdict.
 
     rules: {"block": [(host, path)], "allow": [...]}; a rule fits its host and
     all subdomains if the url's path starts with its path; the longest wins
-    (the longer host among equals).  Without a rule the listed hosts
-    (``listed_hosts.key``, exact hosts) are blocked and all others allowed.
+    (the longer host among equals).  Without a rule, hosts that are a listed
+    domain (``listed_domains.key``) or lie under one are blocked, all others
+    allowed.
     """
     lengths = sorted({len(p) for r in rules.values() for _, p in r})
     most = max(lengths, default=0)
@@ -171,14 +184,15 @@ def judge(pages: DataFrame, rules: dict[str, list[tuple[str, str]]], listed_host
     universe = asked.select(F.explode(candidates("host", "head")).alias("key"))
     cascades = {}
     for kind, listed in rules.items():
-        # rules are given in code, so their list is short; hosts may be many
-        cascades[kind] = build(spark.createDataFrame([(a + b,) for a, b in listed] or [(None,)], "key string"), universe)
-    hosts = build(listed_hosts, asked.select(F.col("host").alias("key")))
+        # rules are given in code and the cascade's size follows their number, so it is always small
+        cascades[kind] = build(spark.createDataFrame([(a + b,) for a, b in listed] or [(None,)], "key string"), universe, 1 << 62)
+    domains = asked.select("host", F.explode(F.pandas_udf(lambda h: h.map(suffixes), "array<string>")("host")).alias("key"))
+    hosts = build(listed_domains, domains.select("key"), limit)
     if hosts is None:
-        blocked = member(asked.select(F.col("host").alias("key")), listed_hosts).filter("listed").select(F.col("key").alias("host"), F.lit(True).alias("on_list"))
-        split = split.join(blocked, "host", "left").withColumn("on_list", F.coalesce("on_list", F.lit(False)))
+        hit = domains.join(listed_domains.select("key").distinct(), "key", "left_semi").select("host", F.lit(True).alias("on_list")).distinct()
+        split = split.join(hit, "host", "left").withColumn("on_list", F.coalesce("on_list", F.lit(False)))
     else:
-        split = split.withColumn("on_list", F.pandas_udf(lambda h: pd.Series(hosts.test(h.tolist())), "boolean")("host"))
+        split = split.withColumn("on_list", F.pandas_udf(lambda h: _under(h, hosts), "boolean")("host"))
 
     @F.pandas_udf("rule string, verdict string")
     def decide(h: pd.Series, p: pd.Series, on_list: pd.Series) -> pd.DataFrame:
@@ -198,6 +212,16 @@ def judge(pages: DataFrame, rules: dict[str, list[tuple[str, str]]], listed_host
     return found.select("page_id", "host", "path", F.col("x.rule").alias("rule"), F.col("x.verdict").alias("verdict"))
 
 
+def _under(hosts: pd.Series, cascade: Cascade) -> pd.Series:
+    """Whether a host or a domain above it is listed."""
+    names = hosts.unique()
+    above = [suffixes(h) for h in names]
+    flat = cascade.test([x for a in above for x in a])
+    ends = np.cumsum([len(a) for a in above])
+    hit = {h: bool(flat[e - len(a) : e].any()) for h, a, e in zip(names, above, ends, strict=True)}
+    return hosts.map(hit)
+
+
 def _candidates(h: str, p: str, lengths: list[int]) -> list[str]:
     """Every rule string that could fit: each domain above the host with each path prefix of a rule's length."""
     return [d + p[:n] for d in suffixes(h) if d for n in lengths if len(p) >= n]

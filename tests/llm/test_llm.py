@@ -118,6 +118,47 @@ def test_suffix_dedup_loses_nothing_between_partitions(spark):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_suffix_dedup_finds_what_neighbours_in_the_sort_hide(spark):
+    """A and B share 50 words; copies share up to 49 with either, on the right or on the left, and stand between them."""
+    rng = random.Random(14)
+    fresh = lambda n: words(rng, n, 10**9)
+    texts = []
+    for _ in range(60):
+        core = fresh(80)
+        k = rng.randrange(1, 30)
+        shared = core[k : k + 50]
+        texts += [fresh(20) + shared + fresh(20), fresh(20) + shared + fresh(20)]
+        for j in range(6):
+            texts.append(fresh(20) + shared[j + 1 :] + (core[k + 50 :] + fresh(20))[: 20 + j])
+            texts.append((fresh(20) + core[:k])[-20 - j :] + shared[: 49 - j] + fresh(20))
+    rng.shuffle(texts)
+    texts = [" ".join(t) for t in texts]
+    want = brute_repeats(texts)
+    assert len(want) >= 60
+    assert lost_words(spark, texts) == want
+
+
+def test_suffix_dedup_of_groups_that_no_task_settles(spark, monkeypatch):
+    rng = random.Random(15)
+    core = words(rng, 52, 10**6)
+    texts = [" ".join(words(rng, 40, 10**6) + core + words(rng, 40, 10**6)) for _ in range(120)]
+    monkeypatch.setattr(suffix, "OPEN", 5)
+    assert lost_words(spark, texts) == brute_repeats(texts)
+
+
+def test_suffix_dedup_with_null_and_repeated_ids_and_clashing_columns(spark):
+    rng = random.Random(16)
+    a, b = (" ".join(words(rng, 60, 10**6)) for _ in range(2))
+    rows = [(2**63 - 1, a), (None, a), (3, b), (3, b), (3, "x " + b)]
+    df = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in rows], "doc_id long, text string, c int, lost int, row int")
+    out = suffix.remove_repeats(df)
+    assert out.columns == df.columns and out.dtypes == df.dtypes
+    left = collections.Counter((r["doc_id"], len(r["text"].split())) for r in out.collect())
+    # of rows with one doc_id and other texts the one of lesser check comes first
+    assert left[None, 0] == 1 and left[2**63 - 1, 60] == 1
+    assert left[3, 60] + left[3, 61] + left[3, 0] + left[3, 1] == 3 and left[3, 60] in (0, 2)
+
+
 def test_suffix_dedup_empty(spark):
     assert suffix.repeated_spans(docs(spark, [])).count() == 0
     assert suffix.remove_repeats(docs(spark, [])).columns == docs(spark, []).columns
@@ -198,6 +239,14 @@ def test_line_dedup_matches_brute_force(spark):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_line_dedup_with_null_ids_and_clashing_columns(spark):
+    rows = [(None, "a common line here\nown"), (2**63 - 1, "a common line here"), (None, "a common line here\nA third line here"), (4, "a third line here  ")]
+    df = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in rows], "doc_id long, text string, c int, gone int, row int")
+    out = line_dedup.dedup_lines(df, bits=20)
+    assert out.columns == ["doc_id", "c", "gone", "row", "text", "n_lines", "n_dropped"]
+    assert sorted((r["doc_id"] or 0, r["text"], r["n_dropped"]) for r in out.collect()) == [(0, "", 2), (0, "own", 1), (4, "a third line here  ", 0), (2**63 - 1, "a common line here", 0)]
+
+
 # ---- op 4 ------------------------------------------------------------------------
 
 
@@ -312,6 +361,118 @@ def test_near_duplicates_finds_copies_and_leaves_the_rest(spark):
     assert minhash.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_near_duplicates_are_the_components_of_all_similar_pairs(spark):
+    """Against a plain version: weights from plain document frequencies, all pairs, weighted Jaccard."""
+    rng = random.Random(21)
+    texts = []
+    for _ in range(40):
+        w = words(rng, rng.choice([30, 120, 400]), 3000)
+        texts.append(" ".join(w))
+        for _ in range(rng.randrange(3)):
+            v = list(w)
+            for _ in range(rng.choice([1, 2, 3, 6])):
+                v[rng.randrange(len(v))] = f"w{rng.randrange(3000)}"
+            texts.append(" ".join(v))
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(docs(spark, texts)).collect()}
+    split = [t.split() for t in texts]
+    df = collections.Counter(x for w in split for x in set(w))
+    idf = {x: 1 + np.log((len(texts) + 1) / (c + 1)) for x, c in df.items()}
+
+    def weights(w):
+        tf = collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+        return {s: np.exp(np.rint(np.log(n * np.mean([idf[x] for x in s])) / minhash.STEP) * minhash.STEP) for s, n in tf.items()}
+
+    sets = [weights(w) for w in split]
+    pairs = []
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            low = sum(min(v, b[s]) for s, v in a.items() if s in b)
+            if low / (sum(a.values()) + sum(b.values()) - low) >= 0.8:
+                pairs.append((j, i))
+    assert len(pairs) > 15
+    want = minhash._labels(len(texts), *np.array(pairs).T)
+    assert [got[i] for i in range(len(texts))] == want.tolist()
+
+
+def test_near_duplicates_with_repeated_and_null_ids(spark):
+    rng = random.Random(8)
+    a, b, c = (" ".join(words(rng, 80, 9000)) for _ in range(3))
+    rows = [(1, a), (2, a), (2, b), (3, c), (None, c), (3, c), (None, " ".join(words(rng, 80, 9000)))]
+    df = spark.createDataFrame([(i, t, 0, 0, 0) for i, t in rows], "doc_id long, text string, row int, x int, c int")
+    got = sorted((r["doc_id"] or 0, r["class_id"] or 0, r["kept"]) for r in minhash.near_duplicates(df).collect())
+    assert got == [(0, 0, False), (0, 3, False), (1, 1, True), (2, 1, False), (2, 2, True), (3, 3, True), (3, 3, True)]
+    kept = minhash.keep_first(df)
+    assert kept.columns == df.columns
+    assert collections.Counter(r["text"] for r in kept.collect()) == {a: 1, b: 1, c: 1, rows[-1][1]: 1}
+
+
+# ---- words and texts that hashes alone confuse ----------------------------------
+
+
+def twins(n):
+    """Two words of n letters with one value under any polynomial modulo 2**64."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_long_words_with_one_polynomial_stay_apart(spark, n):
+    x, y = twins(n)
+    rng = random.Random(n)
+    body = words(rng, 60, 9000)
+    texts = [f"{x} {x}", f"{y} {y}", " ".join([x, *body]), " ".join([y, *body]), " ".join(body[:30] + [x] + body[30:])]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own = packing._tokenizer(path)
+    for r in packing.pack(docs(spark, texts), path, 1 << 16, 2).collect():
+        ids = np.array([*own.encode(texts[r["doc_id"]], add_special_tokens=False).ids, 2], "<u4")
+        assert zlib.crc32(ids.tobytes()) == r["ids_crc32"]
+    out = bpe.encode(docs(spark, texts), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    assert {r["doc_id"]: r["decoded_sha256"] for r in out.collect()} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in enumerate(texts)}
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(docs(spark, texts[:2])).collect()}
+    assert got == {0: 0, 1: 1}
+    assert lost_words(spark, texts) == brute_repeats(texts)
+
+
+def test_words_with_one_hash_are_encoded_apart(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "span_hashes", lambda d, a, z: np.minimum(z - a, 3).astype(np.uint64))
+    monkeypatch.setattr(packing, "_hashes", lambda d, a, z: np.minimum(z - a, 3).astype(np.uint64))
+    texts = ["some words of one length and other words too", "even more words here"]
+    import pyarrow as pa
+
+    s = next(batches.slices([pa.RecordBatch.from_pydict({"doc_id": [0, 1], "text": pa.array([t.encode() for t in texts], pa.binary())})]))
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own = packing._tokenizer(path)
+    assert [x.tolist() for x in packing.slice_ids(s, packing.IdCache(path))] == [own.encode(t, add_special_tokens=False).ids for t in texts]
+    b = bpe._block([s], public_tokenizers.PATTERN)
+    assert b.seed > 0
+    idx = np.searchsorted(b.known, b.docs[0][1])
+    assert batches.gather(b.flat, b.start, b.size, idx)[0].tobytes() == "".join(texts).encode()
+
+
+def test_texts_longer_than_slices_and_blocks(spark, monkeypatch):
+    rng = random.Random(13)
+    long_ = " ".join(words(rng, 500_000, 50_000))
+    assert len(long_) > batches.WIDE_SLICE
+    texts = [long_, "short " + long_[: 700 << 10], "é" * (600 << 10)]
+    monkeypatch.setattr(bpe, "BLOCK_BYTES", 1 << 20)
+    out = bpe.encode(docs(spark, texts), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    assert {r["doc_id"]: r["decoded_sha256"] for r in out.collect()} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in enumerate(texts)}
+    p = packing.pack(docs(spark, texts), public_tokenizers.path("byte_bpe_50k.json"), 1024, 2).toPandas()
+    assert (p.groupby("doc_id").length.sum().sort_index() > 1000).all() and p.groupby("sequence_id").length.sum().max() <= 1024
+    n = len(texts[1].split())
+    assert lost_words(spark, texts) == {1: set(range(1, n - 1))} or lost_words(spark, texts) == {1: set(range(1, n))}
+    assert minhash.near_duplicates(docs(spark, texts)).count() == 3
+    assert line_dedup.dedup_lines(docs(spark, texts)).count() == 3
+
+
+def test_null_ids_are_kept(spark):
+    df = spark.createDataFrame([(None, "a b c"), (None, None), (5, "a b c")], "doc_id long, text string")
+    out = bpe.encode(df, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, digest=True).collect()
+    assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in out) == [(0, 0), (0, 3), (5, 3)]
+    p = packing.pack(df, public_tokenizers.path("byte_bpe_50k.json"), 1024, 2).collect()
+    assert sorted((r["doc_id"] or 0, r["length"]) for r in p) == [(0, 1), (0, 4), (5, 4)]
+
+
 def test_samples_agree_as_often_as_the_weighted_similarity():
     rng = np.random.default_rng(1)
     u = np.sort(rng.integers(1 << 62, size=500).astype(np.uint64))
@@ -399,14 +560,34 @@ def test_quality_on_held_out_labels(spark):
         y.append(int(good))
     df = docs(spark, texts + [None, ""])
     labels = spark.createDataFrame([(i, q) for i, q in enumerate(y)] + [(None, 1), (5, None)], "doc_id long, quality int")
-    model = quality.fit(df, labels, sample=300)
+    rows = quality.featured(df)
+    model = quality.fit(rows, labels, sample=300)
     out = quality.score_documents(df, model)
     rows = out.withColumn("held", quality.fold(F.col("doc_id")) == 1).collect()
     assert len(rows) == len(texts) + 2 and all(0 <= r["score"] <= 1 for r in rows)
     held = [r for r in rows if r["held"] and r["doc_id"] < len(texts)]
     assert np.mean([r["predicted"] == y[r["doc_id"]] for r in held]) > 0.97
-    assert quality.fit(df, labels.limit(0)) is None
+    assert out.columns == [c for c in df.columns if c != "score"] + ["score", "predicted"] or set(out.columns) == {*df.columns, "predicted"}
+    # negatives take no part, and the same scores come from the written features
+    again = quality.fit(quality.featured(df), labels.filter("quality = 1"), sample=300)
+    assert (again.margin(np.ones((1, quality._N_FEATURES))) == model.margin(np.ones((1, quality._N_FEATURES)))).all() and again.cut == model.cut
+    by = {r["doc_id"]: r["score"] for r in out.collect()}
+    assert {r["doc_id"]: r["score"] for r in quality.score_features(quality.featured(df), model).collect()} == pytest.approx(by)
+    assert quality.fit(quality.featured(df), labels.limit(0)) is None
+    assert quality.fit(quality.featured(docs(spark, [])), labels) is None
     assert quality.score_documents(docs(spark, []), model).count() == 0
+    nameless = df.withColumn("doc_id", F.lit(None).cast("long"))
+    assert quality.fit(quality.featured(nameless), labels) is None and quality.score_documents(nameless, model).count() == len(texts) + 2
+
+
+def test_quality_sample_holds_rare_positives(spark):
+    rng = random.Random(5)
+    texts = [" ".join(words(rng, 40, 2000)) + "." if i % 50 == 0 else " ".join(x.upper() + "!!" for x in words(rng, 40, 2000)) for i in range(1500)]
+    labels = spark.createDataFrame([(i, int(i % 50 == 0)) for i in range(1500)], "doc_id long, quality int")
+    df = docs(spark, texts)
+    model = quality.fit(quality.featured(df), labels, sample=40)
+    held = quality.score_documents(df, model).filter(quality.fold(F.col("doc_id")) == 1).collect()
+    assert np.mean([r["predicted"] == (r["doc_id"] % 50 == 0) for r in held]) > 0.97
 
 
 # ---- op 9 ------------------------------------------------------------------------
@@ -424,6 +605,36 @@ def test_sharding_balances_and_is_gapless(spark):
     assert sharding.shard(docs(spark, []), 8).count() == 0
 
 
+def test_sharding_is_a_walk_on_the_ring(spark):
+    df = docs(spark, [f"t{i}" for i in range(300)]).unionByName(docs(spark, ["again"] * 200).withColumn("doc_id", F.lit(7).cast("long")))
+    got = sharding.shard(df, 5, cells=64, virtual_nodes=3).toPandas()
+    key = {r["doc_id"]: r["c"] for r in df.select("doc_id", F.pmod(F.shiftrightunsigned(F.xxhash64("doc_id"), 20), F.lit(64)).alias("c")).distinct().collect()}
+    nodes, left = sharding.ring(5, 3, 64), [100] * 5
+    over, took = [], collections.Counter()
+    for c in sorted(map(key.get, df.toPandas().doc_id)):
+        k = next((i for i, (at, _) in enumerate(nodes) if at >= c), 0)
+        if left[nodes[k][1]]:
+            left[nodes[k][1]] -= 1
+            took[c, nodes[k][1]] += 1
+        else:
+            over.append((c, k))
+    for c, k in over:  # full: on clockwise
+        while not left[nodes[k][1]]:
+            k = (k + 1) % len(nodes)
+        left[nodes[k][1]] -= 1
+        took[c, nodes[k][1]] += 1
+    assert collections.Counter(zip(got.doc_id.map(key), got.shard, strict=True)) == took
+    for r in got.itertuples():
+        text = "again" if r.size == 21 else f"t{r.doc_id}"
+        assert r.size == len(text) + 16 and r.text_crc32 == zlib.crc32(text.encode())
+
+
+def test_null_ids_spread_over_the_ring(spark):
+    df = docs(spark, [f"text {i}" for i in range(400)]).withColumn("doc_id", F.lit(None).cast("long"))
+    out = sharding.shard(df, 4, epsilon=1.0).toPandas()
+    assert len(out) == 400 and out.groupby("shard").size().max() < 250
+
+
 def test_bounded_loads_move_few_rows(spark):
     df = docs(spark, ["t"] * 4000)
     a, b = (sharding.shard(df, n, epsilon=0.25).toPandas().set_index("doc_id").shard for n in (10, 11))
@@ -437,7 +648,7 @@ RULES = {"block": [("net", "/"), ("example.com", "/de/")], "allow": [("example.n
 
 
 def test_url_rules_and_lists(spark):
-    urls = [None, "", "nothing", "http://", "http://A.Example.NET/en/x", "http://example.net/de/", "http://xexample.net", "http://net/", "http://a.net?x=/", "https://m.example.com/de/1#f", "https://example.com/dex", "http://bad.org/fr/1", "http://bad.org/en/1", "http://ok.org/en/1", "x://y://z.net/a", "http://spam.io/"]
+    urls = [None, "", "nothing", "http://", "http://A.Example.NET/en/x", "http://example.net/de/", "http://xexample.net", "http://net/", "http://a.net?x=/", "https://m.example.com/de/1#f", "https://example.com/dex", "http://bad.org/fr/1", "http://bad.org/en/1", "http://ok.org/en/1", "x://y://z.net/a", "http://spam.io/", "http://a.b.spam.io/x", "http://notspam.io/"]
     df = spark.createDataFrame([(i, u, "<p>") for i, u in enumerate(urls)], "page_id long, url string, html string")
     listed = spark.createDataFrame([("bad.org",), ("spam.io",), ("unseen.io",), (None,)], "key string")
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge(df, RULES, listed).collect()}
@@ -449,8 +660,12 @@ def test_url_rules_and_lists(spark):
             host, tail = rest[:k].lower(), rest[k:]
             path = tail[: min([tail.find(c) for c in "?#" if c in tail] or [len(tail)])]
         fits = [(len(h + p), h + p, v) for v, rs in RULES.items() for h, p in rs if ("." + host).endswith("." + h) and path.startswith(p)]
-        rule, verdict = (max(fits)[1:] if fits else (None, "block" if host in ("bad.org", "spam.io") else "allow"))
+        rule, verdict = (max(fits)[1:] if fits else (None, "block" if ("." + host).endswith((".bad.org", ".spam.io")) else "allow"))
         assert got[i] == (host, path, rule, verdict), u
+    joined = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge(df, RULES, listed, limit=1).collect()}
+    assert joined == got
+    twice = df.limit(3).unionByName(df.limit(2)).withColumn("page_id", F.when(F.col("page_id") == 2, None).otherwise(F.col("page_id")))
+    assert sorted((r["page_id"] is None, r["page_id"] or 0) for r in url_filter.judge(twice, RULES, listed).collect()) == [(False, 0), (False, 0), (False, 1), (False, 1), (True, 0)]
     assert url_filter.judge(df.limit(0), RULES, listed.limit(0)).count() == 0
 
 
@@ -460,13 +675,16 @@ def test_cascade_is_exact_over_its_universe(spark):
     universe = spark.createDataFrame([(k,) for k in keys], "key string")
     c = url_filter.build(listed, universe)
     assert c.test(keys).tolist() == [i % 7 == 0 for i in range(5000)]
-    old, url_filter.MAX_BYTES = url_filter.MAX_BYTES, 16
-    try:
-        assert url_filter.build(listed, universe) is None
-        got = {r["key"]: r["listed"] for r in url_filter.member(universe, listed).collect()}
+    assert url_filter.build(listed, universe, 16) is None
+    for limit in (16, url_filter.MAX_BYTES):
+        got = {r["key"]: r["listed"] for r in url_filter.member(universe, listed, limit).collect()}
         assert got == {k: i % 7 == 0 for i, k in enumerate(keys)}
-    finally:
-        url_filter.MAX_BYTES = old
+
+
+def test_cascade_follows_the_list_and_not_the_universe(spark):
+    listed = spark.createDataFrame([("k3",), ("k40000",)], "key string")
+    c = url_filter.build(listed, spark.range(50_000).select(F.concat(F.lit("k"), F.col("id")).alias("key")))
+    assert c.size <= 256 and c.test(["k3", "k4", "k40000"]).tolist() == [True, False, True]
 
 
 # ---- pipeline ----------------------------------------------------------------------
