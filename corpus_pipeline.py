@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from schemaloom.llm.line_dedup import dedup_lines
 from schemaloom.llm.minhash import keep_first
 from schemaloom.llm.packing import pack
-from schemaloom.llm.quality import fit, score_documents
+from schemaloom.llm.quality import featured, fit, score_documents
 from schemaloom.llm.spark_util import small_batches, written
 from schemaloom.llm.suffix import remove_repeats
 
@@ -25,7 +25,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts (op 8)."""
     small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    model = fit(docs.select("doc_id", "text"), labels)
+    model = fit(featured(docs), labels)
     return score_documents(docs, model).filter("predicted = 1").select(*docs.columns)
 
 
