@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import similarity as sim
@@ -136,11 +136,10 @@ class Diff:
             self._made[key] = kept(make())
         return self._made[key]
 
-    def sides(self) -> DataFrame:
-        """pair_id, kind, table_name, name, s, t: every object of either side, matched by name.
+    def everything(self) -> DataFrame:
+        """pair_id, kind, table_name, name, s, t, in_both: every object of either side, matched by name.
 
-        One shuffle by key for all kinds (a full outer join by aggregation).  Objects in tables are compared
-        only where both snapshots hold the table.
+        One shuffle by key for all kinds (a full outer join by aggregation).  in_both: both snapshots hold its table.
         """
 
         def make() -> DataFrame:
@@ -150,9 +149,13 @@ class Diff:
             pick = lambda src: F.first(F.when(F.col("src") == src, F.col("o")), ignorenulls=True)
             out = rows.groupBy(*KEY).agg(pick(True).alias("s"), pick(False).alias("t"))
             both = self.catalog.tables.join(ends, "snapshot_id").groupBy("pair_id", "table_name").agg(F.countDistinct("src").alias("n")).filter("n = 2").select("pair_id", "table_name", F.lit(True).alias("in_both"))
-            return out.join(both, ["pair_id", "table_name"], "left").filter(F.col("in_both") | ~F.col("kind").isin(*IN_TABLE)).select(*KEY, "s", "t")
+            return out.join(both, ["pair_id", "table_name"], "left").select(*KEY, "s", "t", F.coalesce("in_both", F.lit(False)).alias("in_both"))
+
+        return self._once("everything", make)
 
-        return self._once("sides", make)
+    def sides(self) -> DataFrame:
+        """The objects that are compared: those in tables only where both snapshots hold the table."""
+        return self.everything().filter(F.col("in_both") | ~F.col("kind").isin(*IN_TABLE)).drop("in_both")
 
     def matched(self, kind: str) -> DataFrame:
         """pair_id, table_name, name, s, t of one kind, s and t being structs of its own fields."""
@@ -275,15 +278,21 @@ class Diff:
 
 
 def greedy(candidates: DataFrame) -> DataFrame:
-    """Candidates kept by the greedy matching within pair and table: a fold over them, best first."""
-    c = F.struct((-F.col("similarity")).alias("order"), F.col("from_name"), F.col("to_name"), F.col("similarity"))
-    grouped = candidates.groupBy("pair_id", "kind", "table_name").agg(F.array_sort(F.collect_list(c)).alias("c"))
-    kept = F.aggregate(
-        "c",
-        F.slice("c", 1, 0),
-        lambda acc, x: F.when(F.exists(acc, lambda y: (y["from_name"] == x["from_name"]) | (y["to_name"] == x["to_name"])), acc).otherwise(F.concat(acc, F.array(x))),
-    )
-    return grouped.select("pair_id", "kind", "table_name", F.explode(kept).alias("r")).select("pair_id", "kind", "table_name", "r.from_name", "r.to_name", "r.similarity")
+    """Candidates kept by the greedy matching within pair, kind and table: best similarity first, ties by name.
+
+    A candidate that is the best of both its ends is what the greedy order reaches before anything else of them, so every
+    round takes all of these at once and drops what else touches their ends.  Nothing gathers a pair's candidates in one row.
+    """
+    order = F.struct((-F.col("similarity")).alias("o"), F.col("from_name").alias("f"), F.col("to_name").alias("g"))
+    left, out = kept(candidates.select("*", F.coalesce("table_name", F.lit("")).alias("owner"), order.alias("order"))), None
+    while not left.isEmpty():
+        best = lambda end: F.min("order").over(Window.partitionBy("pair_id", "kind", "owner", end))
+        taken = kept(left.withColumn("a", best("from_name")).withColumn("b", best("to_name")).filter("order = a AND order = b").drop("a", "b"))
+        out = taken if out is None else out.unionByName(taken)
+        for end in ("from_name", "to_name"):
+            left = left.join(taken.select("pair_id", "kind", "owner", end), ["pair_id", "kind", "owner", end], "left_anti")
+        left = kept(left)
+    return (left if out is None else out).select("pair_id", "kind", "table_name", "from_name", "to_name", "similarity")
 
 
 def pairs_frame(spark: SparkSession, pairs: list[tuple[str, str, str]]) -> DataFrame:

@@ -101,7 +101,8 @@ SAFE = """(s.type.formatted = t.type.formatted OR (s.type.name IN ('int2', 'smal
  OR (s.type.name = 'varchar' AND t.type.name = 'varchar' AND regexp_extract(s.type.formatted, '\\((\\d+)\\)', 1) <> '' AND (regexp_extract(t.type.formatted, '\\((\\d+)\\)', 1) = '' OR TRY_CAST(regexp_extract(t.type.formatted, '\\((\\d+)\\)', 1) AS INT) >= TRY_CAST(regexp_extract(s.type.formatted, '\\((\\d+)\\)', 1) AS INT))))"""
 
 
-def breaking_sql(tail: str) -> str:
+def breaking_rows() -> str:
+    """Every breaking change, over the CTEs of `diff_ctes`."""
     pct = "round_even(similarity * 100, 0)::INT || '%)'"
     rows = []
     for kind, word in (("table", "Table"), ("column", "Column"), ("view", "View"), ("sequence", "Sequence")):
@@ -124,4 +125,8 @@ def breaking_sql(tail: str) -> str:
     rows.append("SELECT s.pair_id, 'MaterializationChanged', 'DualWrite', NULL, s.name, 'View ''' || s.name || ''' changed ' || CASE WHEN t.is_materialized THEN 'from regular to materialized' ELSE 'from materialized to regular' END FROM src_view s JOIN tgt_view t USING (pair_id, name) WHERE s.is_materialized <> t.is_materialized")
     rows.append("SELECT s.pair_id, 'EnumValueRemoved', 'Destructive', NULL, s.name, 'Values removed from enum ''' || s.name || ''': ' || array_to_string(list_filter(s.labels, lambda v: NOT list_contains(t.labels, v)), ', ') FROM src_enum s JOIN tgt_enum t USING (pair_id, name) WHERE len(list_filter(s.labels, lambda v: NOT list_contains(t.labels, v))) > 0")
     rows.append("SELECT s.pair_id, 'EnumValuesReordered', 'Destructive', NULL, s.name, 'Enum ''' || s.name || ''' values were reordered' FROM src_enum s JOIN tgt_enum t USING (pair_id, name) WHERE list_filter(s.labels, lambda v: list_contains(t.labels, v)) <> list_filter(t.labels, lambda v: list_contains(s.labels, v))")
-    return f"{diff_ctes()}, breaking AS ({' UNION ALL '.join(rows)}) {tail}"
+    return " UNION ALL ".join(rows)
+
+
+def breaking_sql(tail: str) -> str:
+    return f"{diff_ctes()}, breaking AS ({breaking_rows()}) {tail}"

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sqltext import RenderConfig, column_definition, constraint_body, index_column, literal, quote, quoted_list, text
+from ..functions.sqltext import RenderConfig, column_definition, constraint_body, index_column, literal, quote, text
 from ..operators.diff import Diff
 from ..tables import kept
 
@@ -23,38 +23,67 @@ REVERSIBLE = {
     "RenameEnum": "RenameEnum", "RenameSequence": "RenameSequence", "RenameTable": "RenameTable", "RenameColumn": "RenameColumn", "RenameConstraint": "RenameConstraint", "RenameIndex": "RenameIndex", "RenameView": "RenameView",
 }
 IRREVERSIBLE = ("DropEnum", "AddEnumValue", "DropSequence", "AlterSequence", "DropTable", "DropColumn", "AlterColumn", "DropConstraint", "DropIndex", "DropView", "ReplaceView", "RefreshMaterializedView", "SetComment")
-COLUMNS = ["pair_id", "op_kind", "phase", "object_kind", "schema", "table_name", "name", "to_name", "payload", "forward", "rollback", "description", "r1", "r2"]
+IN_TABLE_KINDS = ("column", "constraint", "index")
+_OP = "struct<op_kind:string,phase:int,object_kind:int,table_name:string,name:string,to_name:string,payload:string,forward:array<string>,rollback:array<string>,description:string,r1:int,r2:int>"
+
 
 class Collector:
-    """Collects a diff's operations; `plan` orders them."""
+    """Collects a diff's operations in one pass: every change becomes an array of the operations that it takes.
+
+    A rule is a condition on a change (its kind and what became of it) and the operation that follows; `plan` orders them.
+    """
 
     def __init__(self, diff: Diff, config: RenderConfig = RenderConfig()) -> None:  # noqa: B008
-        self.diff, self.config, self.parts = diff, config, []
-        q = config.quoting
-        self.q = lambda c: quote(c, q)
-        ns = diff.catalog.namespaces
-        pairs = diff.pairs
-        # the schema of a pair: that of its target, or of its source where the target has none
-        named = pairs.join(ns.select(F.col("snapshot_id").alias("target_id"), F.col("schema").alias("ts")), "target_id", "left").join(ns.select(F.col("snapshot_id").alias("source_id"), F.col("schema").alias("ss")), "source_id", "left")
-        self.schemas = named.select("pair_id", F.coalesce("ts", "ss", F.lit("public")).alias("schema"))
-        # every branch below reads this one table
-        self.rows = kept(diff.changes().join(self.schemas, "pair_id"))
+        self.diff, self.config = diff, config
+        self.rules: list[Column] = []
+
+    def _q(self, c: Column) -> Column:
+        return quote(c, self.config.quoting)
 
     def _in(self, name: Column) -> Column:
-        return text(self.q(F.col("schema")), ".", self.q(name))
+        return text(self._q(F.col("schema")), ".", self._q(name))
 
-    def add(self, df: DataFrame, op: str, phase: str, kind: str, rank: int, forward: Column, rollback: Column | None, description: Column, payload: Column | None = None, sub: Column | int = 0, table: Column | None = None, many: bool = False) -> None:
+    def _path(self, *names: str) -> Column:
+        return F.concat_ws(".", "schema", *names)
+
+    def _rule(self, when: Column, op: str, phase: str, kind: str, rank: int | Column, forward: Column, rollback: Column | None, description: Column, payload: Column | None = None, sub: Column | int = 0, many: bool = False) -> Column:
         none = F.lit(None).cast("string")
         back = F.lit(None).cast("array<string>") if rollback is None or not self.config.rollback else F.array(rollback)
-        rows = df if "schema" in df.columns else df.join(self.schemas, "pair_id")
-        self.parts.append(
-            rows.select(
-                "pair_id", F.lit(op).alias("op_kind"), F.lit(PHASES[phase]).alias("phase"), F.lit(KIND_RANK[kind]).alias("object_kind"), "schema",
-                (table if table is not None else (F.col("table_name") if "table_name" in df.columns else none)).alias("table_name"), F.col("name").alias("name"), (F.col("to_name") if "to_name" in df.columns else none).alias("to_name"),
-                (payload if payload is not None else none).alias("payload"), (forward if many else F.array(forward)).alias("forward"), back.alias("rollback"), description.alias("description"),
-                F.lit(rank).alias("r1"), (sub if isinstance(sub, Column) else F.lit(sub)).alias("r2"),
-            )
-        )
+        fields = {
+            "op_kind": F.lit(op), "phase": F.lit(PHASES[phase]), "object_kind": F.lit(KIND_RANK[kind]), "table_name": F.col("table_name"), "name": F.col("name"), "to_name": F.col("to_name"),
+            "payload": none if payload is None else payload, "forward": forward if many else F.array(forward), "rollback": back, "description": description,
+            "r1": rank if isinstance(rank, Column) else F.lit(rank), "r2": (sub if isinstance(sub, Column) else F.lit(sub)).cast("int"),
+        }
+        return F.when(when, F.struct(*[v.alias(k) for k, v in fields.items()]))
+
+    def add(self, *args, **more) -> None:
+        self.rules.append(F.array(self._rule(*args, **more)))
+
+    @staticmethod
+    def _is(kind: str, *changes: str) -> Column:
+        return (F.col("kind") == kind) & F.col("change").isin(*changes)
+
+    def changes(self) -> DataFrame:
+        """The diff's changes with their schema; beside them the objects inside added tables (change "inside"), what an
+        added table's own text needs (lines, parts, depth), and comments of schemas."""
+        d, q = self.diff, self.config.quoting
+        ns = d.catalog.namespaces
+        # the schema of a pair: that of its target, or of its source where the target has none
+        named = d.pairs.join(ns.select(F.col("snapshot_id").alias("target_id"), F.col("schema").alias("ts")), "target_id", "left").join(ns.select(F.col("snapshot_id").alias("source_id"), F.col("schema").alias("ss")), "source_id", "left")
+        schemas = named.select("pair_id", F.coalesce("ts", "ss", F.lit("public")).alias("schema"))
+        rows = d.changes()
+        added = rows.filter(self._is("table", "added")).select("pair_id", F.col("name").alias("table_name"))
+        inside = kept(d.everything().filter(F.col("kind").isin(*IN_TABLE_KINDS) & F.col("t").isNotNull()).join(added, ["pair_id", "table_name"], "left_semi"))
+        column, con = F.col("t.column"), F.col("t.constraint")
+        lines = F.when(F.col("kind") == "column", F.struct(F.lit(0).alias("a"), column["position"].alias("b"), F.lit("").alias("c"), column_definition(column, q).alias("line"), F.to_json(column).alias("json"))).when(
+            con["kind"].isin("PRIMARY KEY", "UNIQUE", "CHECK"), F.struct(F.lit(1).alias("a"), F.lit(0).alias("b"), F.col("name").alias("c"), text("CONSTRAINT ", self._q(F.col("name")), " ", constraint_body(con, q)).alias("line"), F.to_json(con.dropFields("definition")).alias("json"))
+        )
+        parts = inside.withColumn("line", lines).filter("line is not null").groupBy("pair_id", F.col("table_name").alias("name")).agg(F.array_sort(F.collect_list("line")).alias("parts"))
+        more = parts.join(table_depth(d, inside), ["pair_id", "name"], "full").select("pair_id", "name", F.lit("table").alias("kind"), F.lit("added").alias("change"), "parts", "depth")
+        out = rows.unionByName(inside.withColumn("change", F.lit("inside")), allowMissingColumns=True)
+        schema_comments = d.namespace_comments().select("pair_id", "kind", "name", F.lit("modified").alias("change"), F.col("target").alias("schema_comment"))
+        out = out.join(more, ["pair_id", "kind", "name", "change"], "left").unionByName(schema_comments, allowMissingColumns=True)
+        return out.join(schemas, "pair_id")
 
     def collect(self) -> DataFrame:
         self._drops()
@@ -63,89 +92,79 @@ class Collector:
         self._alters()
         if self.config.include_comments:
             self._comments()
-        out = self.parts[0]
-        for p in self.parts[1:]:
-            out = out.unionByName(p)
-        return out
-
-    def _change(self, kind: str, change: str) -> DataFrame:
-        return self.rows.filter((F.col("kind") == kind) & (F.col("change") == change)).select("pair_id", "schema", "table_name", "name", "to_name")
-
-    def _with_object(self, kind: str, change: str, which: str = "t") -> DataFrame:
-        """Objects of a change with their struct x (the target's, or the source's) and the source's as before."""
-        rows = self.rows.filter((F.col("kind") == kind) & (F.col("change") == change))
-        return rows.select("pair_id", "schema", "table_name", "name", F.col(f"{which}.{kind}").alias("x"), F.col(f"s.{kind}").alias("before"))
+        ops = F.flatten(F.array(*[F.coalesce(F.array_compact(r), F.array().cast(f"array<{_OP}>")).cast(f"array<{_OP}>") for r in self.rules]))
+        return self.changes().select("pair_id", "schema", F.explode(ops).alias("op")).select("pair_id", "schema", "op.*")
 
     def _drops(self) -> None:
-        c = self.config
+        c, name = self.config, F.col("name")
         exists, cascade = ("IF EXISTS " if c.if_exists else ""), (" CASCADE" if c.cascade else "")
         for rank, (kind, op, word, label) in enumerate((("view", "DropView", "VIEW", "view"), ("table", "DropTable", "TABLE", "table"), ("sequence", "DropSequence", "SEQUENCE", "sequence"), ("enum", "DropEnum", "TYPE", "enum type"))):
-            self.add(self._change(kind, "removed").drop("to_name"), op, "drop", kind, rank, text(f"DROP {word} {exists}", self._in(F.col("name")), cascade), None, text(f"Drop {label} ", F.col("schema"), ".", F.col("name")))
-        index = self._with_object("index", "removed", "s").filter(~F.col("x.is_constraint_index"))
-        changed = self._with_object("index", "modified").filter(~F.col("x.is_constraint_index"))
+            self.add(self._is(kind, "removed"), op, "drop", kind, rank, text(f"DROP {word} {exists}", self._in(name), cascade), None, text(f"Drop {label} ", self._path("name")))
         con = "CONCURRENTLY " if c.concurrently else ""
-        for sub, df in ((0, index), (3, changed)):
-            self.add(df, "DropIndex", "drop", "index", 4, text(f"DROP INDEX {con}{exists}", self._in(F.col("name")), cascade), None, text("Drop index ", F.col("schema"), ".", F.col("name")), sub=sub)
-        for sub, df in ((1, self._change("constraint", "removed").drop("to_name")), (2, self._change("constraint", "modified").drop("to_name"))):
-            self.add(df, "DropConstraint", "drop", "constraint", 4, text("ALTER TABLE ", self._in(F.col("table_name")), f" DROP CONSTRAINT {exists}", self.q(F.col("name")), cascade), None, text("Drop constraint ", F.col("schema"), ".", F.col("table_name"), ".", F.col("name")), sub=sub)
-        self.add(self._change("column", "removed").drop("to_name"), "DropColumn", "drop", "table", 4, text("ALTER TABLE ", self._in(F.col("table_name")), f" DROP COLUMN {exists}", self.q(F.col("name")), cascade), None, text("Drop column ", F.col("schema"), ".", F.col("table_name"), ".", F.col("name")), sub=4)
+        alter = text("ALTER TABLE ", self._in(F.col("table_name")))
+        for sub, change, which in ((0, "removed", "s"), (3, "modified", "t")):
+            own = self._is("index", change) & ~F.col(f"{which}.index.is_constraint_index")
+            self.add(own, "DropIndex", "drop", "index", 4, text(f"DROP INDEX {con}{exists}", self._in(name), cascade), None, text("Drop index ", self._path("name")), sub=sub)
+        for sub, change in ((1, "removed"), (2, "modified")):
+            self.add(self._is("constraint", change), "DropConstraint", "drop", "constraint", 4, text(alter, f" DROP CONSTRAINT {exists}", self._q(name), cascade), None, text("Drop constraint ", self._path("table_name", "name")), sub=sub)
+        self.add(self._is("column", "removed"), "DropColumn", "drop", "table", 4, text(alter, f" DROP COLUMN {exists}", self._q(name), cascade), None, text("Drop column ", self._path("table_name", "name")), sub=4)
 
     def _renames(self) -> None:
+        name, to = F.col("name"), F.col("to_name")
         for rank, (kind, op, word, label) in enumerate((("table", "RenameTable", "TABLE", "table"), ("enum", "RenameEnum", "TYPE", "enum type"), ("sequence", "RenameSequence", "SEQUENCE", "sequence"), ("view", "RenameView", "VIEW", "view"), ("index", "RenameIndex", "INDEX", "index"))):
-            say = lambda a, b, w=word: text(f"ALTER {w} ", self._in(a), " RENAME TO ", self.q(b))
-            self.add(self._change(kind, "renamed"), op, "rename", kind, 10 + rank, say(F.col("name"), F.col("to_name")), say(F.col("to_name"), F.col("name")), text(f"Rename {label} ", F.col("schema"), ".", F.col("name"), " to ", F.col("to_name")))
+            say = lambda a, b, w=word: text(f"ALTER {w} ", self._in(a), " RENAME TO ", self._q(b))
+            self.add(self._is(kind, "renamed"), op, "rename", kind, 10 + rank, say(name, to), say(to, name), text(f"Rename {label} ", self._path("name"), " to ", to))
         for sub, (kind, op, word, rank) in enumerate((("column", "RenameColumn", "COLUMN", "table"), ("constraint", "RenameConstraint", "CONSTRAINT", "constraint"))):
-            say = lambda a, b, w=word: text("ALTER TABLE ", self._in(F.col("table_name")), f" RENAME {w} ", self.q(a), " TO ", self.q(b))
-            self.add(self._change(kind, "renamed"), op, "rename", rank, 15 + sub, say(F.col("name"), F.col("to_name")), say(F.col("to_name"), F.col("name")), text(f"Rename {word.lower()} ", F.col("schema"), ".", F.col("table_name"), ".", F.col("name"), " to ", F.col("to_name")))
+            say = lambda a, b, w=word: text("ALTER TABLE ", self._in(F.col("table_name")), f" RENAME {w} ", self._q(a), " TO ", self._q(b))
+            self.add(self._is(kind, "renamed"), op, "rename", rank, 15 + sub, say(name, to), say(to, name), text(f"Rename {word.lower()} ", self._path("table_name", "name"), " to ", to))
 
     def _creates(self) -> None:
-        c, x, q = self.config, F.col("x"), self.config.quoting
+        c, q, name, owner = self.config, self.config.quoting, F.col("name"), self._in(F.col("table_name"))
         fresh, exists = ("IF NOT EXISTS " if c.if_not_exists else ""), ("IF EXISTS " if c.if_exists else "")
-        cascade = " CASCADE" if c.cascade else ""
-        enums = self._with_object("enum", "added").drop("table_name")
-        self.add(enums, "CreateEnum", "create", "enum", 20, text("CREATE TYPE ", self._in(F.col("name")), " AS ENUM (", F.array_join(F.transform(x["labels"], literal), ", "), ")"), text("DROP TYPE ", self._in(F.col("name"))), text("Create enum type ", F.col("schema"), ".", F.col("name")), F.to_json(x))
-        more = self.diff.enum_changes().select("pair_id", "name", F.posexplode("values_added").alias("k", "label"))
-        self.add(more, "AddEnumValue", "create", "enum", 21, text("ALTER TYPE ", self._in(F.col("name")), " ADD VALUE ", literal(F.col("label"))), None, text("Add value '", F.col("label"), "' to enum ", F.col("schema"), ".", F.col("name")), F.to_json(F.struct("label")), sub=F.col("k"))
-        seqs = self._with_object("sequence", "added").drop("table_name")
-        self.add(seqs, "CreateSequence", "create", "sequence", 22, F.concat(text(f"CREATE SEQUENCE {fresh}", self._in(F.col("name")), " AS ", x["data_type"]), *[text(f" {w} ", x[f].cast("string")) for w, f in (("START WITH", "start_value"), ("INCREMENT BY", "increment"), ("MINVALUE", "min_value"), ("MAXVALUE", "max_value"), ("CACHE", "cache_size"))], F.when(x["is_cyclic"], " CYCLE").otherwise(" NO CYCLE")), text("DROP SEQUENCE ", self._in(F.col("name"))), text("Create sequence ", F.col("schema"), ".", F.col("name")), F.to_json(x))
-        self._create_tables(fresh, exists, cascade)
-        added = self._with_object("column", "added")
-        self.add(added, "AddColumn", "create", "table", 26, text("ALTER TABLE ", self._in(F.col("table_name")), " ADD COLUMN ", column_definition(x, q)), text("ALTER TABLE ", self._in(F.col("table_name")), " DROP COLUMN ", self.q(F.col("name"))), text("Add column ", F.col("schema"), ".", F.col("table_name"), ".", F.col("name")), F.to_json(x), sub=x["position"])
-        say = (text("ALTER TABLE ", self._in(F.col("table_name")), " ADD CONSTRAINT ", self.q(F.col("name")), " ", constraint_body(x, q)), text("ALTER TABLE ", self._in(F.col("table_name")), " DROP CONSTRAINT ", self.q(F.col("name"))), text("Add constraint ", F.col("schema"), ".", F.col("table_name"), ".", F.col("name")), F.to_json(x.dropFields("definition")))
-        own = self._of_added_tables("constraint").filter(x["kind"].isin("FOREIGN KEY", "EXCLUDE"))
-        for rank, df in ((24, own), (28, self._with_object("constraint", "added")), (28, self._with_object("constraint", "modified"))):
-            self.add(df, "AddConstraint", "create", "constraint", rank, *say)
+        x = F.col("t.enum")
+        labels = F.array_join(F.transform(x["labels"], literal), ", ")
+        self.add(self._is("enum", "added"), "CreateEnum", "create", "enum", 20, text("CREATE TYPE ", self._in(name), " AS ENUM (", labels, ")"), text("DROP TYPE ", self._in(name)), text("Create enum type ", self._path("name")), F.to_json(x))
+        one = lambda v, k: self._rule(F.lit(True), "AddEnumValue", "create", "enum", 21, text("ALTER TYPE ", self._in(name), " ADD VALUE ", literal(v)), None, text("Add value '", v, "' to enum ", self._path("name")), F.to_json(F.struct(v.alias("label"))), sub=k)
+        more = F.filter(x["labels"], lambda v: ~F.array_contains(F.col("s.enum.labels"), v))
+        self.rules.append(F.when(self._is("enum", "modified"), F.transform(more, one)))
+        x = F.col("t.sequence")
+        clauses = [text(f" {w} ", x[f].cast("string")) for w, f in (("START WITH", "start_value"), ("INCREMENT BY", "increment"), ("MINVALUE", "min_value"), ("MAXVALUE", "max_value"), ("CACHE", "cache_size"))]
+        make = F.concat(text(f"CREATE SEQUENCE {fresh}", self._in(name), " AS ", x["data_type"]), *clauses, F.when(x["is_cyclic"], " CYCLE").otherwise(" NO CYCLE"))
+        self.add(self._is("sequence", "added"), "CreateSequence", "create", "sequence", 22, make, text("DROP SEQUENCE ", self._in(name)), text("Create sequence ", self._path("name")), F.to_json(x))
+        self._create_tables(fresh, exists)
+        x = F.col("t.column")
+        make = text("ALTER TABLE ", owner, " ADD COLUMN ", column_definition(x, q))
+        self.add(self._is("column", "added"), "AddColumn", "create", "table", 26, make, text("ALTER TABLE ", owner, " DROP COLUMN ", self._q(name)), text("Add column ", self._path("table_name", "name")), F.to_json(x), sub=x["position"])
+        x = F.col("t.constraint")
+        apart = self._is("constraint", "inside") & x["kind"].isin("FOREIGN KEY", "EXCLUDE")
+        make = text("ALTER TABLE ", owner, " ADD CONSTRAINT ", self._q(name), " ", constraint_body(x, q))
+        rank = F.when(F.col("change") == "inside", 24).otherwise(28)
+        self.add(apart | self._is("constraint", "added", "modified"), "AddConstraint", "create", "constraint", rank, make, text("ALTER TABLE ", owner, " DROP CONSTRAINT ", self._q(name)), text("Add constraint ", self._path("table_name", "name")), F.to_json(x.dropFields("definition")))
+        x = F.col("t.index")
         con, method = ("CONCURRENTLY " if c.concurrently else ""), F.when(x["method"] == "btree", "").otherwise(text(" USING ", x["method"]))
-        make = F.concat(F.lit("CREATE "), F.when(x["is_unique"], "UNIQUE ").otherwise(""), text(f"INDEX {con}{fresh}", self.q(F.col("name")), " ON ", self._in(F.col("table_name"))), method, text(" (", F.array_join(F.transform(x["columns"], lambda i: index_column(i, q)), ", "), ")"), F.coalesce(text(" WHERE ", x["predicate"]), F.lit("")))
-        for rank, df in ((25, self._of_added_tables("index")), (29, self._with_object("index", "added")), (29, self._with_object("index", "modified"))):
-            self.add(df.filter(~x["is_constraint_index"]), "CreateIndex", "create", "index", rank, make, text(f"DROP INDEX {con}{exists}", self._in(F.col("name"))), text("Create index ", F.col("schema"), ".", F.col("name"), " on ", F.col("table_name")), F.to_json(x))
-        views = self._with_object("view", "added").drop("table_name")
+        columns = F.array_join(F.transform(x["columns"], lambda i: index_column(i, q)), ", ")
+        make = F.concat(F.lit("CREATE "), F.when(x["is_unique"], "UNIQUE ").otherwise(""), text(f"INDEX {con}{fresh}", self._q(name), " ON ", owner), method, text(" (", columns, ")"), F.coalesce(text(" WHERE ", x["predicate"]), F.lit("")))
+        rank = F.when(F.col("change") == "inside", 25).otherwise(29)
+        own = self._is("index", "inside", "added", "modified") & ~x["is_constraint_index"]
+        self.add(own, "CreateIndex", "create", "index", rank, make, text(f"DROP INDEX {con}{exists}", self._in(name)), text("Create index ", self._path("name"), " on ", F.col("table_name")), F.to_json(x))
+        x = F.col("t.view")
         word = F.when(x["is_materialized"], "MATERIALIZED VIEW").otherwise("VIEW")
-        self.add(views, "CreateView", "create", "view", 30, text("CREATE ", word, " ", self._in(F.col("name")), " AS ", x["definition"]), text("DROP ", word, " ", self._in(F.col("name"))), text("Create ", F.lower(word), " ", F.col("schema"), ".", F.col("name")), F.to_json(x))
-
-    def _of_added_tables(self, kind: str) -> DataFrame:
-        from ..operators.diff import side
+        self.add(self._is("view", "added"), "CreateView", "create", "view", 30, text("CREATE ", word, " ", self._in(name), " AS ", x["definition"]), text("DROP ", word, " ", self._in(name)), text("Create ", F.lower(word), " ", self._path("name")), F.to_json(x))
 
-        tables = self._change("table", "added").select("pair_id", "schema", F.col("name").alias("table_name"))
-        return side(self.diff.catalog, self.diff.pairs, kind, "target").join(tables, ["pair_id", "table_name"])
-
-    def _create_tables(self, fresh: str, exists: str, cascade: str) -> None:
-        q, x = self.config.quoting, F.col("x")
-        tables = self._with_object("table", "added").drop("table_name", "before")
-        cols = self._of_added_tables("column").groupBy("pair_id", F.col("table_name").alias("name")).agg(F.transform(F.array_sort(F.collect_list(F.struct(x["position"].alias("k"), column_definition(x, q).alias("d"), x.alias("x")))), lambda v: F.struct(v["d"].alias("d"), F.to_json(v["x"]).alias("j"))).alias("cols"))
-        inline = self._of_added_tables("constraint").filter(x["kind"].isin("PRIMARY KEY", "UNIQUE", "CHECK")).groupBy("pair_id", F.col("table_name").alias("name")).agg(F.array_sort(F.collect_list(F.struct(F.col("name").alias("k"), text("CONSTRAINT ", self.q(F.col("name")), " ", constraint_body(x, q)).alias("d"), F.to_json(x.dropFields("definition")).alias("j")))).alias("cons"))
-        lines = F.concat(F.transform(F.coalesce("cols", F.array().cast("array<struct<d:string,j:string>>")), lambda v: text("    ", v["d"])), F.transform(F.coalesce("cons", F.array().cast("array<struct<k:string,d:string,j:string>>")), lambda v: text("    ", v["d"])))
-        keep = lambda c: F.coalesce(F.transform(c, lambda v: v["j"]), F.array().cast("array<string>"))
-        full = tables.join(cols, ["pair_id", "name"], "left").join(inline, ["pair_id", "name"], "left").join(table_depth(self.diff), ["pair_id", "name"], "left")
-        payload = F.to_json(F.struct(x["kind"].alias("kind"), x["comment"].alias("comment"), keep(F.col("cols")).alias("columns"), keep(F.col("cons")).alias("constraints")))
-        self.add(full, "CreateTable", "create", "table", 23, text(f"CREATE TABLE {fresh}", self._in(F.col("name")), " (\n", F.array_join(lines, ",\n"), "\n)"), text(f"DROP TABLE {exists}", self._in(F.col("name")), cascade), text("Create table ", F.col("schema"), ".", F.col("name")), payload, sub=F.coalesce("depth", F.lit(0)))
+    def _create_tables(self, fresh: str, exists: str) -> None:
+        x, name, parts = F.col("t.table"), F.col("name"), F.coalesce("parts", F.array().cast("array<struct<a:int,b:int,c:string,line:string,json:string>>"))
+        lines = F.array_join(F.transform(parts, lambda v: text("    ", v["line"])), ",\n")
+        of = lambda k: F.transform(F.filter(parts, lambda v: v["a"] == k), lambda v: v["json"])
+        payload = F.to_json(F.struct(x["kind"].alias("kind"), x["comment"].alias("comment"), of(0).alias("columns"), of(1).alias("constraints")))
+        cascade = " CASCADE" if self.config.cascade else ""
+        self.add(self._is("table", "added"), "CreateTable", "create", "table", 23, text(f"CREATE TABLE {fresh}", self._in(name), " (\n", lines, "\n)"), text(f"DROP TABLE {exists}", self._in(name), cascade), text("Create table ", self._path("name")), payload, sub=F.coalesce("depth", F.lit(0)))
 
     def _alters(self) -> None:
-        s, x = F.col("before"), F.col("x")
-        cols = self._with_object("column", "modified")
-        head = text("ALTER TABLE ", self._in(F.col("table_name")), " ALTER COLUMN ", self.q(F.col("name")))
+        s, x = F.col("s.column"), F.col("t.column")
+        owner, name = self._in(F.col("table_name")), self._q(F.col("name"))
+        head = text("ALTER TABLE ", owner, " ALTER COLUMN ", name)
         diff = lambda f: ~s[f].eqNullSafe(x[f])
-        note = text("-- Cannot add GENERATED to existing column; need DROP + ADD\n-- ALTER TABLE ", self._in(F.col("table_name")), " DROP COLUMN ", self.q(F.col("name")), ";\n-- ALTER TABLE ", self._in(F.col("table_name")), " ADD COLUMN ", self.q(F.col("name")), " ... GENERATED ALWAYS AS (", x["generated"]["expression"], ") STORED")
+        note = text("-- Cannot add GENERATED to existing column; need DROP + ADD\n-- ALTER TABLE ", owner, " DROP COLUMN ", name, ";\n-- ALTER TABLE ", owner, " ADD COLUMN ", name, " ... GENERATED ALWAYS AS (", x["generated"]["expression"], ") STORED")
         forward = F.array_compact(F.array(
             F.when(diff("type"), text(head, " TYPE ", x["type"]["formatted"])),
             F.when(diff("is_nullable"), F.when(x["is_nullable"], text(head, " DROP NOT NULL")).otherwise(text(head, " SET NOT NULL"))),
@@ -153,54 +172,63 @@ class Collector:
             F.when(diff("identity"), F.when(x["identity"].isNull(), text(head, " DROP IDENTITY IF EXISTS")).otherwise(text(head, " ADD GENERATED ", x["identity"], " AS IDENTITY"))),
             F.when(diff("generated"), F.when(x["generated"].isNull(), text(head, " DROP EXPRESSION")).otherwise(note)),
         ))
-        changed = cols.filter(diff("type") | diff("is_nullable") | diff("default_expr") | diff("identity") | diff("generated"))
+        changed = self._is("column", "modified") & (diff("type") | diff("is_nullable") | diff("default_expr") | diff("identity") | diff("generated"))
         keep = F.to_json(F.struct(*[F.when(diff(f), F.struct(x[f].alias("to"))).alias(f) for f in ("type", "is_nullable", "default_expr", "identity", "generated")]))
-        self.add(changed, "AlterColumn", "alter", "table", 27, forward, None, text("Alter column ", F.col("schema"), ".", F.col("table_name"), ".", F.col("name")), keep, many=True)
-        seqs = self._with_object("sequence", "modified").drop("table_name")
+        self.add(changed, "AlterColumn", "alter", "table", 27, forward, None, text("Alter column ", self._path("table_name", "name")), keep, many=True)
+        s, x = F.col("s.sequence"), F.col("t.sequence")
+        diff = lambda f: ~s[f].eqNullSafe(x[f])
         clause = lambda word, f: F.when(diff(f), text(f"{word} ", x[f].cast("string")))
         clauses = F.array_compact(F.array(clause("AS", "data_type"), clause("INCREMENT BY", "increment"), clause("MINVALUE", "min_value"), clause("MAXVALUE", "max_value"), clause("START WITH", "start_value"), clause("CACHE", "cache_size"), F.when(diff("is_cyclic"), F.when(x["is_cyclic"], "CYCLE").otherwise("NO CYCLE"))))
-        self.add(seqs.filter(F.size(clauses) > 0), "AlterSequence", "alter", "sequence", 22, text("ALTER SEQUENCE ", self._in(F.col("name")), " ", F.array_join(clauses, " ")), None, text("Alter sequence ", F.col("schema"), ".", F.col("name")), F.to_json(x))
+        self.add(self._is("sequence", "modified") & (F.size(clauses) > 0), "AlterSequence", "alter", "sequence", 22, text("ALTER SEQUENCE ", self._in(F.col("name")), " ", F.array_join(clauses, " ")), None, text("Alter sequence ", self._path("name")), F.to_json(x))
 
     def _comments(self) -> None:
-        rows = self.diff.all_fields().filter("field = 'comment'")
+        now, changed = F.col("schema_comment"), F.col("kind") == "namespace"
+        for kind in ("table", "column", "constraint", "index", "view", "sequence", "enum"):
+            old, new = F.col(f"s.{kind}.comment"), F.col(f"t.{kind}.comment")
+            here = self._is(kind, "modified")
+            changed = changed | (here & ~old.eqNullSafe(new))
+            now = F.when(here, new).otherwise(now)
         on = (
-            F.when(F.col("kind") == "namespace", text("SCHEMA ", self.q(F.col("name"))))
-            .when(F.col("kind") == "column", text("COLUMN ", self._in(F.col("table_name")), ".", self.q(F.col("name"))))
-            .when(F.col("kind") == "constraint", text("CONSTRAINT ", self.q(F.col("name")), " ON ", self._in(F.col("table_name"))))
+            F.when(F.col("kind") == "namespace", text("SCHEMA ", self._q(F.col("name"))))
+            .when(F.col("kind") == "column", text("COLUMN ", self._in(F.col("table_name")), ".", self._q(F.col("name"))))
+            .when(F.col("kind") == "constraint", text("CONSTRAINT ", self._q(F.col("name")), " ON ", self._in(F.col("table_name"))))
             .otherwise(text(F.when(F.col("kind") == "enum", "TYPE").otherwise(F.upper("kind")), " ", self._in(F.col("name"))))
         )
-        sql = text("COMMENT ON ", on, " IS ", F.coalesce(literal(F.col("target")), F.lit("NULL")))
-        verb = F.when(F.col("target").isNull(), "Remove").otherwise("Set")
-        self.add(rows, "SetComment", "comment", "comment", 40, sql, None, text(verb, " comment on ", F.col("kind"), " ", F.concat_ws(".", F.col("table_name"), F.col("name"))), F.to_json(F.struct("kind", F.col("target").alias("comment"))))
+        sql = text("COMMENT ON ", on, " IS ", F.coalesce(literal(now), F.lit("NULL")))
+        verb = F.when(now.isNull(), "Remove").otherwise("Set")
+        self.add(changed, "SetComment", "comment", "comment", 40, sql, None, text(verb, " comment on ", F.col("kind"), " ", F.concat_ws(".", F.col("table_name"), F.col("name"))), F.to_json(F.struct("kind", now.alias("comment"))))
 
 
-def table_depth(diff: Diff) -> DataFrame:
+def table_depth(diff: Diff, inside: DataFrame | None = None) -> DataFrame:
     """pair_id, name, depth of every added table: 1 more than the deepest added table that it refers to.
 
-    A bounded relaxation inside one row per pair (n tables + 1 rounds, so cycles end); references to itself don't count.
+    References to itself don't count.  ``inside``: the objects of added tables, where they are at hand.
     """
-    from ..operators.diff import side
-
     added = diff.objects("table").filter("change = 'added'").select("pair_id", "name")
-    tables = added.groupBy("pair_id").agg(F.array_sort(F.collect_list("name")).alias("tables"))
-    refs = side(diff.catalog, diff.pairs, "constraint", "target").filter("x.kind = 'FOREIGN KEY' AND table_name <> x.ref_table")
-    edges = refs.join(added.withColumnRenamed("name", "table_name"), ["pair_id", "table_name"], "left_semi").groupBy("pair_id").agg(F.collect_set(F.struct(F.col("table_name").alias("a"), F.col("x.ref_table").alias("b"))).alias("edges"))
-    return depths(tables.join(edges, "pair_id", "left").withColumn("edges", F.coalesce("edges", F.array().cast("array<struct<a:string,b:string>>"))))
-
+    if inside is None:
+        inside = diff.everything().filter("kind = 'constraint' AND t IS NOT NULL").join(added.withColumnRenamed("name", "table_name"), ["pair_id", "table_name"], "left_semi")
+    refs = inside.select("pair_id", F.col("table_name").alias("a"), "t.constraint.kind", F.col("t.constraint.ref_table").alias("b")).filter("kind = 'FOREIGN KEY' AND a <> b")
+    return depths(added, refs.select("pair_id", "a", "b").distinct().join(added.withColumnRenamed("name", "b"), ["pair_id", "b"], "left_semi"))
 
-def depths(df: DataFrame) -> DataFrame:
-    """From pair_id, tables (array of names), edges (array of a refers to b)."""
 
-    def one(d: Column) -> Column:
-        def of(t: Column) -> Column:
-            known = F.filter("edges", lambda e: (e["a"] == t) & F.array_contains("tables", e["b"]))
-            return F.coalesce(F.array_max(F.transform(known, lambda e: F.element_at(d, F.array_position("tables", e["b"]).cast("int")) + 1)), F.lit(0))
+def depths(tables: DataFrame, edges: DataFrame) -> DataFrame:
+    """pair_id, name, depth, from tables (pair_id, name) and edges (pair_id, a refers to b).
 
-        return F.transform("tables", of)
-
-    start = F.transform("tables", lambda t: F.lit(0))
-    out = df.withColumn("d", F.aggregate(F.sequence(F.lit(1), F.size("tables") + 1), start, lambda acc, _: one(acc)))
-    return out.select("pair_id", F.explode(F.arrays_zip("tables", "d")).alias("z")).select("pair_id", F.col("z.tables").alias("name"), F.col("z.d").alias("depth"))
+    Rounds of joins raise depths until none grows; a pair's cycles end after a round more than it has tables.
+    """
+    tables, edges = kept(tables.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("pair_id")))), kept(edges)
+    now = tables.select("pair_id", "name", "n", F.lit(0).alias("depth"))
+    if edges.isEmpty():
+        return now.drop("n")
+    rounds = 0
+    while True:
+        rounds += 1
+        below = edges.join(now.select("pair_id", F.col("name").alias("b"), "depth"), ["pair_id", "b"]).groupBy("pair_id", F.col("a").alias("name")).agg((F.max("depth") + 1).alias("next"))
+        new = F.when(F.lit(rounds) <= F.col("n") + 1, F.coalesce("next", F.lit(0))).otherwise(F.col("depth"))
+        now = kept(now.join(below, ["pair_id", "name"], "left").withColumn("grew", new != F.col("depth")).withColumn("depth", new).drop("next"))
+        if now.filter("grew").isEmpty():
+            return now.select("pair_id", "name", "depth")
+        now = now.drop("grew")
 
 
 def ordered(ops: DataFrame) -> DataFrame:
