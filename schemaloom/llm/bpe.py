@@ -2,17 +2,18 @@
 
 Whole texts are pre-tokenised in blocks.  A block (one run of documents in one
 task) keeps, for each pre-token position, the index of its word in the block's
-dictionary; a row goes out for each word of the dictionary.  The rows are dealt
-and sorted by word, so every distinct word of the corpus is encoded once, in a
-stream; its ids go back to the blocks that asked, which reassemble their
-documents by position.  Decoding joins ids with the fixed token-byte table.
+dictionary; the dictionary's words are dealt by hash to word buckets.  There
+every distinct word of the corpus is encoded once; its ids go back to the
+blocks that asked, which reassemble their documents by position.  Decoding
+joins ids with the fixed token-byte table.
 
 Words are told apart by their bytes: a block whose dictionary doesn't give its
 texts back (two words with one 64-bit hash) is read again with another hash.
 
 Skew: a frequent word crosses the shuffle once per block, never once per
-occurrence, and words are encoded in a stream.  Memory: a block is bounded in
-bytes (or one document).
+occurrence.  Memory: a block is bounded in bytes (or one document); a bucket's
+askers come in a stream, and only its distinct words are held, a share of the
+vocabulary that falls with the number of buckets.
 
 Nulls: a null text is an empty text (no tokens).  A null doc_id is kept.
 Repeated rows give repeated result rows.  Extra columns are ignored.
@@ -34,10 +35,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import WIDE_SLICE, gather, lean, pretokens, slices, span_hashes
+from .batches import WIDE_SLICE, gather, lean, mix, pretokens, slices, span_hashes
 from .spark_util import parallelism
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 32 << 20
 
 
 @lru_cache(maxsize=4)
@@ -151,18 +152,33 @@ def _block(held: list, pattern: str) -> Block:
     raise RuntimeError("no hash tells the words of a block apart")
 
 
-def _words_of(pattern: str):
-    schema = pa.schema([("block", pa.int64()), ("at", pa.int32()), ("word", pa.binary())])
+def _bucket(b: Block, buckets: int) -> np.ndarray:
+    """The word bucket of every word, in dictionary order."""
+    out = np.empty(len(b.known), np.int64)
+    out[b.rank()] = (mix(b.known) % np.uint64(buckets)).astype(np.int64)
+    return out
+
+
+def _words_of(pattern: str, buckets: int):
+    schema = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("words", pa.binary()), ("sizes", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each block and bucket its words, in dictionary order."""
         for b in blocks(batches, pattern):
-            name, rank = b.mark(), b.rank()
-            for k in range(0, len(rank), 50_000):
-                pick = np.arange(k, min(k + 50_000, len(rank)))
-                flat, ends = gather(b.flat, b.start, b.size, pick)
-                offsets = np.concatenate(([0], ends)).astype(np.int32)
-                word = pa.Array.from_buffers(pa.binary(), len(pick), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(flat.tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pick), name, np.int64)), pa.array(rank[pick].astype(np.int32)), word], schema=schema)
+            name, of = b.mark(), _bucket(b, buckets)
+            place = np.empty(len(of), np.int64)
+            place[b.rank()] = np.arange(len(of))
+            order = np.argsort(of, kind="stable")
+            cuts = np.searchsorted(of[order], np.arange(buckets + 1))
+            out: dict[str, list] = {f: [] for f in schema.names}
+            for k in np.flatnonzero(np.diff(cuts)).tolist():
+                pick = place[order[cuts[k] : cuts[k + 1]]]
+                for c, v in zip(out, (k, name, pack(gather(b.flat, b.start, b.size, pick)[0]), pack(b.size[pick].astype(np.uint32))), strict=True):
+                    out[c].append(v)
+                if len(out["block"]) >= 500:
+                    yield pa.RecordBatch.from_pydict(out, schema=schema)
+                    out = {f: [] for f in schema.names}
+            yield pa.RecordBatch.from_pydict(out, schema=schema)
 
     return run
 
@@ -174,20 +190,30 @@ def _encoded(path: str, pattern: str):
     schema = pa.schema([("block", pa.int64()), ("at", pa.int32()), ("data", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Words in their order: each distinct one is encoded once, however many blocks ask for it."""
-        encode, last, ids = piece_encoder(path, pattern), None, b""
+        """Rows in the order of their buckets: each distinct word of a bucket is encoded once, however many blocks ask for it."""
+        encode, bucket, known = piece_encoder(path, pattern), None, {}
         for b in batches:
             out = []
-            for w in b.column(2).to_pylist():
-                if w != last:
-                    last, ids = w, np.array(encode(w), "<u4").tobytes()
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], schema=schema)
+            for k, words, sizes in zip(*(b.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+                if k != bucket:
+                    bucket, known = k, {}
+                flat, at, ids, n = unpack(words, np.uint8).tobytes(), 0, [], []
+                for z in unpack(sizes, np.uint32).tolist():
+                    w = flat[at : at + z]
+                    at += z
+                    got = known.get(w)
+                    if got is None:
+                        got = known[w] = encode(w)
+                    ids += got
+                    n.append(len(got))
+                counts = pack(np.array(n, "<u4"))
+                out.append(len(counts).to_bytes(8, "little") + counts + pack(np.array(ids, "<u4")))
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(0), pa.array(out, pa.binary())], schema=schema)
 
     return run
 
 
-def _positions_of(pattern: str):
+def _positions_of(pattern: str, buckets: int):
     """One row for each block, at -1: its documents' ids, positions, bounds and digests."""
     schema = pa.schema([("block", pa.int64()), ("at", pa.int32()), ("data", pa.binary())])
 
@@ -201,7 +227,7 @@ def _positions_of(pattern: str):
                 bounds += (first[1:] + base).tolist()
                 base += len(h)
                 digests += sha
-            parts = [pack(np.frombuffer(json.dumps([len(rank), ids]).encode(), np.uint8)), _pack_planes(np.concatenate(idx)), pack(np.array(bounds, np.int64)), pack(np.frombuffer(b"".join(digests), np.uint8))]
+            parts = [pack(np.frombuffer(json.dumps(ids).encode(), np.uint8)), _pack_planes(np.concatenate(idx)), _pack_planes(_bucket(b, buckets)), pack(np.array(bounds, np.int64)), pack(np.frombuffer(b"".join(digests), np.uint8))]
             data = np.array([len(x) for x in parts], "<i8").tobytes() + b"".join(parts)
             yield pa.RecordBatch.from_pydict({"block": [b.mark()], "at": [-1], "data": [data]}, schema=schema)
 
@@ -221,26 +247,25 @@ def _unpack_planes(b: bytes) -> np.ndarray:
 def _reassemble(path: str):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         """One block: its words' ids in dictionary order, then joined by position."""
-        at = pdf["at"].to_numpy()
-        heads = pdf["data"][at < 0].tolist()
-        told = np.flatnonzero(at >= 0)
-        told = told[np.unique(at[told], return_index=True)[1]]  # blocks that are equal throughout asked twice
-        if not heads:
+        heads, told = pdf[pdf["at"] < 0], pdf[pdf["at"] >= 0]
+        told = told.drop_duplicates("at").sort_values("at")  # blocks that are equal throughout asked twice
+        if not len(heads):
             raise RuntimeError("a block's positions are missing: its input rows changed between two reads")
-        data = pdf["data"].to_numpy()[told].tolist()
-        flat = np.frombuffer(b"".join(data), "<u4")
-        size = np.array([len(x) // 4 for x in data], np.int64)
-        start = np.cumsum(size) - size
+        parts = [(x[8 : 8 + (n := int.from_bytes(x[:8], "little"))], x[8 + n :]) for x in told["data"]]
+        size = np.concatenate([unpack(x, "<u4") for x, _ in parts] or [np.empty(0, "<u4")]).astype(np.int64)
+        flat = np.concatenate([unpack(x, "<u4") for _, x in parts] or [np.empty(0, "<u4")])
         rows = []
-        for head in heads:
-            ends = np.cumsum(np.frombuffer(head, "<i8", 4)) + 32
-            names, positions, bounds, sha = (head[a:z] for a, z in zip([32, *ends[:-1].tolist()], ends.tolist(), strict=True))
-            n, doc_ids = json.loads(unpack(names, np.uint8).tobytes())
-            if n != len(size):
+        for head in heads["data"]:
+            ends = np.cumsum(np.frombuffer(head, "<i8", 5)) + 40
+            names, positions, of, bounds, sha = (head[a:z] for a, z in zip([40, *ends[:-1].tolist()], ends.tolist(), strict=True))
+            doc_ids, order = json.loads(unpack(names, np.uint8).tobytes()), np.argsort(_unpack_planes(of), kind="stable")
+            if len(order) != len(size):
                 raise RuntimeError("a block's words are missing: its input rows changed between two reads")
+            start_at, size_at = np.empty(len(size), np.int64), np.empty(len(size), np.int64)
+            start_at[order], size_at[order] = np.cumsum(size) - size, size
             pos, bounds, sha = _unpack_planes(positions), unpack(bounds, np.int64), unpack(sha, np.uint8).tobytes()
             for i, d in enumerate(doc_ids):
-                ids, _ = gather(flat, start, size, pos[bounds[i] : bounds[i + 1]])
+                ids, _ = gather(flat, start_at, size_at, pos[bounds[i] : bounds[i + 1]])
                 decoded = hashlib.sha256(decode_ids(ids, path))
                 if decoded.digest() != sha[32 * i : 32 * i + 32]:
                     raise RuntimeError(f"document {d}: decoding does not give its text back")
@@ -250,18 +275,20 @@ def _reassemble(path: str):
     return run
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, digest: bool = False) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, buckets: int | None = None, digest: bool = False) -> DataFrame:
     """Encode every whole text, then decode the ids and check the round trip.
 
     Returns doc_id, n_tokens, ids (binary, little-endian unsigned 32-bit; with
     ``digest`` instead ids_sha256 of the decimal ids joined by commas) and
-    decoded_sha256.  Input rows must read the same twice (files do); a block
-    whose rows changed raises instead of giving wrong ids.
+    decoded_sha256.  ``buckets``: word buckets, by default twice the shuffle
+    partitions.  Input rows must read the same twice (files do); a block whose
+    rows changed raises instead of giving wrong ids.
     """
+    n = buckets or 2 * parallelism(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    asked = texts.mapInArrow(lean(_words_of(pattern)), "block long, at int, word binary")
-    dealt = asked.repartition(parallelism(docs.sparkSession), "word").sortWithinPartitions("word")
-    parts = dealt.mapInArrow(lean(_encoded(ranks_path, pattern)), _PARTS).unionByName(texts.mapInArrow(lean(_positions_of(pattern)), _PARTS))
+    asked = texts.mapInArrow(lean(_words_of(pattern, n)), "bucket int, block long, words binary, sizes binary")
+    dealt = asked.repartition(parallelism(docs.sparkSession), "bucket").sortWithinPartitions("bucket")
+    parts = dealt.mapInArrow(lean(_encoded(ranks_path, pattern)), _PARTS).unionByName(texts.mapInArrow(lean(_positions_of(pattern, n)), _PARTS))
     whole = _reassemble(ranks_path)
     if not digest:
         return parts.groupBy("block").applyInPandas(whole, "doc_id long, n_tokens long, ids binary, decoded_sha256 string")
