@@ -4,8 +4,8 @@ Every round links each vertex's larger neighbours to its smallest one (large
 star), then its smaller ones (small star), until nothing changes: a number of
 rounds that grows with the logarithm of the largest component.  Only pairs of
 ids move; the smallest neighbour is found by partial aggregation, so a vertex
-with very many neighbours is pre-aggregated, and the join back is one that
-adaptive execution can split.
+with very many neighbours is pre-aggregated, and it goes back to them by a
+broadcast.
 """
 
 from __future__ import annotations
@@ -13,13 +13,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spark_util import written
+from .spark_util import heavy_join, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
-    low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-    linked = both.filter("b > a" if large else "b < a").join(low.hint("merge"), "a")
+    low = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count(F.lit(1)).alias("k")))
+    linked = heavy_join(both.filter("b > a" if large else "b < a"), low, ["a"], "k")
     out = linked.select(F.col("b").alias("x"), "m")
     if not large:
         out = out.unionByName(low.select(F.col("a").alias("x"), "m"))

@@ -199,10 +199,10 @@ def _labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 def _bucketed(texts: DataFrame) -> DataFrame:
     """bucket, low, t of every bucket with two texts at least; low is its smallest t.  Bands with the same texts are one."""
-    rows = texts.select("t", F.posexplode("bands").alias("band", "key"))
+    rows = written(texts.select("t", F.posexplode("bands").alias("band", "key")))
     many = rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("low"), F.bit_xor(F.xxhash64("t")).alias("x"), F.bit_xor(F.xxhash64("t", F.lit(1))).alias("y")).filter("n > 1")
-    many = many.select("band", "key", "low", F.xxhash64("n", "low", "x", "y").alias("bucket"))
-    return written(rows.join(many.hint("merge"), ["band", "key"]).select("bucket", "low", "t").distinct())
+    many = written(many.select("band", "key", "low", "n", F.xxhash64("n", "low", "x", "y").alias("bucket")))
+    return written(heavy_join(rows, many, ["band", "key"], "n").select("bucket", "low", "t").distinct())
 
 
 # ---- verification ---------------------------------------------------------------
@@ -326,9 +326,9 @@ def _links_within(threshold: float):
 def _links_in_buckets(buckets: DataFrame, classes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Links between the classes of every bucket that has several; buckets of two have been tested."""
     label = classes.select(F.col("id").alias("t"), F.col("component").alias("class"))
-    member = buckets.select("t", F.col("bucket").alias("group")).join(label.hint("merge"), "t", "left").withColumn("class", F.coalesce("class", "t"))
-    mixed = member.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi AND n > 2").select("group", F.ceil(F.col("n") / GROUP_BLOCK).cast("int").alias("blocks"))
-    rows = member.join(mixed.hint("merge"), "group").join(sets.hint("merge"), "t").withColumn("block", F.pmod(F.xxhash64("t"), F.col("blocks")).cast("int"))
+    member = written(buckets.select("t", F.col("bucket").alias("group")).join(label.hint("merge"), "t", "left").withColumn("class", F.coalesce("class", "t")))
+    mixed = member.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi AND n > 2").select("group", "n", F.ceil(F.col("n") / GROUP_BLOCK).cast("int").alias("blocks"))
+    rows = heavy_join(member, written(mixed), ["group"], "n").join(sets.hint("merge"), "t").withColumn("block", F.pmod(F.xxhash64("t"), F.col("blocks")).cast("int"))
     sides = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("group", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "t", "class", "set")
     return sides.groupBy("group", "lo", "hi").applyInPandas(_links_within(threshold), "a long, b long")
 
