@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 RESERVED = sorted({*keyword.kwlist, *keyword.softkwlist} - {"_"})
+_RESERVED = rf"^(?:{'|'.join(RESERVED)})\z"
 
 
 def identifier(name: Column) -> Column:
@@ -15,14 +16,14 @@ def identifier(name: Column) -> Column:
     x = F.regexp_replace(F.regexp_replace(name, "^([0-9])", "_$1"), "[^A-Za-z0-9_]", "_")
     x = F.regexp_replace(x, "_+", "_")
     x = F.when(~name.endswith("_") & (F.length(x) > 1), F.regexp_replace(x, "(?<=.)_+$", "")).otherwise(x)
-    x = F.when(x.isin(*RESERVED), F.concat(x, F.lit("_"))).otherwise(x)
+    x = F.when(x.rlike(_RESERVED), F.concat(x, F.lit("_"))).otherwise(x)
     return F.when(name == "", "_empty").when(x.isin("", "_"), "_field").otherwise(x)
 
 
 def attribute(name: Column) -> Column:
     """A model's attribute: an identifier in snake case."""
     x = F.lower(F.regexp_replace(identifier(name), "(?<=[a-z0-9])([A-Z])", "_$1"))
-    return F.when(x.isin(*RESERVED), F.concat(x, F.lit("_"))).otherwise(x)
+    return F.when(x.rlike(_RESERVED), F.concat(x, F.lit("_"))).otherwise(x)
 
 
 def singular(name: Column) -> Column:

@@ -25,6 +25,10 @@ RESERVED = (
 )
 
 
+#: A name that needs no quotes; one pattern, so an expression holds one literal and not one for each word.
+_PLAIN = rf"^(?!(?:{'|'.join(RESERVED)})\z)[a-z_][a-z0-9_$]*\z"
+
+
 @dataclass(frozen=True)
 class RenderConfig:
     quoting: str = "when_needed"  # always, never, when_needed
@@ -50,8 +54,7 @@ def quote(name: Column, quoting: str = "when_needed") -> Column:
         return quoted
     if quoting == "never":
         return name
-    plain = name.rlike("^[a-z_][a-z0-9_$]*$") & ~name.isin(*RESERVED)
-    return F.when(plain, name).otherwise(quoted)
+    return F.when(name.rlike(_PLAIN), name).otherwise(quoted)
 
 
 def quoted_list(names: Column, quoting: str) -> Column:

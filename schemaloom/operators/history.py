@@ -172,3 +172,51 @@ def checksum(catalog) -> DataFrame:
     text = rows.groupBy("snapshot_id").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("t"))
     ids = catalog.namespaces.select("snapshot_id")
     return ids.join(text, "snapshot_id", "left").select("snapshot_id", F.sha2(F.coalesce("t", F.lit("")), 256).alias("checksum"))
+
+
+def is_applied(applied: DataFrame, asked: DataFrame) -> DataFrame:
+    """history_id, id, is_applied of migrations asked for."""
+    known = applied.select("history_id", "id").distinct().withColumn("is_applied", F.lit(True))
+    return asked.join(known, ["history_id", "id"], "left").select("history_id", "id", F.coalesce("is_applied", F.lit(False)).alias("is_applied"))
+
+
+def verify(stored: DataFrame, live: DataFrame) -> DataFrame:
+    """history_id, outcome (ok, drifted, unknown) from history_id, checksum on both sides."""
+    both = live.select("history_id", F.col("checksum").alias("live")).join(stored.select("history_id", F.col("checksum").alias("expected")), "history_id", "left")
+    return both.select("history_id", "expected", "live", F.when(F.col("expected").isNull(), "unknown").when(F.col("expected") == F.col("live"), "ok").otherwise("drifted").alias("outcome"))
+
+
+def initialise(catalog, existing: DataFrame, from_database: bool = True) -> DataFrame:
+    """The first migration of every snapshot's history: history_id, seq, id, parent_hash, resulting_hash, is_checkpoint, error.
+
+    From a database it is a baseline without operations whose state, a checkpoint, is what is there; an empty history has
+    no migration (seq 0, the zero hash).  A history in ``existing`` (history_id) is an error, not begun anew.
+    """
+    sums = checksum(catalog).select(F.col("snapshot_id").alias("history_id"), "checksum")
+    known = existing.select("history_id").distinct().withColumn("known", F.lit(True))
+    rows = sums.join(known, "history_id", "left").withColumn("fresh", F.col("known").isNull())
+    zero, fresh = F.lit(ZERO), F.col("fresh")
+    seq, hash_ = (F.lit(1), F.col("checksum")) if from_database else (F.lit(0), zero)
+    id_ = migration_id(zero, F.lit("[]"), F.lit("baseline")) if from_database else F.lit(None).cast("string")
+    return rows.select(
+        "history_id", F.when(fresh, seq).alias("seq"), F.when(fresh, id_).alias("id"), F.when(fresh, zero).alias("parent_hash"), F.when(fresh, hash_).alias("resulting_hash"),
+        F.when(fresh, F.lit(from_database)).alias("is_checkpoint"), F.when(~fresh, "AlreadyInitialised").alias("error"),
+    )
+
+
+def read_migrations(spark, path: str) -> DataFrame:
+    """Migrations to record, from JSON files: history_id, id, parent_hash, description, operations (JSON text)."""
+    return spark.read.schema("history_id string, id string, parent_hash string, description string, operations string").json(path, multiLine=True)
+
+
+def resources(catalog, h: DataFrame) -> DataFrame:
+    """uri, mime_type, content: read-only JSON documents of every snapshot, every history and every migration."""
+    mime = F.lit("application/json").alias("mime_type")
+    cols = catalog.columns.groupBy("snapshot_id", "table_name").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "name"))), lambda c: c["name"]).alias("columns"))
+    tables = catalog.tables.join(cols, ["snapshot_id", "table_name"], "left").groupBy("snapshot_id").agg(F.array_sort(F.collect_list(F.struct(F.col("table_name").alias("name"), F.coalesce("columns", F.array().cast("array<string>")).alias("columns")))).alias("t"))
+    schemas = catalog.namespaces.join(tables, "snapshot_id", "left")
+    out = schemas.select(F.concat(F.lit("schema/"), "snapshot_id").alias("uri"), mime, F.coalesce(F.to_json("t"), F.lit("[]")).alias("content"))
+    listed = h.groupBy("history_id").agg(F.array_sort(F.collect_list(F.struct("seq", "id"))).alias("m"))
+    out = out.unionByName(listed.select(F.concat(F.lit("migrations/"), F.col("history_id").cast("string")).alias("uri"), mime, F.to_json("m").alias("content")))
+    one = F.to_json(F.struct(F.col("history_id").cast("string").alias("history"), "seq", "id", "parent_hash", "resulting_hash"))
+    return out.unionByName(h.select(F.concat(F.lit("migration/"), "id").alias("uri"), mime, one.alias("content")))

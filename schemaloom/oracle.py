@@ -36,9 +36,9 @@ _SIM = {
 }
 
 
-def diff_ctes() -> str:
+def diff_ctes(of: list[tuple[str, str, str]] | None = None) -> str:
     """CTEs up to `objects` (every change) and `sims` (every removed and added pair's similarity)."""
-    q = [ctes(*ALL)]
+    q = [ctes(*ALL, of=of)]
     q.append("both_tables AS (SELECT s.pair_id, s.table_name FROM src_tables s JOIN tgt_tables t USING (pair_id, table_name))")
     q.append("gone_table AS (SELECT pair_id, table_name AS name FROM src_tables ANTI JOIN both_tables USING (pair_id, table_name)), new_table AS (SELECT pair_id, table_name AS name FROM tgt_tables ANTI JOIN both_tables USING (pair_id, table_name))")
     for side in ("src", "tgt"):

@@ -130,7 +130,7 @@ def _ops() -> list[str]:
     return out
 
 
-def plan_ctes() -> str:
+def plan_ctes(of: list[tuple[str, str, str]] | None = None) -> str:
     """CTEs up to `plan`: the ordered operations of every pair."""
     lines = (
         f"lines AS (SELECT pair_id, table_name, 0 AS a, position AS b, '' AS c, '    ' || {_COLUMN} AS line FROM tgt_columns x"
@@ -146,7 +146,7 @@ depth AS (SELECT pair_id, name, max(depth) AS depth FROM walk GROUP BY ALL)"""
     deep = "CASE WHEN op_kind = 'CreateTable' THEN r2 ELSE 0 END"
     return ",\n".join(
         [
-            diff_ctes(),
+            diff_ctes(of),
             "psch AS (SELECT p.pair_id, coalesce(t.schema, s.schema, 'public') AS schema FROM pairs p LEFT JOIN namespaces t ON t.snapshot_id = p.target_id LEFT JOIN namespaces s ON s.snapshot_id = p.source_id)",
             lines,
             depth,
@@ -156,8 +156,8 @@ depth AS (SELECT pair_id, name, max(depth) AS depth FROM walk GROUP BY ALL)"""
     )
 
 
-def plan_sql(tail: str) -> str:
-    return f"{plan_ctes()} {tail}"
+def plan_sql(tail: str, of: list[tuple[str, str, str]] | None = None) -> str:
+    return f"{plan_ctes(of)} {tail}"
 
 
 ORDERED = "SELECT pair_id, seq, op_kind, phase, object_kind, table_name, name, to_name, description FROM plan"
@@ -178,11 +178,39 @@ def affected_sql() -> str:
     return f"{plan_ctes()}, breaking AS ({breaking_rows()}), s AS (SELECT pair_id, seq, array_to_string(forward, ';' || chr(10)) AS sql FROM plan) SELECT DISTINCT b.pair_id, b.change, b.object_name, s.seq, s.sql FROM breaking b JOIN s USING (pair_id) WHERE {hit}"
 
 
-#: What a plan makes of its source: the target's objects.
-TARGET_OBJECTS = """ SELECT pair_id, 'table' AS kind, NULL::VARCHAR AS table_name, table_name AS name, NULL::VARCHAR AS type, NULL::BOOLEAN AS is_nullable FROM tgt_tables
- UNION ALL SELECT pair_id, 'column', table_name, name, type.formatted, is_nullable FROM tgt_columns UNION ALL SELECT pair_id, 'constraint', table_name, name, kind, NULL FROM tgt_constraints
- UNION ALL SELECT pair_id, 'index', table_name, name, method, NULL FROM tgt_indexes WHERE NOT is_constraint_index UNION ALL SELECT pair_id, 'enum', NULL, name, array_to_string(list_sort(labels), ','), NULL FROM tgt_enums
- UNION ALL SELECT pair_id, 'sequence', NULL, name, data_type, NULL FROM tgt_sequences UNION ALL SELECT pair_id, 'view', NULL, name, NULL, NULL FROM tgt_views"""
+def replayed_sql(source_seq: bool = False) -> str:
+    """What a plan makes of its source: the target's objects, but that a renamed object keeps what it was, and enums keep their values."""
+    moved = "SELECT pair_id, from_name, to_name FROM renames WHERE kind = 'table'"
+    inner = lambda rel, cols: f"SELECT x.pair_id, x.table_name, x.name, {cols} FROM tgt_{rel} x WHERE NOT EXISTS (SELECT 1 FROM moved m WHERE m.pair_id = x.pair_id AND m.to_name = x.table_name) UNION ALL SELECT x.pair_id, m.to_name, x.name, {cols} FROM src_{rel} x JOIN moved m ON m.pair_id = x.pair_id AND m.from_name = x.table_name"
+    was = lambda kind, rel, col: f"coalesce((SELECT s.{col} FROM renames r JOIN src_{rel} s ON s.pair_id = r.pair_id AND s.name = r.from_name AND s.table_name = r.table_name WHERE r.kind = '{kind}' AND r.pair_id = x.pair_id AND r.table_name = x.table_name AND r.to_name = x.name), x.{col})"
+    top = lambda kind, rel, col: f"coalesce((SELECT s.{col} FROM renames r JOIN src_{rel} s ON s.pair_id = r.pair_id AND s.name = r.from_name WHERE r.kind = '{kind}' AND r.pair_id = x.pair_id AND r.to_name = x.name), x.{col})"
+    labels = "CASE WHEN s.labels IS NULL THEN coalesce(o.labels, x.labels) ELSE list_concat(s.labels, list_filter(x.labels, lambda v: NOT list_contains(s.labels, v))) END"
+    enums = f"SELECT x.pair_id, x.name, {labels} AS labels FROM tgt_enums x LEFT JOIN src_enums s USING (pair_id, name) LEFT JOIN renames r ON r.kind = 'enum' AND r.pair_id = x.pair_id AND r.to_name = x.name LEFT JOIN src_enums o ON o.pair_id = r.pair_id AND o.name = r.from_name"
+    after = f"""SELECT pair_id, 'table' AS kind, NULL::VARCHAR AS table_name, table_name AS name, NULL::VARCHAR AS type, NULL::BOOLEAN AS is_nullable FROM tgt_tables
+ UNION ALL SELECT pair_id, 'column', table_name, name, formatted, is_nullable FROM ({inner('columns', 'x.type.formatted AS formatted, ' + was('column', 'columns', 'is_nullable') + ' AS is_nullable')})
+ UNION ALL SELECT pair_id, 'constraint', table_name, name, kind, NULL FROM ({inner('constraints', 'x.kind')})
+ UNION ALL SELECT pair_id, 'index', table_name, name, method, NULL FROM ({inner('indexes', 'x.method, x.is_constraint_index')}) WHERE NOT is_constraint_index
+ UNION ALL SELECT pair_id, 'enum', NULL, name, array_to_string(list_sort(labels), ','), NULL FROM ({enums})
+ UNION ALL SELECT pair_id, 'sequence', NULL, name, {top('sequence', 'sequences', 'data_type')}, NULL FROM tgt_sequences x UNION ALL SELECT pair_id, 'view', NULL, name, NULL, NULL FROM tgt_views"""
+    head = f"{diff_ctes()}, moved AS ({moved})"
+    if not source_seq:
+        return f"{head} {after}"
+    before = """SELECT pair_id, 'table' AS kind, NULL::VARCHAR AS table_name, table_name AS name, NULL::VARCHAR AS type, NULL::BOOLEAN AS is_nullable FROM src_tables
+ UNION ALL SELECT pair_id, 'column', table_name, name, type.formatted, is_nullable FROM src_columns UNION ALL SELECT pair_id, 'constraint', table_name, name, kind, NULL FROM src_constraints
+ UNION ALL SELECT pair_id, 'index', table_name, name, method, NULL FROM src_indexes WHERE NOT is_constraint_index UNION ALL SELECT pair_id, 'enum', NULL, name, array_to_string(list_sort(labels), ','), NULL FROM src_enums
+ UNION ALL SELECT pair_id, 'sequence', NULL, name, data_type, NULL FROM src_sequences UNION ALL SELECT pair_id, 'view', NULL, name, NULL, NULL FROM src_views"""
+    return f"{head} SELECT 2 AS seq, * FROM ({after}) UNION ALL SELECT 1, * FROM ({before})"
+
+
+STATEMENTS = "SELECT pair_id, (row_number() OVER (PARTITION BY pair_id ORDER BY seq, k))::INT AS position, description, sql FROM (SELECT pair_id, seq, description, unnest(forward) AS sql, generate_subscripts(forward, 1) AS k FROM plan)"
+EXECUTED = f"""SELECT pair_id, '-- Migration: ' || pair_id || chr(10) || '-- a change' || chr(10) || chr(10) || string_agg('-- [' || position || '/' || n || '] ' || description || chr(10) || sql || ';' || chr(10) || chr(10), '' ORDER BY position) || '-- Migration complete' || chr(10) AS output
+ FROM (SELECT *, count(*) OVER (PARTITION BY pair_id) AS n FROM ({STATEMENTS})) GROUP BY pair_id"""
+DESCRIBED = f"SELECT pair_id, to_json({{'name': pair_id, 'operations': count(*), 'statements': sum(len(forward))::BIGINT, 'reversible': bool_and({_BACK})}})::VARCHAR AS output FROM plan GROUP BY pair_id"
+
+
+def compiled_sql() -> str:
+    return f"""{plan_ctes()}, breaking AS ({breaking_rows()}), g AS (SELECT pair_id, count(*) AS n, sum(len(forward)) AS m, bool_and({_BACK}) AS back FROM plan GROUP BY pair_id), b AS (SELECT pair_id, count(*) AS n FROM breaking GROUP BY pair_id)
+ SELECT p.pair_id, coalesce(g.n, 0)::INT AS n_operations, coalesce(g.m, 0)::INT AS n_statements, g.back AS is_reversible, coalesce(b.n, 0)::BIGINT AS n_breaking, CASE WHEN g.n IS NULL THEN 'NoChanges' END AS error FROM pairs p LEFT JOIN g USING (pair_id) LEFT JOIN b USING (pair_id)"""
 
 
 # ---- advanced similarity ------------------------------------------------------------
@@ -274,10 +302,10 @@ def codegen_ctes() -> str:
 
 def python_files_sql(head: str) -> str:
     quoted = "array_to_string(list_transform({}, lambda c: '\"' || c || '\"'), ', ')"
-    extra = f"""extra AS (SELECT snapshot_id, table_name, 'UniqueConstraint(' || {quoted.format('columns')} || ', name="' || name || '")' AS arg, NULL AS warning FROM constraints WHERE kind = 'UNIQUE' AND len(columns) > 1
+    extra = f"""extra AS (SELECT snapshot_id, table_name, 'UniqueConstraint(' || {quoted.format('columns')} || ', name="' || name || '")' AS arg, NULL::VARCHAR AS warning FROM constraints WHERE kind = 'UNIQUE' AND len(columns) > 1
  UNION ALL SELECT snapshot_id, table_name, 'CheckConstraint("' || replace(replace(expression, '\\', '\\\\'), '"', '\\"') || '", name="' || name || '")', NULL FROM constraints WHERE kind = 'CHECK'
  UNION ALL SELECT snapshot_id, table_name, 'Index("' || name || '", ' || {quoted.format('list_transform(columns, lambda z: z."column")')} || ')', NULL FROM indexes WHERE NOT is_constraint_index AND len(columns) > 1
- UNION ALL SELECT snapshot_id, table_name, NULL, '# WARNING: exclusion constraint ''' || name || ''' has no equivalent' FROM constraints WHERE kind = 'EXCLUDE'),
+ UNION ALL SELECT snapshot_id, table_name, NULL::VARCHAR, '# WARNING: exclusion constraint ''' || name || ''' has no equivalent' FROM constraints WHERE kind = 'EXCLUDE'),
  args AS (SELECT snapshot_id, table_name, coalesce(string_agg('        ' || arg || ',' || chr(10), '' ORDER BY arg), '') AS args, coalesce(string_agg(warning || chr(10), '' ORDER BY warning), '') AS warnings FROM extra GROUP BY ALL),
  bodies AS (SELECT snapshot_id, table_name, string_agg(line, chr(10) ORDER BY ordinal, line) AS body FROM fields GROUP BY ALL),
  models AS (SELECT n.snapshot_id, n.table_name, coalesce(a.warnings, '') || 'class ' || n.class_name || '(SQLModel, table=True):' || chr(10) || coalesce('    \"\"\"' || n.comment || '\"\"\"' || chr(10) || chr(10), '') || '    __tablename__ = "' || n.table_name || '"' || chr(10)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import Protocol
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,14 @@ from ..model import Catalog
 from ..operators import relations as rel
 
 _KEY = ["snapshot_id", "table_name"]
+HEAD = (
+    "from datetime import date, datetime, time, timedelta\n"
+    "from decimal import Decimal\n"
+    "from typing import Any\n"
+    "from uuid import UUID\n\n"
+    "from sqlalchemy import ARRAY, JSON, BigInteger, Boolean, CheckConstraint, Date, DateTime, Float, Index, Integer, Numeric, SmallInteger, String, Text, Time, UniqueConstraint\n"
+    "from sqlmodel import Field, SQLModel\n\n\n"
+)
 
 
 def python_fields(catalog: Catalog) -> DataFrame:
@@ -62,11 +72,10 @@ def python_models(catalog: Catalog) -> DataFrame:
 def python_files(catalog: Catalog, one_file: bool = True) -> DataFrame:
     """snapshot_id, file, content: models.py, or one module per table and __init__.py."""
     m = python_models(catalog)
-    head = "from datetime import date, datetime, time, timedelta\nfrom decimal import Decimal\nfrom typing import Any\nfrom uuid import UUID\n\nfrom sqlalchemy import ARRAY, JSON, BigInteger, Boolean, CheckConstraint, Date, DateTime, Float, Index, Integer, Numeric, SmallInteger, String, Text, Time, UniqueConstraint\nfrom sqlmodel import Field, SQLModel\n\n\n"
     if one_file:
         all_code = m.groupBy("snapshot_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("table_name", "code"))), lambda x: x["code"]), "\n\n\n").alias("c"))
-        return all_code.select("snapshot_id", F.lit("models.py").alias("file"), F.concat(F.lit(head), "c", F.lit("\n")).alias("content"))
-    each = m.select("snapshot_id", text(F.col("module"), ".py").alias("file"), F.concat(F.lit(head), "code", F.lit("\n")).alias("content"))
+        return all_code.select("snapshot_id", F.lit("models.py").alias("file"), F.concat(F.lit(HEAD), "c", F.lit("\n")).alias("content"))
+    each = m.select("snapshot_id", text(F.col("module"), ".py").alias("file"), F.concat(F.lit(HEAD), "code", F.lit("\n")).alias("content"))
     names = m.groupBy("snapshot_id").agg(F.array_join(F.array_sort(F.collect_list(text("from .", F.col("module"), " import ", F.col("class_name")))), "\n").alias("c"))
     return each.unionByName(names.select("snapshot_id", F.lit("__init__.py").alias("file"), text(F.col("c"), "\n").alias("content")))
 
@@ -82,3 +91,26 @@ def rust_entities(catalog: Catalog) -> DataFrame:
     out = each.select("snapshot_id", text(naming.snake(F.col("table_name")), ".rs").alias("file"), code.alias("content"))
     mods = catalog.tables.groupBy("snapshot_id").agg(F.array_join(F.array_sort(F.collect_list(text("pub mod ", naming.snake(F.col("table_name")), ";"))), "\n").alias("c"))
     return out.unionByName(mods.select("snapshot_id", F.lit("mod.rs").alias("file"), text(F.col("c"), "\n").alias("content")))
+
+
+class Generator(Protocol):
+    """What turns snapshots into files: snapshot_id, file, content."""
+
+    def generate(self, catalog: Catalog) -> DataFrame: ...
+
+
+class PythonGenerator:
+    def __init__(self, one_file: bool = True) -> None:
+        self.one_file = one_file
+
+    def generate(self, catalog: Catalog) -> DataFrame:
+        return python_files(catalog, self.one_file)
+
+
+class RustGenerator:
+    def generate(self, catalog: Catalog) -> DataFrame:
+        return rust_entities(catalog)
+
+
+#: Generators by the name of their language.
+GENERATORS: dict[str, Generator] = {"python": PythonGenerator(), "rust": RustGenerator()}

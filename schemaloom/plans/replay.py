@@ -2,7 +2,9 @@
 
 Histories are independent, so they spread over the cluster; within one, the
 operations apply one after the other (`state_at`: applyInPandas per history).
-The first error stops a history and is its result.
+The first error stops a history and is its result.  Objects are held by name, so
+adding or renaming onto a name that is taken is an error (AlreadyExists): none is
+ever replaced silently.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ import copy
 import json
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 EMPTY = {"schema": "public", "tables": {}, "views": {}, "sequences": {}, "enums": {}}
@@ -39,6 +41,8 @@ def _create(box: dict, name: str, what: str, value) -> None:
 
 def _rename(box: dict, name: str, to: str, what: str) -> None:
     value = _get(box, name, what)
+    if to != name and to in box:
+        raise ReplayError("AlreadyExists", f"{what} {to}")
     del box[name]
     if isinstance(value, dict) and "name" in value:
         value["name"] = to
@@ -82,7 +86,7 @@ def _one(state: dict, kind: str, table: str | None, name: str, to: str | None, p
             _rename(box, name, to, what.lower())
     elif kind in ("AddColumn", "AddConstraint", "CreateIndex"):
         home = _get(state["tables"], table, "table")
-        home[{"AddColumn": "columns", "AddConstraint": "constraints", "CreateIndex": "indexes"}[kind]][name] = p
+        _create(home[{"AddColumn": "columns", "AddConstraint": "constraints", "CreateIndex": "indexes"}[kind]], name, what.lower(), p)
     elif kind in ("DropColumn", "DropConstraint", "RenameColumn", "RenameConstraint"):
         home = _get(state["tables"], table, "table")["columns" if what == "Column" else "constraints"]
         if verb == "Drop":
@@ -178,3 +182,49 @@ def state_of(catalog, snapshot_ids: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["snapshot_id", "state"])
 
     return out.mapInPandas(build, "snapshot_id string, state string")
+
+
+def state_at(ops: DataFrame, h: DataFrame, checkpoints: DataFrame, targets: DataFrame) -> DataFrame:
+    """history_id, seq, state, error at each target (history_id, seq).
+
+    h: the histories' migrations with is_checkpoint; checkpoints: history_id, seq, state; ops: history_id, seq (of the
+    migration), k (order within it) and the operation.  A state starts from the nearest checkpoint at or before its target,
+    or from nothing, and the operations after it are applied in order.
+    """
+    from ..operators.history import nearest_checkpoint, ops_to_replay
+
+    key = F.concat_ws("@", "history_id", F.col("target").cast("string"))
+    todo = ops_to_replay(ops, targets, h).withColumn("key", key)
+    order = F.row_number().over(Window.partitionBy("key").orderBy("seq", "k"))
+    todo = todo.withColumn("seq", order)
+    start = targets.join(nearest_checkpoint(h), ["history_id", "seq"]).withColumnRenamed("seq", "target").withColumn("key", key)
+    start = start.join(checkpoints.withColumnRenamed("seq", "checkpoint_seq"), ["history_id", "checkpoint_seq"], "left")
+    states = replay(todo, start.select("key", F.coalesce("state", F.lit(json.dumps(EMPTY))).alias("state")), "key")
+    return start.select("key", "history_id", F.col("target").alias("seq")).join(states, "key").drop("key")
+
+
+_STATE = (
+    "tables map<string, struct<columns: map<string, struct<type: struct<formatted: string>, is_nullable: boolean>>, constraints: map<string, struct<kind: string>>, indexes: map<string, struct<method: string, is_constraint_index: boolean>>>>, "
+    "enums map<string, struct<labels: array<string>>>, sequences map<string, struct<data_type: string>>, views map<string, struct<definition: string>>"
+)
+
+
+def objects(states: DataFrame, *keys: str) -> DataFrame:
+    """keys, kind, table_name, name, type, is_nullable: one row for each object of a state (JSON); type is a column's type, a
+    constraint's kind, an index's method, a sequence's type, or an enum's sorted labels."""
+    s = states.select(*keys, F.from_json("state", _STATE).alias("s"))
+    null, unknown = F.lit(None).cast("string"), F.lit(None).cast("boolean")
+
+    def rows(df: DataFrame, kind: str, table, type_, nullable=unknown) -> DataFrame:
+        return df.select(*keys, F.lit(kind).alias("kind"), table.alias("table_name"), F.col("name"), type_.alias("type"), nullable.alias("is_nullable"))
+
+    tables = s.select(*keys, F.explode("s.tables").alias("table", "t"))
+    inner = lambda field: tables.select(*keys, "table", F.explode(F.col(f"t.{field}")).alias("name", "x"))
+    top = lambda field: s.select(*keys, F.explode(F.col(f"s.{field}")).alias("name", "x"))
+    out = rows(tables.withColumnRenamed("table", "name"), "table", null, null)
+    out = out.unionByName(rows(inner("columns"), "column", F.col("table"), F.col("x.type.formatted"), F.col("x.is_nullable")))
+    out = out.unionByName(rows(inner("constraints"), "constraint", F.col("table"), F.col("x.kind")))
+    out = out.unionByName(rows(inner("indexes").filter("not x.is_constraint_index"), "index", F.col("table"), F.col("x.method")))
+    out = out.unionByName(rows(top("enums"), "enum", null, F.array_join(F.array_sort("x.labels"), ",")))
+    out = out.unionByName(rows(top("sequences"), "sequence", null, F.col("x.data_type")))
+    return out.unionByName(rows(top("views"), "view", null, null))

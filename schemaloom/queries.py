@@ -2,34 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import fixtures, oracle
+from . import fixtures, oracle, oracle_plan
 from .functions import naming, similarity, sqltext, typemap
 from .model import Catalog
 from .operators import breaking, history, probes, relations
 from .operators.diff import Diff, DiffConfig, pairs_frame
 from .plans import codegen, operations, replay
+from .registry import ORACLE_SQL, QUERIES, query
 from .sources.catalogs import from_parquet_dir
+from .tables import kept
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
-def query(sql: str | Callable[[], str] | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql if isinstance(sql, str) else sql()
-        return f
-
-    return register
-
-
 def catalog(spark: SparkSession) -> Catalog:
     return Catalog.of(spark, fixtures.rows())
 
@@ -184,12 +172,12 @@ def sim_name(spark, sf_dir):
     return spark.createDataFrame(_PAIRS, "a string, b string").select("a", "b", F.round(similarity.name_similarity(F.col("a"), F.col("b")), 9).alias("similarity"))
 
 
-@query()
+@query(oracle_plan.table_advanced_sql)
 def sim_table_advanced(spark, sf_dir):
     return diff(spark, DiffConfig.with_advanced_similarity()).similarities().filter("kind = 'table'").select("pair_id", "from_name", "to_name", _rounded())
 
 
-@query()
+@query(oracle_plan.column_advanced_sql)
 def sim_column_advanced(spark, sf_dir):
     return diff(spark, DiffConfig.with_advanced_similarity()).similarities().filter("kind = 'column'").select("pair_id", "table_name", "from_name", "to_name", _rounded())
 
@@ -250,28 +238,28 @@ def type_widening_matrix(spark, sf_dir):
 # ---- plans ----------------------------------------------------------------------------
 
 
-@query()
+@query(lambda: oracle_plan.plan_sql(oracle_plan.ORDERED))
 def plan_ordered(spark, sf_dir):
     return operations.plan(diff(spark)).select("pair_id", "seq", "op_kind", "phase", "object_kind", "table_name", "name", "to_name", "description")
 
 
-@query()
+@query(lambda: oracle_plan.plan_sql(oracle_plan.RENDERED))
 def render_sql(spark, sf_dir):
     p = operations.plan(diff(spark))
     return p.select("pair_id", "seq", "op_kind", F.array_join("forward", ";\n").alias("sql"), F.array_join("rollback", ";\n").alias("rollback_sql"))
 
 
-@query()
+@query(lambda: oracle_plan.plan_sql(oracle_plan.SCRIPT))
 def script_text(spark, sf_dir):
     return operations.script(operations.plan(diff(spark)))
 
 
-@query()
+@query(lambda: oracle_plan.plan_sql(oracle_plan.INVERSE))
 def inverse_plan(spark, sf_dir):
     return operations.inverse(operations.plan(diff(spark)))
 
 
-@query()
+@query(oracle_plan.affected_sql)
 def affected_statements(spark, sf_dir):
     d = diff(spark)
     statements = operations.plan(d).select("pair_id", "seq", F.array_join("forward", ";\n").alias("sql"))
@@ -294,12 +282,14 @@ def quote_identifiers(spark, sf_dir):
     return spark.createDataFrame([(n,) for n in _NAMES], "name string").select("name", sqltext.quote(F.col("name")).alias("quoted"))
 
 
-@query()
+@query(oracle_plan.replayed_sql)
 def replay_states(spark, sf_dir):
-    """Plans applied to their source: the state that results, or the error."""
+    """Plans applied to their source: the objects that result (a plan that fails gives one row, its error as the name)."""
     d = diff(spark)
     start = replay.state_of(d.catalog, d.pairs.select(F.col("source_id").alias("snapshot_id"))).join(d.pairs, F.col("snapshot_id") == F.col("source_id")).select("pair_id", "state")
-    return replay.replay(operations.plan(d), start).select("pair_id", F.sha2("state", 256).alias("state_sha256"), "error")
+    states = kept(replay.replay(operations.plan(d), start))
+    failed = states.filter("error is not null").select("pair_id", F.lit("error").alias("kind"), F.lit(None).cast("string").alias("table_name"), F.col("error").alias("name"), F.lit(None).cast("string").alias("type"), F.lit(None).cast("boolean").alias("is_nullable"))
+    return replay.objects(states.filter("error is null"), "pair_id").unionByName(failed)
 
 
 # ---- histories: every user's events are one ------------------------------------------------
@@ -428,17 +418,17 @@ def naming_classes(spark, sf_dir):
     return df.select("name", naming.class_name(F.col("name")).alias("class_name"), naming.module_name(F.col("name")).alias("module"))
 
 
-@query()
+@query(lambda: oracle_plan.codegen_ctes() + " SELECT snapshot_id, table_name, column_name, line FROM fields")
 def codegen_python_fields(spark, sf_dir):
     return codegen.python_fields(catalog(spark)).select("snapshot_id", "table_name", "column_name", "line")
 
 
-@query()
+@query(lambda: oracle_plan.python_files_sql(codegen.HEAD))
 def codegen_python_files(spark, sf_dir):
     return codegen.python_files(catalog(spark))
 
 
-@query()
+@query(oracle_plan.rust_files_sql)
 def codegen_rust_files(spark, sf_dir):
     return codegen.rust_entities(catalog(spark))
 
@@ -463,9 +453,9 @@ def probe_unique(spark, sf_dir):
     return probes.unique(_read(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber")
 
 
-@query("SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_orderkey IS NOT NULL AND l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_totalprice > 1000 AND o_orderkey IS NOT NULL) GROUP BY ALL")
+@query("SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_orderkey IS NOT NULL AND l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_totalprice > 100000 AND o_orderkey IS NOT NULL) GROUP BY ALL")
 def probe_foreign_key(spark, sf_dir):
-    return probes.foreign_key(_read(spark, sf_dir, "lineitem"), ["l_orderkey"], _read(spark, sf_dir, "orders").filter("o_totalprice > 1000"), ["o_orderkey"])
+    return probes.foreign_key(_read(spark, sf_dir, "lineitem"), ["l_orderkey"], _read(spark, sf_dir, "orders").filter("o_totalprice > 100000"), ["o_orderkey"])
 
 
 @query("SELECT count(*) AS n_rows, count(*) FILTER (WHERE NOT (l_quantity > 0 AND l_discount <= 0.05)) AS n_violations FROM lineitem")
@@ -476,3 +466,6 @@ def probe_check(spark, sf_dir):
 @query("SELECT 'o_orderkey' AS column_name, 'smallint' AS to_type, min(o_orderkey) AS low, max(o_orderkey) AS high, count(*) FILTER (WHERE o_orderkey < -32768 OR o_orderkey > 32767) AS n_violations FROM orders")
 def probe_narrowing(spark, sf_dir):
     return probes.narrowing(_read(spark, sf_dir, "orders"), "o_orderkey", "smallint")
+
+
+from . import queries_catalog, queries_history  # noqa: E402, F401  (they register their queries)
