@@ -15,7 +15,8 @@ TYPE_NAMES = {
     "boolean": ("bool", "boolean"), "bool": ("bool", "boolean"), "date": ("date", "date"), "interval": ("interval", "interval"),
     "time": ("time", "time without time zone"), "timetz": ("timetz", "time with time zone"),
     "timestamp": ("timestamp", "timestamp without time zone"), "timestamptz": ("timestamptz", "timestamp with time zone"),
-    "uuid": ("uuid", "uuid"), "json": ("json", "json"), "jsonb": ("jsonb", "jsonb"), "bytea": ("bytea", "bytea"), "inet": ("inet", "inet"), "cidr": ("cidr", "cidr"), "macaddr": ("macaddr", "macaddr"), "money": ("money", "money"), "xml": ("xml", "xml"),
+    "uuid": ("uuid", "uuid"), "json": ("json", "json"), "jsonb": ("jsonb", "jsonb"), "bytea": ("bytea", "bytea"), "inet": ("inet", "inet"), "cidr": ("cidr", "cidr"),
+            "macaddr": ("macaddr", "macaddr"), "money": ("money", "money"), "xml": ("xml", "xml"),
 }
 
 
@@ -61,7 +62,8 @@ class TableBuilder:
     def __getattr__(self, name: str):
         return getattr(self.owner, name)  # the next table, view, enum or sequence
 
-    def column(self, name: str, type_: str, null: bool = True, default: str | None = None, identity: str | None = None, generated: str | None = None, collation: str = "default", comment: str | None = None, position: int | None = None) -> TableBuilder:
+    def column(self, name: str, type_: str, null: bool = True, default: str | None = None, identity: str | None = None, generated: str | None = None,
+            collation: str = "default", comment: str | None = None, position: int | None = None) -> TableBuilder:
         self.n = position or self.n + 1
         gen = {"expression": generated, "storage": "STORED"} if generated else None
         self.owner.rows["columns"].append((self.owner.id, self.name, name, self.n, type_info(type_), null, None if gen else default, gen, identity, collation, comment))
@@ -69,7 +71,9 @@ class TableBuilder:
 
     def _constraint(self, name: str, kind: str, **k) -> TableBuilder:
         get = k.get
-        self.owner.rows["constraints"].append((self.owner.id, self.name, name, kind, get("columns"), get("ref_schema"), get("ref_table"), get("ref_columns"), get("on_delete"), get("on_update"), get("deferrable", False), get("deferred", False), get("expression"), get("no_inherit", False), get("nulls_not_distinct", False), get("elements"), get("method"), get("predicate"), get("comment")))
+        self.owner.rows["constraints"].append((self.owner.id, self.name, name, kind, get("columns"), get("ref_schema"), get("ref_table"), get("ref_columns"),
+                get("on_delete"), get("on_update"), get("deferrable", False), get("deferred", False), get("expression"), get("no_inherit", False),
+                get("nulls_not_distinct", False), get("elements"), get("method"), get("predicate"), get("comment")))
         return self
 
     def _backing(self, name: str, columns: list[str]) -> None:

@@ -84,7 +84,8 @@ def constraint_body(c: Column, q: str) -> Column:
         F.when(c["kind"] == "PRIMARY KEY", text("PRIMARY KEY (", cols, ")"))
         .when(c["kind"] == "UNIQUE", F.concat(F.lit("UNIQUE"), F.when(c["nulls_not_distinct"], " NULLS NOT DISTINCT").otherwise(none), text(" (", cols, ")")))
         .when(c["kind"] == "CHECK", F.concat(text("CHECK (", c["expression"], ")"), F.when(c["is_no_inherit"], " NO INHERIT").otherwise(none)))
-        .when(c["kind"] == "FOREIGN KEY", F.concat(text("FOREIGN KEY (", cols, ") REFERENCES ", quote(c["ref_schema"], q), ".", quote(c["ref_table"], q), " (", quoted_list(c["ref_columns"], q), ")"), action("DELETE", c["on_delete"]), action("UPDATE", c["on_update"]), late))
+        .when(c["kind"] == "FOREIGN KEY", F.concat(text("FOREIGN KEY (", cols, ") REFERENCES ", quote(c["ref_schema"], q), ".", quote(c["ref_table"], q), " (",
+                quoted_list(c["ref_columns"], q), ")"), action("DELETE", c["on_delete"]), action("UPDATE", c["on_update"]), late))
         .otherwise(F.concat(text("EXCLUDE USING ", c["index_method"], " (", parts, ")"), F.coalesce(text(" WHERE (", c["predicate"], ")"), none)))
     )
 

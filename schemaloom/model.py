@@ -29,7 +29,6 @@ SCHEMAS: dict[str, str] = {
 FK_ACTIONS = {"a": "NO ACTION", "r": "RESTRICT", "c": "CASCADE", "n": "SET NULL", "d": "SET DEFAULT"}
 CONSTRAINT_CODES = {"p": "PRIMARY KEY", "u": "UNIQUE", "f": "FOREIGN KEY", "c": "CHECK", "x": "EXCLUDE"}
 TABLE_KINDS = {"r": "regular", "p": "partitioned"}
-IDENTITY_CODES = {"a": "GENERATED ALWAYS AS IDENTITY", "d": "GENERATED BY DEFAULT AS IDENTITY"}
 GENERATED_CODES = {"s": "STORED", "v": "VIRTUAL"}
 
 

@@ -108,18 +108,6 @@ def objects_of(catalog: Catalog) -> DataFrame:
     return out
 
 
-def side(catalog: Catalog, pairs: DataFrame, kind: str, which: str) -> DataFrame:
-    """One side's objects of a kind: pair_id, table_name (null outside tables), name and a struct of its fields."""
-    df = getattr(catalog, RELATIONS[kind])
-    if kind == "constraint":
-        df = df.withColumn("definition", F.struct(*_PAYLOAD))
-    if kind == "table":
-        df = df.withColumn("name", F.col("table_name"))
-    table = F.col("table_name") if kind in IN_TABLE else F.lit(None).cast("string")
-    key = pairs.select("pair_id", F.col("source_id" if which == "source" else "target_id").alias("snapshot_id"))
-    return df.join(key, "snapshot_id").select("pair_id", table.alias("table_name"), "name", F.struct(*[c for c in _SELF[kind] if c in df.columns]).alias("x"))
-
-
 KEY = ["pair_id", "kind", "table_name", "name"]
 
 
@@ -208,7 +196,10 @@ class Diff:
         def make() -> DataFrame:
             ren = self.renames()
             owner = F.coalesce("table_name", F.lit(""))
-            ends = ren.select("pair_id", "kind", owner.alias("owner"), F.explode(F.array(F.struct(F.col("from_name").alias("name"), F.lit(True).alias("src"), "to_name", "similarity"), F.struct(F.col("to_name").alias("name"), F.lit(False).alias("src"), "to_name", "similarity"))).alias("e")).select("pair_id", "kind", "owner", F.col("e.name").alias("name"), F.col("e.src").alias("src"), F.col("e.to_name").alias("to_name"), F.col("e.similarity").alias("similarity"))
+            ends = ren.select("pair_id", "kind", owner.alias("owner"),
+                    F.explode(F.array(F.struct(F.col("from_name").alias("name"), F.lit(True).alias("src"), "to_name", "similarity"),
+                    F.struct(F.col("to_name").alias("name"), F.lit(False).alias("src"), "to_name", "similarity"))).alias("e")).select("pair_id", "kind", "owner",
+                    F.col("e.name").alias("name"), F.col("e.src").alias("src"), F.col("e.to_name").alias("to_name"), F.col("e.similarity").alias("similarity"))
             rows = self.sides().withColumn("owner", owner).withColumn("src", F.when(F.col("t").isNull(), True).when(F.col("s").isNull(), False))
             rows = rows.join(ends, ["pair_id", "kind", "owner", "name", "src"], "left")
             # a table is modified if anything in it is
@@ -241,7 +232,9 @@ class Diff:
         changed = []
         for kind, names in FIELDS.items():
             types = {f.name: f.dataType for f in m.schema["s"].dataType[kind].dataType.fields}
-            changed += [F.when((F.col("kind") == kind) & ~F.col(f"s.{kind}.{f}").eqNullSafe(F.col(f"t.{kind}.{f}")), F.struct(F.lit(f).alias("field"), shown(F.col(f"s.{kind}.{f}"), types[f]).alias("source"), shown(F.col(f"t.{kind}.{f}"), types[f]).alias("target"))) for f in names]
+            changed += [F.when((F.col("kind") == kind) & ~F.col(f"s.{kind}.{f}").eqNullSafe(F.col(f"t.{kind}.{f}")),
+                    F.struct(F.lit(f).alias("field"), shown(F.col(f"s.{kind}.{f}"), types[f]).alias("source"),
+                    shown(F.col(f"t.{kind}.{f}"), types[f]).alias("target"))) for f in names]
         out = m.select(*KEY, F.explode(F.array_compact(F.array(*changed))).alias("c")).select(*KEY, "c.field", "c.source", "c.target")
         return out.unionByName(self.namespace_comments())
 

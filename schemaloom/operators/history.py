@@ -160,9 +160,12 @@ def checksum(catalog) -> DataFrame:
         catalog.enums.select("snapshot_id", F.lit("1enum").alias("k"), F.col("name").alias("a"), F.lit("").alias("b"), lst("labels").alias("v")),
         catalog.sequences.select("snapshot_id", F.lit("2sequence"), "name", F.lit(""), F.concat_ws("|", "data_type", n("start_value"), n("increment"), n("min_value"), n("max_value"), n("cache_size"), n("is_cyclic"))),
         catalog.tables.select("snapshot_id", F.lit("3table"), "table_name", F.lit(""), "kind"),
-        catalog.columns.select("snapshot_id", F.lit("4column"), "table_name", F.lpad(F.col("position").cast("string"), 6, "0"), F.concat_ws("|", "name", "type.formatted", n("is_nullable"), n("default_expr"), n("generated.expression"), n("identity"), "collation")),
+        catalog.columns.select("snapshot_id", F.lit("4column"), "table_name", F.lpad(F.col("position").cast("string"), 6, "0"),
+                F.concat_ws("|", "name", "type.formatted", n("is_nullable"), n("default_expr"), n("generated.expression"), n("identity"), "collation")),
         catalog.constraints.select("snapshot_id", F.lit("5constraint"), "table_name", "name", F.concat_ws("|", "kind", lst("columns"), n("ref_schema"), n("ref_table"), lst("ref_columns"), n("expression"))),
-        catalog.indexes.select("snapshot_id", F.lit("6index"), "table_name", "name", F.concat_ws("|", "method", n("is_unique"), F.array_join(F.transform("columns", lambda c: F.concat_ws(" ", c["column"], c["expression"], c["sort"], c["nulls"])), ","), n("predicate"))),
+        catalog.indexes.select("snapshot_id", F.lit("6index"), "table_name", "name",
+                F.concat_ws("|", "method", n("is_unique"), F.array_join(F.transform("columns",
+                lambda c: F.concat_ws(" ", c["column"], c["expression"], c["sort"], c["nulls"])), ","), n("predicate"))),
         catalog.views.select("snapshot_id", F.lit("7view"), "name", F.lit(""), F.concat_ws("|", "definition", n("is_materialized"))),
     ]
     rows = parts[0]
@@ -213,7 +216,9 @@ def resources(catalog, h: DataFrame) -> DataFrame:
     """uri, mime_type, content: read-only JSON documents of every snapshot, every history and every migration."""
     mime = F.lit("application/json").alias("mime_type")
     cols = catalog.columns.groupBy("snapshot_id", "table_name").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "name"))), lambda c: c["name"]).alias("columns"))
-    tables = catalog.tables.join(cols, ["snapshot_id", "table_name"], "left").groupBy("snapshot_id").agg(F.array_sort(F.collect_list(F.struct(F.col("table_name").alias("name"), F.coalesce("columns", F.array().cast("array<string>")).alias("columns")))).alias("t"))
+    tables = catalog.tables.join(cols, ["snapshot_id", "table_name"],
+            "left").groupBy("snapshot_id").agg(F.array_sort(F.collect_list(F.struct(F.col("table_name").alias("name"),
+            F.coalesce("columns", F.array().cast("array<string>")).alias("columns")))).alias("t"))
     schemas = catalog.namespaces.join(tables, "snapshot_id", "left")
     out = schemas.select(F.concat(F.lit("schema/"), "snapshot_id").alias("uri"), mime, F.coalesce(F.to_json("t"), F.lit("[]")).alias("content"))
     listed = h.groupBy("history_id").agg(F.array_sort(F.collect_list(F.struct("seq", "id"))).alias("m"))

@@ -43,4 +43,6 @@ def narrowing(df: DataFrame, column: str, to: str) -> DataFrame:
     """column_name, to_type, low, high, n_violations of a column that would become a smaller integer type."""
     lo, hi = INTEGER_RANGE[to]
     c = F.col(column)
-    return df.agg(F.min(c).alias("low"), F.max(c).alias("high"), F.coalesce(F.sum(((c < lo) | (c > hi)).cast("long")), F.lit(0)).alias("n_violations")).select(F.lit(column).alias("column_name"), F.lit(to).alias("to_type"), "low", "high", "n_violations")
+    return df.agg(F.min(c).alias("low"), F.max(c).alias("high"),
+            F.coalesce(F.sum(((c < lo) | (c > hi)).cast("long")), F.lit(0)).alias("n_violations")).select(F.lit(column).alias("column_name"), F.lit(to).alias("to_type"),
+            "low", "high", "n_violations")

@@ -17,14 +17,16 @@ def foreign_keys(catalog: Catalog) -> DataFrame:
     uq = catalog.constraints.filter("kind IN ('PRIMARY KEY', 'UNIQUE')").select("snapshot_id", "table_name", "columns", F.lit(True).alias("one")).distinct()
     known = catalog.tables.select("snapshot_id", F.col("table_name").alias("ref_table"), F.lit(True).alias("known"))
     out = fk.join(uq, ["snapshot_id", "table_name", "columns"], "left").join(known, ["snapshot_id", "ref_table"], "left")
-    return out.select("snapshot_id", "table_name", "name", "columns", "ref_table", "ref_columns", F.coalesce("one", F.lit(False)).alias("is_one_to_one"), (F.col("table_name") == F.col("ref_table")).alias("is_self"), F.coalesce("known", F.lit(False)).alias("is_known"))
+    return out.select("snapshot_id", "table_name", "name", "columns", "ref_table", "ref_columns", F.coalesce("one", F.lit(False)).alias("is_one_to_one"),
+            (F.col("table_name") == F.col("ref_table")).alias("is_self"), F.coalesce("known", F.lit(False)).alias("is_known"))
 
 
 def relations(catalog: Catalog) -> DataFrame:
     """snapshot_id, table_name, relation (belongs_to, has_one, has_many), other, constraint_name."""
     fk = foreign_keys(catalog)
     to = fk.select("snapshot_id", "table_name", F.lit("belongs_to").alias("relation"), F.col("ref_table").alias("other"), F.col("name").alias("constraint_name"))
-    back = fk.filter("is_known AND NOT is_self").select("snapshot_id", F.col("ref_table").alias("table_name"), F.when(F.col("is_one_to_one"), "has_one").otherwise("has_many").alias("relation"), F.col("table_name").alias("other"), F.col("name").alias("constraint_name"))
+    back = fk.filter("is_known AND NOT is_self").select("snapshot_id", F.col("ref_table").alias("table_name"),
+            F.when(F.col("is_one_to_one"), "has_one").otherwise("has_many").alias("relation"), F.col("table_name").alias("other"), F.col("name").alias("constraint_name"))
     return to.unionByName(back)
 
 
@@ -57,5 +59,6 @@ def column_roles(catalog: Catalog) -> DataFrame:
 def composite(catalog: Catalog) -> DataFrame:
     """Unique constraints and plain indexes over several columns, checks and exclusions: what a model's table arguments hold."""
     a = catalog.constraints.filter("(kind = 'UNIQUE' AND size(columns) > 1) OR kind IN ('CHECK', 'EXCLUDE')").select("snapshot_id", "table_name", "name", "kind", "columns", "expression")
-    b = catalog.indexes.filter("NOT is_constraint_index AND size(columns) > 1").select("snapshot_id", "table_name", "name", F.lit("INDEX").alias("kind"), F.transform("columns", lambda c: c["column"]).alias("columns"), F.lit(None).cast("string").alias("expression"))
+    b = catalog.indexes.filter("NOT is_constraint_index AND size(columns) > 1").select("snapshot_id", "table_name", "name", F.lit("INDEX").alias("kind"),
+            F.transform("columns", lambda c: c["column"]).alias("columns"), F.lit(None).cast("string").alias("expression"))
     return a.unionByName(b)

@@ -6,7 +6,8 @@ from .fixtures import ctes
 
 _FIELDS = {
     "column": ["position", "type", "is_nullable", "default_expr", "generated", "identity", "collation", "comment"],
-    "constraint": ["kind", "columns", "ref_schema", "ref_table", "ref_columns", "on_delete", "on_update", "is_deferrable", "is_initially_deferred", "expression", "is_no_inherit", "nulls_not_distinct", "elements", "index_method", "predicate", "comment"],
+    "constraint": ["kind", "columns", "ref_schema", "ref_table", "ref_columns", "on_delete", "on_update", "is_deferrable", "is_initially_deferred", "expression",
+            "is_no_inherit", "nulls_not_distinct", "elements", "index_method", "predicate", "comment"],
     "index": ["method", "is_unique", "is_constraint_index", "columns", "predicate", "comment"],
     "view": ["definition", "is_materialized", "comment"],
     "sequence": ["data_type", "start_value", "increment", "min_value", "max_value", "cache_size", "is_cyclic", "comment"],

@@ -80,7 +80,8 @@ def _ops() -> list[str]:
     for r2, change in ((1, "removed"), (2, "modified")):
         op("DropConstraint", "drop", "constraint", 4, changed("constraint", change), f"{alter} || ' DROP CONSTRAINT IF EXISTS ' || {_q('x.name')}", None, f"'Drop constraint ' || {inner}", "x.table_name", r2=r2)
     op("DropColumn", "drop", "table", 4, changed("column", "removed"), f"{alter} || ' DROP COLUMN IF EXISTS ' || {_q('x.name')}", None, f"'Drop column ' || {inner}", "x.table_name", r2=4)
-    for rank, (kind, name, word, label) in enumerate((("table", "RenameTable", "TABLE", "table"), ("enum", "RenameEnum", "TYPE", "enum type"), ("sequence", "RenameSequence", "SEQUENCE", "sequence"), ("view", "RenameView", "VIEW", "view"), ("index", "RenameIndex", "INDEX", "index"))):
+    for rank, (kind, name, word, label) in enumerate((("table", "RenameTable", "TABLE", "table"), ("enum", "RenameEnum", "TYPE", "enum type"),
+            ("sequence", "RenameSequence", "SEQUENCE", "sequence"), ("view", "RenameView", "VIEW", "view"), ("index", "RenameIndex", "INDEX", "index"))):
         say = lambda a, b, w=word: f"'ALTER {w} ' || {_in(a)} || ' RENAME TO ' || {_q(b)}"
         op(name, "rename", kind, 10 + rank, changed(kind, "renamed"), say("x.name", "x.to_name"), say("x.to_name", "x.name"), f"'Rename {label} ' || {path} || ' to ' || x.to_name", "x.table_name", to="x.to_name")
     for r1, (kind, name, word, rank) in enumerate((("column", "RenameColumn", "COLUMN", "table"), ("constraint", "RenameConstraint", "CONSTRAINT", "constraint")), 15):
@@ -93,7 +94,10 @@ def _ops() -> list[str]:
     sequence = f"'CREATE SEQUENCE ' || {_in('x.name')} || ' AS ' || x.data_type || ' START WITH ' || x.start_value || ' INCREMENT BY ' || x.increment || ' MINVALUE ' || x.min_value || ' MAXVALUE ' || x.max_value || ' CACHE ' || x.cache_size || CASE WHEN x.is_cyclic THEN ' CYCLE' ELSE ' NO CYCLE' END"
     op("CreateSequence", "create", "sequence", 22, detail("sequence", "sequences", "'added'"), sequence, f"'DROP SEQUENCE ' || {_in('x.name')}", f"'Create sequence ' || {path}")
     table = f"'CREATE TABLE ' || {_in('x.table_name')} || ' (' || chr(10) || coalesce(l.lines, '') || chr(10) || ')'"
-    op("CreateTable", "create", "table", 23, detail("table", "tables", "'added'") + " LEFT JOIN body l ON l.pair_id = x.pair_id AND l.table_name = x.table_name LEFT JOIN depth d ON d.pair_id = x.pair_id AND d.name = x.table_name", table, f"'DROP TABLE IF EXISTS ' || {_in('x.table_name')}", "'Create table ' || p.schema || '.' || x.table_name", obj="x.table_name", r2="coalesce(d.depth, 0)")
+    op("CreateTable", "create", "table", 23, detail("table", "tables",
+            "'added'") + " LEFT JOIN body l ON l.pair_id = x.pair_id AND l.table_name = x.table_name LEFT JOIN depth d ON d.pair_id = x.pair_id AND d.name = x.table_name",
+            table, f"'DROP TABLE IF EXISTS ' || {_in('x.table_name')}", "'Create table ' || p.schema || '.' || x.table_name", obj="x.table_name",
+            r2="coalesce(d.depth, 0)")
     inside = lambda relation: f"objects o JOIN psch p USING (pair_id) JOIN tgt_{relation} x ON x.pair_id = o.pair_id AND x.table_name = o.name AND o.kind = 'table' AND o.change = 'added'"
     op("AddColumn", "create", "table", 26, detail("column", "columns", "'added'"), f"{alter} || ' ADD COLUMN ' || {_COLUMN}", f"{alter} || ' DROP COLUMN ' || {_q('x.name')}", f"'Add column ' || {inner}", "x.table_name", r2="x.position")
     for r1, frame in ((24, inside("constraints") + " WHERE x.kind IN ('FOREIGN KEY', 'EXCLUDE')"), (28, detail("constraint", "constraints", "'added', 'modified'"))):
@@ -117,16 +121,21 @@ def _ops() -> list[str]:
     clauses = [f"CASE WHEN {differ(f)} THEN '{w} ' || x.{f} END" for w, f in (("AS", "data_type"), ("INCREMENT BY", "increment"), ("MINVALUE", "min_value"), ("MAXVALUE", "max_value"), ("START WITH", "start_value"), ("CACHE", "cache_size"))]
     clauses.append(f"CASE WHEN {differ('is_cyclic')} THEN CASE WHEN x.is_cyclic THEN 'CYCLE' ELSE 'NO CYCLE' END END")
     given = f"array_to_string(list_filter([{', '.join(clauses)}], lambda z: z IS NOT NULL), ' ')"
-    op("AlterSequence", "alter", "sequence", 22, f"src_sequence s JOIN tgt_sequence x USING (pair_id, name) JOIN psch p USING (pair_id) WHERE {given} <> ''", f"'ALTER SEQUENCE ' || {_in('x.name')} || ' ' || {given}", None, f"'Alter sequence ' || {path}")
+    op("AlterSequence", "alter", "sequence", 22, f"src_sequence s JOIN tgt_sequence x USING (pair_id, name) JOIN psch p USING (pair_id) WHERE {given} <> ''",
+            f"'ALTER SEQUENCE ' || {_in('x.name')} || ' ' || {given}", None, f"'Alter sequence ' || {path}")
     for kind, relation, owned in (("table", "tables", False), ("column", "column", True), ("constraint", "constraint", True), ("index", "index", True), ("view", "view", False), ("sequence", "sequence", False), ("enum", "enum", False)):
         key = "pair_id, table_name" if kind == "table" else "pair_id, table_name, name" if owned else "pair_id, name"
         name = "x.table_name" if kind == "table" else "x.name"
-        on = {"column": f"'COLUMN ' || {_in('x.table_name')} || '.' || {_q('x.name')}", "constraint": f"'CONSTRAINT ' || {_q('x.name')} || ' ON ' || {_in('x.table_name')}", "enum": f"'TYPE ' || {_in('x.name')}"}.get(kind, f"'{kind.upper()} ' || {_in(name)}")
+        on = {"column": f"'COLUMN ' || {_in('x.table_name')} || '.' || {_q('x.name')}",
+                "constraint": f"'CONSTRAINT ' || {_q('x.name')} || ' ON ' || {_in('x.table_name')}", "enum": f"'TYPE ' || {_in('x.name')}"}.get(kind,
+                f"'{kind.upper()} ' || {_in(name)}")
         text = f"'COMMENT ON ' || {on} || ' IS ' || coalesce({_lit('x.comment')}, 'NULL')"
         label = ("x.table_name || '.' || " if owned else "") + name
-        op("SetComment", "comment", "comment", 40, f"src_{relation} s JOIN tgt_{relation} x USING ({key}) JOIN psch p USING (pair_id) WHERE s.comment IS DISTINCT FROM x.comment", text, None, f"CASE WHEN x.comment IS NULL THEN 'Remove' ELSE 'Set' END || ' comment on {kind} ' || {label}", "x.table_name" if owned else "NULL", name)
+        op("SetComment", "comment", "comment", 40, f"src_{relation} s JOIN tgt_{relation} x USING ({key}) JOIN psch p USING (pair_id) WHERE s.comment IS DISTINCT FROM x.comment",
+                text, None, f"CASE WHEN x.comment IS NULL THEN 'Remove' ELSE 'Set' END || ' comment on {kind} ' || {label}", "x.table_name" if owned else "NULL", name)
     note = f"'COMMENT ON SCHEMA ' || {_q('x.schema')} || ' IS ' || coalesce({_lit('x.comment')}, 'NULL')"
-    op("SetComment", "comment", "comment", 40, "src_namespaces s JOIN tgt_namespaces x USING (pair_id) JOIN psch p USING (pair_id) WHERE s.comment IS DISTINCT FROM x.comment", note, None, "CASE WHEN x.comment IS NULL THEN 'Remove' ELSE 'Set' END || ' comment on namespace ' || s.schema", obj="s.schema")
+    op("SetComment", "comment", "comment", 40, "src_namespaces s JOIN tgt_namespaces x USING (pair_id) JOIN psch p USING (pair_id) WHERE s.comment IS DISTINCT FROM x.comment",
+            note, None, "CASE WHEN x.comment IS NULL THEN 'Remove' ELSE 'Set' END || ' comment on namespace ' || s.schema", obj="s.schema")
     return out
 
 
@@ -320,5 +329,6 @@ def rust_files_sql() -> str:
  rl AS (SELECT c.snapshot_id, c.table_name, c.position, CASE WHEN p.is_auto THEN '    #[sea_orm(primary_key)]' || chr(10) WHEN NOT p.is_auto THEN '    #[sea_orm(primary_key, auto_increment = false)]' || chr(10) ELSE '' END || '    pub ' || c.name || ': ' || CASE WHEN c.is_nullable THEN 'Option<' || {kind} || '>' ELSE {kind} END || ',' AS line FROM columns c LEFT JOIN pk1 p ON p.snapshot_id = c.snapshot_id AND p.table_name = c.table_name AND p.name = c.name),
  rb AS (SELECT snapshot_id, table_name, string_agg(line, chr(10) ORDER BY position) AS body FROM rl GROUP BY ALL)"""
     nl = "chr(10)"
-    code = f"'use sea_orm::entity::prelude::*;' || {nl} || {nl} || '#[derive(Clone, Debug, PartialEq, DeriveEntityModel)]' || {nl} || '#[sea_orm(table_name = \"' || t.table_name || '\")]' || {nl} || 'pub struct Model {{' || {nl} || coalesce(b.body, '') || {nl} || '}}' || {nl} || {nl} || '#[derive(Copy, Clone, Debug, EnumIter, DeriveRelation)]' || {nl} || 'pub enum Relation {{}}' || {nl} || {nl} || 'impl ActiveModelBehavior for ActiveModel {{}}' || {nl}".replace("{{", "{").replace("}}", "}")
+    code = f"'use sea_orm::entity::prelude::*;' || {nl} || {nl} || '#[derive(Clone, Debug, PartialEq, DeriveEntityModel)]' || {nl} || '#[sea_orm(table_name = \"' || t.table_name || '\")]' || {nl} || 'pub struct Model {{' || {nl} || coalesce(b.body, '') || {nl} || '}}' || {nl} || {nl} || '#[derive(Copy, Clone, Debug, EnumIter, DeriveRelation)]' || {nl} || 'pub enum Relation {{}}' || {nl} || {nl} || 'impl ActiveModelBehavior for ActiveModel {{}}' || {nl}".replace("{{",
+            "{").replace("}}", "}")
     return f"{diff_ctes()}, {rows} SELECT t.snapshot_id, t.table_name || '.rs' AS file, {code} AS content FROM tables t LEFT JOIN rb b USING (snapshot_id, table_name) UNION ALL SELECT snapshot_id, 'mod.rs', string_agg('pub mod ' || table_name || ';', chr(10) ORDER BY table_name) || chr(10) FROM tables GROUP BY snapshot_id"

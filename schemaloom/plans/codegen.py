@@ -27,7 +27,8 @@ def python_fields(catalog: Catalog) -> DataFrame:
     """snapshot_id, table_name, column_name, attribute, annotation, declaration (what stands behind =, or null), line, ordinal."""
     pk = rel.primary_keys(catalog).select(*_KEY, F.explode("columns").alias("name"), F.lit(True).alias("is_pk"))
     schema = catalog.namespaces.select("snapshot_id", "schema")
-    fk = catalog.constraints.filter("kind = 'FOREIGN KEY' AND size(columns) = 1").join(schema, "snapshot_id").groupBy(*_KEY, F.col("columns")[0].alias("name")).agg(F.min(text(F.coalesce("ref_schema", "schema"), ".", F.col("ref_table"), ".", F.col("ref_columns")[0])).alias("fk"))
+    fk = catalog.constraints.filter("kind = 'FOREIGN KEY' AND size(columns) = 1").join(schema, "snapshot_id").groupBy(*_KEY,
+            F.col("columns")[0].alias("name")).agg(F.min(text(F.coalesce("ref_schema", "schema"), ".", F.col("ref_table"), ".", F.col("ref_columns")[0])).alias("fk"))
     c = catalog.columns.join(pk, [*_KEY, "name"], "left").join(fk, [*_KEY, "name"], "left").join(rel.column_roles(catalog), [*_KEY, "name"], "left")
     is_pk = F.coalesce("is_pk", F.lit(False))
     auto = is_pk & (F.col("identity").isNotNull() | F.col("type.name").isin("serial", "serial2", "serial4", "serial8", "smallserial", "bigserial"))
@@ -65,7 +66,8 @@ def python_models(catalog: Catalog) -> DataFrame:
     body = F.coalesce(F.array_join(F.transform("f", lambda x: x["line"]), "\n"), F.lit("    pass"))
     table_args = F.when(F.size(args) > 0, text("    __table_args__ = (\n", F.array_join(F.transform(args, lambda a: text("        ", a, ",\n")), ""), "    )\n")).otherwise("")
     name = naming.class_name(F.col("table_name"))
-    code = F.concat(F.array_join(F.transform(warnings, lambda w: text(w, "\n")), ""), text("class ", name, "(SQLModel, table=True):\n"), F.coalesce(text('    """', F.col("comment"), '"""\n\n'), F.lit("")), text('    __tablename__ = "', F.col("table_name"), '"\n'), table_args, F.lit("\n"), body)
+    code = F.concat(F.array_join(F.transform(warnings, lambda w: text(w, "\n")), ""), text("class ", name, "(SQLModel, table=True):\n"),
+            F.coalesce(text('    """', F.col("comment"), '"""\n\n'), F.lit("")), text('    __tablename__ = "', F.col("table_name"), '"\n'), table_args, F.lit("\n"), body)
     return t.select(*_KEY, name.alias("class_name"), naming.module_name(F.col("table_name")).alias("module"), code.alias("code"))
 
 
@@ -84,10 +86,13 @@ def rust_entities(catalog: Catalog) -> DataFrame:
     """snapshot_id, file, content: one compact struct per table, and a mod.rs that lists them."""
     pk = rel.primary_keys(catalog).select(*_KEY, F.explode("columns").alias("name"), F.lit(True).alias("is_pk"), "is_auto")
     kind = typemap.rust_type(F.col("type"))
-    line = F.concat(F.when(F.col("is_pk"), F.when(F.col("is_auto"), "    #[sea_orm(primary_key)]\n").otherwise("    #[sea_orm(primary_key, auto_increment = false)]\n")).otherwise(""), text("    pub ", naming.snake(F.col("name")), ": ", F.when(F.col("is_nullable"), text("Option<", kind, ">")).otherwise(kind), ","))
+    line = F.concat(F.when(F.col("is_pk"), F.when(F.col("is_auto"),
+            "    #[sea_orm(primary_key)]\n").otherwise("    #[sea_orm(primary_key, auto_increment = false)]\n")).otherwise(""),
+            text("    pub ", naming.snake(F.col("name")), ": ", F.when(F.col("is_nullable"), text("Option<", kind, ">")).otherwise(kind), ","))
     f = catalog.columns.join(pk, [*_KEY, "name"], "left").groupBy(*_KEY).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", line.alias("l")))), lambda x: x["l"]), "\n").alias("f"))
     each = catalog.tables.join(f, _KEY, "left")
-    code = text('use sea_orm::entity::prelude::*;\n\n#[derive(Clone, Debug, PartialEq, DeriveEntityModel)]\n#[sea_orm(table_name = "', F.col("table_name"), '")]\npub struct Model {\n', F.coalesce("f", F.lit("")), "\n}\n\n#[derive(Copy, Clone, Debug, EnumIter, DeriveRelation)]\npub enum Relation {}\n\nimpl ActiveModelBehavior for ActiveModel {}\n")
+    code = text('use sea_orm::entity::prelude::*;\n\n#[derive(Clone, Debug, PartialEq, DeriveEntityModel)]\n#[sea_orm(table_name = "', F.col("table_name"),
+            '")]\npub struct Model {\n', F.coalesce("f", F.lit("")), "\n}\n\n#[derive(Copy, Clone, Debug, EnumIter, DeriveRelation)]\npub enum Relation {}\n\nimpl ActiveModelBehavior for ActiveModel {}\n")
     out = each.select("snapshot_id", text(naming.snake(F.col("table_name")), ".rs").alias("file"), code.alias("content"))
     mods = catalog.tables.groupBy("snapshot_id").agg(F.array_join(F.array_sort(F.collect_list(text("pub mod ", naming.snake(F.col("table_name")), ";"))), "\n").alias("c"))
     return out.unionByName(mods.select("snapshot_id", F.lit("mod.rs").alias("file"), text(F.col("c"), "\n").alias("content")))

@@ -61,7 +61,8 @@ def describe(plan_: DataFrame, as_json: bool = False) -> DataFrame:
     if as_json:
         return g.select("pair_id", F.to_json(F.struct(F.col("pair_id").alias("name"), "operations", "statements", "reversible")).alias("output"))
     yes = F.when(F.col("reversible"), "yes").otherwise("no")
-    return g.select("pair_id", F.concat(F.lit("Migration: "), "pair_id", F.lit("\nOperations: "), F.col("operations").cast("string"), F.lit("\nStatements: "), F.col("statements").cast("string"), F.lit("\nReversible: "), yes, F.lit("\n")).alias("output"))
+    return g.select("pair_id", F.concat(F.lit("Migration: "), "pair_id", F.lit("\nOperations: "), F.col("operations").cast("string"), F.lit("\nStatements: "),
+            F.col("statements").cast("string"), F.lit("\nReversible: "), yes, F.lit("\n")).alias("output"))
 
 
 def show_sql(plan_: DataFrame, as_json: bool = False) -> DataFrame:

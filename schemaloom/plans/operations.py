@@ -76,7 +76,9 @@ class Collector:
         inside = kept(d.everything().filter(F.col("kind").isin(*IN_TABLE_KINDS) & F.col("t").isNotNull()).join(added, ["pair_id", "table_name"], "left_semi"))
         column, con = F.col("t.column"), F.col("t.constraint")
         lines = F.when(F.col("kind") == "column", F.struct(F.lit(0).alias("a"), column["position"].alias("b"), F.lit("").alias("c"), column_definition(column, q).alias("line"), F.to_json(column).alias("json"))).when(
-            con["kind"].isin("PRIMARY KEY", "UNIQUE", "CHECK"), F.struct(F.lit(1).alias("a"), F.lit(0).alias("b"), F.col("name").alias("c"), text("CONSTRAINT ", self._q(F.col("name")), " ", constraint_body(con, q)).alias("line"), F.to_json(con.dropFields("definition")).alias("json"))
+            con["kind"].isin("PRIMARY KEY", "UNIQUE", "CHECK"),
+                    F.struct(F.lit(1).alias("a"), F.lit(0).alias("b"), F.col("name").alias("c"),
+                    text("CONSTRAINT ", self._q(F.col("name")), " ", constraint_body(con, q)).alias("line"), F.to_json(con.dropFields("definition")).alias("json"))
         )
         parts = inside.withColumn("line", lines).filter("line is not null").groupBy("pair_id", F.col("table_name").alias("name")).agg(F.array_sort(F.collect_list("line")).alias("parts"))
         more = parts.join(table_depth(d, inside), ["pair_id", "name"], "full").select("pair_id", "name", F.lit("table").alias("kind"), F.lit("added").alias("change"), "parts", "depth")
@@ -111,7 +113,8 @@ class Collector:
 
     def _renames(self) -> None:
         name, to = F.col("name"), F.col("to_name")
-        for rank, (kind, op, word, label) in enumerate((("table", "RenameTable", "TABLE", "table"), ("enum", "RenameEnum", "TYPE", "enum type"), ("sequence", "RenameSequence", "SEQUENCE", "sequence"), ("view", "RenameView", "VIEW", "view"), ("index", "RenameIndex", "INDEX", "index"))):
+        for rank, (kind, op, word, label) in enumerate((("table", "RenameTable", "TABLE", "table"), ("enum", "RenameEnum", "TYPE", "enum type"),
+                ("sequence", "RenameSequence", "SEQUENCE", "sequence"), ("view", "RenameView", "VIEW", "view"), ("index", "RenameIndex", "INDEX", "index"))):
             say = lambda a, b, w=word: text(f"ALTER {w} ", self._in(a), " RENAME TO ", self._q(b))
             self.add(self._is(kind, "renamed"), op, "rename", kind, 10 + rank, say(name, to), say(to, name), text(f"Rename {label} ", self._path("name"), " to ", to))
         for sub, (kind, op, word, rank) in enumerate((("column", "RenameColumn", "COLUMN", "table"), ("constraint", "RenameConstraint", "CONSTRAINT", "constraint"))):
@@ -124,7 +127,8 @@ class Collector:
         x = F.col("t.enum")
         labels = F.array_join(F.transform(x["labels"], literal), ", ")
         self.add(self._is("enum", "added"), "CreateEnum", "create", "enum", 20, text("CREATE TYPE ", self._in(name), " AS ENUM (", labels, ")"), text("DROP TYPE ", self._in(name)), text("Create enum type ", self._path("name")), F.to_json(x))
-        one = lambda v, k: self._rule(F.lit(True), "AddEnumValue", "create", "enum", 21, text("ALTER TYPE ", self._in(name), " ADD VALUE ", literal(v)), None, text("Add value '", v, "' to enum ", self._path("name")), F.to_json(F.struct(v.alias("label"))), sub=k)
+        one = lambda v, k: self._rule(F.lit(True), "AddEnumValue", "create", "enum", 21, text("ALTER TYPE ", self._in(name), " ADD VALUE ", literal(v)), None,
+                text("Add value '", v, "' to enum ", self._path("name")), F.to_json(F.struct(v.alias("label"))), sub=k)
         more = F.filter(x["labels"], lambda v: ~F.array_contains(F.col("s.enum.labels"), v))
         self.rules.append(F.when(self._is("enum", "modified"), F.transform(more, one)))
         x = F.col("t.sequence")
@@ -139,7 +143,9 @@ class Collector:
         apart = self._is("constraint", "inside") & x["kind"].isin("FOREIGN KEY", "EXCLUDE")
         make = text("ALTER TABLE ", owner, " ADD CONSTRAINT ", self._q(name), " ", constraint_body(x, q))
         rank = F.when(F.col("change") == "inside", 24).otherwise(28)
-        self.add(apart | self._is("constraint", "added", "modified"), "AddConstraint", "create", "constraint", rank, make, text("ALTER TABLE ", owner, " DROP CONSTRAINT ", self._q(name)), text("Add constraint ", self._path("table_name", "name")), F.to_json(x.dropFields("definition")))
+        self.add(apart | self._is("constraint", "added", "modified"), "AddConstraint", "create", "constraint", rank, make,
+                text("ALTER TABLE ", owner, " DROP CONSTRAINT ", self._q(name)), text("Add constraint ", self._path("table_name", "name")),
+                F.to_json(x.dropFields("definition")))
         x = F.col("t.index")
         con, method = ("CONCURRENTLY " if c.concurrently else ""), F.when(x["method"] == "btree", "").otherwise(text(" USING ", x["method"]))
         columns = F.array_join(F.transform(x["columns"], lambda i: index_column(i, q)), ", ")
@@ -149,7 +155,8 @@ class Collector:
         self.add(own, "CreateIndex", "create", "index", rank, make, text(f"DROP INDEX {con}{exists}", self._in(name)), text("Create index ", self._path("name"), " on ", F.col("table_name")), F.to_json(x))
         x = F.col("t.view")
         word = F.when(x["is_materialized"], "MATERIALIZED VIEW").otherwise("VIEW")
-        self.add(self._is("view", "added"), "CreateView", "create", "view", 30, text("CREATE ", word, " ", self._in(name), " AS ", x["definition"]), text("DROP ", word, " ", self._in(name)), text("Create ", F.lower(word), " ", self._path("name")), F.to_json(x))
+        self.add(self._is("view", "added"), "CreateView", "create", "view", 30, text("CREATE ", word, " ", self._in(name), " AS ", x["definition"]),
+                text("DROP ", word, " ", self._in(name)), text("Create ", F.lower(word), " ", self._path("name")), F.to_json(x))
 
     def _create_tables(self, fresh: str, exists: str) -> None:
         x, name, parts = F.col("t.table"), F.col("name"), F.coalesce("parts", F.array().cast("array<struct<a:int,b:int,c:string,line:string,json:string>>"))
@@ -157,14 +164,16 @@ class Collector:
         of = lambda k: F.transform(F.filter(parts, lambda v: v["a"] == k), lambda v: v["json"])
         payload = F.to_json(F.struct(x["kind"].alias("kind"), x["comment"].alias("comment"), of(0).alias("columns"), of(1).alias("constraints")))
         cascade = " CASCADE" if self.config.cascade else ""
-        self.add(self._is("table", "added"), "CreateTable", "create", "table", 23, text(f"CREATE TABLE {fresh}", self._in(name), " (\n", lines, "\n)"), text(f"DROP TABLE {exists}", self._in(name), cascade), text("Create table ", self._path("name")), payload, sub=F.coalesce("depth", F.lit(0)))
+        self.add(self._is("table", "added"), "CreateTable", "create", "table", 23, text(f"CREATE TABLE {fresh}", self._in(name), " (\n", lines, "\n)"),
+                text(f"DROP TABLE {exists}", self._in(name), cascade), text("Create table ", self._path("name")), payload, sub=F.coalesce("depth", F.lit(0)))
 
     def _alters(self) -> None:
         s, x = F.col("s.column"), F.col("t.column")
         owner, name = self._in(F.col("table_name")), self._q(F.col("name"))
         head = text("ALTER TABLE ", owner, " ALTER COLUMN ", name)
         diff = lambda f: ~s[f].eqNullSafe(x[f])
-        note = text("-- Cannot add GENERATED to existing column; need DROP + ADD\n-- ALTER TABLE ", owner, " DROP COLUMN ", name, ";\n-- ALTER TABLE ", owner, " ADD COLUMN ", name, " ... GENERATED ALWAYS AS (", x["generated"]["expression"], ") STORED")
+        note = text("-- Cannot add GENERATED to existing column; need DROP + ADD\n-- ALTER TABLE ", owner, " DROP COLUMN ", name, ";\n-- ALTER TABLE ", owner,
+                " ADD COLUMN ", name, " ... GENERATED ALWAYS AS (", x["generated"]["expression"], ") STORED")
         forward = F.array_compact(F.array(
             F.when(diff("type"), text(head, " TYPE ", x["type"]["formatted"])),
             F.when(diff("is_nullable"), F.when(x["is_nullable"], text(head, " DROP NOT NULL")).otherwise(text(head, " SET NOT NULL"))),
@@ -178,8 +187,11 @@ class Collector:
         s, x = F.col("s.sequence"), F.col("t.sequence")
         diff = lambda f: ~s[f].eqNullSafe(x[f])
         clause = lambda word, f: F.when(diff(f), text(f"{word} ", x[f].cast("string")))
-        clauses = F.array_compact(F.array(clause("AS", "data_type"), clause("INCREMENT BY", "increment"), clause("MINVALUE", "min_value"), clause("MAXVALUE", "max_value"), clause("START WITH", "start_value"), clause("CACHE", "cache_size"), F.when(diff("is_cyclic"), F.when(x["is_cyclic"], "CYCLE").otherwise("NO CYCLE"))))
-        self.add(self._is("sequence", "modified") & (F.size(clauses) > 0), "AlterSequence", "alter", "sequence", 22, text("ALTER SEQUENCE ", self._in(F.col("name")), " ", F.array_join(clauses, " ")), None, text("Alter sequence ", self._path("name")), F.to_json(x))
+        clauses = F.array_compact(F.array(clause("AS", "data_type"), clause("INCREMENT BY", "increment"), clause("MINVALUE", "min_value"),
+                clause("MAXVALUE", "max_value"), clause("START WITH", "start_value"), clause("CACHE", "cache_size"),
+                F.when(diff("is_cyclic"), F.when(x["is_cyclic"], "CYCLE").otherwise("NO CYCLE"))))
+        self.add(self._is("sequence", "modified") & (F.size(clauses) > 0), "AlterSequence", "alter", "sequence", 22,
+                text("ALTER SEQUENCE ", self._in(F.col("name")), " ", F.array_join(clauses, " ")), None, text("Alter sequence ", self._path("name")), F.to_json(x))
 
     def _comments(self) -> None:
         now, changed = F.col("schema_comment"), F.col("kind") == "namespace"
@@ -255,7 +267,9 @@ def inverse(plan_: DataFrame) -> DataFrame:
     w = Window.partitionBy("pair_id")
     rows = plan_.withColumn("stuck", F.max(back.cast("int")).over(w) == 1).withColumn("irreversible", back)
     kept = rows.filter(~F.col("stuck")).select(
-        "pair_id", F.row_number().over(w.orderBy(F.desc("seq"))).alias("seq"), kind.alias("op_kind"), "table_name", F.when(swap, F.col("to_name")).otherwise(F.col("name")).alias("name"), F.when(swap, F.col("name")).alias("to_name"), F.lit(None).cast("string").alias("error")
+        "pair_id", F.row_number().over(w.orderBy(F.desc("seq"))).alias("seq"), kind.alias("op_kind"), "table_name",
+                F.when(swap, F.col("to_name")).otherwise(F.col("name")).alias("name"), F.when(swap, F.col("name")).alias("to_name"),
+                F.lit(None).cast("string").alias("error")
     )
     failed = rows.filter("stuck AND irreversible").select("pair_id", "seq", "op_kind", "table_name", "name", "to_name", F.concat(F.lit("cannot revert "), "op_kind").alias("error"))
     return kept.unionByName(failed)

@@ -164,7 +164,8 @@ def state_of(catalog, snapshot_ids: DataFrame) -> DataFrame:
         return df.groupBy("snapshot_id", by).agg(F.array_sort(F.collect_list(row)).alias(relation)) if by else df.groupBy("snapshot_id").agg(F.array_sort(F.collect_list(row)).alias(relation))
 
     t = catalog.tables
-    for relation, cols in (("columns", ["position", "type", "is_nullable", "default_expr", "generated", "identity", "collation", "comment"]), ("constraints", [*_PAYLOAD, "comment"]), ("indexes", ["method", "is_unique", "is_constraint_index", "columns", "predicate", "comment"])):
+    for relation, cols in (("columns", ["position", "type", "is_nullable", "default_expr", "generated", "identity", "collation", "comment"]),
+            ("constraints", [*_PAYLOAD, "comment"]), ("indexes", ["method", "is_unique", "is_constraint_index", "columns", "predicate", "comment"])):
         t = t.join(named(relation, cols), ["snapshot_id", "table_name"], "left")
     tables = t.groupBy("snapshot_id").agg(F.collect_list(F.struct("table_name", "kind", "comment", "columns", "constraints", "indexes")).alias("tables"))
     out = ids.join(catalog.namespaces.select("snapshot_id", "schema"), "snapshot_id", "left").join(tables, "snapshot_id", "left")

@@ -50,7 +50,8 @@ def introspect_columns(spark, sf_dir):
     return from_parquet_dir(spark, sf_dir, TABLES, "s").columns.select("table_name", "name", "position", F.col("type.formatted").alias("formatted"))
 
 
-@query(lambda: fixtures.ctes("namespaces", "tables", "views", "enums", "sequences") + " SELECT n.snapshot_id, (SELECT count(*) FROM tables t WHERE t.snapshot_id = n.snapshot_id) AS n_tables, (SELECT count(*) FROM views t WHERE t.snapshot_id = n.snapshot_id) AS n_views, (SELECT count(*) FROM enums t WHERE t.snapshot_id = n.snapshot_id) AS n_enums, (SELECT count(*) FROM sequences t WHERE t.snapshot_id = n.snapshot_id) AS n_sequences FROM namespaces n")
+@query(lambda: fixtures.ctes("namespaces", "tables", "views", "enums",
+        "sequences") + " SELECT n.snapshot_id, (SELECT count(*) FROM tables t WHERE t.snapshot_id = n.snapshot_id) AS n_tables, (SELECT count(*) FROM views t WHERE t.snapshot_id = n.snapshot_id) AS n_views, (SELECT count(*) FROM enums t WHERE t.snapshot_id = n.snapshot_id) AS n_enums, (SELECT count(*) FROM sequences t WHERE t.snapshot_id = n.snapshot_id) AS n_sequences FROM namespaces n")
 def schema_summary(spark, sf_dir):
     c = catalog(spark)
     out = c.namespaces.select("snapshot_id")
@@ -151,7 +152,8 @@ def _sims(kind: str):
 for _kind in ("table", "column", "constraint", "index", "view", "sequence", "enum"):
     _sims(_kind)
 
-_PAIRS = [("users", "user_accounts"), ("email", "email_address"), ("kitten", "sitting"), ("saturday", "sunday"), ("cat", "car"), ("", "abc"), ("same", "same"), ("order_items", "items_order"), ("created_at", "updated_at"), ("Users", "users"), ("a-b-c", "c-b-a"), ("customer", "supplier")]
+_PAIRS = [("users", "user_accounts"), ("email", "email_address"), ("kitten", "sitting"), ("saturday", "sunday"), ("cat", "car"), ("", "abc"), ("same", "same"),
+        ("order_items", "items_order"), ("created_at", "updated_at"), ("Users", "users"), ("a-b-c", "c-b-a"), ("customer", "supplier")]
 _VALUES = ", ".join(f"('{a}', '{b}')" for a, b in _PAIRS)
 
 
@@ -288,7 +290,8 @@ def replay_states(spark, sf_dir):
     d = diff(spark)
     start = replay.state_of(d.catalog, d.pairs.select(F.col("source_id").alias("snapshot_id"))).join(d.pairs, F.col("snapshot_id") == F.col("source_id")).select("pair_id", "state")
     states = kept(replay.replay(operations.plan(d), start))
-    failed = states.filter("error is not null").select("pair_id", F.lit("error").alias("kind"), F.lit(None).cast("string").alias("table_name"), F.col("error").alias("name"), F.lit(None).cast("string").alias("type"), F.lit(None).cast("boolean").alias("is_nullable"))
+    failed = states.filter("error is not null").select("pair_id", F.lit("error").alias("kind"), F.lit(None).cast("string").alias("table_name"),
+            F.col("error").alias("name"), F.lit(None).cast("string").alias("type"), F.lit(None).cast("boolean").alias("is_nullable"))
     return replay.objects(states.filter("error is null"), "pair_id").unionByName(failed)
 
 
@@ -304,8 +307,11 @@ def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts", "event_id")
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     sha = lambda p: F.sha2(F.concat(F.lit(p), F.col("event_id").cast("string")), 256)
-    out = e.select(F.col("user_id").alias("history_id"), F.row_number().over(w).alias("seq"), sha("m").alias("id"), sha("s").alias("resulting_hash"), F.coalesce(F.lag(sha("s")).over(w), F.lit(history.ZERO)).alias("prev"), sha("o").alias("ops_hash"), "event_id")
-    return out.select("history_id", "seq", "id", "resulting_hash", F.when(F.col("event_id") % 97 == 0, F.sha2(F.lit("x"), 256)).otherwise(F.col("prev")).alias("parent_hash"), (F.col("event_id") % 10 == 3).alias("is_checkpoint"), "ops_hash", "event_id")
+    out = e.select(F.col("user_id").alias("history_id"), F.row_number().over(w).alias("seq"), sha("m").alias("id"), sha("s").alias("resulting_hash"),
+            F.coalesce(F.lag(sha("s")).over(w), F.lit(history.ZERO)).alias("prev"), sha("o").alias("ops_hash"), "event_id")
+    return out.select("history_id", "seq", "id", "resulting_hash",
+            F.when(F.col("event_id") % 97 == 0, F.sha2(F.lit("x"), 256)).otherwise(F.col("prev")).alias("parent_hash"),
+            (F.col("event_id") % 10 == 3).alias("is_checkpoint"), "ops_hash", "event_id")
 
 
 @query(_CHAIN + ", v AS (SELECT *, coalesce(lag(resulting_hash) OVER (PARTITION BY history_id ORDER BY seq), repeat('0', 64)) AS want FROM h), b AS (SELECT history_id, min(seq) AS s FROM v WHERE want <> parent_hash GROUP BY 1) SELECT x.history_id, b.s IS NULL AS ok, b.s::INT AS broken_seq, v.want AS expected_parent, v.parent_hash AS found_parent FROM (SELECT DISTINCT history_id FROM h) x LEFT JOIN b USING (history_id) LEFT JOIN v ON v.history_id = b.history_id AND v.seq = b.s")

@@ -46,7 +46,8 @@ def introspect_pg_tables(spark, sf_dir):
 )
 def introspect_pg_columns(spark, sf_dir):
     c = _live(spark)[0].columns
-    return c.select("table_name", "name", "position", F.col("type.name").alias("type_name"), F.col("type.formatted").alias("formatted"), F.col("type.is_array").alias("is_array"), "is_nullable", "default_expr", F.col("generated.expression").alias("generated"), "identity", "collation", "comment")
+    return c.select("table_name", "name", "position", F.col("type.name").alias("type_name"), F.col("type.formatted").alias("formatted"),
+            F.col("type.is_array").alias("is_array"), "is_nullable", "default_expr", F.col("generated.expression").alias("generated"), "identity", "collation", "comment")
 
 
 _KEYS = "(SELECT list(a.attname ORDER BY k) FROM (SELECT unnest({keys}) AS num, generate_subscripts({keys}, 1) AS k) u JOIN pg_attribute a ON a.attrelid = {rel} AND a.attnum = u.num)"
@@ -64,7 +65,8 @@ _BAD = f"CASE WHEN {_KIND} IS NULL THEN 'unknown constraint type ' || x.contype
 )
 def introspect_pg_constraints(spark, sf_dir):
     c = _live(spark)[0].constraints
-    return c.select("table_name", "name", "kind", "columns", "ref_schema", "ref_table", "ref_columns", "on_delete", "on_update", "is_deferrable", "is_initially_deferred", "expression", "is_no_inherit", "nulls_not_distinct", F.col("elements")[0]["operator"].alias("operator"), "index_method", "predicate", "comment")
+    return c.select("table_name", "name", "kind", "columns", "ref_schema", "ref_table", "ref_columns", "on_delete", "on_update", "is_deferrable", "is_initially_deferred",
+            "expression", "is_no_inherit", "nulls_not_distinct", F.col("elements")[0]["operator"].alias("operator"), "index_method", "predicate", "comment")
 
 
 @query(lambda: fixtures.system_ctes() + f" SELECT c.relname AS table_name, x.conname AS name, {_BAD} AS reason FROM {_CLASS} JOIN pg_constraint x ON x.conrelid = c.oid WHERE {_BAD} IS NOT NULL")
@@ -81,7 +83,8 @@ def introspect_unreadable(spark, sf_dir):
 )
 def introspect_pg_indexes(spark, sf_dir):
     i = _live(spark)[0].indexes.select("table_name", "name", "method", "is_unique", "is_constraint_index", F.posexplode("columns").alias("k", "x"), "predicate", "comment")
-    return i.select("table_name", "name", "method", "is_unique", "is_constraint_index", (F.col("k") + 1).alias("place"), F.col("x.column").alias("column_name"), F.col("x.expression").alias("expression"), F.col("x.sort").alias("sort"), F.col("x.nulls").alias("nulls"), "predicate", "comment")
+    return i.select("table_name", "name", "method", "is_unique", "is_constraint_index", (F.col("k") + 1).alias("place"), F.col("x.column").alias("column_name"),
+            F.col("x.expression").alias("expression"), F.col("x.sort").alias("sort"), F.col("x.nulls").alias("nulls"), "predicate", "comment")
 
 
 @query(lambda: fixtures.system_ctes() + f" SELECT c.relname AS name, v.definition, c.relkind = 'm' AS is_materialized, {_note('c.oid')} AS comment FROM {_CLASS} JOIN pg_views v ON v.relid = c.oid WHERE c.relkind IN ('v', 'm')")

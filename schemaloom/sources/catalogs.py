@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.typemap import from_spark
-from ..model import CONSTRAINT_CODES, FK_ACTIONS, GENERATED_CODES, IDENTITY_CODES, SCHEMAS, TABLE_KINDS, Catalog
+from ..model import CONSTRAINT_CODES, FK_ACTIONS, GENERATED_CODES, SCHEMAS, TABLE_KINDS, Catalog
 
 #: The system tables that introspection reads, with the columns it needs (fixed values).
 SYSTEM = {
@@ -80,10 +80,13 @@ def introspect(source: CatalogSource, schema: str, snapshot_id: str) -> tuple[Ca
     dflt = t("pg_attrdef").withColumnRenamed("expr", "default_text")
     coll = t("pg_collation").select(F.col("oid").alias("c_oid"), "collname")
     col_note = note.select("objoid", "objsubid", F.col("description").alias("comment"))
-    a = att.join(typ, F.col("atttypid") == F.col("t_oid")).join(dflt, (F.col("attrelid") == F.col("adrelid")) & (F.col("attnum") == F.col("adnum")), "left").join(coll, F.col("attcollation") == F.col("c_oid"), "left").join(col_note, (F.col("attrelid") == F.col("objoid")) & (F.col("attnum") == F.col("objsubid")), "left")
+    a = att.join(typ, F.col("atttypid") == F.col("t_oid")).join(dflt, (F.col("attrelid") == F.col("adrelid")) & (F.col("attnum") == F.col("adnum")), "left").join(coll,
+            F.col("attcollation") == F.col("c_oid"), "left").join(col_note, (F.col("attrelid") == F.col("objoid")) & (F.col("attnum") == F.col("objsubid")), "left")
     made = F.coalesce("attgenerated", F.lit("")) != ""
     columns = a.select(
-        sid, "table_name", F.col("attname").alias("name"), F.col("attnum").alias("position"), F.struct(F.col("typname").alias("name"), F.col("typschema").alias("schema"), "formatted", "is_array").alias("type"), (~F.col("attnotnull")).alias("is_nullable"),
+        sid, "table_name", F.col("attname").alias("name"), F.col("attnum").alias("position"),
+                F.struct(F.col("typname").alias("name"), F.col("typschema").alias("schema"), "formatted", "is_array").alias("type"),
+                (~F.col("attnotnull")).alias("is_nullable"),
         F.when(~made, F.col("default_text")).alias("default_expr"), F.when(made, F.struct(F.col("default_text").alias("expression"), code(GENERATED_CODES, F.col("attgenerated")).alias("storage"))).alias("generated"),
         F.when(F.col("attidentity") == "a", "ALWAYS").when(F.col("attidentity") == "d", "BY DEFAULT").alias("identity"), F.coalesce("collname", F.lit("default")).alias("collation"), "comment",
     )
@@ -99,25 +102,39 @@ def introspect(source: CatalogSource, schema: str, snapshot_id: str) -> tuple[Ca
     ref = t("pg_class").join(schemas, F.col("relnamespace") == F.col("ns_oid")).select(F.col("oid").alias("r_oid"), F.col("nspname").alias("ref_schema"), F.col("relname").alias("ref_table"))
     con = con.join(key_names(con, "conrelid", "conkey", "columns"), "oid", "left").join(key_names(con, "confrelid", "confkey", "ref_columns"), "oid", "left").join(ref, F.col("confrelid") == F.col("r_oid"), "left")
     con = with_note(con, "oid").withColumn("kind", code(CONSTRAINT_CODES, F.col("contype")))
-    missing = F.when(F.col("kind").isNull(), F.concat(F.lit("unknown constraint type "), "contype")).when(F.col("contype").isin("p", "u", "f") & F.col("columns").isNull(), "missing columns").when((F.col("contype") == "f") & (F.col("ref_table").isNull() | F.col("ref_columns").isNull()), "missing reference").when((F.col("contype") == "c") & F.col("expr").isNull(), "missing expression").when((F.col("contype") == "x") & F.col("elements").isNull(), "missing elements")
+    missing = F.when(F.col("kind").isNull(), F.concat(F.lit("unknown constraint type "), "contype")).when(F.col("contype").isin("p", "u",
+            "f") & F.col("columns").isNull(), "missing columns").when((F.col("contype") == "f") & (F.col("ref_table").isNull() | F.col("ref_columns").isNull()),
+            "missing reference").when((F.col("contype") == "c") & F.col("expr").isNull(),
+            "missing expression").when((F.col("contype") == "x") & F.col("elements").isNull(), "missing elements")
     con = con.withColumn("reason", missing)
     fk = F.col("contype") == "f"
     constraints = con.filter("reason IS NULL").select(
-        sid, "table_name", F.col("conname").alias("name"), "kind", F.when(F.col("contype").isin("p", "u", "f"), F.col("columns")).alias("columns"), F.when(fk, F.col("ref_schema")).alias("ref_schema"), F.when(fk, F.col("ref_table")).alias("ref_table"), F.when(fk, F.col("ref_columns")).alias("ref_columns"),
-        F.when(fk, code(FK_ACTIONS, F.col("confdeltype"))).alias("on_delete"), F.when(fk, code(FK_ACTIONS, F.col("confupdtype"))).alias("on_update"), F.coalesce("condeferrable", F.lit(False)).alias("is_deferrable"), F.coalesce("condeferred", F.lit(False)).alias("is_initially_deferred"),
-        F.when(F.col("contype") == "c", F.col("expr")).alias("expression"), F.coalesce("connoinherit", F.lit(False)).alias("is_no_inherit"), F.coalesce("nulls_not_distinct", F.lit(False)).alias("nulls_not_distinct"), "elements", "index_method", "predicate", "comment",
+        sid, "table_name", F.col("conname").alias("name"), "kind", F.when(F.col("contype").isin("p", "u", "f"), F.col("columns")).alias("columns"),
+                F.when(fk, F.col("ref_schema")).alias("ref_schema"), F.when(fk, F.col("ref_table")).alias("ref_table"),
+                F.when(fk, F.col("ref_columns")).alias("ref_columns"),
+        F.when(fk, code(FK_ACTIONS, F.col("confdeltype"))).alias("on_delete"), F.when(fk, code(FK_ACTIONS, F.col("confupdtype"))).alias("on_update"),
+                F.coalesce("condeferrable", F.lit(False)).alias("is_deferrable"), F.coalesce("condeferred", F.lit(False)).alias("is_initially_deferred"),
+        F.when(F.col("contype") == "c", F.col("expr")).alias("expression"), F.coalesce("connoinherit", F.lit(False)).alias("is_no_inherit"),
+                F.coalesce("nulls_not_distinct", F.lit(False)).alias("nulls_not_distinct"), "elements", "index_method", "predicate", "comment",
     )
 
     backing = t("pg_constraint").filter("conindid <> 0").select(F.col("conindid").alias("b_oid"), F.lit(True).alias("backed")).distinct()
-    idx = t("pg_index").filter("NOT indisprimary").join(names, F.col("indrelid") == F.col("relid")).join(t("pg_class").select(F.col("oid").alias("i_oid"), F.col("relname").alias("name"), "relam"), F.col("indexrelid") == F.col("i_oid")).join(t("pg_am").select(F.col("oid").alias("am_oid"), "amname"), F.col("relam") == F.col("am_oid"), "left").join(backing, F.col("indexrelid") == F.col("b_oid"), "left")
+    idx = t("pg_index").filter("NOT indisprimary").join(names,
+            F.col("indrelid") == F.col("relid")).join(t("pg_class").select(F.col("oid").alias("i_oid"), F.col("relname").alias("name"), "relam"),
+            F.col("indexrelid") == F.col("i_oid")).join(t("pg_am").select(F.col("oid").alias("am_oid"), "amname"), F.col("relam") == F.col("am_oid"),
+            "left").join(backing, F.col("indexrelid") == F.col("b_oid"), "left")
     parts = idx.select("indexrelid", "indrelid", "indoption", "expressions", F.posexplode("indkey").alias("k", "num")).join(numbered, (F.col("indrelid") == F.col("n_rel")) & (F.col("num") == F.col("n_num")), "left")
     option = F.element_at("indoption", F.col("k") + 1)
-    item = F.struct(F.col("attname").alias("column"), F.when(F.col("num") == 0, F.element_at("expressions", F.col("k") + 1)).alias("expression"), F.when(option.bitwiseAND(1) != 0, "desc").otherwise("asc").alias("sort"), F.when(option.bitwiseAND(2) != 0, "first").otherwise("last").alias("nulls"))
+    item = F.struct(F.col("attname").alias("column"), F.when(F.col("num") == 0, F.element_at("expressions", F.col("k") + 1)).alias("expression"),
+            F.when(option.bitwiseAND(1) != 0, "desc").otherwise("asc").alias("sort"), F.when(option.bitwiseAND(2) != 0, "first").otherwise("last").alias("nulls"))
     listed = parts.groupBy("indexrelid").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", item.alias("i")))), lambda x: x["i"]).alias("columns"))
-    indexes = with_note(idx.join(listed, "indexrelid", "left"), "indexrelid").select(sid, "table_name", "name", F.coalesce("amname", F.lit("btree")).alias("method"), F.col("indisunique").alias("is_unique"), F.coalesce("backed", F.lit(False)).alias("is_constraint_index"), "columns", "predicate", "comment")
+    indexes = with_note(idx.join(listed, "indexrelid", "left"), "indexrelid").select(sid, "table_name", "name", F.coalesce("amname", F.lit("btree")).alias("method"),
+            F.col("indisunique").alias("is_unique"), F.coalesce("backed", F.lit(False)).alias("is_constraint_index"), "columns", "predicate", "comment")
 
     views = with_note(here.filter(F.col("relkind").isin("v", "m")).join(t("pg_views"), F.col("oid") == F.col("relid")), "oid").select(sid, F.col("relname").alias("name"), "definition", (F.col("relkind") == "m").alias("is_materialized"), "comment")
-    sequences = with_note(here.filter("relkind = 'S'").join(t("pg_sequence"), F.col("oid") == F.col("seqrelid")), "oid").select(sid, F.col("relname").alias("name"), F.col("typname").alias("data_type"), F.col("seqstart").alias("start_value"), F.col("seqincrement").alias("increment"), F.col("seqmin").alias("min_value"), F.col("seqmax").alias("max_value"), F.col("seqcache").alias("cache_size"), F.col("seqcycle").alias("is_cyclic"), "comment")
+    sequences = with_note(here.filter("relkind = 'S'").join(t("pg_sequence"), F.col("oid") == F.col("seqrelid")), "oid").select(sid, F.col("relname").alias("name"),
+            F.col("typname").alias("data_type"), F.col("seqstart").alias("start_value"), F.col("seqincrement").alias("increment"), F.col("seqmin").alias("min_value"),
+            F.col("seqmax").alias("max_value"), F.col("seqcache").alias("cache_size"), F.col("seqcycle").alias("is_cyclic"), "comment")
     kinds = t("pg_type").join(F.broadcast(ns.select(F.col("oid").alias("typnamespace"))), "typnamespace").filter("typtype = 'e'")
     labels = t("pg_enum").groupBy(F.col("enumtypid").alias("e_oid")).agg(F.transform(F.array_sort(F.collect_list(F.struct("enumsortorder", "enumlabel"))), lambda x: x["enumlabel"]).alias("labels"))
     enums = with_note(kinds.join(labels, F.col("oid") == F.col("e_oid")), "oid").select(sid, F.col("typname").alias("name"), "labels", "comment")
@@ -125,9 +142,6 @@ def introspect(source: CatalogSource, schema: str, snapshot_id: str) -> tuple[Ca
     return Catalog(space, tables, columns, constraints, indexes, views, sequences, enums), con.filter("reason IS NOT NULL").select("table_name", F.col("conname").alias("name"), "reason")
 
 
-_ = IDENTITY_CODES
-
-
 def from_dataframes(spark: SparkSession, frames: dict[str, DataFrame], snapshot_id: str, schema: str = "public") -> Catalog:
     """A snapshot of DataFrames' own schemas; nothing is read but the schemas."""
     rows = {"namespaces": [(snapshot_id, schema, None)], "tables": [(snapshot_id, n, "regular", None) for n in frames]}

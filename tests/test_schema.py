@@ -151,10 +151,15 @@ def test_introspection(spark):
         "pg_namespace": [(11, "pg_catalog"), (2200, "public")],
         "pg_class": [(1, "users", 2200, "r", 2), (2, "posts", 2200, "p", 2), (3, "users_email_key", 2200, "i", 403), (4, "posts_idx", 2200, "i", 403), (5, "v", 2200, "m", 0), (6, "s", 2200, "S", 0), (7, "users_pkey", 2200, "i", 403)],
         "pg_type": ints,
-        "pg_attribute": [(1, "id", 23, 1, True, False, "a", "", None, "integer"), (1, "email", 25, 2, False, False, "", "", 100, "text"), (1, "up", 25, 3, False, False, "", "s", 100, "text"), (1, "gone", 25, 4, False, True, "", "", 100, "text"), (2, "id", 23, 1, True, False, "", "", None, "integer"), (2, "user_id", 23, 2, False, False, "", "", None, "integer")],
+        "pg_attribute": [(1, "id", 23, 1, True, False, "a", "", None, "integer"), (1, "email", 25, 2, False, False, "", "", 100, "text"),
+                (1, "up", 25, 3, False, False, "", "s", 100, "text"), (1, "gone", 25, 4, False, True, "", "", 100, "text"),
+                (2, "id", 23, 1, True, False, "", "", None, "integer"), (2, "user_id", 23, 2, False, False, "", "", None, "integer")],
         "pg_attrdef": [(1, 2, "'x'"), (1, 3, "upper(email)")],
         "pg_collation": [(100, "default", 11)],
-        "pg_constraint": [(50, "users_pkey", "p", 1, 7, [1], 0, None, None, None, False, False, False, None, None, None, None, None), (51, "fk", "f", 2, 0, [2], 1, [1], "c", "a", True, False, False, None, None, None, None, None), (52, "bad", "c", 2, 0, None, 0, None, None, None, False, False, False, None, None, None, None, None), (53, "uq", "u", 1, 3, [2], 0, None, None, None, False, False, False, None, True, None, None, None)],
+        "pg_constraint": [(50, "users_pkey", "p", 1, 7, [1], 0, None, None, None, False, False, False, None, None, None, None, None),
+                (51, "fk", "f", 2, 0, [2], 1, [1], "c", "a", True, False, False, None, None, None, None, None),
+                (52, "bad", "c", 2, 0, None, 0, None, None, None, False, False, False, None, None, None, None, None),
+                (53, "uq", "u", 1, 3, [2], 0, None, None, None, False, False, False, None, True, None, None, None)],
         "pg_index": [(3, 1, True, False, [2], [0], None, None), (4, 2, False, False, [2, 0], [3, 0], [None, "lower(x)"], "id > 0"), (7, 1, True, True, [1], [0], None, None)],
         "pg_am": [(403, "btree")],
         "pg_views": [(5, "SELECT 1")],
