@@ -92,7 +92,8 @@ def _first_graph(nodes: DataFrame, kind: str, orders: range, reach: int, means:
                     planes = np.random.default_rng(1000 + t).normal(size=(x.shape[1], CODE_BITS))
                     code = ((x @ planes > 0) @ (1 << np.arange(CODE_BITS - 1, -1, -1, dtype=np.int64))).astype(np.int64)
                     some = pa.array(at, pa.int32())
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t, np.int32)), b.column(1).take(some), pa.array(np.full(len(at), x.shape[1], np.int32)), pa.array(code), b.column(0).take(some), b.column(2).take(some)], ["t", "label", "d", "code", "id", "v"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t, np.int32)), b.column(1).take(some), pa.array(np.full(len(at), x.shape[1], np.int32)),
+                            pa.array(code), b.column(0).take(some), b.column(2).take(some)], ["t", "label", "d", "code", "id", "v"])
 
     rows = nodes.select("id", "label", "v").mapInArrow(lean(coded), "t int, label long, d int, code long, id long, v binary")
     # ranges of whole codes overlap nowhere; a pair cut apart by a boundary meets in other orders

@@ -69,7 +69,8 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n += len(first) - 1
     z = zstandard.ZstdCompressor(level=1)
     for k, part in enumerate(total.reshape(64, -1)):
-        yield pa.RecordBatch.from_pydict({"range": [k], "part": [TaskContext.get().partitionId()], "n": [n if k == 0 else 0], "counts": [z.compress(part.tobytes())]}, schema=pa.schema([("range", pa.int32()), ("part", pa.int32()), ("n", pa.int64()), ("counts", pa.binary())]))
+        yield pa.RecordBatch.from_pydict({"range": [k], "part": [TaskContext.get().partitionId()], "n": [n if k == 0 else 0], "counts": [z.compress(part.tobytes())]},
+                schema=pa.schema([("range", pa.int32()), ("part", pa.int32()), ("n", pa.int64()), ("counts", pa.binary())]))
 
 
 def _sum(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -648,7 +648,9 @@ RULES = {"block": [("net", "/"), ("example.com", "/de/")], "allow": [("example.n
 
 
 def test_url_rules_and_lists(spark):
-    urls = [None, "", "nothing", "http://", "http://A.Example.NET/en/x", "http://example.net/de/", "http://xexample.net", "http://net/", "http://a.net?x=/", "https://m.example.com/de/1#f", "https://example.com/dex", "http://bad.org/fr/1", "http://bad.org/en/1", "http://ok.org/en/1", "x://y://z.net/a", "http://spam.io/", "http://a.b.spam.io/x", "http://notspam.io/"]
+    urls = [None, "", "nothing", "http://", "http://A.Example.NET/en/x", "http://example.net/de/", "http://xexample.net", "http://net/", "http://a.net?x=/",
+            "https://m.example.com/de/1#f", "https://example.com/dex", "http://bad.org/fr/1", "http://bad.org/en/1", "http://ok.org/en/1", "x://y://z.net/a",
+            "http://spam.io/", "http://a.b.spam.io/x", "http://notspam.io/"]
     df = spark.createDataFrame([(i, u, "<p>") for i, u in enumerate(urls)], "page_id long, url string, html string")
     listed = spark.createDataFrame([("bad.org",), ("spam.io",), ("unseen.io",), (None,)], "key string")
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge(df, RULES, listed).collect()}
