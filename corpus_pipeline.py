@@ -1,4 +1,12 @@
-"""A corpus pipeline of five stages over ``documents``; each is written as Parquet and read by the next."""
+"""A corpus pipeline of five stages over ``documents``; each is written as Parquet and read by the next.
+
+Every stage takes any documents table with doc_id and text and returns its columns (the last one: pieces of sequences).
+Null and empty texts: scored as empty, one empty line, one class of near-duplicates, without passages, one closing id.
+Null doc_ids: such rows are judged and kept like others, and count after all others where a first one is chosen.  Repeated
+rows: scored one by one; keep each other's lines; near-dedup keeps one of rows equal in doc_id and text, and judges rows
+that share a doc_id by their own texts.  Ties go to the smaller doc_id.  Texts of any length are taken whole.  An empty table
+gives an empty one.  Other columns are carried along whatever their names; n_chars, where there is one, follows the text.
+"""
 
 from __future__ import annotations
 
