@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 from .spark_util import heavy_join, written
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, n: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
     low = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count(F.lit(1)).alias("k")))
-    linked = heavy_join(both.filter("b > a" if large else "b < a"), low, ["a"], "k")
+    linked = heavy_join(both.filter("b > a" if large else "b < a"), low, ["a"], "k", n)
     out = linked.select(F.col("b").alias("x"), "m")
     if not large:
         out = out.unionByName(low.select(F.col("a").alias("x"), "m"))
@@ -33,12 +33,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     e = edges.select(F.greatest(F.col(a), F.col(b)).alias("a"), F.least(F.col(a), F.col(b)).alias("b")).filter("a <> b").distinct()
     e = written(e)
-    mark = None
     while True:
-        e = written(_star(_star(e, True), False))
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(now) == mark:
+        # done: every vertex has one edge, and it leads to a vertex that has none
+        n, ends = e.agg(F.count(F.lit(1)), F.countDistinct("a")).first()
+        if n == ends and e.join(e.select(F.col("b").alias("a")).distinct().hint("merge"), "a", "left_semi").isEmpty():
             break
-        mark = tuple(now)
-    # every edge now leads to its component's smallest id
+        e = written(_star(_star(e, True, n), False, n))
     return e.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct()

@@ -264,7 +264,7 @@ def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(lean(_verify(threshold)), "a long, b long, ok boolean")
 
 
-GROUP_BLOCK = 1024
+GROUP_BLOCK = 512
 
 
 def _links_within(threshold: float):
@@ -334,6 +334,16 @@ def _links_in_buckets(buckets: DataFrame, classes: DataFrame, sets: DataFrame, t
     return sides.groupBy("group", "lo", "hi").applyInPandas(_links_within(threshold), "a long, b long")
 
 
+def _joined(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """Classes (id, component) after further links between their members or texts that had none: links join classes."""
+    of = lambda end: classes.select(F.col("id").alias(end), F.col("component").alias(f"c{end}")).hint("merge")
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    merged = written(components(between)).select(F.col("id").alias("component"), F.col("component").alias("to"))
+    known = classes.join(merged.hint("merge"), "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+    fresh = merged.join(classes.select(F.col("id").alias("component")).hint("merge"), "component", "left_anti").select(F.col("component").alias("id"), F.col("to").alias("component"))
+    return known.unionByName(fresh)
+
+
 def _classed(docs: DataFrame, threshold: float, bands: int, rows: int) -> DataFrame:
     """row (a number of the input row), doc_id and c (the class) of every row."""
     sc = docs.sparkSession.sparkContext
@@ -356,8 +366,10 @@ def _classed(docs: DataFrame, threshold: float, bands: int, rows: int) -> DataFr
     sets = written(sets.drop("u") if clash.isEmpty() else told_apart(sets))
     pairs = buckets.filter("low < t").select(F.col("low").alias("a"), F.col("t").alias("b")).distinct()
     links = written(_similar(pairs, sets, threshold).filter("ok").select("a", "b"))
-    more = written(_links_in_buckets(buckets, written(components(links)), sets, threshold))
-    classes = written(components(links.unionByName(more)))
+    classes = written(components(links))
+    more = written(_links_in_buckets(buckets, classes, sets, threshold))
+    if not more.isEmpty():
+        classes = written(_joined(classes, more))
     return written(signed.select("row", "doc_id", "t").join(classes.select(F.col("id").alias("t"), "component").hint("merge"), "t", "left").select("row", "doc_id", F.coalesce("component", "t").alias("c")))
 
 

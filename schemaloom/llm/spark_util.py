@@ -36,11 +36,9 @@ def bitmap(df: DataFrame, key: str):
     """
     p = F.pmod(F.col(key), F.lit(BITMAP_BITS))
     rows = df.select(p.alias("p")).selectExpr("cast(shiftright(p, 5) as int) AS w", "shiftleft(1L, cast(p & 31 as int)) AS m").groupBy("w").agg(F.bit_or("m").alias("m"))
-    packed = rows.groupBy(F.shiftright("w", 14).alias("g")).agg(F.collect_list(F.struct("w", "m")).alias("x"))
+    found = rows.toArrow()  # at most BITMAP_BITS / 32 words
     bits = np.zeros(BITMAP_BITS // 32, "<u4")
-    for r in packed.toLocalIterator():
-        for x in r["x"]:
-            bits[x["w"]] = x["m"]
+    bits[found.column("w").to_numpy()] = found.column("m").to_numpy().astype(np.uint64).astype("<u4")
     return df.sparkSession.sparkContext.broadcast(bits.tobytes())
 
 
@@ -59,13 +57,14 @@ def in_bitmap(wanted, key: Column | str) -> Column:
 HEAVY = 1000
 
 
-def heavy_join(rows: DataFrame, table: DataFrame, on: list[str], count: str, how: str = "inner") -> DataFrame:
+def heavy_join(rows: DataFrame, table: DataFrame, on: list[str], count: str, n: int | None = None) -> DataFrame:
     """rows joined with a table that holds every key once and says in ``count`` how many rows have it.
 
     Keys of over a HEAVY-th of all rows (so HEAVY of them at most) are broadcast and their rows stay where they are; all
-    others shuffle.  Both sides should be written tables, as they are read twice.
+    others shuffle.  Both sides should be written tables, as they are read twice.  n: about how many rows there are, where that is
+    known.
     """
-    limit = rows.count() // HEAVY
+    limit = (rows.count() if n is None else n) // HEAVY
     heavy = F.broadcast(table.filter(F.col(count) > limit))
     light = table.filter(F.col(count) <= limit).hint("merge")
-    return rows.join(heavy, on).unionByName(rows.join(heavy.select(*on), on, "left_anti").join(light, on, how), allowMissingColumns=True)
+    return rows.join(heavy, on).unionByName(rows.join(heavy.select(*on), on, "left_anti").join(light, on), allowMissingColumns=True)

@@ -107,8 +107,9 @@ def _level(keys: DataFrame, empty: Bloom) -> Bloom:
         if some:
             yield pd.DataFrame({"bits": [b.bits.tobytes()]})
 
-    tasks = max(1, min(keys.rdd.getNumPartitions(), MAX_BYTES * 4 // len(empty.bits)))
-    return empty.union(r["bits"] for r in keys.coalesce(tasks).mapInPandas(lean(partial), "bits binary").toLocalIterator())
+    # so many tasks that their partial filters together stay within MAX_BYTES
+    tasks = max(1, min(keys.rdd.getNumPartitions(), MAX_BYTES // len(empty.bits)))
+    return empty.union(r["bits"] for r in keys.coalesce(tasks).mapInPandas(lean(partial), "bits binary").collect())
 
 
 def _passes(cascade: Cascade):

@@ -361,8 +361,28 @@ def test_near_duplicates_finds_copies_and_leaves_the_rest(spark):
     assert minhash.near_duplicates(docs(spark, [])).count() == 0
 
 
+def brute_classes(texts):
+    """For each text the first one of its class: weights from plain document frequencies, all pairs, weighted Jaccard."""
+    split = [(t or "").encode().lower().split() for t in texts]
+    df = collections.Counter(x for w in split for x in set(w))
+    idf = {x: 1 + np.log((len(texts) + 1) / (c + 1)) for x, c in df.items()}
+
+    def weights(w):
+        k = min(5, len(w))
+        tf = collections.Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if w else {}
+        return {s: np.exp(np.rint(np.log(n * np.mean([idf[x] for x in s])) / minhash.STEP) * minhash.STEP) for s, n in tf.items()}
+
+    sets = [weights(w) for w in split]
+    pairs = [(i, i) for i in range(len(texts))]
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            low = sum(min(v, b[s]) for s, v in a.items() if s in b)
+            if split[i] == split[j] or (low and low / (sum(a.values()) + sum(b.values()) - low) >= 0.8):
+                pairs.append((j, i))
+    return minhash._labels(len(texts), *np.array(pairs).T).tolist()
+
+
 def test_near_duplicates_are_the_components_of_all_similar_pairs(spark):
-    """Against a plain version: weights from plain document frequencies, all pairs, weighted Jaccard."""
     rng = random.Random(21)
     texts = []
     for _ in range(40):
@@ -373,25 +393,10 @@ def test_near_duplicates_are_the_components_of_all_similar_pairs(spark):
             for _ in range(rng.choice([1, 2, 3, 6])):
                 v[rng.randrange(len(v))] = f"w{rng.randrange(3000)}"
             texts.append(" ".join(v))
+    want = brute_classes(texts)
+    assert sum(i != c for i, c in enumerate(want)) > 12
     got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(docs(spark, texts)).collect()}
-    split = [t.split() for t in texts]
-    df = collections.Counter(x for w in split for x in set(w))
-    idf = {x: 1 + np.log((len(texts) + 1) / (c + 1)) for x, c in df.items()}
-
-    def weights(w):
-        tf = collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
-        return {s: np.exp(np.rint(np.log(n * np.mean([idf[x] for x in s])) / minhash.STEP) * minhash.STEP) for s, n in tf.items()}
-
-    sets = [weights(w) for w in split]
-    pairs = []
-    for i, a in enumerate(sets):
-        for j, b in enumerate(sets[:i]):
-            low = sum(min(v, b[s]) for s, v in a.items() if s in b)
-            if low / (sum(a.values()) + sum(b.values()) - low) >= 0.8:
-                pairs.append((j, i))
-    assert len(pairs) > 15
-    want = minhash._labels(len(texts), *np.array(pairs).T)
-    assert [got[i] for i in range(len(texts))] == want.tolist()
+    assert [got[i] for i in range(len(texts))] == want
 
 
 def test_near_duplicates_with_repeated_and_null_ids(spark):
@@ -692,6 +697,65 @@ def test_cascade_follows_the_list_and_not_the_universe(spark):
 # ---- pipeline ----------------------------------------------------------------------
 
 
+def test_pipeline_stages_are_those_of_brute_force(spark):
+    """Each stage on what its predecessor kept, against a plain version of it."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    d = "/root/testdata/sf0.001"
+    start = spark.read.parquet(f"{d}/documents.parquet").orderBy("doc_id").toPandas()
+    schema = spark.read.parquet(f"{d}/documents.parquet").schema
+    stages = dict(corpus_pipeline.STAGES)
+
+    def run(name, frame):
+        out = stages[name](spark, spark.createDataFrame(frame.to_dict("records"), schema), d)
+        if name != "best-fit packing":
+            assert out.schema.names == schema.names and out.dtypes == [(f.name, f.dataType.simpleString()) for f in schema]
+        return out.toPandas().sort_values(["doc_id"]).reset_index(drop=True)
+
+    good = run("quality classifier", start)
+    labels = spark.read.parquet(f"{d}/labels.parquet").toPandas().set_index("doc_id").quality
+    both = start.doc_id[start.doc_id.isin(labels.index)]
+    assert np.mean([(i in set(good.doc_id)) == (labels[i] == 1) for i in both]) >= 0.9
+    assert good.merge(start, on=list(start.columns)).shape == good.shape
+
+    kept = run("line dedup", good)
+    want = brute_lines(list(zip(good.doc_id.tolist(), good.text.tolist(), strict=True)))
+    assert {r.doc_id: r.text for r in kept.itertuples()} == {i: t for i, _, _, t in want}
+    assert (kept.n_chars == kept.text.str.len()).all()
+
+    once = run("MinHash near-dedup", kept)
+    classes = brute_classes(kept.text.tolist())
+    assert once.doc_id.tolist() == [kept.doc_id[i] for i, c in enumerate(classes) if i == c]
+
+    clean = run("suffix-array dedup", once)
+    lost = brute_repeats(once.text.tolist())
+    assert [t.split() for t in clean.text] == [[w for k, w in enumerate(t.split()) if k not in lost.get(i, ())] for i, t in enumerate(once.text)]
+
+    packed = stages["best-fit packing"](spark, spark.createDataFrame(clean.to_dict("records"), schema), d).toPandas()
+    own = packing._tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    for i, t in zip(clean.doc_id, clean.text, strict=True):
+        assert packed[packed.doc_id == i].length.sum() == len(own.encode(t, add_special_tokens=False).ids) + 1
+    assert packed.groupby("sequence_id").length.sum().max() <= 1024 and packed.sequence_id.nunique() <= 1.05 * packed.length.sum() / 1024 + 2
+
+
+def test_pipeline_stages_take_awkward_documents(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(23)
+    passage, other = (" ".join(words(rng, 60, 10**6)) for _ in range(2))
+    rows = [(1, passage), (2, None), (3, ""), (None, passage), (4, passage), (4, other), (5, other + "\n" + other), (5, other + "\n" + other), (None, None), (6, "x" * 300_000)]
+    df = spark.createDataFrame([(i, t, 1, 2, 3.0, "g") for i, t in rows], "doc_id long, text string, row int, c int, score double, gone string")
+    for name, stage in corpus_pipeline.STAGES:
+        for frame, empty in ((df, False), (df.limit(0), True)):
+            out = stage(spark, frame, "/root/testdata/sf0.001")
+            got = out.collect()
+            assert empty == (not got)
+            if name != "best-fit packing":
+                assert out.columns == df.columns
+            if name == "line dedup" and not empty:
+                assert len(got) == len(rows)
+            if name == "MinHash near-dedup" and not empty:
+                assert collections.Counter(r["text"] or "" for r in got) == {passage: 1, "": 1, other: 1, other + "\n" + other: 1, "x" * 300_000: 1}
+
+
 def test_pipeline_stages_keep_clean_documents(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     d = "/root/testdata/sf0.001"
