@@ -128,12 +128,12 @@ class Block:
         return xxhash.xxh3_64_intdigest(b"".join(parts)) - (1 << 63)
 
 
-def blocks(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[Block]:
+def blocks(batches: Iterator[pa.RecordBatch], pattern: str, most: int = BLOCK_BYTES) -> Iterator[Block]:
     held, size = [], 0
     for s in slices(batches, cap=WIDE_SLICE):
         held.append(s)
         size += len(s.data)
-        if size >= BLOCK_BYTES:
+        if size >= most:
             yield _block(held, pattern)
             held, size = [], 0
     if held:
@@ -159,12 +159,12 @@ def _bucket(b: Block, buckets: int) -> np.ndarray:
     return out
 
 
-def _words_of(pattern: str, buckets: int):
+def _words_of(pattern: str, buckets: int, most: int):
     schema = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("words", pa.binary()), ("sizes", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each block and bucket its words, in dictionary order."""
-        for b in blocks(batches, pattern):
+        for b in blocks(batches, pattern, most):
             name, of = b.mark(), _bucket(b, buckets)
             place = np.empty(len(of), np.int64)
             place[b.rank()] = np.arange(len(of))
@@ -213,12 +213,12 @@ def _encoded(path: str, pattern: str):
     return run
 
 
-def _positions_of(pattern: str, buckets: int):
+def _positions_of(pattern: str, buckets: int, most: int):
     """One row for each block, at -1: its documents' ids, positions, bounds and digests."""
     schema = pa.schema([("block", pa.int64()), ("at", pa.int32()), ("data", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, pattern):
+        for b in blocks(batches, pattern, most):
             rank = b.rank()
             ids, idx, bounds, digests, base = [], [], [0], [], 0
             for d, h, first, sha in b.docs:
@@ -275,7 +275,7 @@ def _reassemble(path: str):
     return run
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, buckets: int | None = None, digest: bool = False) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, buckets: int | None = None, digest: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Encode every whole text, then decode the ids and check the round trip.
 
     Returns doc_id, n_tokens, ids (binary, little-endian unsigned 32-bit; with
@@ -286,9 +286,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, buckets: int | None =
     """
     n = buckets or 2 * parallelism(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    asked = texts.mapInArrow(lean(_words_of(pattern, n)), "bucket int, block long, words binary, sizes binary")
+    asked = texts.mapInArrow(lean(_words_of(pattern, n, block_bytes)), "bucket int, block long, words binary, sizes binary")
     dealt = asked.repartition(parallelism(docs.sparkSession), "bucket").sortWithinPartitions("bucket")
-    parts = dealt.mapInArrow(lean(_encoded(ranks_path, pattern)), _PARTS).unionByName(texts.mapInArrow(lean(_positions_of(pattern, n)), _PARTS))
+    parts = dealt.mapInArrow(lean(_encoded(ranks_path, pattern)), _PARTS).unionByName(texts.mapInArrow(lean(_positions_of(pattern, n, block_bytes)), _PARTS))
     whole = _reassemble(ranks_path)
     if not digest:
         return parts.groupBy("block").applyInPandas(whole, "doc_id long, n_tokens long, ids binary, decoded_sha256 string")

@@ -44,6 +44,17 @@ def op4_nn_descent_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"), 0.98)
 
 
+def embedding_links_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op4's operator over the table and near copies of two fifths of it, in groups of up to three: links that SQL can count."""
+    from .embed_dedup import dedup
+
+    v = _table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    bent = lambda by: F.transform("embedding", lambda x, i: (x.cast("double") * (1 + by * (i % 2))).cast("float"))
+    copies = v.filter("vec_id % 5 < 2").select((F.col("vec_id") + 10_000_000).alias("vec_id"), "label", bent(0.05).alias("embedding"))
+    more = v.filter("vec_id % 5 = 0").select((F.col("vec_id") + 20_000_000).alias("vec_id"), "label", bent(0.3).alias("embedding"))
+    return dedup(v.unionByName(copies).unionByName(more), 0.98)
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import encode
 
@@ -85,7 +96,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(pages, RULES, spark.createDataFrame([(d,) for d in LISTED], "key string"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sparse_suffix_array, op2_hilbert_search, op3_line_dedup, op4_nn_descent_dedup, op5_byte_bpe, op6_weighted_minhash, op7_best_fit_packing, op8_pu_quality, op9_bounded_load_sharding, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_sparse_suffix_array, op2_hilbert_search, op3_line_dedup, op4_nn_descent_dedup, embedding_links_planted, op5_byte_bpe, op6_weighted_minhash, op7_best_fit_packing, op8_pu_quality, op9_bounded_load_sharding, op10_url_filter)}
 
 _OP3 = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
@@ -123,4 +134,11 @@ SELECT m.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, coalesce(low.component_id,
 FROM embeddings m LEFT JOIN n ON n.a = m.vec_id LEFT JOIN low ON low.id = m.vec_id
 """
 
-ORACLE_SQL = {"op4_nn_descent_dedup": _OP4, "op3_line_dedup": _OP3, "op10_url_filter": _OP10}
+_BENT = "list_transform(embedding, lambda x, i: (x::DOUBLE * (1::DOUBLE + {}::DOUBLE * ((i - 1) % 2)))::FLOAT)"
+_PLANTED = _OP4.replace("FROM embeddings", "FROM planted").replace(
+    "WITH RECURSIVE e AS",
+    f"""WITH RECURSIVE planted AS (SELECT vec_id, label, embedding FROM embeddings UNION ALL SELECT vec_id + 10000000, label, {_BENT.format(0.05)} FROM embeddings WHERE vec_id % 5 < 2
+ UNION ALL SELECT vec_id + 20000000, label, {_BENT.format(0.3)} FROM embeddings WHERE vec_id % 5 = 0), e AS""",
+)
+
+ORACLE_SQL = {"embedding_links_planted": _PLANTED, "op4_nn_descent_dedup": _OP4, "op3_line_dedup": _OP3, "op10_url_filter": _OP10}

@@ -238,40 +238,45 @@ def _partial(rows: pa.Table) -> Iterator[pa.RecordBatch]:
     yield _lost(doc[r[cut]], c[r[cut]], pos[r[cut]] + i[cut], np.diff(np.append(cut, len(r))), f[cut])
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted stretches: copies of the one before, then the groups of one prefix; those at the ends stay open."""
-    held, last, edge, spilled = None, None, None, None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        g, d, doc, c, pos, n = (b.column(b.schema.get_field_index(x)).to_numpy() for x in ("g", "d", "doc", "c", "pos", "n"))
-        edge = g[0] if edge is None else edge
-        new = _changes(g, d)
-        new[0] = last is None or (g[0], d[0]) != last[:2]
-        # of every row the first one of its digest in this partition
-        at = np.maximum.accumulate(np.where(new, np.arange(len(g)), -1))
-        before = lambda x, k: np.where(at >= 0, x[at], k)
-        rep = [before(x, 0 if last is None else k) for x, k in zip((doc, c, pos), (None,) * 3 if last is None else last[2:], strict=True)]
-        copy = np.flatnonzero(~new & ((rep[0] != doc) | (rep[1] != c) | (rep[2] != pos)))
-        if len(copy):
-            yield _lost(doc[copy], c[copy], pos[copy], n[copy], rep[0][copy])
-        last = (g[-1], d[-1], *(x[-1] for x in rep))
-        fresh = pa.Table.from_batches([b]).select(["doc", "c", "pos", "n", "g", "w"]).filter(pa.array(new))
-        rows = fresh if held is None else pa.concat_tables([held, fresh])
-        rows = rows.combine_chunks()
-        keys = rows.column("g").to_numpy()
-        out = (keys == edge) | (keys == spilled if spilled is not None else False)
-        yield from _as_open(rows.filter(pa.array(out)))
-        rows, keys = rows.filter(pa.array(~out)), keys[~out]
-        cut = int(np.searchsorted(keys, g[-1], "left"))
-        yield from _partial(rows.slice(0, cut))
-        held = rows.slice(cut)
-        if held.num_rows > OPEN:
-            spilled = g[-1]
+def _compare(limit: int):
+    """Sorted stretches: copies of the one before, then the groups of one prefix; those at the ends, and those of over ``limit``
+    different stretches, stay open."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last, edge, spilled = None, None, None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            g, d, doc, c, pos, n = (b.column(b.schema.get_field_index(x)).to_numpy() for x in ("g", "d", "doc", "c", "pos", "n"))
+            edge = g[0] if edge is None else edge
+            new = _changes(g, d)
+            new[0] = last is None or (g[0], d[0]) != last[:2]
+            # of every row the first one of its digest in this partition
+            at = np.maximum.accumulate(np.where(new, np.arange(len(g)), -1))
+            before = lambda x, k: np.where(at >= 0, x[at], k)
+            rep = [before(x, 0 if last is None else k) for x, k in zip((doc, c, pos), (None,) * 3 if last is None else last[2:], strict=True)]
+            copy = np.flatnonzero(~new & ((rep[0] != doc) | (rep[1] != c) | (rep[2] != pos)))
+            if len(copy):
+                yield _lost(doc[copy], c[copy], pos[copy], n[copy], rep[0][copy])
+            last = (g[-1], d[-1], *(x[-1] for x in rep))
+            fresh = pa.Table.from_batches([b]).select(["doc", "c", "pos", "n", "g", "w"]).filter(pa.array(new))
+            rows = fresh if held is None else pa.concat_tables([held, fresh])
+            rows = rows.combine_chunks()
+            keys = rows.column("g").to_numpy()
+            out = (keys == edge) | (keys == spilled if spilled is not None else False)
+            yield from _as_open(rows.filter(pa.array(out)))
+            rows, keys = rows.filter(pa.array(~out)), keys[~out]
+            cut = int(np.searchsorted(keys, g[-1], "left"))
+            yield from _partial(rows.slice(0, cut))
+            held = rows.slice(cut)
+            if held.num_rows > limit:
+                spilled = g[-1]
+                yield from _as_open(held)
+                held = None
+        if held is not None:
             yield from _as_open(held)
-            held = None
-    if held is not None:
-        yield from _as_open(held)
+
+    return run
 
 
 def _runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,7 +305,7 @@ def _check():
     return F.when(F.col("doc_id").isNull(), x.bitwiseAND(LAST)).otherwise(x.bitwiseOR(~LAST))  # null ids come last
 
 
-def repeats(docs: DataFrame) -> DataFrame:
+def repeats(docs: DataFrame, limit: int = OPEN) -> DataFrame:
     """doc, c, pos, n, first: runs pos to pos + n - 1 of a document that the document ``first`` holds before."""
     parts = parallelism(docs.sparkSession)
     texts = _keyed(docs)
@@ -316,7 +321,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     held = some.hint("merge").join(lists, ["doc", "c"]).select("doc", "c", "text", "gs")
     stretches = written(held.mapInArrow(lean(_stretches), _STRETCH_DDL))
     order = ["g", "d", "doc", "c", "pos"]
-    compared = written(stretches.filter("not copy").repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(lean(_compare), _FOUND_DDL))
+    compared = written(stretches.filter("not copy").repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(lean(_compare(limit)), _FOUND_DDL))
     runs = compared.filter("open").select("g", "doc", "c", "pos", "n", "w").mapInArrow(lean(_runs_of), "g long, w long, doc long, c long, pos int")
     runs = written(runs)
     place = F.struct("doc", "c", "pos")
@@ -351,9 +356,9 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(d[cut])), pa.array(pos[cut].astype(np.int32)), pa.array(length.astype(np.int32)), pa.array(first[cut])], ["doc", "start", "n_words", "first"])
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
+def repeated_spans(docs: DataFrame, limit: int = OPEN) -> DataFrame:
     """doc_id, start (in words), n_words, first_doc_id: one row for each run of words that an earlier place holds."""
-    each = repeats(docs).groupBy("doc", "c").agg(F.array_sort(F.collect_set(F.struct("first", "pos", "n"))).alias("lost"))
+    each = repeats(docs, limit).groupBy("doc", "c").agg(F.array_sort(F.collect_set(F.struct("first", "pos", "n"))).alias("lost"))
     out = each.select("doc", "lost").mapInArrow(lean(_spans), "doc long, start int, n_words int, first long")
     name = lambda c: F.nullif(F.col(c), F.lit(LAST))
     return out.select(name("doc").alias("doc_id"), "start", "n_words", name("first").alias("first_doc_id"))

@@ -89,9 +89,9 @@ def test_suffix_dedup_matches_brute_force(spark):
             assert out[i] == t
 
 
-def lost_words(spark, texts):
+def lost_words(spark, texts, **more):
     got = collections.defaultdict(set)
-    for r in suffix.repeated_spans(docs(spark, texts)).collect():
+    for r in suffix.repeated_spans(docs(spark, texts), **more).collect():
         got[r["doc_id"]] |= set(range(r["start"], r["start"] + r["n_words"]))
     return dict(got)
 
@@ -138,12 +138,11 @@ def test_suffix_dedup_finds_what_neighbours_in_the_sort_hide(spark):
     assert lost_words(spark, texts) == want
 
 
-def test_suffix_dedup_of_groups_that_no_task_settles(spark, monkeypatch):
+def test_suffix_dedup_of_groups_that_no_task_settles(spark):
     rng = random.Random(15)
     core = words(rng, 52, 10**6)
     texts = [" ".join(words(rng, 40, 10**6) + core + words(rng, 40, 10**6)) for _ in range(120)]
-    monkeypatch.setattr(suffix, "OPEN", 5)
-    assert lost_words(spark, texts) == brute_repeats(texts)
+    assert lost_words(spark, texts, limit=5) == brute_repeats(texts)
 
 
 def test_suffix_dedup_with_null_and_repeated_ids_and_clashing_columns(spark):
@@ -454,12 +453,13 @@ def test_words_with_one_hash_are_encoded_apart(spark, monkeypatch):
     assert batches.gather(b.flat, b.start, b.size, idx)[0].tobytes() == "".join(texts).encode()
 
 
-def test_texts_longer_than_slices_and_blocks(spark, monkeypatch):
+def test_texts_longer_than_slices_and_blocks(spark):
     rng = random.Random(13)
     long_ = " ".join(words(rng, 500_000, 50_000))
     assert len(long_) > batches.WIDE_SLICE
     texts = [long_, "short " + long_[: 700 << 10], "é" * (600 << 10)]
-    monkeypatch.setattr(bpe, "BLOCK_BYTES", 1 << 20)
+    out = bpe.encode(docs(spark, texts * 2).coalesce(1), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, block_bytes=1 << 20)
+    assert {r["doc_id"] % 3: r["decoded_sha256"] for r in out.collect()} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in enumerate(texts)}
     out = bpe.encode(docs(spark, texts), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     assert {r["doc_id"]: r["decoded_sha256"] for r in out.collect()} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in enumerate(texts)}
     p = packing.pack(docs(spark, texts), public_tokenizers.path("byte_bpe_50k.json"), 1024, 2).toPandas()
