@@ -204,3 +204,38 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["checksum", str(new)], spark) == 0 and cli.main(["list"], spark) == 0
     new.write_text("DROP DATABASE x")
     assert cli.main(["checksum", str(new)], spark) == 1
+
+
+def test_a_history_of_files(spark, tmp_path):
+    from schemaloom.sources import store
+
+    s = store.Store(str(tmp_path / "one"))
+    with pytest.raises(store.StoreError) as e:
+        s.index()
+    assert e.value.kind == "NotInitialised"
+    s.initialise()
+    s.initialise()
+    assert s.current_hash() == history.ZERO and s.migrations() == [] and s.current_state() == replay.EMPTY
+    table = lambda n: {"op_kind": "CreateTable", "schema": "public", "name": n, "payload": {"columns": [{"name": "id"}]}}
+    hashes = [history.ZERO, *(c * 64 for c in "abc")]
+    states = []
+    for k in range(3):
+        m = {"id": f"m{k}", "parent_hash": hashes[k], "resulting_hash": hashes[k + 1], "description": "d", "operations": [table(f"t{k}")]}
+        if k == 1:
+            m |= {"is_checkpoint": True, "state": replay.apply(s.current_state(), m["operations"])}
+        states.append(s.record(m, "-- all"))
+    assert [set(x["tables"]) for x in states] == [{"t0"}, {"t0", "t1"}, {"t0", "t1", "t2"}]
+    assert [s.state_at(f"m{k}") for k in range(3)] == states and s.current_hash() == "c" * 64
+    assert [m["id"] for m in s.since("a" * 64)] == ["m1", "m2"] and len(s.since(history.ZERO)) == 3 and s.since("c" * 64) == []
+    s.verify_chain()
+    for bad, kind in (({"id": "m0", "parent_hash": "c" * 64, "operations": []}, "Duplicate"), ({"id": "x", "parent_hash": "a" * 64, "operations": []}, "WrongParent")):
+        with pytest.raises(store.StoreError) as e:
+            s.record(bad)
+        assert e.value.kind == kind
+    s.save({"id": "y", "parent_hash": "a" * 64, "resulting_hash": "d" * 64, "operations": []})
+    with pytest.raises(store.StoreError):
+        s.verify_chain()
+    h = store.read_stores(spark, str(tmp_path / "*"))
+    assert [(r["history_id"], r["seq"], r["id"], r["is_checkpoint"]) for r in h.orderBy("seq").collect()] == [("one", 1, "m0", False), ("one", 2, "m1", True), ("one", 3, "m2", False), ("one", 4, "y", False)]
+    assert history.verify_chain(h).first()["broken_seq"] == 4
+    assert json.loads(h.filter("seq = 1").first()["operations"])[0]["name"] == "t0"
