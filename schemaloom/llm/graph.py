@@ -13,12 +13,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spark_util import heavy_join, written
+from .spark_util import heavy_join, parallelism, written
+
+
+ROWS_PER_TASK = 100_000
+
+
+def _tasks(df: DataFrame, n: int) -> DataFrame:
+    """As many tasks and files as about n rows need: tables of edges shrink from round to round."""
+    return df.coalesce(max(1, min(parallelism(df.sparkSession), -(-n // ROWS_PER_TASK))))
 
 
 def _star(edges: DataFrame, large: bool, n: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
-    low = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count(F.lit(1)).alias("k")))
+    low = written(_tasks(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count(F.lit(1)).alias("k")), 2 * n))
     linked = heavy_join(both.filter("b > a" if large else "b < a"), low, ["a"], "k", n)
     out = linked.select(F.col("b").alias("x"), "m")
     if not large:
@@ -38,5 +46,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         n, ends = e.agg(F.count(F.lit(1)), F.countDistinct("a")).first()
         if n == ends and e.join(e.select(F.col("b").alias("a")).distinct().hint("merge"), "a", "left_semi").isEmpty():
             break
-        e = written(_star(_star(e, True, n), False, n))
+        # the star of stars reads its input three times: written in between
+        e = written(_tasks(_star(written(_tasks(_star(e, True, n), 2 * n)), False, n), 2 * n))
     return e.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct()
