@@ -5,11 +5,25 @@ from __future__ import annotations
 import duckdb
 import pytest
 
-from schemaloom import queries
+from schemaloom import queries, queries_catalog
 
 SF = "/root/testdata/sf0.001"
 
 
+@pytest.fixture(scope="session", autouse=True)
+def one_diff(spark):
+    """Most queries build the same diff; here it is built once."""
+    made, build = {}, queries.diff
+
+    def shared(session, config=queries.DiffConfig()):  # noqa: B008
+        return made.setdefault(config, build(session, config))
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(queries, "diff", shared)
+        m.setattr(queries_catalog, "_diff", shared)
+        yield
+
+
 @pytest.fixture(scope="session")
 def duck():
     con = duckdb.connect()
