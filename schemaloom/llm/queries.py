@@ -96,7 +96,43 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(pages, RULES, spark.createDataFrame([(d,) for d in LISTED], "key string"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sparse_suffix_array, op2_hilbert_search, op3_line_dedup, op4_nn_descent_dedup, embedding_links_planted, op5_byte_bpe, op6_weighted_minhash, op7_best_fit_packing, op8_pu_quality, op9_bounded_load_sharding, op10_url_filter)}
+def op11_upper_triangle_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    return whiten(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), 8)
+
+
+def op12_whole_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_counts import count_tokens
+
+    return count_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), 512)
+
+
+def op13_wavelet_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .variants import group_variants
+
+    return group_variants(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_sparse_suffix_array,
+        op2_hilbert_search,
+        op3_line_dedup,
+        op4_nn_descent_dedup,
+        embedding_links_planted,
+        op5_byte_bpe,
+        op6_weighted_minhash,
+        op7_best_fit_packing,
+        op8_pu_quality,
+        op9_bounded_load_sharding,
+        op10_url_filter,
+        op11_upper_triangle_whitening,
+        op12_whole_token_counts,
+        op13_wavelet_variants,
+    )
+}
 
 _OP3 = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
@@ -141,4 +177,24 @@ _PLANTED = _OP4.replace("FROM embeddings", "FROM planted").replace(
  UNION ALL SELECT vec_id + 20000000, label, {_BENT.format(0.3)} FROM embeddings WHERE vec_id % 5 = 0), e AS""",
 )
 
-ORACLE_SQL = {"embedding_links_planted": _PLANTED, "op4_nn_descent_dedup": _OP4, "op3_line_dedup": _OP3, "op10_url_filter": _OP10}
+#: Words after the deletions, links by what is left when a code point is taken out, roots by recursion.
+_OP13 = r"""
+WITH RECURSIVE t8(i, c, k) AS (SELECT i, i, 0 FROM range(256) r(i) UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM t8 WHERE k < 8),
+tab AS (SELECT list(c ORDER BY i) AS t FROM t8 WHERE k = 8),
+runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r FROM documents),
+pairs AS (SELECT doc_id, r, count(*) AS n, hex(encode(doc_id || ':' || r)) AS x FROM runs WHERE length(r) >= 5 GROUP BY doc_id, r),
+hashed AS (SELECT doc_id, r, n, xor(list_reduce(list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8), 4294967295::BIGINT), 4294967295::BIGINT) AS h FROM pairs, tab),
+cut AS (SELECT CASE WHEN h % 97 = 0 THEN substr(r, 1, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS word, n FROM hashed),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM cut WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+holes AS (SELECT word, n, unnest(range(length(word))) AS p FROM words),
+masked AS (SELECT word, n, p, substr(word, 1, p) || substr(word, p + 2) AS rest FROM holes),
+links AS (SELECT a.word, b.word AS other, b.n AS m FROM masked a JOIN masked b ON a.p = b.p AND a.rest = b.rest AND a.word <> b.word
+ UNION SELECT a.word, b.word, b.n FROM masked a JOIN words b ON a.rest = b.word UNION SELECT b.word, a.word, a.n FROM masked a JOIN words b ON a.rest = b.word),
+best AS (SELECT word, count(*)::BIGINT AS n_near, first(other ORDER BY m DESC, other) AS other, max(m) AS m FROM links GROUP BY word),
+told AS (SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.m >= 2 * w.n THEN b.other END AS form, CASE WHEN b.m >= 2 * w.n THEN b.m END AS form_n FROM words w LEFT JOIN best b USING (word)),
+walk(word, place, step) AS (SELECT word, word, 0 FROM told UNION ALL SELECT w.word, f.form, step + 1 FROM walk w JOIN told f ON f.word = w.place WHERE f.form IS NOT NULL),
+ends AS (SELECT word, first(place ORDER BY step DESC) AS root FROM walk GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM told JOIN ends USING (word)
+"""
+
+ORACLE_SQL = {"op13_wavelet_variants": _OP13, "embedding_links_planted": _PLANTED, "op4_nn_descent_dedup": _OP4, "op3_line_dedup": _OP3, "op10_url_filter": _OP10}
