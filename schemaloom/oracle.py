@@ -1,8 +1,8 @@
-"""The schema queries in DuckDB SQL, over the same fixture rows."""
+"""The schema queries in DuckDB SQL, over snapshots of the given tables."""
 
 from __future__ import annotations
 
-from .fixtures import ctes
+from .profile_sql import ctes
 
 _FIELDS = {
     "column": ["position", "type", "is_nullable", "default_expr", "generated", "identity", "collation", "comment"],
@@ -37,9 +37,9 @@ _SIM = {
 }
 
 
-def diff_ctes(of: list[tuple[str, str, str]] | None = None) -> str:
+def diff_ctes(alone: bool = False) -> str:
     """CTEs up to `objects` (every change) and `sims` (every removed and added pair's similarity)."""
-    q = [ctes(*ALL, of=of)]
+    q = [ctes(*ALL, alone=alone)]
     q.append("both_tables AS (SELECT s.pair_id, s.table_name FROM src_tables s JOIN tgt_tables t USING (pair_id, table_name))")
     q.append("gone_table AS (SELECT pair_id, table_name AS name FROM src_tables ANTI JOIN both_tables USING (pair_id, table_name)), new_table AS (SELECT pair_id, table_name AS name FROM tgt_tables ANTI JOIN both_tables USING (pair_id, table_name))")
     for side in ("src", "tgt"):

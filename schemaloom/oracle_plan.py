@@ -139,7 +139,7 @@ def _ops() -> list[str]:
     return out
 
 
-def plan_ctes(of: list[tuple[str, str, str]] | None = None) -> str:
+def plan_ctes(alone: bool = False) -> str:
     """CTEs up to `plan`: the ordered operations of every pair."""
     lines = (
         f"lines AS (SELECT pair_id, table_name, 0 AS a, position AS b, '' AS c, '    ' || {_COLUMN} AS line FROM tgt_columns x"
@@ -155,7 +155,7 @@ depth AS (SELECT pair_id, name, max(depth) AS depth FROM walk GROUP BY ALL)"""
     deep = "CASE WHEN op_kind = 'CreateTable' THEN r2 ELSE 0 END"
     return ",\n".join(
         [
-            diff_ctes(of),
+            diff_ctes(alone),
             "psch AS (SELECT p.pair_id, coalesce(t.schema, s.schema, 'public') AS schema FROM pairs p LEFT JOIN namespaces t ON t.snapshot_id = p.target_id LEFT JOIN namespaces s ON s.snapshot_id = p.source_id)",
             lines,
             depth,
@@ -165,8 +165,8 @@ depth AS (SELECT pair_id, name, max(depth) AS depth FROM walk GROUP BY ALL)"""
     )
 
 
-def plan_sql(tail: str, of: list[tuple[str, str, str]] | None = None) -> str:
-    return f"{plan_ctes(of)} {tail}"
+def plan_sql(tail: str, alone: bool = False) -> str:
+    return f"{plan_ctes(alone)} {tail}"
 
 
 ORDERED = "SELECT pair_id, seq, op_kind, phase, object_kind, table_name, name, to_name, description FROM plan"
@@ -198,7 +198,7 @@ def replayed_sql(source_seq: bool = False) -> str:
     after = f"""SELECT pair_id, 'table' AS kind, NULL::VARCHAR AS table_name, table_name AS name, NULL::VARCHAR AS type, NULL::BOOLEAN AS is_nullable FROM tgt_tables
  UNION ALL SELECT pair_id, 'column', table_name, name, formatted, is_nullable FROM ({inner('columns', 'x.type.formatted AS formatted, ' + was('column', 'columns', 'is_nullable') + ' AS is_nullable')})
  UNION ALL SELECT pair_id, 'constraint', table_name, name, kind, NULL FROM ({inner('constraints', 'x.kind')})
- UNION ALL SELECT pair_id, 'index', table_name, name, method, NULL FROM ({inner('indexes', 'x.method, x.is_constraint_index')}) WHERE NOT is_constraint_index
+ UNION ALL SELECT pair_id, 'index', table_name, name, method, NULL FROM ({inner('indexes', was('index', 'indexes', 'method') + ' AS method, ' + was('index', 'indexes', 'is_constraint_index') + ' AS is_constraint_index')}) WHERE NOT is_constraint_index
  UNION ALL SELECT pair_id, 'enum', NULL, name, array_to_string(list_sort(labels), ','), NULL FROM ({enums})
  UNION ALL SELECT pair_id, 'sequence', NULL, name, {top('sequence', 'sequences', 'data_type')}, NULL FROM tgt_sequences x UNION ALL SELECT pair_id, 'view', NULL, name, NULL, NULL FROM tgt_views"""
     head = f"{diff_ctes()}, moved AS ({moved})"
@@ -286,7 +286,7 @@ def _mapped(table: dict[str, str], default: str) -> str:
 
 
 def codegen_ctes() -> str:
-    """CTEs up to `fields`: one line of a Python model for each column.  The fixtures' names are plain lower-case ones."""
+    """CTEs up to `fields`: one line of a Python model for each column.  Names are plain lower-case ones."""
     kind = f"CASE WHEN c.type.is_array THEN 'list[' || {_mapped(PYTHON, 'Any')} || ']' ELSE {_mapped(PYTHON, 'Any')} END"
     sa = f"CASE WHEN c.type.is_array THEN 'ARRAY(' || {_mapped(SQLALCHEMY, 'String')} || ')' WHEN c.type.name IN ('json', 'jsonb') THEN 'JSON' END"
     size = "nullif(regexp_extract(lower(c.type.formatted), '^(?:character varying|varchar|character|char)\\((\\d+)\\)', 1), '')"

@@ -94,7 +94,8 @@ def rust_entities(catalog: Catalog) -> DataFrame:
     code = text('use sea_orm::entity::prelude::*;\n\n#[derive(Clone, Debug, PartialEq, DeriveEntityModel)]\n#[sea_orm(table_name = "', F.col("table_name"),
             '")]\npub struct Model {\n', F.coalesce("f", F.lit("")), "\n}\n\n#[derive(Copy, Clone, Debug, EnumIter, DeriveRelation)]\npub enum Relation {}\n\nimpl ActiveModelBehavior for ActiveModel {}\n")
     out = each.select("snapshot_id", text(naming.snake(F.col("table_name")), ".rs").alias("file"), code.alias("content"))
-    mods = catalog.tables.groupBy("snapshot_id").agg(F.array_join(F.array_sort(F.collect_list(text("pub mod ", naming.snake(F.col("table_name")), ";"))), "\n").alias("c"))
+    mods = catalog.tables.groupBy("snapshot_id").agg(F.sort_array(F.collect_list("table_name")).alias("t"))
+    mods = mods.select("snapshot_id", F.array_join(F.transform("t", lambda t: text("pub mod ", naming.snake(t), ";")), "\n").alias("c"))
     return out.unionByName(mods.select("snapshot_id", F.lit("mod.rs").alias("file"), text(F.col("c"), "\n").alias("content")))
 
 

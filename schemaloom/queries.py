@@ -5,25 +5,48 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import fixtures, oracle, oracle_plan
+from . import oracle, oracle_plan, profile_sql
 from .functions import naming, similarity, sqltext, typemap
 from .model import Catalog
 from .operators import breaking, history, probes, relations
-from .operators.diff import Diff, DiffConfig, pairs_frame
+from .operators.diff import Diff, DiffConfig
 from .plans import codegen, operations, replay
 from .registry import ORACLE_SQL, QUERIES, query
 from .sources.catalogs import from_parquet_dir
+from .sources.profile import Profile
 from .tables import kept
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
-def catalog(spark: SparkSession) -> Catalog:
-    return Catalog.of(spark, fixtures.rows())
+#: Profiles and diffs of this session, by application, folder and what was asked for: queries share them.
+_MADE: dict[tuple, object] = {}
 
 
-def diff(spark: SparkSession, config: DiffConfig = DiffConfig()) -> Diff:  # noqa: B008
-    return Diff(catalog(spark), pairs_frame(spark, [(p, a.id, b.id) for p, a, b in fixtures.pairs()]), config)
+def _once(spark: SparkSession, sf_dir: str, what: object, make):
+    """Made once an application; what it keeps are written tables, and they last as long."""
+    key = (spark.sparkContext.applicationId, sf_dir, what)
+    if key not in _MADE:
+        _MADE[key] = make()
+    return _MADE[key]
+
+
+def profile(spark: SparkSession, sf_dir: str) -> Profile:
+    """The given tables, cut into snapshots."""
+    return _once(spark, sf_dir, "profile", lambda: Profile(spark, sf_dir))
+
+
+def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
+    return _once(spark, sf_dir, "catalog", lambda: profile(spark, sf_dir).catalog())
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _once(spark, sf_dir, "pairs", lambda: profile(spark, sf_dir).pairs())
+
+
+def diff(spark: SparkSession, sf_dir: str, config: DiffConfig = DiffConfig()) -> Diff:  # noqa: B008
+    """Every snapshot against the next of its feed."""
+    return _once(spark, sf_dir, config, lambda: Diff(catalog(spark, sf_dir), pairs(spark, sf_dir), config))
 
 
 _R = "round(similarity, 9) AS similarity"
@@ -50,10 +73,10 @@ def introspect_columns(spark, sf_dir):
     return from_parquet_dir(spark, sf_dir, TABLES, "s").columns.select("table_name", "name", "position", F.col("type.formatted").alias("formatted"))
 
 
-@query(lambda: fixtures.ctes("namespaces", "tables", "views", "enums",
+@query(lambda: profile_sql.ctes("namespaces", "tables", "views", "enums",
         "sequences") + " SELECT n.snapshot_id, (SELECT count(*) FROM tables t WHERE t.snapshot_id = n.snapshot_id) AS n_tables, (SELECT count(*) FROM views t WHERE t.snapshot_id = n.snapshot_id) AS n_views, (SELECT count(*) FROM enums t WHERE t.snapshot_id = n.snapshot_id) AS n_enums, (SELECT count(*) FROM sequences t WHERE t.snapshot_id = n.snapshot_id) AS n_sequences FROM namespaces n")
 def schema_summary(spark, sf_dir):
-    c = catalog(spark)
+    c = catalog(spark, sf_dir)
     out = c.namespaces.select("snapshot_id")
     for r in ("tables", "views", "enums", "sequences"):
         n = getattr(c, r).groupBy("snapshot_id").agg(F.count(F.lit(1)).alias(f"n_{r}"))
@@ -67,22 +90,27 @@ def _case_of(table: dict[str, str], column: str, default: str) -> str:
 
 def _type_sql(table: dict[str, str], default: str, left: str, right: str) -> str:
     one = _case_of(table, "regexp_replace(type.name, '^_', '')", default)
-    return fixtures.ctes("columns") + f" SELECT DISTINCT type.formatted AS formatted, CASE WHEN type.is_array THEN '{left}' || {one} || '{right}' ELSE {one} END AS mapped FROM columns"
+    return profile_sql.ctes("columns") + f" SELECT DISTINCT type.formatted AS formatted, CASE WHEN type.is_array THEN '{left}' || {one} || '{right}' ELSE {one} END AS mapped FROM columns"
 
 
 @query(lambda: _type_sql(typemap.PYTHON, "Any", "list[", "]"))
 def type_map_python(spark, sf_dir):
-    return catalog(spark).columns.select(F.col("type.formatted").alias("formatted"), typemap.python_type(F.col("type")).alias("mapped")).distinct()
+    return catalog(spark, sf_dir).columns.select(F.col("type.formatted").alias("formatted"), typemap.python_type(F.col("type")).alias("mapped")).distinct()
 
 
 @query(lambda: _type_sql(typemap.RUST, "String", "Vec<", ">"))
 def type_map_rust(spark, sf_dir):
-    return catalog(spark).columns.select(F.col("type.formatted").alias("formatted"), typemap.rust_type(F.col("type")).alias("mapped")).distinct()
+    return catalog(spark, sf_dir).columns.select(F.col("type.formatted").alias("formatted"), typemap.rust_type(F.col("type")).alias("mapped")).distinct()
 
 
-@query("SELECT * FROM (VALUES ('character varying(255)', 255, NULL, NULL), ('numeric(5,2)', NULL, 5, 2), ('numeric(7)', NULL, 7, 0), ('text', NULL, NULL, NULL), ('character(3)', 3, NULL, NULL)) t(formatted, length, precision, scale)")
+@query(
+    lambda: profile_sql.ctes("columns")
+    + r""" SELECT DISTINCT formatted, CASE WHEN starts_with(formatted, 'char') THEN TRY_CAST(regexp_extract(formatted, '\((\d+)\)$', 1) AS INT) END AS length,
+ CASE WHEN starts_with(formatted, 'numeric(') THEN string_split(args, ',')[1]::INT END AS precision, CASE WHEN starts_with(formatted, 'numeric(') THEN coalesce(string_split(args, ',')[2]::INT, 0) END AS scale
+ FROM (SELECT type.formatted AS formatted, regexp_extract(type.formatted, '\((.*)\)', 1) AS args FROM columns)"""
+)
 def type_arguments(spark, sf_dir):
-    df = spark.createDataFrame([(x,) for x in ("character varying(255)", "numeric(5,2)", "numeric(7)", "text", "character(3)")], "formatted string")
+    df = catalog(spark, sf_dir).columns.select(F.col("type.formatted").alias("formatted")).distinct()
     p = typemap.numeric_precision(F.col("formatted"))
     return df.select("formatted", typemap.string_length(F.col("formatted")).alias("length"), p["precision"].alias("precision"), p["scale"].alias("scale"))
 
@@ -93,7 +121,7 @@ def type_arguments(spark, sf_dir):
 def _objects(kind: str):
     @query(lambda: oracle.objects_sql(f"kind = '{kind}'"))
     def f(spark, sf_dir):
-        return diff(spark).objects(kind).withColumn("similarity", F.round("similarity", 9))
+        return diff(spark, sf_dir).objects(kind).withColumn("similarity", F.round("similarity", 9))
 
     name = {"index": "diff_indexes"}.get(kind, f"diff_{kind}s")
     QUERIES[name], ORACLE_SQL[name] = QUERIES.pop("f"), ORACLE_SQL.pop("f")
@@ -106,17 +134,17 @@ for _kind in ("table", "column", "constraint", "index", "view", "sequence", "enu
 
 @query(lambda: oracle.field_sql("column"))
 def diff_column_fields(spark, sf_dir):
-    return diff(spark).fields("column").select("pair_id", "kind", "table_name", "name", "field")
+    return diff(spark, sf_dir).fields("column").select("pair_id", "kind", "table_name", "name", "field")
 
 
 @query(lambda: oracle.field_sql("sequence"))
 def diff_sequence_fields(spark, sf_dir):
-    return diff(spark).fields("sequence").select("pair_id", "kind", "table_name", "name", "field")
+    return diff(spark, sf_dir).fields("sequence").select("pair_id", "kind", "table_name", "name", "field")
 
 
 @query(lambda: oracle.diff_ctes() + " SELECT s.pair_id, s.name, list_filter(t.labels, lambda v: NOT list_contains(s.labels, v)) AS values_added, list_filter(s.labels, lambda v: NOT list_contains(t.labels, v)) AS values_removed, list_filter(s.labels, lambda v: list_contains(t.labels, v)) <> list_filter(t.labels, lambda v: list_contains(s.labels, v)) AS reordered FROM src_enum s JOIN tgt_enum t USING (pair_id, name) WHERE s.labels <> t.labels")
 def diff_enum_values(spark, sf_dir):
-    return diff(spark).enum_changes()
+    return diff(spark, sf_dir).enum_changes()
 
 
 _SUM = ", ".join(f"count(*) FILTER (WHERE change = '{c}') AS {c}" for c in ("added", "removed", "modified", "renamed"))
@@ -124,17 +152,17 @@ _SUM = ", ".join(f"count(*) FILTER (WHERE change = '{c}') AS {c}" for c in ("add
 
 @query(lambda: oracle.diff_ctes() + f" SELECT pair_id, kind, {_SUM} FROM objects GROUP BY pair_id, kind")
 def diff_summary(spark, sf_dir):
-    return diff(spark).summary()
+    return diff(spark, sf_dir).summary()
 
 
 @query(lambda: oracle.diff_ctes() + ", n AS (SELECT pair_id, count(*) AS n FROM objects WHERE kind NOT IN ('column', 'constraint', 'index') GROUP BY pair_id) SELECT p.pair_id, coalesce(n.n, 0) AS n_changes, n.n IS NULL AS is_empty FROM pairs p LEFT JOIN n USING (pair_id)")
 def diff_change_count(spark, sf_dir):
-    return diff(spark).change_count()
+    return diff(spark, sf_dir).change_count()
 
 
 @query(lambda: oracle.diff_ctes() + " SELECT pair_id, kind, change, list(x ORDER BY x) AS names FROM (SELECT pair_id, kind, change, coalesce(table_name || '.', '') || name || CASE WHEN change = 'renamed' THEN ' -> ' || to_name ELSE '' END AS x FROM objects) GROUP BY ALL")
 def drift_details(spark, sf_dir):
-    return diff(spark).drift()
+    return diff(spark, sf_dir).drift()
 
 
 # ---- similarity and renames -----------------------------------------------------------
@@ -143,7 +171,7 @@ def drift_details(spark, sf_dir):
 def _sims(kind: str):
     @query(lambda: oracle.diff_ctes() + f" SELECT pair_id, table_name, from_name, to_name, {_R} FROM sims WHERE kind = '{kind}'")
     def f(spark, sf_dir):
-        return diff(spark).similarities().filter(F.col("kind") == kind).select("pair_id", "table_name", "from_name", "to_name", _rounded())
+        return diff(spark, sf_dir).similarities().filter(F.col("kind") == kind).select("pair_id", "table_name", "from_name", "to_name", _rounded())
 
     name = f"sim_{kind}" + ("_basic" if kind in ("table", "column") else "")
     QUERIES[name], ORACLE_SQL[name] = QUERIES.pop("f"), ORACLE_SQL.pop("f")
@@ -152,18 +180,23 @@ def _sims(kind: str):
 for _kind in ("table", "column", "constraint", "index", "view", "sequence", "enum"):
     _sims(_kind)
 
-_PAIRS = [("users", "user_accounts"), ("email", "email_address"), ("kitten", "sitting"), ("saturday", "sunday"), ("cat", "car"), ("", "abc"), ("same", "same"),
-        ("order_items", "items_order"), ("created_at", "updated_at"), ("Users", "users"), ("a-b-c", "c-b-a"), ("customer", "supplier")]
-_VALUES = ", ".join(f"('{a}', '{b}')" for a, b in _PAIRS)
+#: The host of every page beside that of the next one.
+_HOSTS = "(SELECT x.h AS a, y.h AS b FROM (SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS h FROM pages) x JOIN (SELECT page_id - 1 AS page_id, regexp_extract(url, '://([^/?#]*)', 1) AS h FROM pages) y USING (page_id))"
+
 
+def _hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    host = F.regexp_extract("url", "://([^/?#]*)", 1)
+    return pages.select("page_id", host.alias("a")).join(pages.select((F.col("page_id") - 1).alias("page_id"), host.alias("b")), "page_id").select("a", "b")
 
-@query(f"SELECT a, b, levenshtein(a, b)::INT AS distance FROM (VALUES {_VALUES}) t(a, b)")
+
+@query(f"SELECT a, b, levenshtein(a, b)::INT AS distance FROM {_HOSTS}")
 def sim_levenshtein(spark, sf_dir):
-    return spark.createDataFrame(_PAIRS, "a string, b string").select("a", "b", F.levenshtein("a", "b").alias("distance"))
+    return _hosts(spark, sf_dir).select("a", "b", F.levenshtein("a", "b").alias("distance"))
 
 
 _PRE = "len(list_filter(range(1, least(length({x}), length({y})) + 1), lambda i: left({x}, i::INT) = left({y}, i::INT)))"
-_NAME_SQL = f"""WITH p AS (SELECT a, b, lower(a) AS x, lower(b) AS y FROM (VALUES {_VALUES}) t(a, b)),
+_NAME_SQL = f"""WITH p AS (SELECT a, b, lower(a) AS x, lower(b) AS y FROM {_HOSTS}),
 q AS (SELECT *, {_PRE.format(x="x", y="y")} AS pre, {_PRE.format(x="reverse(x)", y="reverse(y)")} AS suf, least(strlen(x), strlen(y)) AS lo, greatest(strlen(x), strlen(y)) AS hi, list_distinct(regexp_split_to_array(x, '[_-]')) AS wx, list_distinct(regexp_split_to_array(y, '[_-]')) AS wy FROM p),
 r AS (SELECT *, least(1.0, (CASE WHEN pre >= 3 THEN 0.3 * (pre::DOUBLE / lo) ELSE 0 END) + (CASE WHEN suf >= 3 THEN 0.3 * (suf::DOUBLE / lo) ELSE 0 END) + (CASE WHEN contains(x, y) OR contains(y, x) THEN 0.4 * (lo::DOUBLE / hi) ELSE 0 END) + 0.3 * (len(list_intersect(wx, wy))::DOUBLE / len(list_distinct(list_concat(wx, wy))))) AS bonus FROM q)
 SELECT a, b, round(CASE WHEN a = b THEN 1.0 WHEN a = '' OR b = '' THEN 0.0 ELSE least(1.0, (1.0 - levenshtein(x, y)::DOUBLE / hi) * 0.7 + bonus * 0.3) END, 9)::DOUBLE AS similarity FROM r"""
@@ -171,27 +204,27 @@ SELECT a, b, round(CASE WHEN a = b THEN 1.0 WHEN a = '' OR b = '' THEN 0.0 ELSE
 
 @query(_NAME_SQL)
 def sim_name(spark, sf_dir):
-    return spark.createDataFrame(_PAIRS, "a string, b string").select("a", "b", F.round(similarity.name_similarity(F.col("a"), F.col("b")), 9).alias("similarity"))
+    return _hosts(spark, sf_dir).select("a", "b", F.round(similarity.name_similarity(F.col("a"), F.col("b")), 9).alias("similarity"))
 
 
 @query(oracle_plan.table_advanced_sql)
 def sim_table_advanced(spark, sf_dir):
-    return diff(spark, DiffConfig.with_advanced_similarity()).similarities().filter("kind = 'table'").select("pair_id", "from_name", "to_name", _rounded())
+    return diff(spark, sf_dir, DiffConfig.with_advanced_similarity()).similarities().filter("kind = 'table'").select("pair_id", "from_name", "to_name", _rounded())
 
 
 @query(oracle_plan.column_advanced_sql)
 def sim_column_advanced(spark, sf_dir):
-    return diff(spark, DiffConfig.with_advanced_similarity()).similarities().filter("kind = 'column'").select("pair_id", "table_name", "from_name", "to_name", _rounded())
+    return diff(spark, sf_dir, DiffConfig.with_advanced_similarity()).similarities().filter("kind = 'column'").select("pair_id", "table_name", "from_name", "to_name", _rounded())
 
 
 @query(lambda: oracle.diff_ctes() + f" SELECT pair_id, kind, table_name, from_name, to_name, {_R} FROM cand")
 def rename_candidates(spark, sf_dir):
-    return diff(spark).candidates().withColumn("similarity", F.round("similarity", 9))
+    return diff(spark, sf_dir).candidates().withColumn("similarity", F.round("similarity", 9))
 
 
 @query(lambda: oracle.diff_ctes() + f" SELECT pair_id, kind, table_name, from_name, to_name, {_R} FROM renames")
 def rename_greedy(spark, sf_dir):
-    return diff(spark).renames().withColumn("similarity", F.round("similarity", 9))
+    return diff(spark, sf_dir).renames().withColumn("similarity", F.round("similarity", 9))
 
 
 # ---- breaking changes ---------------------------------------------------------------
@@ -199,42 +232,31 @@ def rename_greedy(spark, sf_dir):
 
 @query(lambda: oracle.breaking_sql("SELECT * FROM breaking"))
 def breaking_changes(spark, sf_dir):
-    return breaking.analyse(diff(spark))
+    return breaking.analyse(diff(spark, sf_dir))
 
 
 @query(lambda: oracle.breaking_sql("SELECT pair_id, mitigation, count(*) AS n FROM breaking GROUP BY ALL"))
 def breaking_by_mitigation(spark, sf_dir):
-    return breaking.by_mitigation(breaking.analyse(diff(spark)))
+    return breaking.by_mitigation(breaking.analyse(diff(spark, sf_dir)))
 
 
 @query(lambda: oracle.breaking_sql("SELECT p.pair_id, count(b.pair_id) AS n_breaking, count(b.pair_id) = 0 AS is_safe FROM pairs p LEFT JOIN breaking b USING (pair_id) GROUP BY p.pair_id"))
 def breaking_safe_pairs(spark, sf_dir):
-    d = diff(spark)
+    d = diff(spark, sf_dir)
     return breaking.is_safe(d.pairs, breaking.analyse(d))
 
 
 @query(lambda: oracle.objects_sql("change = 'removed' AND kind IN ('table', 'column', 'enum')", "pair_id, kind, table_name, name"))
 def breaking_session(spark, sf_dir):
-    return breaking.session_breaking(diff(spark))
-
-
-_TYPES = ["smallint", "integer", "bigint", "real", "double precision", "numeric", "text", "varchar(10)", "varchar(20)", "varchar", "boolean"]
-
-
-def _widening_sql() -> str:
-    from .builder import type_info
+    return breaking.session_breaking(diff(spark, sf_dir))
 
-    rows = ", ".join(f"({fixtures.sql_value(type_info(t))})" for t in _TYPES)
-    return f"WITH t AS (SELECT type FROM (VALUES {rows}) v(type)) SELECT s.type.formatted AS from_type, t.type.formatted AS to_type, coalesce({oracle.SAFE}, false) AS safe FROM t s, t"
 
-
-@query(_widening_sql)
+@query(lambda: oracle.diff_ctes() + f" SELECT DISTINCT s.type.formatted AS from_type, t.type.formatted AS to_type, coalesce({oracle.SAFE}, false) AS safe FROM src_columns s JOIN tgt_columns t USING (pair_id, table_name, name)")
 def type_widening_matrix(spark, sf_dir):
-    from .builder import type_info
-    from .model import TYPE
-
-    a = spark.createDataFrame([(type_info(x), type_info(y)) for x in _TYPES for y in _TYPES], f"a {TYPE}, b {TYPE}")
-    return a.select(F.col("a.formatted").alias("from_type"), F.col("b.formatted").alias("to_type"), F.coalesce(breaking.is_safe_widening(F.col("a"), F.col("b")), F.lit(False)).alias("safe"))
+    """Every type that a column has and the one it has next: is the change safe?"""
+    m = diff(spark, sf_dir).matched("column").filter("s IS NOT NULL AND t IS NOT NULL")
+    a, b = F.col("s.type"), F.col("t.type")
+    return m.select(a["formatted"].alias("from_type"), b["formatted"].alias("to_type"), F.coalesce(breaking.is_safe_widening(a, b), F.lit(False)).alias("safe")).distinct()
 
 
 # ---- plans ----------------------------------------------------------------------------
@@ -242,28 +264,28 @@ def type_widening_matrix(spark, sf_dir):
 
 @query(lambda: oracle_plan.plan_sql(oracle_plan.ORDERED))
 def plan_ordered(spark, sf_dir):
-    return operations.plan(diff(spark)).select("pair_id", "seq", "op_kind", "phase", "object_kind", "table_name", "name", "to_name", "description")
+    return operations.plan(diff(spark, sf_dir)).select("pair_id", "seq", "op_kind", "phase", "object_kind", "table_name", "name", "to_name", "description")
 
 
 @query(lambda: oracle_plan.plan_sql(oracle_plan.RENDERED))
 def render_sql(spark, sf_dir):
-    p = operations.plan(diff(spark))
+    p = operations.plan(diff(spark, sf_dir))
     return p.select("pair_id", "seq", "op_kind", F.array_join("forward", ";\n").alias("sql"), F.array_join("rollback", ";\n").alias("rollback_sql"))
 
 
 @query(lambda: oracle_plan.plan_sql(oracle_plan.SCRIPT))
 def script_text(spark, sf_dir):
-    return operations.script(operations.plan(diff(spark)))
+    return operations.script(operations.plan(diff(spark, sf_dir)))
 
 
 @query(lambda: oracle_plan.plan_sql(oracle_plan.INVERSE))
 def inverse_plan(spark, sf_dir):
-    return operations.inverse(operations.plan(diff(spark)))
+    return operations.inverse(operations.plan(diff(spark, sf_dir)))
 
 
 @query(oracle_plan.affected_sql)
 def affected_statements(spark, sf_dir):
-    d = diff(spark)
+    d = diff(spark, sf_dir)
     statements = operations.plan(d).select("pair_id", "seq", F.array_join("forward", ";\n").alias("sql"))
     return breaking.affected_statements(breaking.analyse(d), statements)
 
@@ -273,21 +295,30 @@ edges AS (SELECT DISTINCT c.pair_id, c.table_name AS a, c.ref_table AS b FROM tg
 walk AS (SELECT pair_id, name, 0 AS depth FROM added UNION ALL SELECT w.pair_id, e.a, w.depth + 1 FROM walk w JOIN edges e ON e.pair_id = w.pair_id AND e.b = w.name WHERE w.depth < 50)
 SELECT pair_id, name, max(depth)::INT AS depth FROM walk GROUP BY ALL""")
 def fk_depth(spark, sf_dir):
-    return operations.table_depth(diff(spark)).select("pair_id", "name", F.col("depth").cast("int").alias("depth"))
+    return operations.table_depth(diff(spark, sf_dir)).select("pair_id", "name", F.col("depth").cast("int").alias("depth"))
 
 
-_NAMES = ["users", "Users", "order", "select", "1st", "a b", 'q"q', "_x", "x$1", "", "user_id", "table"]
+#: Words that must be quoted among the names below; written down apart from the package's own list.
+_QUOTED = ("user", "system_user", "select", "table", "order", "end", "in", "on", "to", "as", "do", "all", "and", "any", "both", "case", "desc", "else", "from", "into", "left", "not", "null", "only", "or", "then", "true", "when", "with", "for", "is", "using", "where", "like", "union", "unique", "asc", "some")
 
 
-@query(lambda: "SELECT name, CASE WHEN regexp_full_match(name, '[a-z_][a-z0-9_$]*') AND name NOT IN (" + ", ".join(f"'{w}'" for w in sqltext.RESERVED) + ") THEN name ELSE '\"' || replace(name, '\"', '\"\"') || '\"' END AS quoted FROM (VALUES " + ", ".join("(" + fixtures.sql_value(n) + ")" for n in _NAMES) + ") t(name)")
+@query(
+    "SELECT DISTINCT name, CASE WHEN regexp_full_match(name, '[a-z_][a-z0-9_$]*') AND name NOT IN (" + ", ".join(f"'{w}'" for w in _QUOTED) + ") THEN name ELSE '\"' || replace(name, '\"', '\"\"') || '\"' END AS quoted FROM ("
+    "SELECT role AS name FROM conversations UNION ALL SELECT p_name FROM part UNION ALL SELECT c_mktsegment FROM customer UNION ALL SELECT source FROM documents UNION ALL SELECT url FROM pages UNION ALL SELECT props FROM events)"
+)
 def quote_identifiers(spark, sf_dir):
-    return spark.createDataFrame([(n,) for n in _NAMES], "name string").select("name", sqltext.quote(F.col("name")).alias("quoted"))
+    """Names as they come: roles, products, segments, sources, urls and JSON."""
+    names, out = [("conversations", "role"), ("part", "p_name"), ("customer", "c_mktsegment"), ("documents", "source"), ("pages", "url"), ("events", "props")], None
+    for table, column in names:
+        one = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(F.col(column).alias("name"))
+        out = one if out is None else out.unionByName(one)
+    return out.distinct().select("name", sqltext.quote(F.col("name")).alias("quoted"))
 
 
 @query(oracle_plan.replayed_sql)
 def replay_states(spark, sf_dir):
     """Plans applied to their source: the objects that result (a plan that fails gives one row, its error as the name)."""
-    d = diff(spark)
+    d = diff(spark, sf_dir)
     start = replay.state_of(d.catalog, d.pairs.select(F.col("source_id").alias("snapshot_id"))).join(d.pairs, F.col("snapshot_id") == F.col("source_id")).select("pair_id", "state")
     states = kept(replay.replay(operations.plan(d), start))
     failed = states.filter("error is not null").select("pair_id", F.lit("error").alias("kind"), F.lit(None).cast("string").alias("table_name"),
@@ -380,12 +411,12 @@ def _checksum_sql() -> str:
         f"SELECT snapshot_id, '6index/' || table_name || '/' || name || '/' || concat_ws('|', method, {n('is_unique')}, array_to_string(list_transform(columns, lambda c: concat_ws(' ', c.\"column\", c.expression, c.sort, c.nulls)), ','), {n('predicate')}) FROM indexes",
         f"SELECT snapshot_id, '7view/' || name || '//' || concat_ws('|', definition, {n('is_materialized')}) FROM views",
     ]
-    return fixtures.ctes(*oracle.ALL) + f", lines AS ({' UNION ALL '.join(parts)}), t AS (SELECT snapshot_id, string_agg(line, chr(10) ORDER BY line) AS t FROM lines GROUP BY 1) SELECT n.snapshot_id, sha256(coalesce(t.t, '')) AS checksum FROM namespaces n LEFT JOIN t USING (snapshot_id)"
+    return profile_sql.ctes(*oracle.ALL) + f", lines AS ({' UNION ALL '.join(parts)}), t AS (SELECT snapshot_id, string_agg(line, chr(10) ORDER BY line) AS t FROM lines GROUP BY 1) SELECT n.snapshot_id, sha256(coalesce(t.t, '')) AS checksum FROM namespaces n LEFT JOIN t USING (snapshot_id)"
 
 
 @query(_checksum_sql)
 def checksum_sha256(spark, sf_dir):
-    return history.checksum(catalog(spark))
+    return history.checksum(catalog(spark, sf_dir))
 
 
 # ---- relations and code ---------------------------------------------------------------
@@ -393,50 +424,63 @@ def checksum_sha256(spark, sf_dir):
 _FK = """, fk AS (SELECT *, EXISTS (SELECT 1 FROM constraints u WHERE u.snapshot_id = c.snapshot_id AND u.table_name = c.table_name AND u.kind IN ('PRIMARY KEY', 'UNIQUE') AND u.columns = c.columns) AS one, EXISTS (SELECT 1 FROM tables t WHERE t.snapshot_id = c.snapshot_id AND t.table_name = c.ref_table) AS known FROM constraints c WHERE kind = 'FOREIGN KEY')"""
 
 
-@query(lambda: fixtures.ctes("constraints", "tables") + _FK + " SELECT snapshot_id, table_name, 'belongs_to' AS relation, ref_table AS other, name AS constraint_name FROM fk UNION ALL SELECT snapshot_id, ref_table, CASE WHEN one THEN 'has_one' ELSE 'has_many' END, table_name, name FROM fk WHERE known AND table_name <> ref_table")
+@query(lambda: profile_sql.ctes("constraints", "tables") + _FK + " SELECT snapshot_id, table_name, 'belongs_to' AS relation, ref_table AS other, name AS constraint_name FROM fk UNION ALL SELECT snapshot_id, ref_table, CASE WHEN one THEN 'has_one' ELSE 'has_many' END, table_name, name FROM fk WHERE known AND table_name <> ref_table")
 def table_relations(spark, sf_dir):
-    return relations.relations(catalog(spark))
+    return relations.relations(catalog(spark, sf_dir))
 
 
-@query(lambda: fixtures.ctes("constraints", "tables") + _FK + " SELECT snapshot_id, table_name, name, one AS is_one_to_one, table_name = ref_table AS is_self, known AS is_known FROM fk")
+@query(lambda: profile_sql.ctes("constraints", "tables") + _FK + " SELECT snapshot_id, table_name, name, one AS is_one_to_one, table_name = ref_table AS is_self, known AS is_known FROM fk")
 def one_to_one_fk(spark, sf_dir):
-    return relations.foreign_keys(catalog(spark)).select("snapshot_id", "table_name", "name", "is_one_to_one", "is_self", "is_known")
+    return relations.foreign_keys(catalog(spark, sf_dir)).select("snapshot_id", "table_name", "name", "is_one_to_one", "is_self", "is_known")
 
 
-@query(lambda: fixtures.ctes("constraints", "columns") + ", f AS (SELECT snapshot_id, table_name, list_sort(flatten(list(columns))) AS fk, list_sort(list(ref_table)) AS links FROM constraints WHERE kind = 'FOREIGN KEY' GROUP BY ALL), p AS (SELECT snapshot_id, table_name, list_sort(columns) AS pk FROM constraints WHERE kind = 'PRIMARY KEY'), n AS (SELECT snapshot_id, table_name, count(*) AS n FROM columns GROUP BY ALL) SELECT snapshot_id, table_name, links FROM f JOIN p USING (snapshot_id, table_name) JOIN n USING (snapshot_id, table_name) WHERE len(links) = 2 AND fk = pk AND n - len(pk) <= 1")
+@query(lambda: profile_sql.ctes("constraints", "columns") + ", f AS (SELECT snapshot_id, table_name, list_sort(flatten(list(columns))) AS fk, list_sort(list(ref_table)) AS links FROM constraints WHERE kind = 'FOREIGN KEY' GROUP BY ALL), p AS (SELECT snapshot_id, table_name, list_sort(columns) AS pk FROM constraints WHERE kind = 'PRIMARY KEY'), n AS (SELECT snapshot_id, table_name, count(*) AS n FROM columns GROUP BY ALL) SELECT snapshot_id, table_name, links FROM f JOIN p USING (snapshot_id, table_name) JOIN n USING (snapshot_id, table_name) WHERE len(links) = 2 AND fk = pk AND n - len(pk) <= 1")
 def junction_tables(spark, sf_dir):
-    return relations.junction_tables(catalog(spark))
+    return relations.junction_tables(catalog(spark, sf_dir))
 
 
-@query(lambda: fixtures.ctes("constraints", "columns") + " SELECT k.snapshot_id, k.table_name, k.columns, len(k.columns) > 1 AS is_composite, len(k.columns) = 1 AND (c.identity IS NOT NULL OR coalesce(contains(lower(c.default_expr), 'nextval('), false)) AS is_auto FROM constraints k LEFT JOIN columns c ON c.snapshot_id = k.snapshot_id AND c.table_name = k.table_name AND c.name = k.columns[1] WHERE k.kind = 'PRIMARY KEY'")
+@query(lambda: profile_sql.ctes("constraints", "columns") + " SELECT k.snapshot_id, k.table_name, k.columns, len(k.columns) > 1 AS is_composite, len(k.columns) = 1 AND (c.identity IS NOT NULL OR coalesce(contains(lower(c.default_expr), 'nextval('), false)) AS is_auto FROM constraints k LEFT JOIN columns c ON c.snapshot_id = k.snapshot_id AND c.table_name = k.table_name AND c.name = k.columns[1] WHERE k.kind = 'PRIMARY KEY'")
 def primary_keys(spark, sf_dir):
-    return relations.primary_keys(catalog(spark))
+    return relations.primary_keys(catalog(spark, sf_dir))
 
 
-@query(lambda: fixtures.ctes("constraints", "indexes", "columns") + " SELECT c.snapshot_id, c.table_name, c.name, EXISTS (SELECT 1 FROM constraints u WHERE u.kind = 'UNIQUE' AND u.snapshot_id = c.snapshot_id AND u.table_name = c.table_name AND u.columns = [c.name]) AS is_unique, EXISTS (SELECT 1 FROM indexes i WHERE NOT i.is_constraint_index AND i.snapshot_id = c.snapshot_id AND i.table_name = c.table_name AND len(i.columns) = 1 AND i.columns[1].\"column\" = c.name) AS is_indexed FROM columns c")
+@query(lambda: profile_sql.ctes("constraints", "indexes", "columns") + " SELECT c.snapshot_id, c.table_name, c.name, EXISTS (SELECT 1 FROM constraints u WHERE u.kind = 'UNIQUE' AND u.snapshot_id = c.snapshot_id AND u.table_name = c.table_name AND u.columns = [c.name]) AS is_unique, EXISTS (SELECT 1 FROM indexes i WHERE NOT i.is_constraint_index AND i.snapshot_id = c.snapshot_id AND i.table_name = c.table_name AND len(i.columns) = 1 AND i.columns[1].\"column\" = c.name) AS is_indexed FROM columns c")
 def column_roles(spark, sf_dir):
-    return relations.column_roles(catalog(spark))
+    return relations.column_roles(catalog(spark, sf_dir))
+
+
+_ONE = "CASE WHEN ends_with({x}, 's') AND NOT regexp_matches({x}, '(ss|us|is)$') AND length({x}) > 1 THEN left({x}, length({x}) - 1) ELSE {x} END"
+_SINGULAR = "CASE WHEN ends_with(name, 'ies') AND length(name) > 3 THEN left(name, length(name) - 3) || 'y' ELSE " + _ONE.format(x="name") + " END"
 
 
-@query("SELECT * FROM (VALUES ('users', 'User', 'user'), ('categories', 'Category', 'categorie'), ('order_items', 'OrderItem', 'order_item'), ('status', 'Status', 'status'), ('address', 'Address', 'address'), ('news-feed', 'NewsFeed', 'news_feed')) t(name, class_name, module)")
+@query(
+    f"WITH n AS (SELECT DISTINCT name FROM (SELECT p_name AS name FROM part UNION ALL SELECT c_mktsegment FROM customer UNION ALL SELECT source FROM documents UNION ALL SELECT event_type || 's' FROM events UNION ALL SELECT role FROM conversations)), "
+    f"s AS (SELECT name, {_SINGULAR} AS one, replace(replace(lower(regexp_replace(name, '([^A-Z])([A-Z])', '\\1_\\2', 'g')), '-', '_'), ' ', '_') AS m FROM n), "
+    "w AS (SELECT name, m, array_to_string(list_transform(list_filter(regexp_split_to_array(one, '[_ -]'), lambda x: x <> ''), lambda x: upper(left(x, 1)) || lower(substr(x, 2))), '') AS c FROM s) "
+    f"SELECT name, CASE WHEN c = '' THEN 'Model' ELSE c END AS class_name, {_ONE.format(x='m')} AS module FROM w"
+)
 def naming_classes(spark, sf_dir):
-    df = spark.createDataFrame([(x,) for x in ("users", "categories", "order_items", "status", "address", "news-feed")], "name string")
-    return df.select("name", naming.class_name(F.col("name")).alias("class_name"), naming.module_name(F.col("name")).alias("module"))
+    """Classes and modules of what could be tables: products, segments, sources, types of events, roles."""
+    out = None
+    for table, e in (("part", "p_name"), ("customer", "c_mktsegment"), ("documents", "source"), ("events", "concat(event_type, 's')"), ("conversations", "role")):
+        one = spark.read.parquet(f"{sf_dir}/{table}.parquet").selectExpr(f"{e} AS name")
+        out = one if out is None else out.unionByName(one)
+    return out.distinct().select("name", naming.class_name(F.col("name")).alias("class_name"), naming.module_name(F.col("name")).alias("module"))
 
 
 @query(lambda: oracle_plan.codegen_ctes() + " SELECT snapshot_id, table_name, column_name, line FROM fields")
 def codegen_python_fields(spark, sf_dir):
-    return codegen.python_fields(catalog(spark)).select("snapshot_id", "table_name", "column_name", "line")
+    return codegen.python_fields(catalog(spark, sf_dir)).select("snapshot_id", "table_name", "column_name", "line")
 
 
 @query(lambda: oracle_plan.python_files_sql(codegen.HEAD))
 def codegen_python_files(spark, sf_dir):
-    return codegen.python_files(catalog(spark))
+    return codegen.python_files(catalog(spark, sf_dir))
 
 
 @query(oracle_plan.rust_files_sql)
 def codegen_rust_files(spark, sf_dir):
-    return codegen.rust_entities(catalog(spark))
+    return codegen.rust_entities(catalog(spark, sf_dir))
 
 
 # ---- data probes over the tables themselves ----------------------------------------------

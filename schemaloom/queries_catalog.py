@@ -2,137 +2,129 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import functions as F
 
-from . import fixtures, oracle_plan
-from .model import Catalog
-from .operators.diff import Diff, diff_from_empty, pairs_frame
+from . import oracle_plan, profile_sql, queries
+from .operators.diff import diff_from_empty
 from .plans import compile as compiling
 from .plans import operations
 from .registry import query
 from .sources import ddl
-from .sources.catalogs import FakeCatalog, export_sql, introspect
+from .sources.catalogs import export_sql, introspect
+from .sources.system import SnapshotSystem
+
+#: The snapshot of an events' day, which has every kind of object, and of the whole tables, which refer to one another.
+_ALL = "snapshot_id IN (SELECT max(snapshot_id) FROM namespaces WHERE starts_with(snapshot_id, 'events/') UNION ALL SELECT 'tables')"
 
 
-def _live(spark):
-    return introspect(FakeCatalog(spark, fixtures.system_rows()), "public", "live")
+def _systems(spark, sf_dir):
+    """Those two snapshots written as system tables, and read again by introspection."""
+    c = queries.catalog(spark, sf_dir)
+    for s in (c.namespaces.filter("startswith(snapshot_id, 'events/')").agg(F.max("snapshot_id")).head()[0], "tables"):
+        yield introspect(SnapshotSystem(c.only(s)), "public", s)
 
 
-_NS = "pg_namespace n"
-_CLASS = "pg_class c JOIN pg_namespace n ON n.oid = c.relnamespace AND n.nspname = 'public'"
-_NOTE = "(SELECT description FROM pg_description d WHERE d.objoid = {} AND d.objsubid = {})"
+def _both(frames):
+    out = None
+    for f in frames:
+        out = f if out is None else out.unionByName(f)
+    return out
 
 
-def _note(oid: str, sub: str = "0") -> str:
-    return _NOTE.format(oid, sub)
+def _sql(relation: str, columns: str, where: str = "true") -> Callable[[], str]:
+    return lambda: profile_sql.ctes(*dict.fromkeys(("namespaces", relation))) + f" SELECT {columns} FROM {relation} WHERE {_ALL} AND {where}"
 
 
-@query(lambda: fixtures.system_ctes() + f" SELECT nspname AS schema, {_note('oid')} AS comment FROM pg_namespace WHERE nspname = 'public'")
+@query(_sql("namespaces", "*"))
 def introspect_namespace(spark, sf_dir):
-    return _live(spark)[0].namespaces.select("schema", "comment")
+    return _both(c.namespaces for c, _ in _systems(spark, sf_dir))
 
 
-@query(lambda: fixtures.system_ctes() + f" SELECT c.relname AS table_name, CASE c.relkind WHEN 'r' THEN 'regular' ELSE 'partitioned' END AS kind, {_note('c.oid')} AS comment FROM {_CLASS} WHERE c.relkind IN ('r', 'p')")
+@query(_sql("tables", "*"))
 def introspect_pg_tables(spark, sf_dir):
-    return _live(spark)[0].tables.select("table_name", "kind", "comment")
+    return _both(c.tables for c, _ in _systems(spark, sf_dir))
 
 
-@query(
-    lambda: fixtures.system_ctes()
-    + f""" SELECT c.relname AS table_name, a.attname AS name, a.attnum AS position, t.typname AS type_name, a.formatted, t.typtype = 'b' AND t.typelem <> 0 AS is_array, NOT a.attnotnull AS is_nullable,
- CASE WHEN a.attgenerated = '' THEN f.expr END AS default_expr, CASE WHEN a.attgenerated <> '' THEN f.expr END AS generated, CASE a.attidentity WHEN 'a' THEN 'ALWAYS' WHEN 'd' THEN 'BY DEFAULT' END AS identity,
- coalesce((SELECT collname FROM pg_collation x WHERE x.oid = a.attcollation), 'default') AS collation, {_note('c.oid', 'a.attnum')} AS comment
- FROM {_CLASS} JOIN pg_attribute a ON a.attrelid = c.oid JOIN pg_type t ON t.oid = a.atttypid LEFT JOIN pg_attrdef f ON f.adrelid = a.attrelid AND f.adnum = a.attnum WHERE c.relkind IN ('r', 'p') AND a.attnum > 0 AND NOT a.attisdropped"""
-)
+@query(_sql("columns", 'snapshot_id, table_name, name, position, type.name AS type_name, type.schema AS type_schema, type.formatted AS formatted, type.is_array AS is_array, is_nullable, default_expr, generated IS NULL AS is_plain, identity, "collation", comment'))
 def introspect_pg_columns(spark, sf_dir):
-    c = _live(spark)[0].columns
-    return c.select("table_name", "name", "position", F.col("type.name").alias("type_name"), F.col("type.formatted").alias("formatted"),
-            F.col("type.is_array").alias("is_array"), "is_nullable", "default_expr", F.col("generated.expression").alias("generated"), "identity", "collation", "comment")
+    c = _both(c.columns for c, _ in _systems(spark, sf_dir))
+    t = [F.col(f"type.{k}").alias(v) for k, v in (("name", "type_name"), ("schema", "type_schema"), ("formatted", "formatted"), ("is_array", "is_array"))]
+    return c.select("snapshot_id", "table_name", "name", "position", *t, "is_nullable", "default_expr", F.col("generated").isNull().alias("is_plain"), "identity", "collation", "comment")
 
 
-_KEYS = "(SELECT list(a.attname ORDER BY k) FROM (SELECT unnest({keys}) AS num, generate_subscripts({keys}, 1) AS k) u JOIN pg_attribute a ON a.attrelid = {rel} AND a.attnum = u.num)"
-_ACTION = "CASE {} WHEN 'a' THEN 'NO ACTION' WHEN 'r' THEN 'RESTRICT' WHEN 'c' THEN 'CASCADE' WHEN 'n' THEN 'SET NULL' WHEN 'd' THEN 'SET DEFAULT' END"
-_KIND = "CASE x.contype WHEN 'p' THEN 'PRIMARY KEY' WHEN 'u' THEN 'UNIQUE' WHEN 'f' THEN 'FOREIGN KEY' WHEN 'c' THEN 'CHECK' WHEN 'x' THEN 'EXCLUDE' END"
-_BAD = f"CASE WHEN {_KIND} IS NULL THEN 'unknown constraint type ' || x.contype WHEN x.contype IN ('p', 'u', 'f') AND x.conkey IS NULL THEN 'missing columns' WHEN x.contype = 'c' AND x.expr IS NULL THEN 'missing expression' END"
+_CONSTRAINT = "snapshot_id, table_name, name, kind, columns, ref_schema, ref_table, ref_columns, on_delete, on_update, is_deferrable, is_initially_deferred, expression, is_no_inherit, nulls_not_distinct, elements[{first}].operator AS operator, index_method, predicate, comment"
 
 
-@query(
-    lambda: fixtures.system_ctes()
-    + f""" SELECT c.relname AS table_name, x.conname AS name, {_KIND} AS kind, {_KEYS.format(keys='x.conkey', rel='x.conrelid')} AS columns, rn.nspname AS ref_schema, r.relname AS ref_table, CASE WHEN x.contype = 'f' THEN {_KEYS.format(keys='x.confkey', rel='x.confrelid')} END AS ref_columns,
- CASE WHEN x.contype = 'f' THEN {_ACTION.format('x.confdeltype')} END AS on_delete, CASE WHEN x.contype = 'f' THEN {_ACTION.format('x.confupdtype')} END AS on_update, x.condeferrable AS is_deferrable, x.condeferred AS is_initially_deferred, x.expr AS expression, x.connoinherit AS is_no_inherit,
- coalesce(x.nulls_not_distinct, false) AS nulls_not_distinct, x.elements[1].operator AS operator, x.index_method, x.predicate, {_note('x.oid')} AS comment
- FROM {_CLASS} JOIN pg_constraint x ON x.conrelid = c.oid LEFT JOIN pg_class r ON r.oid = x.confrelid LEFT JOIN pg_namespace rn ON rn.oid = r.relnamespace WHERE {_BAD} IS NULL"""
-)
+@query(_sql("constraints", _CONSTRAINT.format(first=1)))
 def introspect_pg_constraints(spark, sf_dir):
-    c = _live(spark)[0].constraints
-    return c.select("table_name", "name", "kind", "columns", "ref_schema", "ref_table", "ref_columns", "on_delete", "on_update", "is_deferrable", "is_initially_deferred",
-            "expression", "is_no_inherit", "nulls_not_distinct", F.col("elements")[0]["operator"].alias("operator"), "index_method", "predicate", "comment")
+    return _both(c.constraints for c, _ in _systems(spark, sf_dir)).selectExpr(*_CONSTRAINT.format(first=0).split(", "))
 
 
-@query(lambda: fixtures.system_ctes() + f" SELECT c.relname AS table_name, x.conname AS name, {_BAD} AS reason FROM {_CLASS} JOIN pg_constraint x ON x.conrelid = c.oid WHERE {_BAD} IS NOT NULL")
-def introspect_unreadable(spark, sf_dir):
-    return _live(spark)[1]
+#: Faults in a copy: what a key, a reference or a check can lack, by constraint; and what introspection says of it.
+_FAULTS = {
+    "PRIMARY KEY": ("columns", "missing columns"),
+    "FOREIGN KEY": ("ref_table", "missing reference"),
+    "CHECK": ("expression", "missing expression"),
+    "EXCLUDE": ("elements", "missing elements"),
+}
 
 
-@query(
-    lambda: fixtures.system_ctes()
-    + f""" SELECT c.relname AS table_name, i.relname AS name, coalesce(m.amname, 'btree') AS method, x.indisunique AS is_unique, EXISTS (SELECT 1 FROM pg_constraint k WHERE k.conindid = x.indexrelid) AS is_constraint_index, u.k::INT AS place,
- a.attname AS column_name, CASE WHEN u.num = 0 THEN x.expressions[u.k] END AS expression, CASE WHEN x.indoption[u.k] % 2 = 1 THEN 'desc' ELSE 'asc' END AS sort, CASE WHEN x.indoption[u.k] >= 2 THEN 'first' ELSE 'last' END AS nulls, x.predicate, {_note('x.indexrelid')} AS comment
- FROM {_CLASS} JOIN pg_index x ON x.indrelid = c.oid JOIN pg_class i ON i.oid = x.indexrelid LEFT JOIN pg_am m ON m.oid = i.relam, LATERAL (SELECT unnest(x.indkey) AS num, generate_subscripts(x.indkey, 1) AS k) u LEFT JOIN pg_attribute a ON a.attrelid = x.indrelid AND a.attnum = u.num
- WHERE c.relkind IN ('r', 'p') AND NOT x.indisprimary"""
-)
+@query(_sql("constraints", "snapshot_id, table_name, name, CASE kind WHEN 'PRIMARY KEY' THEN 'missing columns' WHEN 'FOREIGN KEY' THEN 'missing reference' WHEN 'CHECK' THEN 'missing expression' ELSE 'missing elements' END AS reason", "kind <> 'UNIQUE' AND length(name) % 2 = 0"))
+def introspect_unreadable(spark, sf_dir):
+    """Constraints of even names have lost what they need."""
+    c, out = queries.catalog(spark, sf_dir), []
+    for s in (c.namespaces.filter("startswith(snapshot_id, 'events/')").agg(F.max("snapshot_id")).head()[0], "tables"):
+        own = c.only(s)
+        for kind, (column, _) in _FAULTS.items():
+            lost = (F.col("kind") == kind) & (F.length("name") % 2 == 0)
+            own.constraints = own.constraints.withColumn(column, F.when(~lost, F.col(column)))
+        out.append(introspect(SnapshotSystem(own), "public", s)[1].select(F.lit(s).alias("snapshot_id"), "table_name", "name", "reason"))
+    return _both(out)
+
+
+@query(lambda: profile_sql.ctes("namespaces", "indexes") + f""" SELECT snapshot_id, table_name, name, method, is_unique, is_constraint_index, generate_subscripts(columns, 1)::INT AS place, unnest(columns)."column" AS column_name, predicate, comment FROM indexes WHERE {_ALL}""")
 def introspect_pg_indexes(spark, sf_dir):
-    i = _live(spark)[0].indexes.select("table_name", "name", "method", "is_unique", "is_constraint_index", F.posexplode("columns").alias("k", "x"), "predicate", "comment")
-    return i.select("table_name", "name", "method", "is_unique", "is_constraint_index", (F.col("k") + 1).alias("place"), F.col("x.column").alias("column_name"),
-            F.col("x.expression").alias("expression"), F.col("x.sort").alias("sort"), F.col("x.nulls").alias("nulls"), "predicate", "comment")
+    i = _both(c.indexes for c, _ in _systems(spark, sf_dir)).select("snapshot_id", "table_name", "name", "method", "is_unique", "is_constraint_index", F.posexplode("columns").alias("k", "x"), "predicate", "comment")
+    return i.select("snapshot_id", "table_name", "name", "method", "is_unique", "is_constraint_index", (F.col("k") + 1).alias("place"), F.col("x.column").alias("column_name"), "predicate", "comment")
 
 
-@query(lambda: fixtures.system_ctes() + f" SELECT c.relname AS name, v.definition, c.relkind = 'm' AS is_materialized, {_note('c.oid')} AS comment FROM {_CLASS} JOIN pg_views v ON v.relid = c.oid WHERE c.relkind IN ('v', 'm')")
+@query(_sql("views", "*"))
 def introspect_pg_views(spark, sf_dir):
-    return _live(spark)[0].views.drop("snapshot_id")
+    return _both(c.views for c, _ in _systems(spark, sf_dir))
 
 
-@query(lambda: fixtures.system_ctes() + f" SELECT c.relname AS name, s.typname AS data_type, s.seqstart AS start_value, s.seqincrement AS increment, s.seqmin AS min_value, s.seqmax AS max_value, s.seqcache AS cache_size, s.seqcycle AS is_cyclic, {_note('c.oid')} AS comment FROM {_CLASS} JOIN pg_sequence s ON s.seqrelid = c.oid")
+@query(_sql("sequences", "*"))
 def introspect_pg_sequences(spark, sf_dir):
-    return _live(spark)[0].sequences.drop("snapshot_id")
+    return _both(c.sequences for c, _ in _systems(spark, sf_dir))
 
 
-@query(lambda: fixtures.system_ctes() + f" SELECT t.typname AS name, (SELECT list(enumlabel ORDER BY enumsortorder) FROM pg_enum e WHERE e.enumtypid = t.oid) AS labels, {_note('t.oid')} AS comment FROM pg_type t JOIN pg_namespace n ON n.oid = t.typnamespace WHERE n.nspname = 'public' AND t.typtype = 'e'")
+@query(_sql("enums", "*"))
 def introspect_pg_enums(spark, sf_dir):
-    return _live(spark)[0].enums.drop("snapshot_id")
+    return _both(c.enums for c, _ in _systems(spark, sf_dir))
 
 
 # ---- from nothing, to text and back -------------------------------------------------
 
 
-def _snapshots() -> list[str]:
-    return [s.id for _, a, b in fixtures.pairs() for s in (a, b)]
-
-
-def _catalog(spark) -> Catalog:
-    return Catalog.of(spark, fixtures.rows())
-
-
-_ALONE = [(s, "", s) for s in _snapshots()]
-
-
-@query(lambda: fixtures.ctes("tables", "views", "enums", "sequences") + " SELECT snapshot_id AS pair_id, kind, count(*) AS added FROM (SELECT snapshot_id, 'table' AS kind FROM tables UNION ALL SELECT snapshot_id, 'view' FROM views UNION ALL SELECT snapshot_id, 'enum' FROM enums UNION ALL SELECT snapshot_id, 'sequence' FROM sequences) GROUP BY ALL")
+@query(lambda: profile_sql.ctes("tables", "views", "enums", "sequences") + " SELECT snapshot_id AS pair_id, kind, count(*) AS added FROM (SELECT snapshot_id, 'table' AS kind FROM tables UNION ALL SELECT snapshot_id, 'view' FROM views UNION ALL SELECT snapshot_id, 'enum' FROM enums UNION ALL SELECT snapshot_id, 'sequence' FROM sequences) GROUP BY ALL")
 def diff_from_nothing(spark, sf_dir):
-    return diff_from_empty(_catalog(spark)).summary().select("pair_id", "kind", "added")
+    return diff_from_empty(queries.catalog(spark, sf_dir)).summary().select("pair_id", "kind", "added")
 
 
-@query(lambda: oracle_plan.plan_sql("SELECT pair_id AS snapshot_id, sql FROM (" + oracle_plan.SCRIPT + ")", _ALONE))
+@query(lambda: oracle_plan.plan_sql("SELECT pair_id AS snapshot_id, sql FROM (" + oracle_plan.SCRIPT + ")", alone=True))
 def export_scripts(spark, sf_dir):
-    return export_sql(_catalog(spark))
+    return export_sql(queries.catalog(spark, sf_dir))
 
 
-@query(lambda: fixtures.ctes("tables", "columns", "constraints", "indexes", "views", "enums", "sequences") + """ SELECT snapshot_id, 'table' AS kind, NULL::VARCHAR AS table_name, table_name AS name, kind AS detail FROM tables
+@query(lambda: profile_sql.ctes("tables", "columns", "constraints", "indexes", "views", "enums", "sequences") + """ SELECT snapshot_id, 'table' AS kind, NULL::VARCHAR AS table_name, table_name AS name, 'regular' AS detail FROM tables
  UNION ALL SELECT snapshot_id, 'column', table_name, name, concat_ws('|', type.name, type.formatted, is_nullable, default_expr, identity, "collation") FROM columns UNION ALL SELECT snapshot_id, 'constraint', table_name, name, concat_ws('|', kind, array_to_string(columns, ','), ref_table, array_to_string(ref_columns, ','), on_delete, expression, index_method) FROM constraints
  UNION ALL SELECT snapshot_id, 'index', table_name, name, concat_ws('|', method, is_unique, is_constraint_index, columns[1]."column", columns[1].sort, columns[1].nulls, predicate) FROM indexes UNION ALL SELECT snapshot_id, 'view', NULL, name, definition FROM views
  UNION ALL SELECT snapshot_id, 'enum', NULL, name, array_to_string(labels, ',') FROM enums UNION ALL SELECT snapshot_id, 'sequence', NULL, name, concat_ws('|', data_type, start_value, increment, max_value, is_cyclic) FROM sequences""")
 def load_ddl(spark, sf_dir):
-    """Every snapshot written as a script and read back from its text."""
-    c, errors = ddl.load_sql(export_sql(_catalog(spark)))
+    """Every snapshot written as a script and read back from its text (which doesn't tell that a table is partitioned)."""
+    c, errors = ddl.load_sql(export_sql(queries.catalog(spark, sf_dir)))
     null, text = F.lit(None).cast("string"), lambda *x: F.concat_ws("|", *[(F.col(i) if isinstance(i, str) else i).cast("string") for i in x])
     first = F.col("columns")[0]
     parts = [
@@ -154,25 +146,21 @@ def load_ddl(spark, sf_dir):
 # ---- compiled migrations --------------------------------------------------------------
 
 
-def _diff(spark) -> Diff:
-    return Diff(_catalog(spark), pairs_frame(spark, [(p, a.id, b.id) for p, a, b in fixtures.pairs()]))
-
-
 @query(oracle_plan.compiled_sql)
 def compile_migrations(spark, sf_dir):
-    return compiling.compiled(_diff(spark)).select("pair_id", "n_operations", "n_statements", "is_reversible", "n_breaking", "error")
+    return compiling.compiled(queries.diff(spark, sf_dir)).select("pair_id", "n_operations", "n_statements", "is_reversible", "n_breaking", "error")
 
 
 @query(lambda: oracle_plan.plan_sql(oracle_plan.STATEMENTS))
 def compile_statements(spark, sf_dir):
-    return compiling.statements(operations.plan(_diff(spark)))
+    return compiling.statements(operations.plan(queries.diff(spark, sf_dir)))
 
 
 @query(lambda: oracle_plan.plan_sql(oracle_plan.EXECUTED))
 def runner_execute(spark, sf_dir):
-    return compiling.execute(operations.plan(_diff(spark)), "a change")
+    return compiling.execute(operations.plan(queries.diff(spark, sf_dir)), "a change")
 
 
 @query(lambda: oracle_plan.plan_sql(oracle_plan.DESCRIBED))
 def runner_describe(spark, sf_dir):
-    return compiling.describe(operations.plan(_diff(spark)), as_json=True)
+    return compiling.describe(operations.plan(queries.diff(spark, sf_dir)), as_json=True)

@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from schemaloom import fixtures, queries
+import schemas
 from schemaloom.builder import SchemaBuilder as S
 from schemaloom.model import Catalog
 from schemaloom.operators import history
@@ -86,36 +86,36 @@ def test_ddl_that_is_not_understood_is_told(spark, tmp_path):
 
 
 def test_scripts_read_back_make_the_same_snapshots(spark):
-    c = Catalog.of(spark, fixtures.rows())
+    c = schemas.catalog(spark)
     back, errors = ddl.load_sql(export_sql(c))
     assert errors.count() == 0
     both = c.union(Catalog(**{k: getattr(back, k).withColumn("snapshot_id", F.concat("snapshot_id", F.lit("#"))) for k in vars(back)}))
-    ids = [s.id for _, a, b in fixtures.pairs() for s in (a, b) if s.rows.keys() - {"namespaces"}]
+    ids = [s.id for _, a, b in schemas.pairs() for s in (a, b) if s.rows.keys() - {"namespaces"}]
     left = Diff(both, pairs_frame(spark, [(i, i, i + "#") for i in ids])).all_fields().filter("field not in ('comment')")
     assert left.collect() == []
 
 
 def test_nothing_to_compile_is_an_error(spark):
-    d = queries.diff(spark)
+    d = schemas.diff(spark)
     with pytest.raises(compiling.NoChanges):
-        compiling.compile_one(d, "unchanged")
-    one = compiling.compile_one(d, "add_column", "more")
-    assert one["statements"] == ["ALTER TABLE public.users ADD COLUMN email text", "ALTER TABLE public.users ADD COLUMN status text NOT NULL DEFAULT 'active'"]
+        compiling.compile_one(d, "same")
+    one = compiling.compile_one(d, "more_columns", "more")
+    assert one["statements"] == ["ALTER TABLE public.readers ADD COLUMN phone text", "ALTER TABLE public.readers ADD COLUMN level text NOT NULL DEFAULT 'new'"]
     assert one["is_reversible"] and one["n_operations"] == 2 and len(one["id"]) == 64 and len(json.loads(one["operations"])) == 2
-    assert compiling.compile_one(d, "add_column", "less")["id"] != one["id"]
-    text = {r["pair_id"]: r["output"] for r in compiling.describe(operations.plan(d)).collect()}["add_column"]
-    assert text == "Migration: add_column\nOperations: 2\nStatements: 2\nReversible: yes\n"
-    shown = {r["pair_id"]: json.loads(r["output"]) for r in compiling.show_sql(operations.plan(d), as_json=True).collect()}["add_column"]
+    assert compiling.compile_one(d, "more_columns", "less")["id"] != one["id"]
+    text = {r["pair_id"]: r["output"] for r in compiling.describe(operations.plan(d)).collect()}["more_columns"]
+    assert text == "Migration: more_columns\nOperations: 2\nStatements: 2\nReversible: yes\n"
+    shown = {r["pair_id"]: json.loads(r["output"]) for r in compiling.show_sql(operations.plan(d), as_json=True).collect()}["more_columns"]
     assert [x["position"] for x in shown] == [1, 2]
 
 
 def test_options_of_rendering(spark):
-    d = queries.diff(spark)
+    d = schemas.diff(spark)
     sql = lambda c: {(r["pair_id"], r["op_kind"]): r["forward"][0] for r in operations.plan(d, c).collect()}
     plain = sql(RenderConfig(if_exists=False, cascade=True, concurrently=True, if_not_exists=True, quoting="always", include_comments=False))
-    assert plain["drop_table", "DropTable"] == 'DROP TABLE "public"."old_table" CASCADE'
-    assert plain["index", "CreateIndex"].startswith('CREATE INDEX CONCURRENTLY IF NOT EXISTS "')
-    assert plain["simple_table", "CreateTable"].startswith('CREATE TABLE IF NOT EXISTS "public"."users" (\n    "id" integer')
+    assert plain["closing", "DropTable"] in ('DROP TABLE "public"."books" CASCADE', 'DROP TABLE "public"."readers" CASCADE')
+    assert plain["indexed", "CreateIndex"].startswith('CREATE UNIQUE INDEX CONCURRENTLY IF NOT EXISTS "')
+    assert plain["chain", "CreateTable"].startswith('CREATE TABLE IF NOT EXISTS "public"."')
     assert not any(k == "SetComment" for _, k in plain)
     bare = operations.plan(d, RenderConfig(rollback=False, quoting="never"))
     assert bare.filter("rollback is not null").count() == 0
@@ -184,7 +184,7 @@ def test_generators_share_one_interface(spark):
 
 
 def test_weights_without_renames(spark):
-    d = queries.diff(spark, DiffConfig.no_rename_detection())
+    d = schemas.diff(spark, DiffConfig.no_rename_detection())
     assert d.renames().count() == 0 and d.objects("table").filter("change = 'renamed'").count() == 0
 
 

@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from schemaloom import queries
+import schemas
 from schemaloom.builder import SchemaBuilder, type_info
 from schemaloom.functions import naming, similarity
 from schemaloom.model import Catalog
@@ -21,7 +21,7 @@ from schemaloom.sources import catalogs
 
 @pytest.fixture(scope="module")
 def plan(spark):
-    rows = operations.plan(queries.diff(spark)).collect()
+    rows = operations.plan(schemas.diff(spark)).collect()
     out = {}
     for r in sorted(rows, key=lambda r: (r["pair_id"], r["seq"])):
         out.setdefault(r["pair_id"], []).append(r)
@@ -33,38 +33,37 @@ def sql(plan, pair):
 
 
 def test_plans_read_as_expected(plan):
-    assert sql(plan, "add_column") == ["ALTER TABLE public.users ADD COLUMN email text", "ALTER TABLE public.users ADD COLUMN status text NOT NULL DEFAULT 'active'"]
-    assert sql(plan, "foreign_key") == ["ALTER TABLE public.posts ADD CONSTRAINT posts_user_id_fkey FOREIGN KEY (user_id) REFERENCES public.users (id) ON DELETE CASCADE"]
-    assert sql(plan, "default_change") == ["ALTER TABLE public.t ALTER COLUMN a SET DEFAULT 'n'", "ALTER TABLE public.t ALTER COLUMN b SET DEFAULT 'z'", "ALTER TABLE public.t ALTER COLUMN c DROP DEFAULT"]
-    assert sql(plan, "enums") == ["DROP TYPE IF EXISTS public.old_status", "CREATE TYPE public.status AS ENUM ('pending', 'active', 'archived')", "ALTER TYPE public.mood ADD VALUE 'it''s fine'"]
-    assert sql(plan, "rename_table") == ["ALTER TABLE public.old_users RENAME TO new_users"]
-    assert sql(plan, "unique")[0].splitlines()[-3:] == ["    CONSTRAINT users_pkey PRIMARY KEY (id),", "    CONSTRAINT users_username_key UNIQUE (username)", ")"]
-    assert sql(plan, "indexes")[-1] == "CREATE UNIQUE INDEX events_recent_idx ON public.events (created_at DESC NULLS LAST) WHERE user_id > 0"
-    assert [r["op_kind"] for r in plan["full_diff"]] == ["DropEnum", "RenameTable", "RenameView", "CreateEnum", "CreateSequence", "AddColumn"]
-    kinds = [r["name"] for r in plan["ordering"] if r["op_kind"] == "CreateTable"]
-    assert kinds == ["parents", "children", "grandchildren"]
+    assert sql(plan, "more_columns") == ["ALTER TABLE public.readers ADD COLUMN phone text", "ALTER TABLE public.readers ADD COLUMN level text NOT NULL DEFAULT 'new'"]
+    assert "ALTER TABLE public.books ADD CONSTRAINT books_held_by_fkey FOREIGN KEY (held_by) REFERENCES public.readers (no) ON DELETE SET NULL" in sql(plan, "library")
+    assert sql(plan, "defaults") == ["ALTER TABLE public.t ALTER COLUMN a SET DEFAULT 'n'", "ALTER TABLE public.t ALTER COLUMN b SET DEFAULT 'z'", "ALTER TABLE public.t ALTER COLUMN c DROP DEFAULT"]
+    assert sql(plan, "enums") == ["DROP TYPE IF EXISTS public.unused", "CREATE TYPE public.grade AS ENUM ('one', 'two', 'three')", "ALTER TYPE public.mood ADD VALUE 'it''s bad'"]
+    assert sql(plan, "lenders") == ["ALTER TABLE public.lenders RENAME TO borrowers"]
+    readers = next(x for x in sql(plan, "library") if x.startswith("CREATE TABLE public.readers"))
+    assert readers.splitlines()[-3:] == ["    CONSTRAINT readers_mail_key UNIQUE (mail),", "    CONSTRAINT readers_pkey PRIMARY KEY (no)", ")"]
+    assert sql(plan, "indexed") == ["CREATE UNIQUE INDEX by_name ON public.readers (full_name DESC NULLS LAST) WHERE no > 0"]
+    assert [r["name"] for r in plan["chain"] if r["op_kind"] == "CreateTable"] == ["c_shelf", "b_book", "a_page"]
     phases = [r["phase"] for rows in plan.values() for r in rows]
     assert all(a["phase"] <= b["phase"] for rows in plan.values() for a, b in zip(rows, rows[1:], strict=False)) and set(phases) == {1, 2, 3, 4, 5}
 
 
 def test_inverse_runs_backwards_or_not_at_all(spark, plan):
     inv = {}
-    for r in operations.inverse(operations.plan(queries.diff(spark))).collect():
+    for r in operations.inverse(operations.plan(schemas.diff(spark))).collect():
         inv.setdefault(r["pair_id"], []).append(r)
-    assert [r["op_kind"] for r in sorted(inv["initial_schema"], key=lambda r: r["seq"])] == ["DropConstraint", "DropIndex", "DropTable", "DropTable", "DropEnum"]
-    assert all(r["error"] is None for r in inv["column_rename"]) and inv["column_rename"][0]["name"] == "email_address"
+    assert [r["op_kind"] for r in sorted(inv["library"], key=lambda r: r["seq"])] == ["DropConstraint", "DropIndex", "DropTable", "DropTable", "DropEnum"]
+    assert all(r["error"] is None for r in inv["mail_renamed"]) and inv["mail_renamed"][0]["name"] == "mail_address"
     assert {r["op_kind"] for r in inv["enums"]} == {"DropEnum", "AddEnumValue"} and all(r["error"] for r in inv["enums"])
 
 
 def test_replaying_a_plan_gives_the_target(spark):
-    d = queries.diff(spark)
+    d = schemas.diff(spark)
     ids = d.pairs.select(F.col("source_id").alias("snapshot_id")).union(d.pairs.select("target_id"))
     states = {r["snapshot_id"]: json.loads(r["state"]) for r in replay.state_of(d.catalog, ids).collect()}
     start = replay.state_of(d.catalog, ids).join(d.pairs, F.col("snapshot_id") == F.col("source_id")).select("pair_id", "state")
     got = {r["pair_id"]: r for r in replay.replay(operations.plan(d), start).collect()}
-    for pair in ("simple_table", "add_column", "drop_column", "change_type", "nullability", "default_change", "foreign_key", "sequences", "comments", "identity", "check", "composite_pk", "drop_table", "junction", "meetings"):
+    for pair in ("library", "clubs", "staff", "more_columns", "fewer_columns", "other_types", "defaults", "counters", "notes", "rooms", "chain", "indexed", "closing"):
         assert got[pair]["error"] is None
-        a, b = json.loads(got[pair]["state"]), states[f"{pair}/tgt"]
+        a, b = json.loads(got[pair]["state"]), states[f"{pair}/new"]
         a["schema"] = b["schema"]
         # positions of added columns, and indexes that stand behind constraints, aren't operations
         for s in (a, b):
@@ -97,17 +96,17 @@ def test_replay_errors():
 
 def test_thresholds_and_advanced_similarity(spark):
     assert DiffConfig.with_threshold(7).rename_threshold == 1.0 and DiffConfig.with_threshold(-1).rename_threshold == 0.0
-    none = queries.diff(spark, DiffConfig.no_rename_detection())
+    none = schemas.diff(spark, DiffConfig.no_rename_detection())
     assert none.renames().count() == 0
-    adv = {(r["pair_id"], r["kind"]): r["similarity"] for r in queries.diff(spark, DiffConfig.with_advanced_similarity()).renames().collect()}
-    assert adv["column_rename", "column"] >= 0.7 and adv["constraint_sim", "table"] >= 0.7
+    adv = {(r["pair_id"], r["kind"]): r["similarity"] for r in schemas.diff(spark, DiffConfig.with_advanced_similarity()).renames().collect()}
+    assert adv["mail_renamed", "column"] >= 0.7 and adv["lenders", "table"] >= 0.7
     w = similarity.TableWeights(0, 0, 0, 0, 0)
     assert w.normalised() == (0.2,) * 5 and abs(sum(similarity.TableWeights.name_focused().normalised()) - 1) < 1e-12
 
 
 def test_diff_of_equal_snapshots_is_empty(spark):
-    c = queries.catalog(spark)
-    d = Diff(c, pairs_frame(spark, [("same", "initial_schema/tgt", "initial_schema/tgt")]))
+    c = schemas.catalog(spark)
+    d = Diff(c, pairs_frame(spark, [("same", "library/new", "library/new")]))
     assert d.all_objects().count() == 0 and d.all_fields().count() == 0
     assert d.change_count().first()["is_empty"] and breaking.is_safe(d.pairs, breaking.analyse(d)).first()["is_safe"]
 
@@ -184,7 +183,7 @@ def test_introspection(spark):
 
 
 def test_snapshots_survive_json(spark, tmp_path):
-    c = queries.catalog(spark)
+    c = schemas.catalog(spark)
     catalogs.write_json(c, str(tmp_path / "snap"))
     again = catalogs.read_json(spark, str(tmp_path / "snap"))
     assert history.checksum(c).exceptAll(history.checksum(again)).count() == 0
@@ -192,8 +191,9 @@ def test_snapshots_survive_json(spark, tmp_path):
 
 
 def test_export_is_a_script(spark):
-    text = {r["snapshot_id"]: r["sql"] for r in catalogs.export_sql(queries.catalog(spark).only("initial_schema/tgt")).collect()}["initial_schema/tgt"]
-    assert text.startswith("BEGIN;") and text.rstrip().endswith("COMMIT;") and text.index("CREATE TYPE") < text.index("CREATE TABLE public.users") < text.index("CREATE TABLE public.posts") < text.index("ADD CONSTRAINT posts_author_id_fkey")
+    text = {r["snapshot_id"]: r["sql"] for r in catalogs.export_sql(schemas.catalog(spark).only("library/new")).collect()}["library/new"]
+    assert text.startswith("BEGIN;") and text.rstrip().endswith("COMMIT;")
+    assert text.index("CREATE TYPE") < text.index("CREATE TABLE public.readers") < text.index("ADD CONSTRAINT books_held_by_fkey")
 
 
 def test_checksum_ignores_comments(spark):
@@ -234,19 +234,18 @@ def test_stream_of_records(spark, tmp_path):
 
 
 def test_python_models(spark):
-    c = queries.catalog(spark)
+    c = schemas.catalog(spark)
     lines = {(r["snapshot_id"], r["column_name"]): r["line"] for r in codegen.python_fields(c).collect()}
-    assert lines["initial_schema/tgt", "author_id"] == '    author_id: int = Field(foreign_key="public.users.id", index=True)'
-    assert lines["identity/tgt", "id"] == "    id: int | None = Field(default=None, primary_key=True)"
-    assert lines["junction/tgt", "class"] == '    class_: str | None = Field(max_length=40, alias="class")'
-    assert lines["simple_table/tgt", "email"] == "    email: str | None = None"
+    assert lines["library/new", "held_by"] == '    held_by: int | None = Field(foreign_key="public.readers.no", index=True)'
+    assert lines["clubs/new", "class"] == '    class_: str | None = Field(max_length=9, alias="class")'
+    assert lines["more_columns/new", "phone"] == "    phone: str | None = None"
     models = {(r["snapshot_id"], r["table_name"]): r["code"] for r in codegen.python_models(c).collect()}
-    assert models["simple_table/tgt", "users"].startswith("class User(SQLModel, table=True):\n    __tablename__ = \"users\"\n")
-    assert "# WARNING: exclusion constraint 'meetings_excl'" in models["meetings/tgt", "meetings"]
-    files = {r["file"] for r in codegen.python_files(c.only("junction/tgt"), one_file=False).collect()}
-    assert "__init__.py" in files and "enrollment.py" in files
-    rust = {r["file"]: r["content"] for r in codegen.rust_entities(c.only("junction/tgt")).collect()}
-    assert "pub mod courses;" in rust["mod.rs"] and "pub id: i32," in rust["courses.rs"]
+    assert models["same/new", "readers"].startswith("class Reader(SQLModel, table=True):\n    __tablename__ = \"readers\"\n")
+    assert "# WARNING: exclusion constraint 'rooms_free'" in models["rooms/new", "rooms"]
+    files = {r["file"] for r in codegen.python_files(c.only("clubs/new"), one_file=False).collect()}
+    assert "__init__.py" in files and "joining.py" in files
+    rust = {r["file"]: r["content"] for r in codegen.rust_entities(c.only("clubs/new")).collect()}
+    assert "pub mod clubs;" in rust["mod.rs"] and "pub id: i32," in rust["clubs.rs"]
 
 
 def test_names(spark):
@@ -255,13 +254,13 @@ def test_names(spark):
 
 
 def test_relations(spark):
-    c = queries.catalog(spark)
-    got = {(r["table_name"], r["relation"], r["other"]) for r in relations.relations(c).filter("snapshot_id = 'junction/tgt'").collect()}
-    assert ("profiles", "belongs_to", "students") in got and ("students", "has_one", "profiles") in got and ("courses", "has_many", "enrollments") in got
-    assert [r["table_name"] for r in relations.junction_tables(c).collect()] == ["enrollments"]
-    assert relations.relations(c).filter("snapshot_id = 'employees/tgt'").count() == 1
-    auto = {r["table_name"]: r["is_auto"] for r in relations.primary_keys(c).filter("snapshot_id = 'junction/tgt'").collect()}
-    assert auto == {"students": False, "courses": True, "enrollments": False, "profiles": False}
+    c = schemas.catalog(spark)
+    got = {(r["table_name"], r["relation"], r["other"]) for r in relations.relations(c).filter("snapshot_id = 'clubs/new'").collect()}
+    assert ("cards", "belongs_to", "members") in got and ("members", "has_one", "cards") in got and ("clubs", "has_many", "joinings") in got
+    assert [r["table_name"] for r in relations.junction_tables(c).collect()] == ["joinings"]
+    assert relations.relations(c).filter("snapshot_id = 'staff/new'").count() == 1
+    auto = {r["table_name"]: r["is_auto"] for r in relations.primary_keys(c).filter("snapshot_id = 'clubs/new'").collect()}
+    assert auto == {"members": False, "clubs": True, "joinings": False, "cards": False}
 
 
 def test_types():
