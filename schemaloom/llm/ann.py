@@ -156,7 +156,7 @@ def search(
             for q, r, v in zip(asks["id"], asks["rank"], asks["v"], strict=True):
                 a, z = np.searchsorted(rank, [r - radius, r + radius + 1])
                 one = np.frombuffer(v, kind).astype(np.float64)
-                s = n[a:z] @ (one / np.sqrt((one * one).sum()))
+                s = n[a:z] @ unit(one[None])[0]
                 s[ids[a:z] == q] = -np.inf
                 at = a + _distinct_best(s, ids[a:z], k)
                 exact = cosine(base[at], np.broadcast_to(one, (len(at), len(one))))

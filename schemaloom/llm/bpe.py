@@ -270,7 +270,9 @@ def _reassemble(path: str):
                 if decoded.digest() != sha[32 * i : 32 * i + 32]:
                     raise RuntimeError(f"document {d}: decoding does not give its text back")
                 rows.append((d, len(ids), ids.astype("<u4").tobytes(), decoded.hexdigest()))
-        return pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids", "decoded_sha256"])
+        out = pd.DataFrame([r[1:] for r in rows], columns=["n_tokens", "ids", "decoded_sha256"])
+        out.insert(0, "doc_id", pd.array([r[0] for r in rows], "Int64"))  # a null beside them must not turn ids into doubles
+        return out
 
     return run
 

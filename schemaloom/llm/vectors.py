@@ -31,10 +31,19 @@ def stacked(blobs, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(blobs), kind).reshape(len(blobs), -1).astype(np.float64)
 
 
+def levelled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two of their own, so that squares of very small or large components neither vanish nor overflow; directions stay exact."""
+    _, e = np.frexp(np.abs(x).max(1, keepdims=True))
+    return np.ldexp(x, -e)
+
+
 def unit(x: np.ndarray) -> np.ndarray:
+    x = levelled(x) if x.size else x
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Row by row in double precision; the same rows give the same value wherever they stand."""
+    if a.size and b.size:
+        a, b = levelled(a), levelled(b)
     return (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))

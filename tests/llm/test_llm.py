@@ -478,6 +478,29 @@ def test_null_ids_are_kept(spark):
     assert sorted((r["doc_id"] or 0, r["length"]) for r in p) == [(0, 1), (0, 4), (5, 4)]
 
 
+def test_large_ids_beside_null_ones_stay_exact(spark):
+    ids = [2**60 + 1, 2**60 + 3, None, -(2**62) - 1]
+    df = spark.createDataFrame([(i, "a b c") for i in ids], "doc_id long, text string").coalesce(1)
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    for digest in (True, False):
+        assert collections.Counter(r["doc_id"] for r in bpe.encode(df, path, public_tokenizers.PATTERN, digest=digest).collect()) == collections.Counter(ids)
+
+
+def test_vectors_of_extreme_length_take_part(spark):
+    """Scaled copies of one direction are nearest to one another and linked, whatever their lengths."""
+    rng = np.random.default_rng(9)
+    ways = rng.normal(size=(40, 8))
+    rows = [(40 * k + i, [float(x) for x in v * s], 1) for k, s in enumerate((1.0, 1e-200, 1e200, 1e-310)) for i, v in enumerate(ways)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embed_dedup.dedup(df).collect()}
+    assert got == {i: (3, i % 40) for i, _, _ in rows}
+    near = collections.defaultdict(set)
+    for r in ann.search(df, F.col("vec_id") < 20, 3, block=64).collect():
+        near[r["query_id"]].add(r["vec_id"])
+        assert r["score"] > 0.999999
+    assert near == {i: {40 + i, 80 + i, 120 + i} for i in range(20)}
+
+
 def test_samples_agree_as_often_as_the_weighted_similarity():
     rng = np.random.default_rng(1)
     u = np.sort(rng.integers(1 << 62, size=500).astype(np.uint64))
