@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .diff import Diff
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 #: The mitigation that each kind of change needs.
 MITIGATION = {
     "TableDropped": "Destructive", "ColumnDropped": "Destructive", "ViewDropped": "Destructive", "SequenceDropped": "Destructive", "EnumValueRemoved": "Destructive", "EnumValuesReordered": "Destructive",
@@ -98,8 +103,47 @@ def session_breaking(diff: Diff) -> DataFrame:
     return out.filter("change = 'removed'").select("pair_id", "kind", "table_name", "name")
 
 
+BLOCK = 10_000  # identifiers, and statements, of one automaton and its texts
+
+
+def _found(words: pd.DataFrame, statements: pd.DataFrame) -> pd.DataFrame:
+    """pair_id, seq, word of every identifier that a statement holds: all of them at once, by one Aho-Corasick automaton."""
+    import ahocorasick
+    import pandas as pd
+
+    rows: list[tuple] = []
+    if len(words) and len(statements):
+        automaton = ahocorasick.Automaton()
+        for w in words["word"]:
+            automaton.add_word(w, w)
+        automaton.make_automaton()
+        for pair, seq, sql in zip(statements["pair_id"], statements["seq"], statements["text"], strict=True):
+            rows += [(pair, seq, w) for w in {w for _, w in automaton.iter(sql)}]
+    return pd.DataFrame(rows, columns=["pair_id", "seq", "word"])
+
+
+def named_in(words: DataFrame, statements: DataFrame) -> DataFrame:
+    """pair_id, seq, word: which of a pair's words (pair_id, word; distinct) each of its statements (pair_id, seq, text) holds.
+
+    Words and statements of a pair meet in blocks of BLOCK each, so no pair gathers in one task.  Each statement is read once for a
+    block of words, however many they are.
+    """
+    n = words.groupBy("pair_id").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("w"))
+    m = statements.groupBy("pair_id").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("s"))
+    of = n.join(m, "pair_id")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    a = words.join(of, "pair_id").withColumn("a", F.pmod(F.xxhash64("word"), F.col("w"))).withColumn("b", every("s"))
+    b = statements.join(of, "pair_id").withColumn("b", F.pmod(F.xxhash64("seq"), F.col("s"))).withColumn("a", every("w"))
+    key = [F.col("pair_id").alias("p"), F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b")]
+    kind = statements.schema["seq"].dataType.simpleString()
+    left, right = a.select(*key, "word").groupBy("p", "a", "b"), b.select(*key, "pair_id", "seq", "text").groupBy("p", "a", "b")
+    return left.cogroup(right).applyInPandas(_found, f"pair_id string, seq {kind}, word string")
+
+
 def affected_statements(breaking: DataFrame, statements: DataFrame) -> DataFrame:
     """Statements (pair_id, seq, sql) that name an identifier of a breaking change, case aside."""
-    ids = F.array_compact(F.array("table_name", "object_name"))
-    j = statements.join(breaking.select("pair_id", "change", "object_name", ids.alias("ids")), "pair_id")
-    return j.filter(F.exists("ids", lambda i: F.contains(F.lower("sql"), F.lower(i)))).select("pair_id", "change", "object_name", "seq", "sql").distinct()
+    ids = F.array_compact(F.array(F.lower("table_name"), F.lower("object_name")))
+    marked = breaking.select("pair_id", "change", "object_name", F.explode(ids).alias("word")).distinct()
+    hits = named_in(marked.select("pair_id", "word").distinct(), statements.select("pair_id", "seq", F.lower("sql").alias("text")))
+    rows = hits.join(marked, ["pair_id", "word"]).select("pair_id", "change", "object_name", "seq").distinct()
+    return rows.join(statements.select("pair_id", "seq", "sql"), ["pair_id", "seq"]).select("pair_id", "change", "object_name", "seq", "sql")

@@ -12,9 +12,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from .merkle import checksum
+
 #: Fixed value: the hash before the first migration.
 ZERO = "0" * 64
 
+
 def _by_seq() -> WindowSpec:
     return Window.partitionBy("history_id").orderBy("seq")
 
@@ -147,36 +150,6 @@ def flags(h: DataFrame) -> DataFrame:
     return h.select("history_id", "seq", "id", (F.col("n_up") == 0).alias("is_baseline"), "is_checkpoint", ((F.col("n_up") == 0) | (F.col("n_down") > 0)).alias("is_reversible"), F.col("n_up").alias("operation_count"))
 
 
-def checksum(catalog) -> DataFrame:
-    """snapshot_id, checksum: SHA-256 of the canonical text of a snapshot.
-
-    Enums, sequences, tables and views stand by name, columns by position.
-    Comments, positions, foreign key actions, deferrability, NO INHERIT, NULLS
-    NOT DISTINCT, generated storage and exclusion predicates don't count.
-    """
-    n = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("~"))
-    lst = lambda c: F.coalesce(F.array_join(c, ","), F.lit("~"))
-    parts = [
-        catalog.enums.select("snapshot_id", F.lit("1enum").alias("k"), F.col("name").alias("a"), F.lit("").alias("b"), lst("labels").alias("v")),
-        catalog.sequences.select("snapshot_id", F.lit("2sequence"), "name", F.lit(""), F.concat_ws("|", "data_type", n("start_value"), n("increment"), n("min_value"), n("max_value"), n("cache_size"), n("is_cyclic"))),
-        catalog.tables.select("snapshot_id", F.lit("3table"), "table_name", F.lit(""), "kind"),
-        catalog.columns.select("snapshot_id", F.lit("4column"), "table_name", F.lpad(F.col("position").cast("string"), 6, "0"),
-                F.concat_ws("|", "name", "type.formatted", n("is_nullable"), n("default_expr"), n("generated.expression"), n("identity"), "collation")),
-        catalog.constraints.select("snapshot_id", F.lit("5constraint"), "table_name", "name", F.concat_ws("|", "kind", lst("columns"), n("ref_schema"), n("ref_table"), lst("ref_columns"), n("expression"))),
-        catalog.indexes.select("snapshot_id", F.lit("6index"), "table_name", "name",
-                F.concat_ws("|", "method", n("is_unique"), F.array_join(F.transform("columns",
-                lambda c: F.concat_ws(" ", c["column"], c["expression"], c["sort"], c["nulls"])), ","), n("predicate"))),
-        catalog.views.select("snapshot_id", F.lit("7view"), "name", F.lit(""), F.concat_ws("|", "definition", n("is_materialized"))),
-    ]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.union(p)
-    line = F.concat_ws("/", "k", "a", "b", "v")
-    text = rows.groupBy("snapshot_id").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("t"))
-    ids = catalog.namespaces.select("snapshot_id")
-    return ids.join(text, "snapshot_id", "left").select("snapshot_id", F.sha2(F.coalesce("t", F.lit("")), 256).alias("checksum"))
-
-
 def is_applied(applied: DataFrame, asked: DataFrame) -> DataFrame:
     """history_id, id, is_applied of migrations asked for."""
     known = applied.select("history_id", "id").distinct().withColumn("is_applied", F.lit(True))

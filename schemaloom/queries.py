@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from . import oracle, oracle_plan, profile_sql
 from .functions import naming, similarity, sqltext, typemap
 from .model import Catalog
-from .operators import breaking, history, probes, relations
+from .operators import breaking, discover, history, merkle, probes, relations
 from .operators.diff import Diff, DiffConfig
 from .plans import codegen, operations, replay
 from .registry import ORACLE_SQL, QUERIES, query
+from .sources import footers
 from .sources.catalogs import from_parquet_dir
 from .sources.profile import Profile
 from .tables import kept
@@ -49,6 +50,15 @@ def diff(spark: SparkSession, sf_dir: str, config: DiffConfig = DiffConfig()) ->
     return _once(spark, sf_dir, config, lambda: Diff(catalog(spark, sf_dir), pairs(spark, sf_dir), config))
 
 
+def plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ordered operations of every pair."""
+    return _once(spark, sf_dir, "plan", lambda: kept(operations.plan(diff(spark, sf_dir))))
+
+
+def breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _once(spark, sf_dir, "breaks", lambda: kept(breaking.analyse(diff(spark, sf_dir))))
+
+
 _R = "round(similarity, 9) AS similarity"
 
 
@@ -73,6 +83,66 @@ def introspect_columns(spark, sf_dir):
     return from_parquet_dir(spark, sf_dir, TABLES, "s").columns.select("table_name", "name", "position", F.col("type.formatted").alias("formatted"))
 
 
+#: Columns of the given tables that may be part of a key, and those that are numbers.
+_FLAT = {
+    "region": "r_regionkey# r_name", "nation": "n_nationkey# n_name n_regionkey#", "customer": "c_custkey# c_name c_nationkey# c_acctbal# c_mktsegment", "supplier": "s_suppkey# s_name s_nationkey# s_acctbal#",
+    "part": "p_partkey# p_name p_brand p_type p_size# p_retailprice#", "orders": "o_orderkey# o_custkey# o_orderstatus o_totalprice# o_orderdate o_orderpriority",
+    "lineitem": "l_orderkey# l_partkey# l_suppkey# l_linenumber# l_quantity# l_extendedprice# l_discount# l_tax# l_returnflag l_linestatus l_shipdate",
+    "events": "event_id# ts user_id# event_type value# props", "documents": "doc_id# text lang source n_chars#", "embeddings": "vec_id# label#", "pages": "page_id# url html",
+    "benchmark": "item_id# text", "labels": "doc_id# quality# toxic#", "conversations": "conv_id# turn# role text",
+}
+
+
+def _keys_sql() -> str:
+    """Singles and pairs of columns without nulls and repeats; pairs only where neither is a key alone."""
+    from itertools import combinations
+
+    out = []
+    for table, listed in _FLAT.items():
+        names = listed.replace("#", "").split()
+        yes = lambda *c: f"(count(*) > 0 AND {' AND '.join(f'count({x}) = count(*)' for x in c)} AND count(DISTINCT ({', '.join(c)})) = count(*))"
+        checks = [f"{yes(a)} AS k{i}" for i, a in enumerate(names)] + [f"{yes(names[i], names[j])} AS p{i}_{j}" for i, j in combinations(range(len(names)), 2)]
+        found = [f"CASE WHEN k{i} THEN ['{a}'] END" for i, a in enumerate(names)] + [f"CASE WHEN p{i}_{j} AND NOT k{i} AND NOT k{j} THEN ['{names[i]}', '{names[j]}'] END" for i, j in combinations(range(len(names)), 2)]
+        out.append(f"SELECT '{table}' AS table_name, unnest([{', '.join(found)}]) AS columns, n AS n_rows FROM (SELECT count(*) AS n, {', '.join(checks)} FROM {table})")
+    return "SELECT * FROM (" + " UNION ALL ".join(out) + ") WHERE columns IS NOT NULL"
+
+
+@query(_keys_sql)
+def discover_keys(spark, sf_dir):
+    """The minimal keys of one or two columns that the given tables have."""
+    rows = []
+    for t in TABLES:
+        n, found = discover.keys(spark.read.parquet(f"{sf_dir}/{t}.parquet"), most=2)
+        rows += [(t, list(k), n) for k in found]
+    return spark.createDataFrame(rows, "table_name string, columns array<string>, n_rows long")
+
+
+@query(lambda: "WITH " + profile_sql.base() + " SELECT x.snapshot_id, x.table_name, x.name, c.d, c.uniq AS is_unique, x.ref_table, x.ref_name, p.d AS ref_d FROM common x JOIN fits c ON c.snapshot_id = x.snapshot_id AND c.table_name = x.table_name AND c.name = x.name AND c.feed = 'tables' AND c.d = x.common JOIN fits p ON p.snapshot_id = x.snapshot_id AND p.table_name = x.ref_table AND p.name = x.ref_name AND p.feed = 'tables' AND p.uniq AND p.held = p.n_rows")
+def discover_foreign_keys(spark, sf_dir):
+    """Every column of the given tables (and of their even rows) whose values all are in a unique column of another table."""
+    return profile(spark, sf_dir).inclusions()
+
+
+def _footers_sql() -> str:
+    out = []
+    for table, listed in _FLAT.items():
+        for c in [*listed.split(), *(["embedding"] if table == "embeddings" else [])]:
+            name, number = c.rstrip("#"), c.endswith("#")
+            low, high = (f"min({name})::DOUBLE", f"max({name})::DOUBLE") if number else ("NULL::DOUBLE", "NULL::DOUBLE")
+            out.append(f"SELECT '{table}' AS table_name, '{name}' AS name, count(*) AS n_rows, count(*) - count({name}) AS n_nulls, count(*) > count({name}) AS is_nullable, {low} AS low, {high} AS high FROM {table}")
+    return " UNION ALL ".join(out)
+
+
+@query(_footers_sql)
+def catalog_from_footers(spark, sf_dir):
+    """Nulls and ranges of every column of the given tables, without a scan where the files' footers tell."""
+    out = None
+    for t in TABLES:
+        one = footers.columns_of(spark, f"{sf_dir}/{t}.parquet").select(F.lit(t).alias("table_name"), "name", "n_rows", "n_nulls", (F.col("n_nulls") > 0).alias("is_nullable"), "low", "high")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query(lambda: profile_sql.ctes("namespaces", "tables", "views", "enums",
         "sequences") + " SELECT n.snapshot_id, (SELECT count(*) FROM tables t WHERE t.snapshot_id = n.snapshot_id) AS n_tables, (SELECT count(*) FROM views t WHERE t.snapshot_id = n.snapshot_id) AS n_views, (SELECT count(*) FROM enums t WHERE t.snapshot_id = n.snapshot_id) AS n_enums, (SELECT count(*) FROM sequences t WHERE t.snapshot_id = n.snapshot_id) AS n_sequences FROM namespaces n")
 def schema_summary(spark, sf_dir):
@@ -232,18 +302,18 @@ def rename_greedy(spark, sf_dir):
 
 @query(lambda: oracle.breaking_sql("SELECT * FROM breaking"))
 def breaking_changes(spark, sf_dir):
-    return breaking.analyse(diff(spark, sf_dir))
+    return breaks(spark, sf_dir)
 
 
 @query(lambda: oracle.breaking_sql("SELECT pair_id, mitigation, count(*) AS n FROM breaking GROUP BY ALL"))
 def breaking_by_mitigation(spark, sf_dir):
-    return breaking.by_mitigation(breaking.analyse(diff(spark, sf_dir)))
+    return breaking.by_mitigation(breaks(spark, sf_dir))
 
 
 @query(lambda: oracle.breaking_sql("SELECT p.pair_id, count(b.pair_id) AS n_breaking, count(b.pair_id) = 0 AS is_safe FROM pairs p LEFT JOIN breaking b USING (pair_id) GROUP BY p.pair_id"))
 def breaking_safe_pairs(spark, sf_dir):
     d = diff(spark, sf_dir)
-    return breaking.is_safe(d.pairs, breaking.analyse(d))
+    return breaking.is_safe(d.pairs, breaks(spark, sf_dir))
 
 
 @query(lambda: oracle.objects_sql("change = 'removed' AND kind IN ('table', 'column', 'enum')", "pair_id, kind, table_name, name"))
@@ -264,30 +334,30 @@ def type_widening_matrix(spark, sf_dir):
 
 @query(lambda: oracle_plan.plan_sql(oracle_plan.ORDERED))
 def plan_ordered(spark, sf_dir):
-    return operations.plan(diff(spark, sf_dir)).select("pair_id", "seq", "op_kind", "phase", "object_kind", "table_name", "name", "to_name", "description")
+    return plan(spark, sf_dir).select("pair_id", "seq", "op_kind", "phase", "object_kind", "table_name", "name", "to_name", "description")
 
 
 @query(lambda: oracle_plan.plan_sql(oracle_plan.RENDERED))
 def render_sql(spark, sf_dir):
-    p = operations.plan(diff(spark, sf_dir))
+    p = plan(spark, sf_dir)
     return p.select("pair_id", "seq", "op_kind", F.array_join("forward", ";\n").alias("sql"), F.array_join("rollback", ";\n").alias("rollback_sql"))
 
 
 @query(lambda: oracle_plan.plan_sql(oracle_plan.SCRIPT))
 def script_text(spark, sf_dir):
-    return operations.script(operations.plan(diff(spark, sf_dir)))
+    return operations.script(plan(spark, sf_dir))
 
 
 @query(lambda: oracle_plan.plan_sql(oracle_plan.INVERSE))
 def inverse_plan(spark, sf_dir):
-    return operations.inverse(operations.plan(diff(spark, sf_dir)))
+    return operations.inverse(plan(spark, sf_dir))
 
 
 @query(oracle_plan.affected_sql)
 def affected_statements(spark, sf_dir):
     d = diff(spark, sf_dir)
-    statements = operations.plan(d).select("pair_id", "seq", F.array_join("forward", ";\n").alias("sql"))
-    return breaking.affected_statements(breaking.analyse(d), statements)
+    statements = plan(spark, sf_dir).select("pair_id", "seq", F.array_join("forward", ";\n").alias("sql"))
+    return breaking.affected_statements(breaks(spark, sf_dir), statements)
 
 
 @query(lambda: oracle.diff_ctes() + """, added AS (SELECT pair_id, name FROM objects WHERE kind = 'table' AND change = 'added'),
@@ -320,7 +390,7 @@ def replay_states(spark, sf_dir):
     """Plans applied to their source: the objects that result (a plan that fails gives one row, its error as the name)."""
     d = diff(spark, sf_dir)
     start = replay.state_of(d.catalog, d.pairs.select(F.col("source_id").alias("snapshot_id"))).join(d.pairs, F.col("snapshot_id") == F.col("source_id")).select("pair_id", "state")
-    states = kept(replay.replay(operations.plan(d), start))
+    states = kept(replay.replay(plan(spark, sf_dir), start))
     failed = states.filter("error is not null").select("pair_id", F.lit("error").alias("kind"), F.lit(None).cast("string").alias("table_name"),
             F.col("error").alias("name"), F.lit(None).cast("string").alias("type"), F.lit(None).cast("boolean").alias("is_nullable"))
     return replay.objects(states.filter("error is null"), "pair_id").unionByName(failed)
@@ -396,27 +466,58 @@ def history_show(spark, sf_dir):
     return history.show(chain(spark, sf_dir), "3")
 
 
-_SHORT = "coalesce({c}::VARCHAR, '~')"
+def _tree_sql(tail: str) -> str:
+    n = lambda c: f"coalesce(strlen(({c})::VARCHAR) || ':' || ({c})::VARCHAR, '~')"
+    lst = lambda c, e=n("x"): f"coalesce('[' || len({c}) || ':' || array_to_string(list_transform({c}, lambda x: {e}), ''), '~')"
+    item = " || ".join(n(f'x."{f}"') for f in ("column", "expression", "sort", "nulls"))
+    element = " || ".join(n(f"x.{f}") for f in ("expression", "operator"))
+    listed = {
+        "enum": ("enums", "NULL::VARCHAR", "''", [lst("labels")]),
+        "sequence": ("sequences", "NULL::VARCHAR", "''", [n(c) for c in ("data_type", "start_value", "increment", "min_value", "max_value", "cache_size", "is_cyclic")]),
+        "view": ("views", "NULL::VARCHAR", "''", [n("definition"), n("is_materialized")]),
+        "column": ("columns", "table_name", "'a' || lpad(position::VARCHAR, 10, '0')", [n(c) for c in ("type.formatted", "is_nullable", "default_expr", "identity", "generated.expression", '"collation"')]),
+        "constraint": ("constraints", "table_name", "'b' || name", [n("kind"), lst("columns"), n("ref_schema"), n("ref_table"), lst("ref_columns"), n("expression"), lst("elements", element)]),
+        "index": ("indexes", "table_name", "'b' || name", [n("method"), n("is_unique"), n("is_constraint_index"), lst("columns", item), n("predicate")]),
+    }
+    rows = " UNION ALL ".join(f"SELECT snapshot_id, '{k}' AS kind, {t} AS table_name, name, {place} AS place, sha256('{k}:' || {' || '.join([n('name'), *p])}) AS digest FROM {rel}" for k, (rel, t, place, p) in listed.items())
+    return profile_sql.ctes(*oracle.ALL) + f""", leaves AS ({rows}),
+members AS (SELECT snapshot_id, table_name, string_agg(digest, '' ORDER BY kind, place, digest) AS below, count(*) AS n FROM leaves WHERE table_name IS NOT NULL GROUP BY ALL),
+mid AS (SELECT snapshot_id, kind, NULL::VARCHAR AS table_name, name, digest FROM leaves WHERE table_name IS NULL
+ UNION ALL SELECT t.snapshot_id, 'table', NULL, t.table_name, sha256('table:' || {n('t.table_name')} || {n('t.kind')} || {n('coalesce(m.n, 0)')} || coalesce(m.below, '')) FROM tables t LEFT JOIN members m USING (snapshot_id, table_name)),
+tops AS (SELECT snapshot_id, string_agg(digest, '' ORDER BY kind, name, digest) AS below, count(*) AS n FROM mid GROUP BY 1),
+nodes AS (SELECT x.snapshot_id, 0 AS level, 'snapshot' AS kind, NULL::VARCHAR AS table_name, NULL::VARCHAR AS name, sha256('snapshot:' || {n('coalesce(p.n, 0)')} || coalesce(p.below, '')) AS digest FROM namespaces x LEFT JOIN tops p USING (snapshot_id)
+ UNION ALL SELECT snapshot_id, 1, kind, table_name, name, digest FROM mid UNION ALL SELECT snapshot_id, 2, kind, table_name, name, digest FROM leaves WHERE table_name IS NOT NULL) {tail}"""
+
+
+def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digests of all snapshots."""
+    return _once(spark, sf_dir, "tree", lambda: kept(merkle.tree(catalog(spark, sf_dir))))
+
+
+@query(lambda: _tree_sql("SELECT snapshot_id, digest AS checksum FROM nodes WHERE level = 0"))
+def checksum_sha256(spark, sf_dir):
+    return history.checksum(catalog(spark, sf_dir))
+
 
+@query(lambda: _tree_sql("SELECT * FROM nodes"))
+def checksum_tree(spark, sf_dir):
+    return tree(spark, sf_dir)
 
-def _checksum_sql() -> str:
-    n = lambda c: _SHORT.format(c=c)
-    lst = lambda c: f"coalesce(array_to_string({c}, ','), '~')"
-    parts = [
-        f"SELECT snapshot_id, '1enum/' || name || '//' || {lst('labels')} AS line FROM enums",
-        f"SELECT snapshot_id, '2sequence/' || name || '//' || concat_ws('|', data_type, {n('start_value')}, {n('increment')}, {n('min_value')}, {n('max_value')}, {n('cache_size')}, {n('is_cyclic')}) FROM sequences",
-        "SELECT snapshot_id, '3table/' || table_name || '//' || kind FROM tables",
-        f"SELECT snapshot_id, '4column/' || table_name || '/' || lpad(position::VARCHAR, 6, '0') || '/' || concat_ws('|', name, type.formatted, {n('is_nullable')}, {n('default_expr')}, {n('generated.expression')}, {n('identity')}, \"collation\") FROM columns",
-        f"SELECT snapshot_id, '5constraint/' || table_name || '/' || name || '/' || concat_ws('|', kind, {lst('columns')}, {n('ref_schema')}, {n('ref_table')}, {lst('ref_columns')}, {n('expression')}) FROM constraints",
-        f"SELECT snapshot_id, '6index/' || table_name || '/' || name || '/' || concat_ws('|', method, {n('is_unique')}, array_to_string(list_transform(columns, lambda c: concat_ws(' ', c.\"column\", c.expression, c.sort, c.nulls)), ','), {n('predicate')}) FROM indexes",
-        f"SELECT snapshot_id, '7view/' || name || '//' || concat_ws('|', definition, {n('is_materialized')}) FROM views",
-    ]
-    return profile_sql.ctes(*oracle.ALL) + f", lines AS ({' UNION ALL '.join(parts)}), t AS (SELECT snapshot_id, string_agg(line, chr(10) ORDER BY line) AS t FROM lines GROUP BY 1) SELECT n.snapshot_id, sha256(coalesce(t.t, '')) AS checksum FROM namespaces n LEFT JOIN t USING (snapshot_id)"
 
+_SIDE = "(SELECT p.pair_id, n.* FROM pairs p JOIN nodes n ON n.snapshot_id = p.{}_id)"
 
-@query(_checksum_sql)
-def checksum_sha256(spark, sf_dir):
-    return history.checksum(catalog(spark, sf_dir))
+
+@query(
+    lambda: _tree_sql(
+        f", m AS (SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, coalesce(a.level, b.level) AS level, coalesce(a.kind, b.kind) AS kind, coalesce(a.table_name, b.table_name) AS table_name, coalesce(a.name, b.name) AS name, "
+        "CASE WHEN a.digest IS NULL THEN 'added' WHEN b.digest IS NULL THEN 'removed' ELSE 'changed' END AS change "
+        f"FROM {_SIDE.format('source')} a FULL JOIN {_SIDE.format('target')} b ON a.pair_id = b.pair_id AND a.level = b.level AND a.kind = b.kind AND a.table_name IS NOT DISTINCT FROM b.table_name AND a.name IS NOT DISTINCT FROM b.name "
+        "WHERE a.digest IS DISTINCT FROM b.digest) SELECT * FROM m"
+    )
+)
+def drift_subtrees(spark, sf_dir):
+    """What differs between the snapshots of each pair, looked for only below what differs."""
+    return merkle.drift(tree(spark, sf_dir), pairs(spark, sf_dir))
 
 
 # ---- relations and code ---------------------------------------------------------------

@@ -153,14 +153,14 @@ def compile_migrations(spark, sf_dir):
 
 @query(lambda: oracle_plan.plan_sql(oracle_plan.STATEMENTS))
 def compile_statements(spark, sf_dir):
-    return compiling.statements(operations.plan(queries.diff(spark, sf_dir)))
+    return compiling.statements(queries.plan(spark, sf_dir))
 
 
 @query(lambda: oracle_plan.plan_sql(oracle_plan.EXECUTED))
 def runner_execute(spark, sf_dir):
-    return compiling.execute(operations.plan(queries.diff(spark, sf_dir)), "a change")
+    return compiling.execute(queries.plan(spark, sf_dir), "a change")
 
 
 @query(lambda: oracle_plan.plan_sql(oracle_plan.DESCRIBED))
 def runner_describe(spark, sf_dir):
-    return compiling.describe(operations.plan(queries.diff(spark, sf_dir)), as_json=True)
+    return compiling.describe(queries.plan(spark, sf_dir), as_json=True)

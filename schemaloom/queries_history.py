@@ -30,7 +30,7 @@ def state_at_points(spark, sf_dir):
     catalog = queries.catalog(spark, sf_dir)
     pairs = queries.pairs(spark, sf_dir)
     first = operations.plan(Diff(catalog, pairs.select("pair_id", F.lit("").alias("source_id"), F.col("source_id").alias("target_id"))))
-    second = operations.plan(queries.diff(spark, sf_dir))
+    second = queries.plan(spark, sf_dir)
     ops = kept(first.withColumn("k", F.col("seq")).withColumn("seq", F.lit(1)).unionByName(second.withColumn("k", F.col("seq")).withColumn("seq", F.lit(2))).withColumnRenamed("pair_id", "history_id"))
     # some histories hold a checkpoint after their first migration
     stops = F.length("history_id") % 2 == 0

@@ -171,17 +171,21 @@ class Profile:
         rows = kept_.groupBy(*at).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), F.col("v").alias("v")))).alias("l"))  # 12 at most
         return rows.select(*at, F.concat_ws("_", "table_name", "name").alias("enum"), F.transform("l", lambda x: x["v"]).alias("labels"))
 
-    def references(self) -> DataFrame:
-        """snapshot_id, table_name, name, ref_table, ref_name: columns of repeated values whose values all are in a unique column of another table."""
+    def inclusions(self) -> DataFrame:
+        """snapshot_id, table_name, name, d, is_unique, ref_table, ref_name, ref_d: columns of whole tables whose d values all are in a unique column of another table."""
         v = self.values.filter("feed = 'tables' AND v IS NOT NULL AND kind IN ('int', 'text')")
         met = v.groupBy("snapshot_id", "kind", "v").agg(F.sort_array(F.collect_set(F.struct("table_name", "name"))).alias("cols"))
         sets = kept(met.groupBy("snapshot_id", "cols").agg(F.count(F.lit(1)).alias("n")))
         a = sets.select("snapshot_id", "n", "cols", F.explode("cols").alias("a")).select("snapshot_id", "n", F.col("a.table_name").alias("table_name"), F.col("a.name").alias("name"), F.explode("cols").alias("b"))
         both = a.groupBy("snapshot_id", "table_name", "name", F.col("b.table_name").alias("ref_table"), F.col("b.name").alias("ref_name")).agg(F.sum("n").alias("common")).filter("table_name <> ref_table")
         held = self.columns_held.filter("feed = 'tables'")
-        child = held.filter("NOT unique").select("snapshot_id", "table_name", "name", "d")
+        child = held.select("snapshot_id", "table_name", "name", "d", F.col("unique").alias("is_unique"))
         parent = held.filter("unique AND held = n_rows").select("snapshot_id", F.col("table_name").alias("ref_table"), F.col("name").alias("ref_name"), F.col("d").alias("ref_d"))
-        found = both.join(child, ["snapshot_id", "table_name", "name"]).filter("common = d").join(parent, ["snapshot_id", "ref_table", "ref_name"])
+        return both.join(child, ["snapshot_id", "table_name", "name"]).filter("common = d").join(parent, ["snapshot_id", "ref_table", "ref_name"]).drop("common")
+
+    def references(self) -> DataFrame:
+        """snapshot_id, table_name, name, ref_table, ref_name: columns of repeated values, each with the smallest of those that hold all of them."""
+        found = self.inclusions().filter("NOT is_unique")
         best = F.min(F.struct("ref_d", "ref_table", "ref_name")).alias("r")
         return found.groupBy("snapshot_id", "table_name", "name").agg(best).select("snapshot_id", "table_name", "name", "r.ref_table", "r.ref_name")
 

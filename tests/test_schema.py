@@ -13,10 +13,11 @@ import schemas
 from schemaloom.builder import SchemaBuilder, type_info
 from schemaloom.functions import naming, similarity
 from schemaloom.model import Catalog
-from schemaloom.operators import breaking, history, relations
+from schemaloom import tables
+from schemaloom.operators import breaking, discover, history, merkle, relations
 from schemaloom.operators.diff import Diff, DiffConfig, pairs_frame
 from schemaloom.plans import codegen, operations, replay, worklist
-from schemaloom.sources import catalogs
+from schemaloom.sources import catalogs, footers, system
 
 
 @pytest.fixture(scope="module")
@@ -205,6 +206,69 @@ def test_checksum_ignores_comments(spark):
     assert got["a"] == got["b"] != got["d"]
 
 
+def test_checksums_of_what_looked_alike_differ(spark):
+    """Labels, keys and defaults that read the same when joined by commas or marked by a sign."""
+    def both(make_a, make_b):
+        rows = {k: [] for k in Catalog.__dataclass_fields__}
+        for name, make in (("a", make_a), ("b", make_b)):
+            s = SchemaBuilder(name)
+            make(s)
+            for k, v in s.rows.items():
+                rows[k] += v
+        got = {r["snapshot_id"]: r["checksum"] for r in history.checksum(Catalog.of(spark, rows)).collect()}
+        return got["a"], got["b"]
+
+    for a, b in (
+        (lambda s: s.enum("e", "x,y"), lambda s: s.enum("e", "x", "y")),
+        (lambda s: s.table("t").column("a", "text").primary_key("a,b", name="k"), lambda s: s.table("t").column("a", "text").primary_key("a", "b", name="k")),
+        (lambda s: s.table("t").column("a", "text", default="~"), lambda s: s.table("t").column("a", "text")),
+        (lambda s: s.table("t").column("ab", "text").table("u"), lambda s: s.table("t").table("u").column("ab", "text")),
+        (lambda s: s.view("v|1", "2"), lambda s: s.view("v", "1|2")),
+    ):
+        x, y = both(a, b)
+        assert x != y
+    x, y = both(lambda s: s.table("t").column("a", "text", position=1).column("b", "text", position=2), lambda s: s.table("t").column("a", "text", position=4).column("b", "text", position=9))
+    assert x == y
+
+
+def test_drift_is_looked_for_below_what_differs(spark):
+    d = schemas.diff(spark)
+    rows = merkle.drift(tables.kept(merkle.tree(d.catalog)), d.pairs).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r["pair_id"], set()).add((r["level"], r["kind"], r["table_name"], r["name"], r["change"]))
+    assert "same" not in by and "notes" not in by
+    assert by["more_columns"] == {(0, "snapshot", None, None, "changed"), (1, "table", None, "readers", "changed"), (2, "column", "readers", "phone", "added"), (2, "column", "readers", "level", "added")}
+    assert by["enums"] == {(0, "snapshot", None, None, "changed"), (1, "enum", None, "mood", "changed"), (1, "enum", None, "unused", "removed"), (1, "enum", None, "grade", "added")}
+
+
+def test_keys_are_minimal_and_exact(spark):
+    rows = [(i, i // 2, i % 2, None if i == 3 else i, "x", float(i // 3)) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, half int, bit int, holes int, same string, third double")
+    assert discover.keys(df) == (60, [("id",), ("half", "bit")])
+    assert discover.keys(df.drop("id", "half"))[1] == [] and discover.keys(df.filter("false")) == (0, []) and discover.keys(df.union(df))[1] == []
+    deep = spark.createDataFrame([(i % 4, i // 4 % 4, i // 16) for i in range(64)], "a int, b int, c int")
+    assert discover.keys(deep)[1] == [("a", "b", "c")] and discover.keys(deep, most=2)[1] == []
+
+
+def test_footers_tell_what_a_scan_would(spark, tmp_path):
+    df = spark.range(1000).selectExpr("id", "CASE WHEN id % 10 > 0 THEN id - 500.5D END AS x", "cast(id AS string) AS s", "CASE WHEN id < 0 THEN 1 END AS none", "array(id) AS list")
+    df.repartition(3).write.parquet(str(tmp_path / "t"))
+    got = {r["name"]: tuple(r)[1:] for r in footers.columns_of(spark, str(tmp_path / "t")).collect()}
+    assert got["id"] == (1000, 0, 0.0, 999.0, True) and got["x"] == (1000, 100, -499.5, 498.5, True)
+    assert got["s"][:2] == (1000, 0) and got["none"] == (1000, 1000, None, None, True) and got["list"] == (1000, 0, None, None, False)
+    df.limit(0).write.parquet(str(tmp_path / "e"))
+    assert {tuple(r)[1:3] for r in footers.columns_of(spark, str(tmp_path / "e")).collect()} == {(0, 0)}
+
+
+def test_system_tables_are_read_back(spark):
+    for name in ("library/new", "rooms/new"):
+        c = schemas.catalog(spark).only(name)
+        back, bad = catalogs.introspect(system.SnapshotSystem(c), "public", name)
+        assert bad.count() == 0
+        assert Diff(c.union(back.renamed("back")), pairs_frame(spark, [("p", name, "back")])).all_objects().collect() == [], name
+
+
 def test_histories(spark):
     z = history.ZERO
     rows = [("h", 1, "aa1", z, "s1", True), ("h", 2, "aa2", "s1", "s2", False), ("h", 3, "b3", "s2", "s3", False), ("bad", 1, "x1", z, "t1", False), ("bad", 2, "x2", "oops", "t2", False)]
