@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import signatures
 from ..functions import similarity as sim
 from ..model import Catalog
 from ..tables import kept
@@ -108,6 +109,20 @@ def objects_of(catalog: Catalog) -> DataFrame:
     return out
 
 
+class ObjectStore:
+    """All objects by content: each one once, under its digest, and snapshots as sets of digests.
+
+    contents: digest, o.  members: snapshot_id, kind, table_name, name, digest.  What a fleet of snapshots shares is held, and
+    travels, once; comparing two snapshots needs digests alone.
+    """
+
+    def __init__(self, catalog: Catalog) -> None:
+        own = F.concat(F.col("kind"), F.lit(":"), F.to_json("o"))
+        rows = kept(objects_of(catalog).withColumn("digest", F.sha2(own, 256)))
+        self.members = rows.drop("o")
+        self.contents = kept(rows.groupBy("digest").agg(F.first("o").alias("o")))
+
+
 KEY = ["pair_id", "kind", "table_name", "name"]
 
 
@@ -117,6 +132,7 @@ class Diff:
 
     def __init__(self, catalog: Catalog, pairs: DataFrame, config: DiffConfig = DiffConfig()) -> None:  # noqa: B008
         self.catalog, self.pairs, self.config = catalog, pairs, config
+        self._stored: ObjectStore | None = None
         self._made: dict[str, DataFrame] = {}
 
     def _once(self, key: str, make: Callable[[], DataFrame]) -> DataFrame:
@@ -124,20 +140,34 @@ class Diff:
             self._made[key] = kept(make())
         return self._made[key]
 
+    @property
+    def store(self) -> ObjectStore:
+        if self._stored is None:
+            self._stored = ObjectStore(self.catalog)
+        return self._stored
+
     def everything(self) -> DataFrame:
-        """pair_id, kind, table_name, name, s, t, in_both: every object of either side, matched by name.
+        """pair_id, kind, table_name, name, s, t, in_both: every object that isn't the same on both sides, matched by name, and every table with one.
 
-        One shuffle by key for all kinds (a full outer join by aggregation).  in_both: both snapshots hold its table.
+        Sides are compared by digest, in one shuffle by key for all kinds; only objects that differ are fetched, each by its digest.
+        in_both: both snapshots hold its table.
         """
 
         def make() -> DataFrame:
             which = F.explode(F.array(F.struct(F.lit(True).alias("src"), F.col("source_id").alias("snapshot_id")), F.struct(F.lit(False).alias("src"), F.col("target_id").alias("snapshot_id"))))
             ends = self.pairs.select("pair_id", which.alias("w")).select("pair_id", "w.src", "w.snapshot_id")
-            rows = objects_of(self.catalog).join(ends, "snapshot_id")
-            pick = lambda src: F.first(F.when(F.col("src") == src, F.col("o")), ignorenulls=True)
-            out = rows.groupBy(*KEY).agg(pick(True).alias("s"), pick(False).alias("t"))
-            both = self.catalog.tables.join(ends, "snapshot_id").groupBy("pair_id", "table_name").agg(F.countDistinct("src").alias("n")).filter("n = 2").select("pair_id", "table_name", F.lit(True).alias("in_both"))
-            return out.join(both, ["pair_id", "table_name"], "left").select(*KEY, "s", "t", F.coalesce("in_both", F.lit(False)).alias("in_both"))
+            side = lambda src: F.max(F.when(F.col("src") == src, F.col("digest")))
+            sides = kept(self.store.members.join(ends, "snapshot_id").groupBy(*KEY).agg(side(True).alias("sd"), side(False).alias("td")))
+            # what differs, and the tables in which something does
+            other = sides.filter("NOT sd <=> td")
+            tables = sides.filter("kind = 'table'")
+            touched = other.filter(F.col("kind").isin(*IN_TABLE)).select("pair_id", F.col("table_name").alias("name")).distinct()
+            rows = other.unionByName(tables.filter("sd = td").join(touched, ["pair_id", "name"], "left_semi").select(*other.columns))
+            both = tables.filter("sd IS NOT NULL AND td IS NOT NULL").select("pair_id", F.col("name").alias("table_name"), F.lit(True).alias("in_both"))
+            rows = rows.join(both, ["pair_id", "table_name"], "left")
+            for d, o in (("sd", "s"), ("td", "t")):
+                rows = rows.join(self.store.contents.select(F.col("digest").alias(d), F.col("o").alias(o)), d, "left")
+            return rows.select(*KEY, "s", "t", F.coalesce("in_both", F.lit(False)).alias("in_both"))
 
         return self._once("everything", make)
 
@@ -181,10 +211,32 @@ class Diff:
         b = k.filter("s IS NULL").select("pair_id", "kind", owner.alias("owner"), F.col("name").alias("to_name"), "t")
         return a.join(b, ["pair_id", "kind", "owner"]).select("pair_id", "kind", F.nullif("owner", F.lit("")).alias("table_name"), "from_name", "to_name", self._score().alias("similarity"))
 
+    def _ends(self, which: str) -> DataFrame:
+        """Removed (s) or added (t) objects with the tokens that a similar one must share."""
+        rows = self.sides().filter(F.col("t" if which == "s" else "s").isNull())
+        found = F.lit(None).cast("array<string>")
+        for kind in RELATIONS:
+            own = signatures.tokens(kind, F.col(f"{which}.{kind}"), self.config.rename_threshold, self.config.advanced, which == "t")
+            found = F.when(F.col("kind") == kind, own).otherwise(found)
+        return rows.select("pair_id", "kind", F.coalesce("table_name", F.lit("")).alias("owner"), F.col("name").alias(f"{which}_name"), F.col(which), found.alias(f"{which}_tokens"))
+
+    def looked_at(self) -> DataFrame:
+        """pair_id, kind, owner, s_name, t_name: removed and added objects that share a token, each two once, at the first one shared."""
+        key = ["pair_id", "kind", "owner", "token"]
+        sides = [self._ends(w).drop(w).withColumn("token", F.explode(f"{w}_tokens")) for w in ("s", "t")]
+        return sides[0].join(sides[1], key).filter(F.array_min(F.array_intersect("s_tokens", "t_tokens")) == F.col("token")).select("pair_id", "kind", "owner", "s_name", "t_name")
+
     def candidates(self) -> DataFrame:
-        """Pairs similar enough for a rename; none at a threshold of 1."""
-        keep = F.col("similarity") >= self.config.rename_threshold
-        return self.similarities().filter(keep if self.config.rename_threshold < 1.0 else F.lit(False))
+        """Pairs similar enough for a rename; none at a threshold of 1.
+
+        Only names and tokens meet in the join; objects are fetched for the pairs that share a token, and scored.
+        """
+        if self.config.rename_threshold >= 1.0:
+            return self.similarities().filter(F.lit(False))
+        at = ["pair_id", "kind", "owner"]
+        rows = self.looked_at().join(self._ends("s").drop("s_tokens"), [*at, "s_name"]).join(self._ends("t").drop("t_tokens"), [*at, "t_name"])
+        scored = rows.select("pair_id", "kind", F.nullif("owner", F.lit("")).alias("table_name"), F.col("s_name").alias("from_name"), F.col("t_name").alias("to_name"), self._score().alias("similarity"))
+        return scored.filter(F.col("similarity") >= self.config.rename_threshold)
 
     def renames(self) -> DataFrame:
         """Greedy matching: best similarity first (ties by name), each object in one rename at most."""
@@ -270,14 +322,35 @@ class Diff:
         return self.all_objects().groupBy("pair_id", "kind", "change").agg(F.array_sort(F.collect_list(label)).alias("names"))
 
 
+FOLD = 500  # candidates of one group that are matched in one array
+
+
 def greedy(candidates: DataFrame) -> DataFrame:
     """Candidates kept by the greedy matching within pair, kind and table: best similarity first, ties by name.
 
-    A candidate that is the best of both its ends is what the greedy order reaches before anything else of them, so every
-    round takes all of these at once and drops what else touches their ends.  Nothing gathers a pair's candidates in one row.
+    Groups of up to FOLD candidates are sorted and folded, each in an array of its own.  In larger ones a candidate that is the best
+    of both its ends is what the greedy order reaches before anything else of them, so every round takes all of these at once and
+    drops what else touches their ends; no such group's candidates are gathered in one row.
     """
     order = F.struct((-F.col("similarity")).alias("o"), F.col("from_name").alias("f"), F.col("to_name").alias("g"))
-    left, out = kept(candidates.select("*", F.coalesce("table_name", F.lit("")).alias("owner"), order.alias("order"))), None
+    group = ["pair_id", "kind", "owner"]
+    rows = kept(candidates.select("*", F.coalesce("table_name", F.lit("")).alias("owner"), order.alias("order")).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*group))))
+    large = rows.filter(F.col("n") > FOLD).drop("n")
+    small = rows.filter(F.col("n") <= FOLD).groupBy(*group).agg(F.array_sort(F.collect_list("order")).alias("c"))
+    none = F.array().cast("array<string>")
+    start = F.struct(none.alias("f"), none.alias("g"), F.array().cast("array<struct<o:double,f:string,g:string>>").alias("out"))
+    met = lambda acc, x: F.array_contains(acc["f"], x["f"]) | F.array_contains(acc["g"], x["g"])
+    taken = lambda acc, x: F.struct(F.array_append(acc["f"], x["f"]).alias("f"), F.array_append(acc["g"], x["g"]).alias("g"), F.array_append(acc["out"], x).alias("out"))
+    folded = small.select(*group, F.explode(F.aggregate("c", start, lambda acc, x: F.when(met(acc, x), acc).otherwise(taken(acc, x)))["out"]).alias("x"))
+    table = F.nullif("owner", F.lit("")).alias("table_name")
+    out = folded.select("pair_id", "kind", table, F.col("x.f").alias("from_name"), F.col("x.g").alias("to_name"), (-F.col("x.o")).alias("similarity"))
+    if large.isEmpty():
+        return out
+    return out.unionByName(_rounds(large))
+
+
+def _rounds(rows: DataFrame) -> DataFrame:
+    left, out = kept(rows), None
     while not left.isEmpty():
         best = lambda end: F.min("order").over(Window.partitionBy("pair_id", "kind", "owner", end))
         taken = kept(left.withColumn("a", best("from_name")).withColumn("b", best("to_name")).filter("order = a AND order = b").drop("a", "b"))

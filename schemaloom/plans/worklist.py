@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..model import Catalog
+
 #: Database error codes that say "later" and "already there".
 RETRY = ("42P01", "42883", "42704", "42703", "3F000")
 SKIP = ("42P06", "42P07", "42710")
@@ -46,3 +48,24 @@ def execute(items: Iterable[str], run: Callable[[str], str | None], limit: int =
         out.append((item, "executed" if code is None else "skipped"))
         idle = 0
     return out
+
+
+def needs(catalog: Catalog) -> tuple[DataFrame, DataFrame]:
+    """Statements that make a snapshot's objects one by one, and what each needs: nodes and edges by snapshot, for ``graph.rounds``.
+
+    A table needs the enums of its columns and the tables that it refers to, an index its table, a view the tables that its
+    definition names as words.
+    """
+    node = lambda kind, *names: F.concat_ws(":", F.lit(kind), *names)
+    graph = F.col("snapshot_id").alias("graph")
+    c = catalog
+    nodes = c.tables.select(graph, node("table", "table_name").alias("node"))
+    for kind, frame, names in (("enum", c.enums, ["name"]), ("view", c.views, ["name"]), ("index", c.indexes.filter("NOT is_constraint_index"), ["table_name", "name"])):
+        nodes = nodes.unionByName(frame.select(graph, node(kind, *names).alias("node")))
+    table = node("table", "table_name").alias("node")
+    edges = c.columns.filter("type.schema <> 'pg_catalog'").select(graph, table, node("enum", F.col("type.name")).alias("needs"))
+    edges = edges.unionByName(c.constraints.filter("kind = 'FOREIGN KEY'").select(graph, table, node("table", "ref_table").alias("needs")))
+    edges = edges.unionByName(c.indexes.filter("NOT is_constraint_index").select(graph, node("index", "table_name", "name").alias("node"), node("table", "table_name").alias("needs")))
+    words = c.views.select(graph, node("view", "name").alias("node"), F.explode(F.array_distinct(F.split("definition", "[^A-Za-z0-9_]+"))).alias("word"))
+    named = words.join(c.tables.select(graph, F.col("table_name").alias("word")), ["graph", "word"])
+    return nodes, edges.unionByName(named.select("graph", "node", node("table", "word").alias("needs")))

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from . import oracle, oracle_plan, profile_sql
 from .functions import naming, similarity, sqltext, typemap
 from .model import Catalog
-from .operators import breaking, discover, history, merkle, probes, relations
+from .operators import breaking, discover, graph, history, merkle, probes, relations
 from .operators.diff import Diff, DiffConfig
-from .plans import codegen, operations, replay
+from .plans import codegen, operations, replay, worklist
 from .registry import ORACLE_SQL, QUERIES, query
 from .sources import footers
 from .sources.catalogs import from_parquet_dir
@@ -324,9 +324,11 @@ def breaking_session(spark, sf_dir):
 @query(lambda: oracle.diff_ctes() + f" SELECT DISTINCT s.type.formatted AS from_type, t.type.formatted AS to_type, coalesce({oracle.SAFE}, false) AS safe FROM src_columns s JOIN tgt_columns t USING (pair_id, table_name, name)")
 def type_widening_matrix(spark, sf_dir):
     """Every type that a column has and the one it has next: is the change safe?"""
-    m = diff(spark, sf_dir).matched("column").filter("s IS NOT NULL AND t IS NOT NULL")
-    a, b = F.col("s.type"), F.col("t.type")
-    return m.select(a["formatted"].alias("from_type"), b["formatted"].alias("to_type"), F.coalesce(breaking.is_safe_widening(a, b), F.lit(False)).alias("safe")).distinct()
+    at, c = ["snapshot_id", "table_name", "name"], catalog(spark, sf_dir).columns
+    old = c.select(*at, F.col("type").alias("a")).join(pairs(spark, sf_dir).withColumnRenamed("source_id", "snapshot_id"), "snapshot_id")
+    new = c.select(F.col("snapshot_id").alias("target_id"), "table_name", "name", F.col("type").alias("b"))
+    a, b = F.col("a"), F.col("b")
+    return old.join(new, ["target_id", "table_name", "name"]).select(a["formatted"].alias("from_type"), b["formatted"].alias("to_type"), F.coalesce(breaking.is_safe_widening(a, b), F.lit(False)).alias("safe")).distinct()
 
 
 # ---- plans ----------------------------------------------------------------------------
@@ -584,6 +586,43 @@ def codegen_rust_files(spark, sf_dir):
     return codegen.rust_entities(catalog(spark, sf_dir))
 
 
+# ---- order and cycles ------------------------------------------------------------------
+
+_NEEDS = """, nodes AS (SELECT snapshot_id AS g, 'table:' || table_name AS node FROM tables UNION ALL SELECT snapshot_id, 'enum:' || name FROM enums UNION ALL SELECT snapshot_id, 'view:' || name FROM views
+ UNION ALL SELECT snapshot_id, 'index:' || table_name || ':' || name FROM indexes WHERE NOT is_constraint_index),
+edges AS (SELECT DISTINCT g, node, needs FROM (SELECT snapshot_id AS g, 'table:' || table_name AS node, 'enum:' || type.name AS needs FROM columns WHERE type.schema <> 'pg_catalog'
+ UNION ALL SELECT snapshot_id, 'table:' || table_name, 'table:' || ref_table FROM constraints WHERE kind = 'FOREIGN KEY' AND table_name <> ref_table
+ UNION ALL SELECT snapshot_id, 'index:' || table_name || ':' || name, 'table:' || table_name FROM indexes WHERE NOT is_constraint_index
+ UNION ALL SELECT v.snapshot_id, 'view:' || v.name, 'table:' || t.table_name FROM views v JOIN tables t ON t.snapshot_id = v.snapshot_id AND list_contains(regexp_split_to_array(v.definition, '[^A-Za-z0-9_]+'), t.table_name))
+ WHERE (g, needs) IN (SELECT (g, node) FROM nodes)),
+walk AS (SELECT g, node, 1 AS k FROM nodes UNION SELECT w.g, e.node, w.k + 1 FROM walk w JOIN edges e ON e.g = w.g AND e.needs = w.node)"""
+
+
+@query(lambda: profile_sql.ctes("tables", "columns", "constraints", "indexes", "views", "enums") + _NEEDS + " SELECT g AS graph, node, max(k)::INT AS round FROM walk GROUP BY ALL")
+def statement_rounds(spark, sf_dir):
+    """In which round each object of every snapshot can be made, all that it needs being there."""
+    return graph.rounds(*worklist.needs(catalog(spark, sf_dir)))
+
+
+_CYCLES = """, base AS (SELECT x.snapshot_id AS g, x.table_name AS a, x.ref_table AS b FROM common x JOIN fits c ON c.snapshot_id = x.snapshot_id AND c.table_name = x.table_name AND c.name = x.name AND c.feed = 'tables' AND c.d = x.common
+ JOIN fits p ON p.snapshot_id = x.snapshot_id AND p.table_name = x.ref_table AND p.name = x.ref_name AND p.feed = 'tables' AND p.uniq AND p.held = p.n_rows),
+ns AS (SELECT DISTINCT snapshot_id AS g, table_name AS node FROM every WHERE feed = 'tables'),
+reach AS (SELECT g, node AS a, node AS b FROM ns UNION SELECT r.g, r.a, e.b FROM reach r JOIN base e ON e.g = r.g AND e.a = r.b),
+comp AS (SELECT x.g, x.a AS node, min(x.b) AS component FROM reach x JOIN reach y ON y.g = x.g AND y.a = x.b AND y.b = x.a GROUP BY ALL),
+sized AS (SELECT *, count(*) OVER (PARTITION BY g, component) AS size FROM comp),
+ce AS (SELECT DISTINCT e.g, p.component AS a, q.component AS b FROM base e JOIN comp p ON p.g = e.g AND p.node = e.a JOIN comp q ON q.g = e.g AND q.node = e.b WHERE p.component <> q.component),
+deep AS (SELECT DISTINCT g, component AS c, 1 AS k FROM comp UNION SELECT d.g, e.a, d.k + 1 FROM deep d JOIN ce e ON e.g = d.g AND e.b = d.c)"""
+
+
+@query(lambda: profile_sql.ctes() + _CYCLES + " SELECT s.g AS graph, s.node, s.component, s.size, (SELECT max(k) FROM deep d WHERE d.g = s.g AND d.c = s.component)::INT AS round FROM sized s")
+def reference_cycles(spark, sf_dir):
+    """Tables whose columns' values are in one another, around: components of all inclusions, and their order."""
+    p = profile(spark, sf_dir)
+    edges = p.inclusions().select(F.col("snapshot_id").alias("graph"), F.col("table_name").alias("node"), F.col("ref_table").alias("needs")).distinct()
+    nodes = p.stats.filter("feed = 'tables'").select(F.col("snapshot_id").alias("graph"), F.col("table_name").alias("node")).distinct()
+    return graph.layered(nodes, kept(edges))
+
+
 # ---- data probes over the tables themselves ----------------------------------------------
 
 

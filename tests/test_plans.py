@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 import schemas
 from schemaloom.builder import SchemaBuilder as S
 from schemaloom.model import Catalog
-from schemaloom.operators import history
+from schemaloom.operators import graph, history
+from schemaloom.operators import diff as diffing
 from schemaloom.operators.diff import Diff, DiffConfig, greedy, pairs_frame
 from schemaloom.plans import codegen, compile as compiling, operations, replay
 from schemaloom.functions.sqltext import RenderConfig
@@ -121,7 +122,57 @@ def test_options_of_rendering(spark):
     assert bare.filter("rollback is not null").count() == 0
 
 
-def test_greedy_matching_is_best_first(spark):
+def _many(rng, side, size):
+    """A schema of objects that resemble those of the other side, now and then."""
+    s = S(side)
+    words = [f"w{k}" for k in range(60)]
+    for k in range(size):
+        s.enum(f"{side}_e{k}", *rng.sample(words, rng.randrange(0, 6)))
+        s.sequence(f"{side}_s{k}", data_type=rng.choice(["integer", "bigint"]), increment=rng.choice([1, 2]), maximum=rng.choice([9, 99]))
+        s.view(f"{side}_v{k}", "x" * rng.randrange(1, 60), materialized=rng.random() < 0.5)
+        t = s.table(f"{side}_t{k}")
+        for w in rng.sample(words, rng.randrange(0, 5)):
+            t.column(w, rng.choice(["text", "integer"]))
+    t = s.table("shared")
+    for k in range(size):
+        t.column(f"{side}_c{k}", rng.choice(["text", "integer", "varchar(9)", "date"]), null=rng.random() < 0.5, default=rng.choice([None, "1"]))
+        cols = rng.sample(words, rng.randrange(1, 4))
+        kind = rng.randrange(5)
+        if kind == 0:
+            t.unique(*cols, name=f"{side}_u{k}")
+        elif kind == 1:
+            t.foreign_key(cols, rng.choice(["a", "b"]), cols, name=f"{side}_f{k}")
+        elif kind == 2:
+            t.check(rng.choice(["x > 1", "x > 2"]), name=f"{side}_k{k}")
+        elif kind == 3:
+            t.exclude((cols[0], "="), name=f"{side}_x{k}")
+        t.index(*cols, name=f"{side}_i{k}", unique=rng.random() < 0.5, method=rng.choice(["btree", "hash"]), predicate=rng.choice([None, "x > 1"]))
+    return s
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.62, 0.3])
+def test_candidates_by_tokens_are_all_candidates(spark, threshold):
+    rng = random.Random(12)
+    a, b = _many(rng, "a", 40), _many(rng, "b", 40)
+    rows = {k: a.rows[k] + b.rows[k] for k in {*a.rows, *b.rows}}
+    d = Diff(Catalog.of(spark, rows), pairs_frame(spark, [("p", "a", "b")]), DiffConfig(threshold))
+    key = ["kind", "table_name", "from_name", "to_name"]
+    everything = d.similarities().filter(F.col("similarity") >= threshold).select(*key)
+    want, got = ({tuple(r) for r in x.collect()} for x in (everything, d.candidates().select(*key)))
+    assert got == want and {k for k, *_ in want} == {"column", "constraint", "index", "view", "sequence", "enum", "table"}
+
+
+def test_few_pairs_are_looked_at(spark):
+    """Enums with labels of their own: of four million pairs under a tenth meet."""
+    rng, n = random.Random(13), 2000
+    rows = {"namespaces": [("a", "public", None), ("b", "public", None)], "enums": []}
+    for side in "ab":
+        rows["enums"] += [(side, f"{side}{k}", [f"w{rng.randrange(3000)}" for _ in range(5)], None) for k in range(n)]
+    d = Diff(Catalog.of(spark, rows), pairs_frame(spark, [("p", "a", "b")]))
+    assert 0 < d.looked_at().count() < n * n // 100
+
+
+def test_greedy_matching_is_best_first(spark, monkeypatch):
     rng = random.Random(3)
     rows = [(f"p{p}", "column", f"t{t}", f"a{i}", f"b{j}", rng.choice([0.5, 0.6, 0.7, 0.8, 0.9])) for p in range(6) for t in range(2) for i in range(rng.randrange(1, 7)) for j in range(rng.randrange(1, 7)) if rng.random() < 0.8]
     rows += [("top", "table", None, f"a{i}", f"b{j}", 0.5 + 0.01 * (i == j) + 0.001 * i) for i in range(12) for j in range(12)]
@@ -131,8 +182,10 @@ def test_greedy_matching_is_best_first(spark):
         if (p, k, t, 0, a) not in used and (p, k, t, 1, b) not in used:
             used |= {(p, k, t, 0, a), (p, k, t, 1, b)}
             want.add((p, k, t, a, b, s))
-    got = [tuple(r) for r in greedy(df).collect()]
-    assert len(got) == len(want) and set(got) == want
+    for most in (500, 0):  # folded, and in rounds
+        monkeypatch.setattr(diffing, "FOLD", most)
+        got = [tuple(r) for r in greedy(df).collect()]
+        assert len(got) == len(want) and set(got) == want
     assert greedy(df.limit(0)).count() == 0
 
 
@@ -144,6 +197,36 @@ def test_depths_end_in_cycles(spark):
     assert set(got) >= {("q", "x"), ("q", "y")}
 
 
+def test_rounds_and_components_of_graphs(spark):
+    rng = random.Random(21)
+    nodes, edges = [], []
+    for g, n, m in (("a", 12, 16), ("b", 10, 9), ("c", 8, 0), ("d", 14, 40)):
+        nodes += [(g, f"n{k:02}") for k in range(n)]
+        edges += [(g, f"n{rng.randrange(n):02}", f"n{rng.randrange(n):02}") for _ in range(m)] + [(g, "n01", "elsewhere")]
+    ns, es = spark.createDataFrame(nodes, "graph string, node string"), spark.createDataFrame(edges, "graph string, node string, needs string")
+    out = {}
+    for g, n in nodes:
+        seen, todo = {n}, [n]
+        while todo:
+            x = todo.pop()
+            for h, a, b in edges:
+                if h == g and a == x and b not in seen and (g, b) in nodes:
+                    seen.add(b)
+                    todo.append(b)
+        out[g, n] = seen
+    comp = {(g, n): min(x for x in out[g, n] if n in out[g, x]) for g, n in nodes}
+    got = {(r["graph"], r["node"]): r for r in graph.layered(ns, es).collect()}
+    assert {k: r["component"] for k, r in got.items()} == comp
+    assert all(r["size"] == sum(c == r["component"] and g == k[0] for (g, _), c in comp.items()) for k, r in got.items())
+    for g, a, b in edges:
+        if (g, b) in got and comp[g, a] != comp[g, b]:
+            assert got[g, a]["round"] > got[g, b]["round"]
+    order = {(r["graph"], r["node"]): r["round"] for r in graph.rounds(ns, es).collect()}
+    stuck = {k for k in order if any(sum(c == comp[k[0], x] for (g, _), c in comp.items() if g == k[0]) > 1 for x in out[k])}
+    assert {k for k, r in order.items() if r is None} == stuck
+    assert graph.layered(ns.limit(0), es).count() == 0
+
+
 def test_replay_never_replaces_silently():
     table = {"op_kind": "CreateTable", "name": "t", "payload": {"columns": [{"name": "a"}, {"name": "b"}], "constraints": [{"name": "c"}]}}
     state = replay.apply(replay.EMPTY, [table, {"op_kind": "CreateIndex", "table_name": "t", "name": "i", "payload": {}}])
