@@ -61,3 +61,42 @@ def test_gaps_are_told_when_patience_ends(spark, tmp_path):
     ]
     got = {(h, s): o for h, s, _, o in run(spark, tmp_path, batches, "gaps", patience_s=3600)}
     assert got == {(1, 1): "ok", (1, 3): "gap", (1, 4): "ok", (1, 6): "gap", (2, 1): "ok", (9, 1): "ok", (9, 2): "ok", (1, 7): "ok", (1, 2): "repeated"}
+
+
+# ---- histories as a source and a sink ----------------------------------------------
+
+
+def test_histories_are_written_whole_or_not_at_all(spark, tmp_path):
+    import pytest
+
+    from schemaloom.sources import histories, store
+
+    path = str(tmp_path / "all")
+    e = spark.createDataFrame(chain(spark), SCHEMA).filter("parent_hash <> 'x'")
+    broken = {r[0] for r in e.join(spark.createDataFrame(chain(spark), SCHEMA).filter("parent_hash = 'x'").select("history_id"), "history_id", "left_semi").select("history_id").distinct().collect()}
+    text = F.concat(F.lit('[{"op_kind": "CreateTable", "name": "t'), F.col("id"), F.lit('"}]'))
+    rows = e.select(F.concat(F.lit("h"), "history_id").alias("history_id"), F.col("seq").cast("int").alias("seq"), "id", "parent_hash", "resulting_hash", F.lit("d").alias("description"), text.alias("operations"), (F.col("seq") % 5 == 0).alias("is_checkpoint"))
+    whole = rows.filter(~F.col("history_id").isin(*[f"h{b}" for b in broken]))
+    first, rest = whole.filter("seq <= 20"), whole.filter("seq > 20")
+    histories.write_histories(first, path)
+    histories.write_histories(rest, path)
+    back = histories.read_histories(spark, path)
+    assert back.count() == whole.count() > 0 and back.exceptAll(whole).count() == 0
+    assert history.verify_chain(back).filter("NOT ok").count() == 0
+    one = whole.first()["history_id"]
+    assert store.Store(f"{path}/{one}").verify_chain() is None
+
+    def refused(df):
+        before = sorted(str(p) for p in (tmp_path / "all").rglob("*"))
+        with pytest.raises(Exception, match="Duplicate|WrongParent|not a name"):
+            histories.write_histories(df, path)
+        assert sorted(str(p) for p in (tmp_path / "all").rglob("*") if "_aside" not in str(p)) == [p for p in before if "_aside" not in p]
+        assert not list((tmp_path / "all" / "_aside").glob("*")) if (tmp_path / "all" / "_aside").exists() else True
+
+    fresh = spark.createDataFrame([("new1", 1, "a", history.ZERO, "s", "d", "[]", False)], whole.schema)
+    refused(first.filter(F.col("history_id") == one).limit(1).unionByName(fresh))
+    refused(fresh.withColumn("parent_hash", F.lit("wrong")).unionByName(fresh.withColumn("history_id", F.lit("new2"))))
+    refused(fresh.withColumn("history_id", F.lit("a/b")))
+    with pytest.raises(Exception, match="only append"):
+        fresh.write.format("histories").mode("overwrite").option("path", path).save()
+    assert histories.read_histories(spark, str(tmp_path / "none")).count() == 0
