@@ -8,9 +8,10 @@ corpus can ask about, so the answer over the corpus is exact.
 
 Building shuffles distinct keys once, map-side combined.  The first level is
 sized so that about as many unlisted keys pass it as there are listed ones, so a
-cascade's bytes follow the list and not the corpus.  It is broadcast if it stays
-under ``MAX_BYTES``; a list too long for that is answered by a shuffled join of
-the distinct keys (`member`, `judge`), with the same result.
+cascade's bytes follow the list and not the corpus.  A cascade is broadcast, and
+never over ``MAX_BYTES``: the keys of a longer list are dealt to parts by hash, each
+part has a cascade of its own over the part's keys, and rows pass them one after
+the other, with a written table between.
 
 Null URLs and URLs without ``://`` have an empty host and path and meet no
 rule.  Repeated rows, and rows with a repeated or null page_id, are judged one
@@ -20,6 +21,7 @@ by one.  Extra columns are ignored.
 from __future__ import annotations
 
 import string
+import zlib
 from collections.abc import Iterable
 
 import numpy as np
@@ -147,14 +149,52 @@ def build(listed: DataFrame, universe: DataFrame, limit: int = MAX_BYTES) -> Cas
     raise RuntimeError("the cascade didn't end")
 
 
+LEAST_BYTES = 4096  # of a part: a filter has a size that no splitting lowers
+
+
+class Part:
+    """The cascade of the keys whose hash falls to one part of several; all others are not listed by it."""
+
+    def __init__(self, cascade: Cascade, k: int, parts: int) -> None:
+        self.cascade, self.k, self.parts = cascade, k, parts
+
+    def test(self, keys: list[str]) -> np.ndarray:
+        if self.parts == 1:
+            return self.cascade.test(keys)
+        out = np.zeros(len(keys), bool)
+        own = [i for i, x in enumerate(keys) if zlib.crc32(x.encode()) % self.parts == self.k]
+        out[own] = self.cascade.test([keys[i] for i in own])
+        return out
+
+
+def build_parts(listed: DataFrame, universe: DataFrame, limit: int = MAX_BYTES) -> list[Part]:
+    """Cascades of at most ``limit`` bytes (LEAST_BYTES at least) that together answer for every key of the universe.
+
+    They are kept on the driver one beside the other, so the list itself must fit there (about ten bits a key).
+    """
+    limit, parts = max(limit, LEAST_BYTES), 1
+    while True:
+        out: list[Part] = []
+        for k in range(parts):
+            own = lambda df, k=k: df.select("key") if parts == 1 else df.select("key").filter(F.crc32(F.col("key").cast("binary")) % parts == k)  # noqa: E731, B023
+            cascade = build(own(listed), own(universe), limit)
+            if cascade is None:
+                break
+            out.append(Part(cascade, k, parts))
+        else:
+            return out
+        parts *= 2
+
+
 def member(keys: DataFrame, listed: DataFrame, limit: int = MAX_BYTES) -> DataFrame:
-    """Distinct keys of ``keys`` with a flag ``listed``: by cascade, or by a shuffled join where the list is too long to broadcast."""
-    cascade = build(listed, keys, limit)
-    distinct = keys.select("key").distinct()
-    if cascade is None:
-        return distinct.join(listed.select("key", F.lit(True).alias("listed")).distinct(), "key", "left").select("key", F.coalesce("listed", F.lit(False)).alias("listed"))
-    test = F.pandas_udf(lambda k: pd.Series(cascade.test(k.tolist())), "boolean")
-    return distinct.withColumn("listed", test("key"))
+    """Distinct keys of ``keys`` with a flag ``listed``."""
+    parts = build_parts(listed, keys, limit)
+    out = keys.select("key").distinct().withColumn("listed", F.lit(False))
+    for part in parts:
+        test = F.pandas_udf(lambda k, part=part: pd.Series(part.test(k.tolist())), "boolean")
+        out = out.withColumn("listed", F.col("listed") | test("key"))
+        out = written(out) if len(parts) > 1 else out
+    return out
 
 
 def suffixes(h: str) -> list[str]:
@@ -188,12 +228,11 @@ def judge(pages: DataFrame, rules: dict[str, list[tuple[str, str]]], listed_doma
         # rules are given in code and the cascade's size follows their number, so it is always small
         cascades[kind] = build(spark.createDataFrame([(a + b,) for a, b in listed] or [(None,)], "key string"), universe, 1 << 62)
     domains = asked.select("host", F.explode(F.pandas_udf(lambda h: h.map(suffixes), "array<string>")("host")).alias("key"))
-    hosts = build(listed_domains, domains.select("key"), limit)
-    if hosts is None:
-        hit = domains.join(listed_domains.select("key").distinct(), "key", "left_semi").select("host", F.lit(True).alias("on_list")).distinct()
-        split = split.join(hit, "host", "left").withColumn("on_list", F.coalesce("on_list", F.lit(False)))
-    else:
-        split = split.withColumn("on_list", F.pandas_udf(lambda h: _under(h, hosts), "boolean")("host"))
+    parts = build_parts(listed_domains, domains.select("key"), limit)
+    split = split.withColumn("on_list", F.lit(False))
+    for part in parts:
+        split = split.withColumn("on_list", F.col("on_list") | F.pandas_udf(lambda h, part=part: _under(h, part), "boolean")("host"))
+        split = written(split) if len(parts) > 1 else split
 
     @F.pandas_udf("rule string, verdict string")
     def decide(h: pd.Series, p: pd.Series, on_list: pd.Series) -> pd.DataFrame:
@@ -213,7 +252,7 @@ def judge(pages: DataFrame, rules: dict[str, list[tuple[str, str]]], listed_doma
     return found.select("page_id", "host", "path", F.col("x.rule").alias("rule"), F.col("x.verdict").alias("verdict"))
 
 
-def _under(hosts: pd.Series, cascade: Cascade) -> pd.Series:
+def _under(hosts: pd.Series, cascade: Part) -> pd.Series:
     """Whether a host or a domain above it is listed."""
     names = hosts.unique()
     above = [suffixes(h) for h in names]

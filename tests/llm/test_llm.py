@@ -711,6 +711,22 @@ def test_cascade_is_exact_over_its_universe(spark):
         assert got == {k: i % 7 == 0 for i, k in enumerate(keys)}
 
 
+def test_long_lists_go_through_several_cascades(spark):
+    """A list of several times the limit is parted by hash, and every answer stays exact; long and clashing urls too."""
+    name = lambda k: f"site{k}.example.com"
+    listed = spark.range(0, 120_000, 2).select(F.concat(F.lit("site"), F.col("id"), F.lit(".example.com")).alias("key"))
+    asked = spark.range(0, 3000).select(F.concat(F.lit("site"), F.col("id"), F.lit(".example.com")).alias("key"))
+    parts = url_filter.build_parts(listed, asked, 4096)
+    assert len(parts) > 2 and all(p.cascade.size <= 4096 for p in parts)
+    got = {r["key"]: r["listed"] for r in url_filter.member(asked, listed, 4096).collect()}
+    assert got == {name(k): k % 2 == 0 for k in range(3000)}
+    rows = [(k, f"http://www.{name(k)}/" + "p" * (k % 3 * 20_000), "<p>", "x", "y") for k in range(200)] + [(None, f"http://{name(4)}", None, None, None)] * 2
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host string, on_list string")
+    out = url_filter.judge(pages, RULES, listed, limit=4096).collect()
+    want = [(i, "block" if k % 2 == 0 else "allow") for i, k in [*((k, k) for k in range(200)), (None, 4), (None, 4)]]
+    assert collections.Counter((r["page_id"], r["verdict"]) for r in out) == collections.Counter(want)
+
+
 def test_cascade_follows_the_list_and_not_the_universe(spark):
     listed = spark.createDataFrame([("k3",), ("k40000",)], "key string")
     c = url_filter.build(listed, spark.range(50_000).select(F.concat(F.lit("k"), F.col("id")).alias("key")))
