@@ -19,6 +19,13 @@ ALL = ("namespaces", "tables", "columns", "constraints", "indexes", "views", "se
 _JAC = "CASE WHEN len({a}) = 0 AND len({b}) = 0 THEN 1.0 WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0 ELSE len(list_intersect({a}, {b}))::DOUBLE / len(list_distinct(list_concat({a}, {b}))) END"
 
 
+#: What the types and names of the given tables' snapshots become, written down apart from the package's own tables.
+PYTHON = {"int2": "int", "int4": "int", "int8": "int", "numeric": "Decimal", "varchar": "str", "text": "str", "timestamp": "datetime", "float4": "float"}
+RUST = {"int2": "i16", "int4": "i32", "int8": "i64", "numeric": "Decimal", "varchar": "String", "text": "String", "timestamp": "NaiveDateTime", "float4": "f32"}
+SQLALCHEMY = {"int2": "SmallInteger", "int4": "Integer", "int8": "BigInteger", "numeric": "Numeric", "varchar": "String", "text": "Text", "timestamp": "DateTime", "float4": "Float"}
+RESERVED = ("all", "and", "any", "as", "asc", "both", "case", "desc", "do", "else", "end", "for", "from", "in", "into", "is", "left", "like", "not", "null", "on", "only", "or", "order", "select", "some", "table", "then", "to", "true", "union", "unique", "user", "using", "when", "where", "with")
+
+
 def jac(a: str, b: str) -> str:
     return "(" + _JAC.format(a=a, b=b) + ")"
 

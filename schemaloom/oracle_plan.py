@@ -8,9 +8,7 @@ from __future__ import annotations
 
 import keyword
 
-from .functions.sqltext import RESERVED
-from .functions.typemap import PYTHON, RUST, SQLALCHEMY
-from .oracle import breaking_rows, diff_ctes, jac
+from .oracle import PYTHON, RESERVED, RUST, SQLALCHEMY, breaking_rows, diff_ctes, jac
 
 #: Dependency ranks of object kinds, and phases of a plan.
 _KIND = {"enum": 0, "sequence": 1, "table": 2, "view": 3, "index": 4, "constraint": 5, "comment": 6}

@@ -163,12 +163,12 @@ def _type_sql(table: dict[str, str], default: str, left: str, right: str) -> str
     return profile_sql.ctes("columns") + f" SELECT DISTINCT type.formatted AS formatted, CASE WHEN type.is_array THEN '{left}' || {one} || '{right}' ELSE {one} END AS mapped FROM columns"
 
 
-@query(lambda: _type_sql(typemap.PYTHON, "Any", "list[", "]"))
+@query(lambda: _type_sql(oracle.PYTHON, "Any", "list[", "]"))
 def type_map_python(spark, sf_dir):
     return catalog(spark, sf_dir).columns.select(F.col("type.formatted").alias("formatted"), typemap.python_type(F.col("type")).alias("mapped")).distinct()
 
 
-@query(lambda: _type_sql(typemap.RUST, "String", "Vec<", ">"))
+@query(lambda: _type_sql(oracle.RUST, "String", "Vec<", ">"))
 def type_map_rust(spark, sf_dir):
     return catalog(spark, sf_dir).columns.select(F.col("type.formatted").alias("formatted"), typemap.rust_type(F.col("type")).alias("mapped")).distinct()
 
@@ -370,12 +370,8 @@ def fk_depth(spark, sf_dir):
     return operations.table_depth(diff(spark, sf_dir)).select("pair_id", "name", F.col("depth").cast("int").alias("depth"))
 
 
-#: Words that must be quoted among the names below; written down apart from the package's own list.
-_QUOTED = ("user", "system_user", "select", "table", "order", "end", "in", "on", "to", "as", "do", "all", "and", "any", "both", "case", "desc", "else", "from", "into", "left", "not", "null", "only", "or", "then", "true", "when", "with", "for", "is", "using", "where", "like", "union", "unique", "asc", "some")
-
-
 @query(
-    "SELECT DISTINCT name, CASE WHEN regexp_full_match(name, '[a-z_][a-z0-9_$]*') AND name NOT IN (" + ", ".join(f"'{w}'" for w in _QUOTED) + ") THEN name ELSE '\"' || replace(name, '\"', '\"\"') || '\"' END AS quoted FROM ("
+    "SELECT DISTINCT name, CASE WHEN regexp_full_match(name, '[a-z_][a-z0-9_$]*') AND name NOT IN (" + ", ".join(f"'{w}'" for w in oracle.RESERVED) + ") THEN name ELSE '\"' || replace(name, '\"', '\"\"') || '\"' END AS quoted FROM ("
     "SELECT role AS name FROM conversations UNION ALL SELECT p_name FROM part UNION ALL SELECT c_mktsegment FROM customer UNION ALL SELECT source FROM documents UNION ALL SELECT url FROM pages UNION ALL SELECT props FROM events)"
 )
 def quote_identifiers(spark, sf_dir):

@@ -228,11 +228,11 @@ class Profile:
         )
 
     def _told(self, **relations: DataFrame) -> Catalog:
-        """Relations in their schemas' types, written once."""
+        """Relations in their schemas' types, written once, in as many files as their size needs."""
         out = {}
         for f in fields(Catalog):
             want = self.spark.createDataFrame([], SCHEMAS[f.name]).schema
-            out[f.name] = kept(relations[f.name].select(*[F.col(x.name).cast(x.dataType) for x in want]).coalesce(1))
+            out[f.name] = kept(relations[f.name].select(*[F.col(x.name).cast(x.dataType) for x in want]).hint("rebalance"))
         return Catalog(**out)
 
     def _marked(self, s: DataFrame) -> DataFrame:
@@ -288,4 +288,4 @@ class Profile:
         w = Window.partitionBy("feed").orderBy("snapshot_id")
         near = ids.select(F.coalesce(F.lag("snapshot_id").over(w), F.lit("")).alias("source_id"), F.col("snapshot_id").alias("target_id"))
         last = ids.groupBy("feed").agg(F.max("snapshot_id").alias("source_id")).select("source_id", F.lit("").alias("target_id"))
-        return kept(near.unionByName(last).select(F.concat("source_id", F.lit(".."), "target_id").alias("pair_id"), "source_id", "target_id").coalesce(1))
+        return kept(near.unionByName(last).select(F.concat("source_id", F.lit(".."), "target_id").alias("pair_id"), "source_id", "target_id").hint("rebalance"))
