@@ -82,10 +82,14 @@ class Moments:
         return [s / self.n for s in self.sums]  # of integers: rounded once
 
 
-def upper_triangle(names: Sequence[str], means: Sequence[float]) -> list[str]:
-    """Sums of centred columns, then of the centred products of every pair i <= j."""
-    c = [f"(double({x}) - {m!r}D)" for x, m in zip(names, means, strict=True)]
-    return [f"sum({x})" for x in c] + [f"sum({c[i]} * {c[j]})" for i in range(len(c)) for j in range(i, len(c))]
+def centred(df: DataFrame, names: Sequence[str], means: Sequence[float]) -> DataFrame:
+    """The columns c0 ... less their means."""
+    return df.selectExpr(*[f"double({x}) - {m!r}D AS c{i}" for i, (x, m) in enumerate(zip(names, means, strict=True))])
+
+
+def upper_triangle(d: int) -> list[str]:
+    """Sums of centred columns, then of the products of every pair i <= j."""
+    return [f"sum(c{i})" for i in range(d)] + [f"sum(c{i} * c{j})" for i in range(d) for j in range(i, d)]
 
 
 def assemble(values: Sequence[float], d: int, n: int) -> np.ndarray:
@@ -108,7 +112,7 @@ def fit(df: DataFrame) -> Moments | None:
     n, sums = sum(p["n"] for p in parts), [int(sum(p[f"sum{c}"] for p in parts)) for c in names]
     low, high = ([f(p[f"{f.__name__}{c}"] for p in parts) for c in names] for f in (min, max))
     means = [s / n for s in sums]
-    values = summed(x, upper_triangle(names, means))
+    values = summed(centred(x, names, means), upper_triangle(d))
     return Moments(n, sums, low, high, assemble(values, d, n))
 
 
@@ -158,7 +162,7 @@ def whiten(df: DataFrame, components: int = 8) -> DataFrame:
     error = None
     if live:
         means = [s / m.n for s in summed(rows, [f"sum({c})" for c in live])]
-        error = float(np.abs(assemble(summed(rows, upper_triangle(live, means)), len(live), m.n) - np.eye(len(live))).max())
+        error = float(np.abs(assemble(summed(centred(rows, live, means), upper_triangle(len(live))), len(live), m.n) - np.eye(len(live))).max())
     told = [F.struct(F.lit(k + 1).alias("component"), F.col(c).alias("whitened"), F.lit(float(e[k]) / total if total > 0 else None).cast("double").alias("explained")) for k, c in enumerate(columns)]
     out = rows.select("vec_id", "deviation", F.explode(F.array(*told)).alias("c"))
     return out.select("vec_id", "c.component", F.lit(m.n).cast("long").alias("n"), "deviation", "c.whitened", "c.explained", F.lit(error).cast("double").alias("identity_error"))
