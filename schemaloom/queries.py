@@ -32,6 +32,12 @@ def _once(spark: SparkSession, sf_dir: str, what: object, make):
     return _MADE[key]
 
 
+def forget() -> None:
+    """Drop all that is shared but the profiles themselves: what is asked for next is made anew (for measurements)."""
+    for key in [k for k in _MADE if k[2] not in ("profile", "catalog", "pairs")]:
+        del _MADE[key]
+
+
 def profile(spark: SparkSession, sf_dir: str) -> Profile:
     """The given tables, cut into snapshots."""
     return _once(spark, sf_dir, "profile", lambda: Profile(spark, sf_dir))
