@@ -645,9 +645,14 @@ def probe_unique(spark, sf_dir):
     return probes.unique(_read(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber")
 
 
-@query("SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_orderkey IS NOT NULL AND l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_totalprice > 100000 AND o_orderkey IS NOT NULL) GROUP BY ALL")
+_MOVED = "CASE WHEN l_linenumber = 7 THEN l_orderkey + 1000000000 ELSE l_orderkey END"
+
+
+@query(f"SELECT {_MOVED} AS l_orderkey, count(*) AS n FROM lineitem WHERE {_MOVED} NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey IS NOT NULL) GROUP BY 1")
 def probe_foreign_key(spark, sf_dir):
-    return probes.foreign_key(_read(spark, sf_dir, "lineitem"), ["l_orderkey"], _read(spark, sf_dir, "orders").filter("o_totalprice > 100000"), ["o_orderkey"])
+    """All rows, in a copy in which every seventh line of an order has lost it."""
+    child = _read(spark, sf_dir, "lineitem").withColumn("l_orderkey", F.expr(_MOVED))
+    return probes.foreign_key(child, ["l_orderkey"], _read(spark, sf_dir, "orders"), ["o_orderkey"])
 
 
 @query("SELECT count(*) AS n_rows, count(*) FILTER (WHERE NOT (l_quantity > 0 AND l_discount <= 0.05)) AS n_violations FROM lineitem")
