@@ -17,12 +17,16 @@ counts and ranges:
 * labels are an enum of those that one row in twelve holds, most frequent first; a marked column is a sequence of its range, and its most frequent
   value a view.
 
-Work: every cut is unpivoted and counted by value, in tasks first and then in one
-shuffle by (slice, column, value), so a frequent value travels once a task; all
-else is built on these counts.  Long texts travel as digests.  References between
-whole tables come from the same counts: the columns that hold a value meet once
-per value, equal sets of columns are counted together, and inclusion of one
-column in another is a comparison of counts.
+Work: one scan of a cut gives counts and ranges of all its columns, one row for a
+slice and task.  Only integers, texts and labels are counted by value, since only
+their distinct values matter; numbers, times and arrays are never shuffled.  A
+value travels with the number of its column (and its slice, where a table is cut),
+once a task; integers as they are, texts as digests.  Both snapshots of a whole
+table come from one count, which tells the even rows apart.  Modes and distinct
+values follow from a count of the counts.  References between whole tables: the
+columns that hold a value are bits of a mask, gathered once per value; equal masks
+are counted together, and inclusion of one column in another is a comparison of
+counts.
 
 Nulls: a null snapshot or table name is 'none'.  Empty tables give no slices.
 """
@@ -40,24 +44,28 @@ from ..tables import kept
 
 @dataclass(frozen=True)
 class Cut:
-    """snapshots: an array expression; name: a table's name; columns: (name, kind, expression).
+    """snapshot: an expression, None for whole tables; name: an expression of a table's name; columns: (name, kind, expression);
+    marked: an integer column; half: which rows of a whole table are also in the snapshot of even rows; given: (name, expression)
+    of what several columns use, computed once a row.
 
     Kinds: int, slot (an integer that should not repeat), num, label, text, time, raw (counted only).
     """
 
     feed: str
     table: str
-    snapshots: str
+    snapshot: str | None
     name: str
     columns: tuple[tuple[str, str, str], ...]
     marked: str | None = None
+    half: str = "false"
+    given: tuple[tuple[str, str], ...] = ()
 
 
 def whole(table: str, *columns: tuple[str, str]) -> Cut:
     """A table as it is, and the rows whose first column is even as another snapshot."""
     first, kind = columns[0]
-    odd = f"{first} % 2 = 0" if kind == "int" else "true"
-    return Cut("tables", table, f"array_compact(array('tables', CASE WHEN {odd} THEN 'tables/even' END))", f"'{table}'", tuple((c, k, c) for c, k in columns))
+    even = f"{first} % 2 = 0" if kind == "int" else "true"
+    return Cut("tables", table, None, f"'{table}'", tuple((c, k, c) for c, k in columns), None, even)
 
 
 _DIGITS = "try_cast(regexp_extract(props, '([0-9]+)', 1) AS bigint)"
@@ -66,16 +74,17 @@ CUTS = (
     Cut(
         "events",
         "events",
-        "array(concat('events/', date_format(ts, 'yyyy-MM-dd')))",
+        "concat('events/', date_format(ts, 'yyyy-MM-dd'))",
         "event_type",
-        (("event_id", "int", "event_id"), ("user_id", "int", "user_id"), ("value", "num", "value"), ("hour", "slot", "hour(ts)"), ("decade", "label", f"concat('k', {_DIGITS} div 10)"))
-        + tuple((f"k{d}", "int", f"CASE WHEN {_DIGITS} div 10 = {d} THEN {_DIGITS} END") for d in range(10)),
+        (("event_id", "int", "event_id"), ("user_id", "int", "user_id"), ("value", "num", "value"), ("hour", "slot", "hour(ts)"), ("decade", "label", "concat('k', digits div 10)"))
+        + tuple((f"k{d}", "int", f"CASE WHEN digits div 10 = {d} THEN digits END") for d in range(10)),
         "user_id",
+        given=(("digits", _DIGITS),),
     ),
     Cut(
         "documents",
         "documents",
-        "array(concat('documents/', lang))",
+        "concat('documents/', lang)",
         "source",
         (("doc_id", "int", "doc_id"), ("text", "text", "text"), ("n_chars", "int", "n_chars"), ("size", "label", "CASE WHEN n_chars < 1000 THEN 'short' WHEN n_chars < 2000 THEN 'medium' ELSE 'long' END")),
         "n_chars",
@@ -83,7 +92,7 @@ CUTS = (
     Cut(
         "conversations",
         "conversations",
-        "array(concat('conversations/', turn))",
+        "concat('conversations/', turn)",
         "role",
         (("conv_id", "int", "conv_id"), ("text", "text", "text"), ("n_chars", "int", "length(text)"), ("size", "label", "CASE WHEN length(text) < 100 THEN 'short' WHEN length(text) < 200 THEN 'medium' ELSE 'long' END")),
         "n_chars",
@@ -91,7 +100,7 @@ CUTS = (
     Cut(
         "orders",
         "orders",
-        "array(concat('orders/', year(o_orderdate)))",
+        "concat('orders/', year(o_orderdate))",
         "concat('status_', lower(o_orderstatus))",
         (("o_orderkey", "int", "o_orderkey"), ("o_custkey", "int", "o_custkey"), ("o_totalprice", "num", "o_totalprice"), ("o_orderpriority", "label", "o_orderpriority"), ("month", "int", "month(o_orderdate)")),
         "o_custkey",
@@ -120,43 +129,111 @@ SLICE = ["feed", "snapshot_id", "table_name"]
 COLUMN = [*SLICE, "name", "position", "kind", "marked"]
 
 
-def _cell(position: int, name: str, kind: str, expr: str, marked: bool) -> str:
-    """One column of a row: v tells values apart, i and x are numbers, size and ascii describe texts."""
-    v = {"text": f"md5(cast({expr} AS binary))", "raw": f"CASE WHEN {expr} IS NOT NULL THEN '*' END"}.get(kind, f"cast({expr} AS string)")
-    i = f"cast({expr} AS bigint)" if kind in ("int", "slot") else "cast(NULL AS bigint)"
-    x = f"cast({expr} AS double)" if kind == "num" else "cast(NULL AS double)"
-    size, plain = (f"char_length({expr})", f"octet_length({expr}) = char_length({expr})") if kind == "text" else ("cast(NULL AS int)", "cast(NULL AS boolean)")
-    return f"struct('{name}' AS name, {position} AS position, '{kind}' AS kind, {str(marked).lower()} AS marked, {v} AS v, {i} AS i, {x} AS x, {size} AS size, {plain} AS ascii)"
+def _at(cut: Cut, told: bool) -> list[str]:
+    """Snapshot, table and half of a row; of whole tables only where told, as the column tells them as well."""
+    if cut.snapshot is None and not told:
+        return ["cast(NULL AS string) AS s", "cast(NULL AS string) AS t", f"coalesce({cut.half}, false) AS half"]
+    return [f"coalesce({cut.snapshot or f"'{cut.feed}'"}, '{cut.feed}/none') AS s", f"coalesce({cut.name}, 'none') AS t", f"coalesce({cut.half}, false) AS half"]
 
 
-def cells(df: DataFrame, cut: Cut) -> DataFrame:
-    """A row for every row, snapshot and column of a cut."""
-    row = ", ".join(_cell(k + 1, *c, c[0] == cut.marked) for k, c in enumerate(cut.columns))
-    sliced = df.selectExpr("*", f"explode({cut.snapshots}) AS _snapshot")
-    out = sliced.selectExpr(f"'{cut.feed}' AS feed", f"coalesce(_snapshot, '{cut.feed}/none') AS snapshot_id", f"coalesce({cut.name}, 'none') AS table_name", f"explode(array({row})) AS c")
-    return out.select(*SLICE, "c.*")
+def _halves(df: DataFrame) -> DataFrame:
+    """Rows of both halves as the whole, and those of the even one."""
+    return df.withColumn("half", F.explode(F.when(F.col("half"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+
+
+def _ranges(df: DataFrame, cut: Cut, numbers: list[int]) -> DataFrame:
+    """A row for every column of every slice: what needs no distinct values."""
+    aggs, cells = [], []
+    for k, (_, kind, _e) in zip(numbers, cut.columns, strict=True):
+        c = f"c{k}"
+        found = {"held": f"count({c})", "low": "cast(NULL AS bigint)", "high": "cast(NULL AS bigint)", "least": "cast(NULL AS double)", "most": "cast(NULL AS double)", "plus": "cast(NULL AS boolean)", "minus": "cast(NULL AS boolean)", "size": "cast(NULL AS int)", "ascii": "cast(NULL AS boolean)"}
+        if kind in ("int", "slot"):
+            found |= {"low": f"cast(min({c}) AS bigint)", "high": f"cast(max({c}) AS bigint)"}
+        elif kind == "num":
+            signed = f"CASE WHEN {c} = 0 THEN startswith(cast({c} AS string), '-') END"  # 0.0 and -0.0 are two values
+            found |= {"least": f"cast(min({c}) AS double)", "most": f"cast(max({c}) AS double)", "plus": f"min({signed})", "minus": f"max({signed})"}
+        elif kind == "text":
+            found |= {"size": f"max(char_length({c}))", "ascii": f"min(octet_length({c}) = char_length({c}))"}
+        aggs += [F.expr(e).alias(f"{x}{k}") for x, e in found.items()]
+        cells.append(f"struct({k} AS k, {', '.join(f'{x}{k} AS {x}' for x in found)})")
+    rows = df.selectExpr(*_at(cut, True), *(f"{e} AS c{k}" for k, (_, _, e) in zip(numbers, cut.columns, strict=True)))
+    return rows.groupBy("s", "t", "half").agg(F.count(F.lit(1)).alias("n_rows"), *aggs).selectExpr("s", "t", "half", "n_rows", f"inline(array({', '.join(cells)}))")
 
 
 class Profile:
-    """Counts by value and by column of all cuts, and the catalog that follows from them."""
+    """Counts by column and, where they matter, by value of all cuts, and the catalog that follows from them."""
 
     def __init__(self, spark: SparkSession, folder: str, cuts: tuple[Cut, ...] = CUTS) -> None:
-        self.spark, rows = spark, None
-        for cut in cuts:
-            one = cells(spark.read.parquet(f"{folder}/{cut.table}.parquet"), cut)
-            rows = one if rows is None else rows.unionByName(one)
-        values = rows.groupBy(*COLUMN, "v").agg(F.count(F.lit(1)).alias("n"), F.max("i").alias("i"), F.max("x").alias("x"), F.max("size").alias("size"), F.min("ascii").alias("ascii"))
-        self.values = kept(values)
+        self.spark, self.folder, self.cuts = spark, folder, cuts
+        listed = [(cut, p + 1, *c) for cut in cuts for p, c in enumerate(cut.columns)]
+        self._columns = [(cut, k, kind, expr) for k, (cut, _, _, kind, expr) in enumerate(listed)]
+        told = [(k, cut.feed, cut.feed if cut.snapshot is None else None, cut.table if cut.snapshot is None else None, name, p, kind, name == cut.marked) for k, (cut, p, name, kind, _) in enumerate(listed)]
+        self._named = kept(spark.createDataFrame(told, "k int, feed string, all string, of string, name string, position int, kind string, marked boolean").coalesce(1))
+        #: k, s, t, v, n, n_half: how often a column holds a value; of labels, and of what other columns may refer to.
+        self.labels = kept(self._counts(("label",)))
+        self.whole = {kind: kept(self._counts(kinds, whole=True)) for kind, kinds in (("int", ("int", "slot")), ("text", ("text",)))}
         self.stats = kept(self._stats())
         self.columns_held = self.stats.filter("10 * held >= n_rows")
+        self._sets: DataFrame | None = None
+
+    def _read(self, cut: Cut) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{cut.table}.parquet").withColumns({c: F.expr(e) for c, e in cut.given})
+
+    def _counts(self, kinds: tuple[str, ...], whole: bool | None = None) -> DataFrame:
+        """k, s, t, v, n, n_half: how many rows (and even rows) of a slice hold a value; s and t are null, or left out, in whole tables."""
+        exact = {"text": "md5(cast({} AS binary))", "label": "cast({} AS string)"}
+        rows = None
+        for cut in self.cuts:
+            cells = [f"struct({k} AS k, {exact.get(kind, 'cast({} AS bigint)').format(expr)} AS v)" for c, k, kind, expr in self._columns if c is cut and kind in kinds]
+            if whole not in (None, cut.snapshot is None):
+                continue
+            for at in range(0, len(cells), 4):  # more in one loop, and the JVM no longer compiles it
+                one = self._read(cut).selectExpr(*_at(cut, False), f"inline(array({', '.join(cells[at : at + 4])}))").filter("v IS NOT NULL")
+                rows = one if rows is None else rows.unionByName(one)
+        if rows is None:
+            value = "string" if kinds[0] in exact else "long"
+            rows = self.spark.createDataFrame([], f"s string, t string, half boolean, k int, v {value}")
+        keys = ("k", "v") if whole else ("k", "s", "t", "v")
+        return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if("half").alias("n_half"))
+
+    def _at_names(self, df: DataFrame) -> DataFrame:
+        """Slices by name instead of s, t and half, columns by name instead of k."""
+        snapshot = F.concat(F.coalesce("s", "all"), F.when(F.col("half"), "/even").otherwise(""))
+        rest = [c for c in df.columns if c not in ("k", "s", "t", "half")]
+        return df.join(F.broadcast(self._named), "k").select("feed", snapshot.alias("snapshot_id"), F.coalesce("t", "of").alias("table_name"), "name", "position", "kind", "marked", *rest)
+
+    @staticmethod
+    def _both(counts: DataFrame) -> DataFrame:
+        """Counts of the whole and of the even rows below one another: half, n."""
+        rest = [c for c in counts.columns if c not in ("n", "n_half")]
+        even = counts.filter("n_half > 0").select(*rest, F.lit(True).alias("half"), F.col("n_half").alias("n"))
+        return counts.select(*rest, F.lit(False).alias("half"), "n").unionByName(even)
+
+    def _distinct(self) -> DataFrame:
+        """k, s, t, half, d, mode, mode_n of all columns that are counted by value, by way of a count of the counts."""
+        at, null, out = ["k", "s", "t", "half"], F.lit(None).cast("long"), None
+        whole = [c.select("k", *(F.lit(None).cast("string").alias(x) for x in ("s", "t")), "v", "n", "n_half") for c in self.whole.values()]
+        cut = [self._counts(kinds, whole=False).withColumn("half", F.lit(False)) for kinds in (("int", "slot"), ("text",))]
+        for c in [*(self._both(x) for x in (self.labels, *whole)), *cut]:
+            i = F.min("v") if dict(c.dtypes)["v"] == "bigint" else F.max(null)
+            one = c.groupBy(*at, "n").agg(F.count(F.lit(1)).alias("d"), i.alias("i"))
+            out = one if out is None else out.unionByName(one)
+        return out.groupBy(*at).agg(F.sum("d").alias("d"), F.min_by("i", -F.col("n")).cast("string").alias("mode"), F.max("n").alias("mode_n"))
 
     def _stats(self) -> DataFrame:
-        told = F.col("v").isNotNull()
-        best = F.when(told, F.struct(-F.col("n"), "i"))
-        return self.values.groupBy(*COLUMN).agg(
-            F.sum("n").alias("n_rows"), F.coalesce(F.sum(F.when(told, F.col("n"))), F.lit(0)).alias("held"), F.count("v").alias("d"), F.min("i").alias("low"), F.max("i").alias("high"),
-            F.min("x").alias("least"), F.max("x").alias("most"), F.max("size").alias("size"), F.min("ascii").alias("ascii"), F.min_by("v", best).alias("mode"), F.max(F.when(told, F.col("n"))).alias("mode_n"),
-        ).withColumn("unique", (F.col("d") == F.col("n_rows")) & F.col("kind").isin("int", "slot", "text"))
+        """A row for every column of every slice; d, mode and mode_n are those of integers, texts and labels (modes of integers alone)."""
+        rows = None
+        for cut in self.cuts:
+            one = _ranges(self._read(cut), cut, [k for c, k, _, _ in self._columns if c is cut])
+            rows = one if rows is None else rows.unionByName(one)
+        at = ["k", "s", "t", "half"]
+        of = {"n_rows": F.sum, "held": F.sum, "low": F.min, "high": F.max, "least": F.min, "most": F.max, "plus": F.min, "minus": F.max, "size": F.max, "ascii": F.min}
+        ranges = _halves(rows).groupBy(*at).agg(*(f(c).alias(c) for c, f in of.items()))
+        counted = self._at_names(self._distinct()).select(*COLUMN, "d", "mode", "mode_n")
+        counts = F.col("kind").isin("int", "slot", "text", "label")
+        alone = F.when(counts, F.col("d") == 1).otherwise((F.col("least") == F.col("most")) & ((F.col("least") != 0) | (F.col("plus") == F.col("minus"))))
+        out = self._at_names(ranges).join(counted, COLUMN, "left").withColumn("d", F.when(counts, F.coalesce("d", F.lit(0)))).withColumn("constant", F.coalesce(alone, F.lit(False)))
+        return out.drop("plus", "minus").withColumn("unique", F.col("kind").isin("int", "slot", "text") & (F.col("d") == F.col("n_rows")))
 
     # ---- relations ----
 
@@ -167,17 +244,39 @@ class Profile:
 
     def _labels(self) -> DataFrame:
         at = ["snapshot_id", "table_name", "name"]
-        kept_ = self.values.filter("kind = 'label' AND v IS NOT NULL").join(self.columns_held.select(*at, "held"), at).filter("12 * n >= held")
+        kept_ = self._at_names(self._both(self.labels)).join(self.columns_held.select(*at, "held"), at).filter("12 * n >= held")
         rows = kept_.groupBy(*at).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), F.col("v").alias("v")))).alias("l"))  # 12 at most
         return rows.select(*at, F.concat_ws("_", "table_name", "name").alias("enum"), F.transform("l", lambda x: x["v"]).alias("labels"))
 
+    def _masks(self) -> DataFrame:
+        """snapshot_id, table_name, name, ref_table, ref_name, n: n values are held by both columns of two tables (summed over rows)."""
+        out = None
+        for kind, counts in self.whole.items():
+            # a column's place among those of its kind: bit place % 63 of mask place div 63
+            place = {k: p for p, k in enumerate(k for c, k, x, _ in self._columns if x == kind and c.snapshot is None)}
+            words = range((len(place) + 62) // 63)
+            if not place:
+                continue
+            at = self.spark.createDataFrame([(k, p // 63, 1 << p % 63) for k, p in place.items()], "k int, word int, bit long").coalesce(1)
+            bit = lambda w, n: F.bit_or(F.when((F.col("word") == w) & (F.col(n) > 0), F.col("bit")).otherwise(0))
+            masks = [f"{n}{w}" for n in ("all", "even") for w in words]
+            met = counts.join(F.broadcast(at), "k").groupBy("v").agg(*(bit(w, n).alias(f"{m}{w}") for m, n in (("all", "n"), ("even", "n_half")) for w in words))
+            sets = met.groupBy(*masks).agg(F.count(F.lit(1)).alias("n"))
+            one = sets.select("n", F.explode(F.array(*(F.struct(F.lit(m == "even").alias("half"), F.array(*(f"{m}{w}" for w in words)).alias("mask")) for m in ("all", "even")))).alias("x")).select("n", "x.*").groupBy("half", "mask").agg(F.sum("n").alias("n"))
+            held = F.expr("mask[word] & bit <> 0")
+            null = F.lit(None).cast("string")
+            a = one.join(F.broadcast(at), held).select("half", "mask", "n", "k", null.alias("s"), null.alias("t"))
+            a = self._at_names(a).select("snapshot_id", "mask", "n", "table_name", "name")
+            b = at.join(F.broadcast(self._named), "k").select("word", "bit", F.col("of").alias("ref_table"), F.col("name").alias("ref_name"))
+            one = a.join(F.broadcast(b), held & (F.col("table_name") != F.col("ref_table"))).drop("mask", "word", "bit")
+            out = one if out is None else out.unionByName(one)
+        return out if out is not None else self.spark.createDataFrame([], "snapshot_id string, n long, table_name string, name string, ref_table string, ref_name string")
+
     def inclusions(self) -> DataFrame:
         """snapshot_id, table_name, name, d, is_unique, ref_table, ref_name, ref_d: columns of whole tables whose d values all are in a unique column of another table."""
-        v = self.values.filter("feed = 'tables' AND v IS NOT NULL AND kind IN ('int', 'text')")
-        met = v.groupBy("snapshot_id", "kind", "v").agg(F.sort_array(F.collect_set(F.struct("table_name", "name"))).alias("cols"))
-        sets = kept(met.groupBy("snapshot_id", "cols").agg(F.count(F.lit(1)).alias("n")))
-        a = sets.select("snapshot_id", "n", "cols", F.explode("cols").alias("a")).select("snapshot_id", "n", F.col("a.table_name").alias("table_name"), F.col("a.name").alias("name"), F.explode("cols").alias("b"))
-        both = a.groupBy("snapshot_id", "table_name", "name", F.col("b.table_name").alias("ref_table"), F.col("b.name").alias("ref_name")).agg(F.sum("n").alias("common")).filter("table_name <> ref_table")
+        if self._sets is None:
+            self._sets = kept(self._masks())
+        both = self._sets.groupBy("snapshot_id", "table_name", "name", "ref_table", "ref_name").agg(F.sum("n").alias("common"))
         held = self.columns_held.filter("feed = 'tables'")
         child = held.select("snapshot_id", "table_name", "name", "d", F.col("unique").alias("is_unique"))
         parent = held.filter("unique AND held = n_rows").select("snapshot_id", F.col("table_name").alias("ref_table"), F.col("name").alias("ref_name"), F.col("d").alias("ref_d"))
@@ -209,7 +308,7 @@ class Profile:
         type_ = F.struct(short.alias("name"), own.alias("schema"), F.col("formatted"), (F.col("kind") == "raw").alias("is_array"))
         default = F.when((F.col("kind") == "num") & (F.col("least") < 1), "0").when(F.col("kind") == "label", F.concat(F.lit("'"), F.expr("labels[0]"), F.lit("'")))
         dense = F.col("unique") & (F.col("kind") == "int") & (F.col("held") == F.col("n_rows")) & (F.col("high") - F.col("low") + 1 == F.col("n_rows"))
-        constant = (F.col("d") == 1) & F.col("kind").isin("int", "slot", "num", "label")
+        constant = F.col("constant") & F.col("kind").isin("int", "slot", "num", "label")
         columns = s.join(labels.drop("enum"), ["snapshot_id", "table_name", "name"], "left").select(
             "snapshot_id", "table_name", "name", F.col("position").cast("int").alias("position"), type_.alias("type"), (F.col("held") < F.col("n_rows")).alias("is_nullable"), default.alias("default_expr"),
             null("struct<expression:string,storage:string>").alias("generated"), F.when(dense, "ALWAYS").alias("identity"), F.when(F.col("ascii"), "C").otherwise("default").alias("collation"), F.when(constant, "constant").alias("comment"),
