@@ -18,9 +18,10 @@ whatever stands around them.
    held against all others (a match of a run is a match that goes far enough to
    the left and to the right), not only against the adjacent suffix, so slotted
    texts and partial copies lose nothing.
-4. A prefix that touches the bounds of a range partition, or has more than
-   ``OPEN`` different stretches, is not settled there: its runs are counted by
-   hash in the cluster, with partial aggregation.
+4. A prefix that touches the bounds of a range partition is not settled there:
+   its stretches (two prefixes at most for each partition) meet by prefix and are
+   compared likewise.  Only a prefix of more than ``OPEN`` different stretches has
+   its runs counted by hash in the cluster, with partial aggregation.
 
 A run is repeated if a document of smaller doc_id holds it, or the same document
 further left.  So the first occurrence stays and only later ones go, and a
@@ -279,6 +280,22 @@ def _compare(limit: int):
     return run
 
 
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Open stretches of whole prefixes, sorted by g, compared as those within a partition are."""
+    held = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        rows = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+        rows = rows.combine_chunks()
+        keys = rows.column("g").to_numpy()
+        cut = int(np.searchsorted(keys, keys[-1], "left"))
+        yield from _partial(rows.slice(0, cut))
+        held = rows.slice(cut)
+    if held is not None:
+        yield from _partial(held)
+
+
 def _runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each run of an open stretch."""
     for b in batches:
@@ -322,14 +339,19 @@ def repeats(docs: DataFrame, limit: int = OPEN) -> DataFrame:
     stretches = written(held.mapInArrow(lean(_stretches), _STRETCH_DDL))
     order = ["g", "d", "doc", "c", "pos"]
     compared = written(stretches.filter("not copy").repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(lean(_compare(limit)), _FOUND_DDL))
-    runs = compared.filter("open").select("g", "doc", "c", "pos", "n", "w").mapInArrow(lean(_runs_of), "g long, w long, doc long, c long, pos int")
-    runs = written(runs)
+    still = compared.filter("open").select("g", "doc", "c", "pos", "n", "w")
+    # two prefixes at most for each range partition, and those over the limit
+    many = still.groupBy("g").agg((F.count(F.lit(1)) > limit).alias("many"))
+    still = still.join(F.broadcast(many), "g")
+    few = still.filter("not many").drop("many").repartition(parts, "g").sortWithinPartitions("g")
+    settled = written(few.mapInArrow(lean(_settle), _FOUND_DDL))
+    runs = written(still.filter("many").drop("many").mapInArrow(lean(_runs_of), "g long, w long, doc long, c long, pos int"))
     place = F.struct("doc", "c", "pos")
     firsts = written(runs.groupBy("g", "w").agg(F.min(place).alias("f"), F.count(F.lit(1)).alias("k")).filter("k > 1"))
     rest = heavy_join(runs, firsts, ["g", "w"], "k").filter(place > F.col("f"))
     out = ["doc", "c", "pos", "n", "first"]
     own = stretches.filter("copy").select("doc", "c", "pos", "n", F.col("doc").alias("first"))
-    whole = compared.filter("not open").select(*out)
+    whole = compared.filter("not open").select(*out).unionByName(settled.select(*out))
     return own.unionByName(whole).unionByName(rest.select("doc", "c", "pos", F.lit(1).alias("n"), F.col("f.doc").alias("first")))
 
 
