@@ -19,11 +19,13 @@ counts and ranges:
 
 Work: one scan of a cut gives counts and ranges of all its columns, one row for a
 slice and task.  Only integers, texts and labels are counted by value, since only
-their distinct values matter; numbers, times and arrays are never shuffled.  A
-value travels with the number of its column (and its slice, where a table is cut),
-once a task; integers as they are, texts as digests.  Both snapshots of a whole
-table come from one count, which tells the even rows apart.  Modes and distinct
-values follow from a count of the counts.  References between whole tables: the
+their distinct values matter; numbers, times and arrays are never shuffled.  Each
+column of a whole table is grouped by its value alone; in cuts, a value travels
+with its slice and the number of its column, once a task; integers as they are,
+texts as digests.  A column that repeats nothing in the whole table does so in no
+slice: there it isn't counted by value again.  Both snapshots of a whole table
+come from one count, which tells the even rows apart.  Modes and distinct values
+follow from a count of the counts.  References between whole tables: the
 columns that hold a value are bits of a mask, gathered once per value; equal masks
 are counted together, and inclusion of one column in another is a comparison of
 counts.
@@ -74,7 +76,7 @@ CUTS = (
     Cut(
         "events",
         "events",
-        "concat('events/', date_format(ts, 'yyyy-MM-dd'))",
+        "concat('events/', cast(cast(ts AS date) AS string))",
         "event_type",
         (("event_id", "int", "event_id"), ("user_id", "int", "user_id"), ("value", "num", "value"), ("hour", "slot", "hour(ts)"), ("decade", "label", "concat('k', digits div 10)"))
         + tuple((f"k{d}", "int", f"CASE WHEN digits div 10 = {d} THEN digits END") for d in range(10)),
@@ -125,6 +127,9 @@ CUTS = (
     whole("conversations", ("conv_id", "int"), ("turn", "int"), ("role", "label"), ("text", "text")),
 )
 
+#: What tells texts and labels apart by value; all other columns that are counted are integers.
+_EXACT = {"text": "md5(cast({} AS binary))", "label": "cast({} AS string)"}
+
 SLICE = ["feed", "snapshot_id", "table_name"]
 COLUMN = [*SLICE, "name", "position", "kind", "marked"]
 
@@ -169,9 +174,11 @@ class Profile:
         self._columns = [(cut, k, kind, expr) for k, (cut, _, _, kind, expr) in enumerate(listed)]
         told = [(k, cut.feed, cut.feed if cut.snapshot is None else None, cut.table if cut.snapshot is None else None, name, p, kind, name == cut.marked) for k, (cut, p, name, kind, _) in enumerate(listed)]
         self._named = kept(spark.createDataFrame(told, "k int, feed string, all string, of string, name string, position int, kind string, marked boolean").coalesce(1))
+        self._proven: set[int] = set()
         #: k, s, t, v, n, n_half: how often a column holds a value; of labels, and of what other columns may refer to.
         self.labels = kept(self._counts(("label",)))
         self.whole = {kind: kept(self._counts(kinds, whole=True)) for kind, kinds in (("int", ("int", "slot")), ("text", ("text",)))}
+        self._proven = self._proved()
         self.stats = kept(self._stats())
         self.columns_held = self.stats.filter("10 * held >= n_rows")
         self._sets: DataFrame | None = None
@@ -180,21 +187,33 @@ class Profile:
         return self.spark.read.parquet(f"{self.folder}/{cut.table}.parquet").withColumns({c: F.expr(e) for c, e in cut.given})
 
     def _counts(self, kinds: tuple[str, ...], whole: bool | None = None) -> DataFrame:
-        """k, s, t, v, n, n_half: how many rows (and even rows) of a slice hold a value; s and t are null, or left out, in whole tables."""
-        exact = {"text": "md5(cast({} AS binary))", "label": "cast({} AS string)"}
-        rows = None
+        """k, s, t, v, n, n_half: how many rows (and even rows) of a slice hold a value; s and t are null, or left out, in whole tables.
+
+        Columns of whole tables are grouped one by one, by the value alone; those of a cut share what places a row in a slice.
+        """
+        counted = F.count(F.lit(1)).alias("n"), F.count_if("half").alias("n_half")
+        out = None
         for cut in self.cuts:
-            cells = [f"struct({k} AS k, {exact.get(kind, 'cast({} AS bigint)').format(expr)} AS v)" for c, k, kind, expr in self._columns if c is cut and kind in kinds]
             if whole not in (None, cut.snapshot is None):
                 continue
-            for at in range(0, len(cells), 4):  # more in one loop, and the JVM no longer compiles it
-                one = self._read(cut).selectExpr(*_at(cut, False), f"inline(array({', '.join(cells[at : at + 4])}))").filter("v IS NOT NULL")
-                rows = one if rows is None else rows.unionByName(one)
-        if rows is None:
-            value = "string" if kinds[0] in exact else "long"
-            rows = self.spark.createDataFrame([], f"s string, t string, half boolean, k int, v {value}")
-        keys = ("k", "v") if whole else ("k", "s", "t", "v")
-        return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if("half").alias("n_half"))
+            cells = [(k, _EXACT.get(kind, "cast({} AS bigint)").format(expr)) for c, k, kind, expr in self._columns if c is cut and kind in kinds and (cut.snapshot is None or k not in self._proven)]
+            if cut.snapshot is None:
+                several = [self._read(cut).selectExpr(*_at(cut, False), f"{v} AS v").filter("v IS NOT NULL").groupBy("v").agg(*counted).withColumn("k", F.lit(k)) for k, v in cells]
+                several = [one.withColumns({x: F.lit(None).cast("string") for x in ("s", "t")}) for one in several]
+            else:
+                fours = [cells[at : at + 4] for at in range(0, len(cells), 4)]  # more in one loop, and the JVM no longer compiles it
+                several = [self._read(cut).selectExpr(*_at(cut, False), f"inline(array({', '.join(f'struct({k} AS k, {v} AS v)' for k, v in four)}))").filter("v IS NOT NULL").groupBy("k", "s", "t", "v").agg(*counted) for four in fours]
+            for one in several:
+                out = one if out is None else out.unionByName(one)
+        if out is None:
+            out = self.spark.createDataFrame([], f"k int, s string, t string, v {'string' if kinds[0] in _EXACT else 'long'}, n long, n_half long")
+        return out.select("k", *(() if whole else ("s", "t")), "v", "n", "n_half")
+
+    def _proved(self) -> set[int]:
+        """Columns of cuts that repeat no value in their whole table, so in no slice of it either."""
+        repeated = {r["k"] for counts in self.whole.values() for r in counts.filter("n > 1").select("k").distinct().collect()}  # columns, not values
+        unique = {(c.table, kind in _EXACT, expr) for c, k, kind, expr in self._columns if c.snapshot is None and kind in ("int", "slot", "text") and k not in repeated}
+        return {k for c, k, kind, expr in self._columns if c.snapshot is not None and kind in ("int", "slot", "text") and (c.table, kind in _EXACT, expr) in unique}
 
     def _at_names(self, df: DataFrame) -> DataFrame:
         """Slices by name instead of s, t and half, columns by name instead of k."""
@@ -229,10 +248,15 @@ class Profile:
         at = ["k", "s", "t", "half"]
         of = {"n_rows": F.sum, "held": F.sum, "low": F.min, "high": F.max, "least": F.min, "most": F.max, "plus": F.min, "minus": F.max, "size": F.max, "ascii": F.min}
         ranges = _halves(rows).groupBy(*at).agg(*(f(c).alias(c) for c, f in of.items()))
+        proven = F.col("k").isin(*self._proven) if self._proven else F.lit(False)
+        ranges = ranges.withColumn("alone", proven & (F.col("held") > 0))  # every value once, the least one first
         counted = self._at_names(self._distinct()).select(*COLUMN, "d", "mode", "mode_n")
         counts = F.col("kind").isin("int", "slot", "text", "label")
         alone = F.when(counts, F.col("d") == 1).otherwise((F.col("least") == F.col("most")) & ((F.col("least") != 0) | (F.col("plus") == F.col("minus"))))
-        out = self._at_names(ranges).join(counted, COLUMN, "left").withColumn("d", F.when(counts, F.coalesce("d", F.lit(0)))).withColumn("constant", F.coalesce(alone, F.lit(False)))
+        out = self._at_names(ranges).join(counted, COLUMN, "left")
+        once = {"d": F.col("held"), "mode": F.col("low").cast("string"), "mode_n": F.lit(1).cast("long")}
+        out = out.withColumns({c: F.when(F.col("alone"), e).otherwise(F.col(c)) for c, e in once.items()}).drop("alone")
+        out = out.withColumn("d", F.when(counts, F.coalesce("d", F.lit(0)))).withColumn("constant", F.coalesce(alone, F.lit(False)))
         return out.drop("plus", "minus").withColumn("unique", F.col("kind").isin("int", "slot", "text") & (F.col("d") == F.col("n_rows")))
 
     # ---- relations ----

@@ -50,3 +50,19 @@ def test_inclusions_of_more_columns_than_a_mask_has_bits(spark, tmp_path):
         want |= {(s, *a, *b) for a, x in held.items() for b, y in held.items() if a[0] != b[0] and len(set(y)) == len(y) and set(x) <= set(y)}
     got = [(r["snapshot_id"], r["table_name"], r["name"], r["ref_table"], r["ref_name"]) for r in p.inclusions().collect()]
     assert sorted(got) == sorted(want) and len({x[2] for x in got}) > 63
+
+
+def test_columns_without_repeats_are_not_counted_again_in_slices(spark, tmp_path):
+    rows = [(1, "a", 5, "x"), (2, "a", 5, "y"), (4, "b", 6, "z"), (None, "b", 6, None), (9, "b", 7, "w"), (None, "c", None, None)]
+    spark.createDataFrame(rows, "id int, g string, m int, w string").write.parquet(f"{tmp_path}/t.parquet")
+    columns = (("id", "int"), ("m", "int"), ("w", "text"))
+    p = profile.Profile(spark, str(tmp_path), (profile.Cut("f", "t", "g", "'t'", tuple((c, k, c) for c, k in columns), "id"), profile.whole("t", *columns)))
+    assert {r["v"] for r in p._counts(("int", "slot"), whole=False).collect()} == {5, 6, 7}  # m alone
+    assert p._counts(("text",), whole=False).count() == 0
+    assert "Generate" not in p._counts(("int", "slot"), whole=True)._jdf.queryExecution().toString()  # nor are rows of tables multiplied
+    got = {(r["snapshot_id"], r["name"]): (r["d"], r["mode"], r["mode_n"], r["unique"]) for r in p.stats.filter("feed = 'f'").collect()}
+    assert got == {
+        ("a", "id"): (2, "1", 1, True), ("a", "m"): (1, "5", 2, False), ("a", "w"): (2, None, 1, True),
+        ("b", "id"): (2, "4", 1, False), ("b", "m"): (2, "6", 2, False), ("b", "w"): (2, None, 1, False),
+        ("c", "id"): (0, None, None, False), ("c", "m"): (0, None, None, False), ("c", "w"): (0, None, None, False),
+    }
